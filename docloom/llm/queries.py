@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, mixing, quality, sharding, toxicity
-from docloom.llm.common import id_fold, read
+from docloom.llm import decontam, langid, linededup, minhash, mixing, pivots, quality, sharding, tokenio, toxicity
+from docloom.llm.common import id_fold, read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,23 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_records(read(spark, sf_dir, "documents"), shards=24)
 
 
+def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.similar_lines(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"))
+
+
+def op7_tokenio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    tokenio.write_ids(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenio.read_ids(spark, path, with_ids=False)
+
+
+def op8_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Grades are labels.quality; fitted on rows whose crc32(doc_id as text) mod 4 is not 2. kept: P(grade of at least the second) >= 0.5."""
     docs = read(spark, sf_dir, "documents")
@@ -46,13 +64,21 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "expected_grade", F.col("tail").alias("tail_prob"), "kept")
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
     "op3_toxicity": op3_toxicity,
     "op4_decontam": op4_decontam,
     "op5_sharding": op5_sharding,
+    "op6_linededup": op6_linededup,
+    "op7_tokenio": op7_tokenio,
+    "op8_pivots": op8_pivots,
     "op9_quality": op9_quality,
+    "op10_minhash": op10_minhash,
 }
 
 ORACLES: dict[str, str] = {}
