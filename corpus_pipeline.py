@@ -2,11 +2,62 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docloom.llm import decontam, minhash, mixing, tokenio, toxicity
+from docloom.llm.common import id_fold, materialize, read, shared_dir
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go. It learns from labelled rows outside the held-out fold."""
+    labels = read(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2)
+    return toxicity.keep_clean(docs, toxicity.fit_on(docs, labels))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of Jaccard 0.8 or more on shingles of five words stays, the one with the smallest doc_id; of rows
+    that repeat id and text, one."""
+    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
+    return out.dropDuplicates(["doc_id", "text"]) if repeated else out
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark passages, by the rule of the decontamination operator, go."""
+    return decontam.keep_clean(docs, read(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them: up to three times, or not at all."""
+    return mixing.mixed_documents(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in coded files in the shared folder; returns what reading them back gives of each document."""
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    tokenio.write_ids(docs, path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return tokenio.read_ids(spark, path, with_ids=False)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("token_output", write_tokens),
+]
 
-STAGES: list = []
+#: The classifier, the groups and the coder are not SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -9,6 +9,7 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,6 +93,34 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tu
     return [tuple(b) for b in blocks]
 
 
+def examine(column: pa.Array, blocks: list[tuple[tuple[str, str], ...]], width: int, share: float) -> list[pa.Array]:
+    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each text."""
+    data, at = tb.strings(column)
+    n = len(column)
+    words, hit, items, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
+    sha = np.array([hashlib.sha256(b"").hexdigest()] * n, object)
+    for i, j, part, own in tb.pieces(data, at):
+        texts, starts, ends, word_at = normal(part, own)
+        words[i:j] = np.diff(word_at)
+        found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
+        for block in blocks:
+            machine = automaton(block, width)
+            for k, text in enumerate(texts):
+                runs, ids = scan(text, machine)
+                if runs:
+                    found[k] = (merged(found[k][0] + runs), found[k][1] | ids)
+        for k, (runs, ids) in enumerate(found):
+            if not runs:
+                continue
+            hit[i + k], items[i + k] = sum(b - a for a, b in runs), len(ids)
+            sha[i + k] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+            chars = np.cumsum((part[own[k] : own[k + 1]] & 0xC0) != 0x80)  # code points up to and with a byte
+            spans[i + k] = [{"begin": int(chars[starts[word_at[k] + a] - own[k]]) - 1, "end": int(chars[ends[word_at[k] + b - 1] - 1 - own[k]])} for a, b in runs]
+    bad = (hit > 0) & (hit >= share * words - 1e-9)
+    kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+    return [pa.array(words), pa.array(hit), pa.array(items), pa.array(sha, pa.string()), pa.array(bad), pa.array([x or [] for x in spans], kind)]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -112,36 +141,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, s
     shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = hashlib.sha256(b"").hexdigest()
         for batch in batches:
-            data, at = tb.strings(batch.column("text"))
-            n = batch.num_rows
-            words, hit, items, sha, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.array([empty] * n, object), [None] * n
-            for i, j, part, own in tb.pieces(data, at):
-                texts, starts, ends, word_at = normal(part, own)
-                words[i:j] = np.diff(word_at)
-                found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
-                for block in shared.value:
-                    machine = automaton(block, width)
-                    for k, text in enumerate(texts):
-                        runs, ids = scan(text, machine)
-                        if runs:
-                            found[k] = (merged(found[k][0] + runs), found[k][1] | ids)
-                for k, (runs, ids) in enumerate(found):
-                    if not runs:
-                        continue
-                    hit[i + k], items[i + k] = sum(b - a for a, b in runs), len(ids)
-                    sha[i + k] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-                    doc = part[own[k] : own[k + 1]]
-                    chars = np.cumsum((doc & 0xC0) != 0x80)  # code points up to and with a byte
-                    spans[i + k] = [
-                        {"begin": int(chars[starts[word_at[k] + a] - own[k]]) - 1, "end": int(chars[ends[word_at[k] + b - 1] - 1 - own[k]])} for a, b in runs
-                    ]
-            bad = (hit > 0) & (hit >= share * words - 1e-9)
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), pa.array(words), pa.array(hit), pa.array(items), pa.array(sha, pa.string()), pa.array(bad),
-                pa.array([x or [] for x in spans], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-            ], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
+            found = examine(batch.column("text"), shared.value, width, share)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -154,3 +156,15 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
         else:
             out.append((a, b))
     return out
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns, that find_contamination would not call contaminated. A map, without a shuffle."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(item_blocks(benchmark, block_chars))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pc.invert(examine(batch.column("text"), shared.value, width, share)[4]))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -48,9 +48,11 @@ def water_fill(sources: DataFrame, total: float | None = None, max_epochs: float
         seen, level = row["n"], max(level, (total - row["cap"]) / row["weight"])
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), with_rows: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
 
+    with_rows adds the whole row as the struct ``row``; it is then read again with docs, not shuffled.
+
     A source's target over its size gives epochs e: every document is taken floor(e) times whole, and once more for
     the documents first in a seeded hash order until their words fill the fraction, to the nearest document. The cut is
     found from sums per (source, hash bucket), at most BUCKETS a source, so a hot source never meets in one task; only
@@ -61,7 +63,8 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: i
     separate rows; an empty table gives no rows. Other columns of docs are left out, so none can clash.
     """
     order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    sized = materialize(docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("_h")), "sized").withColumn("_b", F.shiftrightunsigned("_h", 64 - 12).cast("int"))
+    sized = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("_h"), *[F.struct(*docs.columns).alias("row")] * with_rows)
+    sized = (sized if with_rows else materialize(sized, "sized")).withColumn("_b", F.shiftrightunsigned("_h", 64 - 12).cast("int"))
     sums = materialize(sized.groupBy("source", "_b").agg(F.sum("size").alias("words")), "sums")
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     if weights is None:
@@ -84,5 +87,12 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: i
     at_cut = at_cut.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"))
     others = rows.where("cut IS NULL OR _b <> cut").withColumn("extra", F.coalesce(F.col("_b") < F.col("cut"), F.lit(False)).cast("long"))
     return others.unionByName(at_cut).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken"),
+        *["row"] * with_rows,
     )
+
+
+def mixed_documents(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: each row of docs, all columns, as often as mix_sources takes it."""
+    rows = mix_sources(docs, with_rows=True, **how).where("copies > 0")
+    return rows.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
