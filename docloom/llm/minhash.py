@@ -16,8 +16,12 @@ U = np.uint64
 #: Retained values of a sketch, and how many of them open lists. Two sets of Jaccard 0.8 have none of the lowest RETAIN in common
 #: with a chance of 0.2 ** RETAIN (4e-9).
 SKETCH, RETAIN = 48, 12
-#: Lists longer than this (or than an even share of HOT_VALUES lists) are common values: sets with enough others go by those.
-HOT_LIST, HOT_VALUES = 128, 1 << 17
+#: Sketches' values are counted in this many buckets (a power of two); the counts go to every worker, 8 MB whatever the input.
+BUCKETS = 1 << 20
+#: A value is common if its bucket holds more values than this, and than this many times the mean: sets with enough others go by those.
+HOT, HOT_MEANS = 128, 8
+#: Rounds in which lists link their members to a leader.
+LEADER_ROUNDS = 3
 #: A set of which less than this part of the sketch is uncommon opens its common lists as well.
 UNCOMMON = 0.75
 #: Standard deviations of an estimate below the threshold that still go to the exact check.
@@ -70,24 +74,33 @@ def _full_sets(width: int, shared):
     return run
 
 
-def _openers(shared):
-    """Rows (v, k, n, sig, comp, size) of the lists that each set is in, given the common values in ascending order."""
+def _openers(shared, hot_above: int | None):
+    """Rows (id, n, sig, vs) of nodes: vs are the lists that a set opens. Values that no other set has open none.
+
+    Without hot_above a set opens its lowest RETAIN values, and pop tells how common its values are: of a group of copies with edits the
+    one with the fewest edits has the most. With it, a set opens the lowest of those in buckets of at most so many values, and the plain
+    ones too where less than UNCOMMON of the sketch is such.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot = shared.value
+        counts = shared.value
         for batch in batches:
             lists = batch.column("sketch")
             v = lists.flatten().to_numpy()
             n = lists.value_lengths().to_numpy().astype(np.int64)
             at = np.concatenate([[0], np.cumsum(n)])
-            row = np.repeat(np.arange(len(n)), n)
-            place = np.minimum(np.searchsorted(hot, v), max(len(hot) - 1, 0))
-            common = hot[place] == v if len(hot) else np.zeros(len(v), bool)
-            rank = np.cumsum(~common) - np.repeat(np.concatenate([[0], np.cumsum(~common)])[at[:-1]], n)  # 1 for the first uncommon value
-            poor = tb.sum_by((~common).astype(np.int64), at) < UNCOMMON * n
-            use = (~common & (rank <= RETAIN)) | (poor[row] & (np.arange(len(v)) - np.repeat(at[:-1], n) < RETAIN))
-            rest = [batch.column(c).take(pa.array(row[use])) for c in ("k", "n", "sig", "comp", "members")]
-            yield pa.RecordBatch.from_arrays([pa.array(v[use]), *rest], ["v", "k", "n", "sig", "comp", "members"])
+            row, start = np.repeat(np.arange(len(n)), n), np.repeat(at[:-1], n)
+            seen = counts[v & (len(counts) - 1)]
+            pop = (1000 * tb.sum_by(np.log2(np.maximum(seen, 1)), at) / np.maximum(n, 1)).astype(np.int64)
+            use = np.arange(len(v)) - start < RETAIN
+            if hot_above is not None:
+                rare = seen <= hot_above
+                before = np.concatenate([[0], np.cumsum(rare)])
+                poor = tb.sum_by(rare.astype(np.int64), at) < UNCOMMON * n
+                use = (rare & (before[1:] - before[start] <= RETAIN)) | (poor[row] & use)
+            use &= seen > 1
+            cut = np.concatenate([[0], np.cumsum(tb.sum_by(use.astype(np.int64), at))])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "sig")), pa.array(pop), tb.longs(v[use], cut)], ["id", "n", "sig", "pop", "vs"])
 
     return run
 
@@ -103,11 +116,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Equal sets are one node from the start. Then two rounds of candidates:
 
-    1. Each list (a retained value, within a range of set sizes) links its members to one leader: at most RETAIN pairs a
-       node, whatever a group's size; verified links are joined into components.
+    1. Leaders, LEADER_ROUNDS times. Each list (a retained value, within a range of set sizes) links its members to one:
+       at first the member whose values are the most common, which in a group of copies with edits is the one nearest to the
+       others; later, where a list holds several components, some member of its largest. Of a node's leaders the one with
+       the best estimate is verified: one pair a node and round, whatever a group's size. Links are joined into components.
     2. Lists that still hold several components are joined with themselves, one side without the list's largest
-       component, for pairs of different components only. Values on very many lists are replaced by a set's next lowest
-       uncommon ones; sets that consist of common values to a good part open both. No list is cut.
+       component, for pairs of different components only. Values in very full buckets are replaced by a set's next lowest
+       others; sets that consist of such values to a good part open both. No list is cut.
 
     Pairs must agree in size and in a 64-bit signature within the join, then in the estimate from the union's lowest
     SKETCH values, then exactly; full sets are computed again from the texts of those in question only, behind a bitmap
@@ -121,54 +136,83 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     source = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
     rows = materialize(source.mapInArrow(_sketches(width), f"doc_id {kind}, h long, n long, k binary, sig long, sketch array<long>"), "sketches")
     reps = rows.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps, "reps")
+    reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # ids are fixed as they are written
 
     def alike(a: str, b: str) -> str:
         return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND bit_count({a}sig ^ {b}sig) <= {max_apart}"
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Links (a, b) among pairs (a, b) of nodes."""
-        side = lambda x: reps.select(F.col("k").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    def verify(pairs: DataFrame, best: bool = False) -> DataFrame:
+        """Links (a, b) among pairs (a, b) of nodes; with best only of each b with the a of the highest estimate."""
+        side = lambda x: reps.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         whole = f"na <= {SKETCH} AND nb <= {SKETCH}"
         union = F.array_sort(F.array_union("sa", "sb"))
         close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.expr(f"IF({whole}, 1000000, {SKETCH})"))
         close = close.withColumn("u", F.slice(union, F.lit(1), F.col("u")))
         close = close.withColumn("j", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) / F.size("u"))
         slack = SIGMAS * float(np.sqrt(share * (1 - share) / SKETCH))
-        close = materialize(close.where(F.col("j") >= F.expr(f"IF({whole}, {share - 1e-9}, {share - slack})")).select("a", "b", "ha", "hb"), "close")
+        close = close.where(F.col("j") >= F.expr(f"IF({whole}, {share - 1e-9}, {share - slack})")).select("a", "b", "ha", "hb", "j")
+        if best:
+            close = close.groupBy("b").agg(F.max(F.struct("j", "a", "ha", "hb")).alias("m")).select("m.a", "b", "m.ha", "m.hb")
+        close = materialize(close.select("a", "b", "ha", "hb"), "close")
         bitmap = spark.sparkContext.broadcast(bit_filter(close.select(F.explode(F.array("ha", "hb")).alias("h"))))
         full = source.mapInArrow(_full_sets(width, bitmap), "k binary, s array<long>").groupBy("k").agg(F.first("s").alias("s"))
-        full = materialize(full.join(close.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "k", "left_semi"), "sets")
-        both = close.select("a", "b").join(full.withColumnsRenamed({"k": "a", "s": "sa"}), "a").join(full.withColumnsRenamed({"k": "b", "s": "sb"}), "b")
+        asked = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "k"), "id")
+        full = materialize(full.join(asked, "k").drop("k"), "sets")
+        both = close.select("a", "b").join(full.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(full.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
         return materialize(both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
 
-    # Round 1: leaders.
-    opened = reps.select("k", "n", "sig", F.floor(F.ln("n") / F.lit(float(np.log(1.5)))).alias("range"), F.explode(F.slice("sketch", 1, RETAIN)).alias("v"))
-    leaders = opened.groupBy("v", "range").agg(F.min(F.struct("k", "n", "sig")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    pairs = opened.join(leaders, ["v", "range"]).where(f"k <> l.k AND {alike('', 'l.')}").select(F.col("l.k").alias("a"), F.col("k").alias("b")).distinct()
-    links = verify(pairs)
-    nodes = components(links)
-
-    # Round 2: what lies between components.
-    total = reps.agg(F.sum(F.size("sketch"))).first()[0] or 0
-    counts = reps.select(F.explode("sketch").alias("v")).groupBy("v").count()
-    hot = [r["v"] for r in counts.where(F.col("count") > max(HOT_LIST, total // HOT_VALUES)).select("v").toLocalIterator()]  # at most HOT_VALUES
-    shared = spark.sparkContext.broadcast(np.sort(np.array(hot, np.int64)))
-    members = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-    placed = reps.select("k", "n", "sig", "sketch").join(nodes.join(members, "comp").withColumnRenamed("node", "k"), "k", "left")
-    placed = placed.withColumns({"comp": F.coalesce("comp", "k"), "members": F.coalesce("members", F.lit(1).cast("long"))})
-    opened = materialize(placed.mapInArrow(_openers(shared), "v long, k binary, n long, sig long, comp binary, members long"), "opened")
+    def placed_in(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
+        """Adds a row's component, itself at first, and its number of members."""
+        if nodes is None:
+            return rows.withColumns({"comp": F.col("id"), "members": F.lit(1).cast("long")})
+        members = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+        rows = rows.join(nodes.join(members, "comp").withColumnRenamed("node", "id"), "id", "left")
+        return rows.withColumns({"comp": F.coalesce("comp", "id"), "members": F.coalesce("members", F.lit(1).cast("long"))})
+
+    bucketed = reps.select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().toArrow()  # at most BUCKETS rows
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[bucketed["b"].to_numpy()] = bucketed["count"].to_numpy()
+    shared = spark.sparkContext.broadcast(counts)
+
+    # Leaders, in two divisions of the sizes into ranges, so that no group is parted in both.
+    slim = reps.select("id", "n", "sig", "sketch")
+    schema = "id long, n long, sig long, pop long, vs array<long>"
+    opened = materialize(slim.mapInArrow(_openers(shared, None), schema).where("size(vs) > 0"), "opened")
+    links: DataFrame | None = None
+    nodes: DataFrame | None = None
+    for turn in range(LEADER_ROUNDS):
+        placed = placed_in(opened, nodes)
+        pairs: DataFrame | None = None
+        for shift in (0.0, 0.5):
+            ranged = placed.withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.5))) + F.lit(shift)).cast("int")).withColumn("v", F.explode("vs")).drop("vs")
+            order = F.col("pop") if turn == 0 else F.xxhash64(F.lit(turn), "v", "id")
+            leaders = ranged.groupBy("v", "range").agg(F.max(F.struct("members", "comp", order.alias("o"), "id", "n", "sig")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            leaders = leaders.where("lo <> hi" if turn == 0 else "lo <> hi AND l.members > 1").drop("lo", "hi")
+            found = ranged.join(leaders, ["v", "range"]).where(f"comp <> l.comp AND {alike('', 'l.')}").select(F.col("l.id").alias("a"), F.col("id").alias("b"))
+            pairs = found if pairs is None else pairs.union(found)
+        more = verify(pairs.distinct(), best=True)
+        if turn and not more.limit(1).count():
+            break
+        links = more if links is None else links.union(more)
+        nodes = components(links)
+
+    # What lies between components.
+    hot_above = int(max(HOT, HOT_MEANS * counts.mean()))
+    opened = materialize(slim.mapInArrow(_openers(shared, hot_above), schema).where("size(vs) > 0"), "opened")
+    opened = placed_in(opened, nodes).withColumn("v", F.explode("vs")).drop("vs", "pop")
     several = opened.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("members", "comp")).alias("most")).where("lo <> hi")
     mixed = materialize(opened.join(several.select("v", F.col("most.comp").alias("most")), "v").drop("members"), "mixed")
-    join = f"a.v = b.v AND a.comp <> b.comp AND (b.comp = b.most OR a.k < b.k) AND {alike('a.', 'b.')}"
-    pairs = mixed.where("comp <> most").alias("a").join(mixed.alias("b"), F.expr(join)).select(F.least("a.k", "b.k").alias("a"), F.greatest("a.k", "b.k").alias("b")).distinct()
+    join = f"a.v = b.v AND a.comp <> b.comp AND (b.comp = b.most OR a.id < b.id) AND {alike('a.', 'b.')}"
+    pairs = mixed.where("comp <> most").alias("a").join(mixed.alias("b"), F.expr(join)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
     more = verify(pairs)
     if more.limit(1).count():
         nodes = components(links.union(more))
 
-    named = rows.select("doc_id", F.col("n").alias("n_shingles"), "k").join(nodes.withColumnRenamed("node", "k"), "k", "left")
-    named = named.withColumn("comp", F.expr("IF(n_shingles > 0, coalesce(comp, k), NULL)")).drop("k")
+    keys = reps.select("id", "k").join(nodes.withColumnRenamed("node", "id"), "id").select("k", "comp")
+    named = rows.select("doc_id", F.col("n").alias("n_shingles"), "k").join(keys, "k", "left")
+    # Nodes without links have their set as component: its copies.
+    named = named.withColumn("comp", F.expr("IF(n_shingles > 0, coalesce(cast(concat('#', comp) AS binary), k), NULL)")).drop("k")
     least = materialize(named.where("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c"), "least")
     out = named.join(least, "comp", "left").withColumn("component_id", F.coalesce("least", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
