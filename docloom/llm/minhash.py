@@ -20,8 +20,8 @@ SKETCH, RETAIN = 48, 12
 BUCKETS = 1 << 20
 #: A value is common if its bucket holds more values than this, and than this many times the mean: sets with enough others go by those.
 HOT, HOT_MEANS = 128, 8
-#: Rounds in which lists link their members to a leader.
-LEADER_ROUNDS = 3
+#: Rows of a block of a cell.
+BLOCK = 1024
 #: A set of which less than this part of the sketch is uncommon opens its common lists as well.
 UNCOMMON = 0.75
 #: Standard deviations of an estimate below the threshold that still go to the exact check.
@@ -105,6 +105,81 @@ def _openers(shared, hot_above: int | None):
     return run
 
 
+def overlaps(A: list[np.ndarray], B: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """Intersection sizes of all pairs of two lists of sets, by matrix products over the values that stand in both lists."""
+    a, b = np.concatenate(A), np.concatenate(B)
+    values = np.intersect1d(a, b)
+    out = np.zeros((len(A), len(B)), np.float32)
+
+    def places(flat: np.ndarray, sets_: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets_)), [len(x) for x in sets_])
+        at = np.minimum(np.searchsorted(values, flat), max(len(values) - 1, 0))
+        hit = values[at] == flat if len(values) else np.zeros(len(flat), bool)
+        return row[hit], at[hit]
+
+    (ra, ca), (rb, cb) = places(a, A), places(b, B)
+    for first in range(0, len(values), step):
+        M, N = np.zeros((len(A), step), np.float32), np.zeros((len(B), step), np.float32)
+        for rows, cols, into in ((ra, ca, M), (rb, cb, N)):
+            own = (cols >= first) & (cols < first + step)
+            into[rows[own], cols[own] - first] = 1
+        out += M @ N.T
+    return out
+
+
+def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Joins the groups of p and q pair by pair; label[i] is the first row of i's group."""
+    while True:
+        a, b = label[p], label[q]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def _cells(percent: int, step: int = 256):
+    """Edges (a, b) that join the rows of each cell (hood, i, j) as their links do; rows are sorted by cell."""
+
+    def groups(t: pa.Table) -> pa.RecordBatch | None:
+        ids, block = t["id"].to_numpy(), t["block"].to_numpy()
+        sets_ = t["s"].combine_chunks()
+        values, size = sets_.flatten().to_numpy(), sets_.value_lengths().to_numpy().astype(np.int64)
+        each = np.split(values, np.cumsum(size)[:-1])
+        label, (i, j) = np.arange(len(ids)), (t["i"][0].as_py(), t["j"][0].as_py())
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for a in range(0, len(left), step):
+            for b in range(0, len(right), step):
+                A, B = left[a : a + step], right[b : b + step]
+                if i == j and b < a:
+                    continue
+                both = overlaps([each[k] for k in A], [each[k] for k in B]).astype(np.int64)
+                p, q = np.nonzero(100 * both >= percent * (size[A][:, None] + size[B][None, :] - both))
+                label = unite(label, A[p], B[q])
+        moved = label != np.arange(len(ids))
+        return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"]) if moved.any() else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []  # of the cell that goes on in the next batch
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("hood", "i", "j")], 1)
+            cuts = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if kept and tuple(key[a]) != last:
+                    if (found := groups(pa.Table.from_batches(kept))) is not None:
+                        yield found
+                    kept = []
+                kept.append(batch.slice(a, b - a))
+                last = tuple(key[a])
+        if kept and (found := groups(pa.Table.from_batches(kept))) is not None:
+            yield found
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -116,13 +191,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     Equal sets are one node from the start. Then two rounds of candidates:
 
-    1. Leaders, LEADER_ROUNDS times. Each list (a retained value, within a range of set sizes) links its members to one:
-       at first the member whose values are the most common, which in a group of copies with edits is the one nearest to the
-       others; later, where a list holds several components, some member of its largest. Of a node's leaders the one with
-       the best estimate is verified: one pair a node and round, whatever a group's size. Links are joined into components.
-    2. Lists that still hold several components are joined with themselves, one side without the list's largest
-       component, for pairs of different components only. Values in very full buckets are replaced by a set's next lowest
-       others; sets that consist of such values to a good part open both. No list is cut.
+    1. Neighbourhoods. Each list (a retained value, within a range of set sizes) compares its members with one leader, the
+       member whose values are the most common, which in a group of copies with edits is the one nearest to the others. Pairs
+       with an estimate near the threshold or above join nodes into neighbourhoods; those are dealt over grids of cells of at
+       most two blocks, where all pairs are checked on full sets by matrix products, and a cell tells of its groups, not its pairs.
+    2. Lists that hold several neighbourhoods are joined with themselves, one side without the list's largest, for pairs of
+       different neighbourhoods only. Values in very full buckets are replaced by a set's next lowest others; sets that
+       consist of such values to a good part open both. No list is cut.
 
     Pairs must agree in size and in a 64-bit signature within the join, then in the estimate from the union's lowest
     SKETCH values, then exactly; full sets are computed again from the texts of those in question only, behind a bitmap
@@ -141,35 +216,32 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     def alike(a: str, b: str) -> str:
         return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND bit_count({a}sig ^ {b}sig) <= {max_apart}"
 
-    def verify(pairs: DataFrame, best: bool = False) -> DataFrame:
-        """Links (a, b) among pairs (a, b) of nodes; with best only of each b with the a of the highest estimate."""
-        side = lambda x: reps.select(F.col("id").alias(x), F.col("h").alias(f"h{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    slack = SIGMAS * float(np.sqrt(share * (1 - share) / SKETCH))
+
+    def estimated(pairs: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) of nodes whose estimate is near the threshold or above, exactly so for sets that are their sketches."""
+        side = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
         whole = f"na <= {SKETCH} AND nb <= {SKETCH}"
         union = F.array_sort(F.array_union("sa", "sb"))
         close = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("u", F.expr(f"IF({whole}, 1000000, {SKETCH})"))
         close = close.withColumn("u", F.slice(union, F.lit(1), F.col("u")))
         close = close.withColumn("j", F.size(F.array_intersect("u", F.array_intersect("sa", "sb"))) / F.size("u"))
-        slack = SIGMAS * float(np.sqrt(share * (1 - share) / SKETCH))
-        close = close.where(F.col("j") >= F.expr(f"IF({whole}, {share - 1e-9}, {share - slack})")).select("a", "b", "ha", "hb", "j")
-        if best:
-            close = close.groupBy("b").agg(F.max(F.struct("j", "a", "ha", "hb")).alias("m")).select("m.a", "b", "m.ha", "m.hb")
-        close = materialize(close.select("a", "b", "ha", "hb"), "close")
-        bitmap = spark.sparkContext.broadcast(bit_filter(close.select(F.explode(F.array("ha", "hb")).alias("h"))))
-        full = source.mapInArrow(_full_sets(width, bitmap), "k binary, s array<long>").groupBy("k").agg(F.first("s").alias("s"))
-        asked = close.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(reps.select("id", "k"), "id")
-        full = materialize(full.join(asked, "k").drop("k"), "sets")
-        both = close.select("a", "b").join(full.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(full.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
+        return materialize(close.where(F.col("j") >= F.expr(f"IF({whole}, {share - 1e-9}, {share - slack})")).select("a", "b"), "close")
+
+    def full_sets(ids: DataFrame) -> DataFrame:
+        """id and s, all values of the nodes ids(id): read from the texts again, of one document for each node."""
+        asked = ids.join(reps.select("id", "k", "h"), "id")
+        bitmap = spark.sparkContext.broadcast(bit_filter(asked.select("h")))
+        full = source.mapInArrow(_full_sets(width, bitmap), "k binary, s array<long>")
+        return full.join(asked.select("id", "k"), "k").select("id", "s").dropDuplicates(["id"])
+
+    def verified(close: DataFrame) -> DataFrame:
+        """Links among pairs (a, b)."""
+        full = materialize(full_sets(close.select(F.explode(F.array("a", "b")).alias("id")).distinct()), "sets")
+        both = close.join(full.withColumnsRenamed({"id": "a", "s": "sa"}), "a").join(full.withColumnsRenamed({"id": "b", "s": "sb"}), "b")
         both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")))
         return materialize(both.where(F.col("i") * 100 >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"), "links")
 
-    def placed_in(rows: DataFrame, nodes: DataFrame | None) -> DataFrame:
-        """Adds a row's component, itself at first, and its number of members."""
-        if nodes is None:
-            return rows.withColumns({"comp": F.col("id"), "members": F.lit(1).cast("long")})
-        members = nodes.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
-        rows = rows.join(nodes.join(members, "comp").withColumnRenamed("node", "id"), "id", "left")
-        return rows.withColumns({"comp": F.coalesce("comp", "id"), "members": F.coalesce("members", F.lit(1).cast("long"))})
-
     bucketed = reps.select(F.explode("sketch").alias("v")).groupBy(F.col("v").bitwiseAND(F.lit(BUCKETS - 1)).alias("b")).count().toArrow()  # at most BUCKETS rows
     counts = np.zeros(BUCKETS, np.int64)
     counts[bucketed["b"].to_numpy()] = bucketed["count"].to_numpy()
@@ -179,35 +251,33 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     slim = reps.select("id", "n", "sig", "sketch")
     schema = "id long, n long, sig long, pop long, vs array<long>"
     opened = materialize(slim.mapInArrow(_openers(shared, None), schema).where("size(vs) > 0"), "opened")
-    links: DataFrame | None = None
-    nodes: DataFrame | None = None
-    for turn in range(LEADER_ROUNDS):
-        placed = placed_in(opened, nodes)
-        pairs: DataFrame | None = None
-        for shift in (0.0, 0.5):
-            ranged = placed.withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.5))) + F.lit(shift)).cast("int")).withColumn("v", F.explode("vs")).drop("vs")
-            order = F.col("pop") if turn == 0 else F.xxhash64(F.lit(turn), "v", "id")
-            leaders = ranged.groupBy("v", "range").agg(F.max(F.struct("members", "comp", order.alias("o"), "id", "n", "sig")).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            leaders = leaders.where("lo <> hi" if turn == 0 else "lo <> hi AND l.members > 1").drop("lo", "hi")
-            found = ranged.join(leaders, ["v", "range"]).where(f"comp <> l.comp AND {alike('', 'l.')}").select(F.col("l.id").alias("a"), F.col("id").alias("b"))
-            pairs = found if pairs is None else pairs.union(found)
-        more = verify(pairs.distinct(), best=True)
-        if turn and not more.limit(1).count():
-            break
-        links = more if links is None else links.union(more)
-        nodes = components(links)
-
-    # What lies between components.
+    pairs: DataFrame | None = None
+    for shift in (0.0, 0.5):
+        ranged = opened.withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.5))) + F.lit(shift)).cast("int")).withColumn("v", F.explode("vs")).drop("vs")
+        leaders = ranged.groupBy("v", "range").agg(F.max(F.struct("pop", "id", "n", "sig")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        found = ranged.join(leaders, ["v", "range"]).where(f"id <> l.id AND {alike('', 'l.')}").select(F.col("l.id").alias("a"), "id")
+        pairs = found if pairs is None else pairs.union(found)
+    hoods = components(estimated(pairs.select("a", F.col("id").alias("b")).distinct()))
+    members = hoods.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
+    hoods = materialize(hoods.join(members, "comp").select(F.col("node").alias("id"), F.col("comp").alias("hood"), "members"), "hoods")
+
+    cells = full_sets(hoods.select("id")).join(hoods, "id").withColumn("g", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cells = cells.select("hood", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "s")
+    links = cells.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "id").mapInArrow(_cells(percent), "a long, b long")
+    links = materialize(links, "links")
+
+    # What lies between neighbourhoods.
     hot_above = int(max(HOT, HOT_MEANS * counts.mean()))
-    opened = materialize(slim.mapInArrow(_openers(shared, hot_above), schema).where("size(vs) > 0"), "opened")
-    opened = placed_in(opened, nodes).withColumn("v", F.explode("vs")).drop("vs", "pop")
-    several = opened.groupBy("v").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct("members", "comp")).alias("most")).where("lo <> hi")
-    mixed = materialize(opened.join(several.select("v", F.col("most.comp").alias("most")), "v").drop("members"), "mixed")
-    join = f"a.v = b.v AND a.comp <> b.comp AND (b.comp = b.most OR a.id < b.id) AND {alike('a.', 'b.')}"
-    pairs = mixed.where("comp <> most").alias("a").join(mixed.alias("b"), F.expr(join)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
-    more = verify(pairs)
-    if more.limit(1).count():
-        nodes = components(links.union(more))
+    opened = slim.mapInArrow(_openers(shared, hot_above), schema).where("size(vs) > 0").join(hoods, "id", "left")
+    opened = materialize(opened.select("id", "n", "sig", F.coalesce("hood", "id").alias("hood"), F.coalesce("members", F.lit(1).cast("long")).alias("members"), "vs"), "opened")
+    listed = opened.withColumn("v", F.explode("vs")).drop("vs")
+    several = listed.groupBy("v").agg(F.min("hood").alias("lo"), F.max("hood").alias("hi"), F.max(F.struct("members", "hood")).alias("most")).where("lo <> hi")
+    mixed = materialize(listed.join(several.select("v", F.col("most.hood").alias("most")), "v").drop("members"), "mixed")
+    join = f"a.v = b.v AND a.hood <> b.hood AND (b.hood = b.most OR a.id < b.id) AND {alike('a.', 'b.')}"
+    pairs = mixed.where("hood <> most").alias("a").join(mixed.alias("b"), F.expr(join)).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    close = estimated(pairs)
+    nodes = components(links.union(verified(close)) if close.limit(1).count() else links)
 
     keys = reps.select("id", "k").join(nodes.withColumnRenamed("node", "id"), "id").select("k", "comp")
     named = rows.select("doc_id", F.col("n").alias("n_shingles"), "k").join(keys, "k", "left")

@@ -34,7 +34,7 @@ def strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def pieces(data: np.ndarray, offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole texts of at most limit bytes together (a longer text comes alone): (first, end, bytes, offsets)."""
     i, n = 0, len(offsets) - 1
     while i < n:
