@@ -17,8 +17,6 @@ U = np.uint64
 BUCKET_BITS = 18
 #: Rows of a token's list that meet in one cell; longer lists are dealt over a grid of cells.
 CELL = 4096
-#: Partners that a line names in a list, the nearest first; the rest is asked for only where none of these holds.
-NAMED = 4
 
 
 def line_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -149,7 +147,7 @@ def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, n
 
 
 def _partners(percent: int, asked):
-    """Of each row y of a list the rows x before it that pass the filters: the NAMED nearest, or all where the bitmap asks for y."""
+    """Of each row y of a list the rows x before it that pass the filters: the nearest, or all where the bitmap asks for y."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
         key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
@@ -176,11 +174,11 @@ def _partners(percent: int, asked):
         cut = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
         size = np.diff(np.concatenate([cut, [len(y)]]))
         rank = np.arange(len(y)) - np.repeat(cut, size)
-        more = np.repeat(size > NAMED, size)
+        more, far = np.repeat(size > 1, size), far[order]
         if all_of is None:
-            x, y, more = x[rank < NAMED], y[rank < NAMED], more[rank < NAMED]
+            x, y, more, far = x[rank == 0], y[rank == 0], more[rank == 0], far[rank == 0]
         side = lambda at, p: [t[c].combine_chunks().take(pa.array(at)) for c in PLACE]
-        return pa.RecordBatch.from_arrays([*side(y, "y"), *side(x, "x"), pa.array(more)], [*(f"y_{c}" for c in PLACE), *(f"x_{c}" for c in PLACE), "more"])
+        return pa.RecordBatch.from_arrays([*side(y, "y"), *side(x, "x"), pa.array(more), pa.array(far)], [*(f"y_{c}" for c in PLACE), *(f"x_{c}" for c in PLACE), "more", "far"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # of the list that goes on in the next batch
@@ -214,9 +212,9 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
     Words are ordered by rarity: counts in 2**BUCKET_BITS buckets, then the hash, a total order of bounded size that keeps
     the prefix filter exact. Equal sets become one, at their first place. Of each set the prefix opens lists; a row of a
     list holds place, size and a bitmap, not the text. Lists longer than ``cell`` are dealt over a grid of cells. Within a
-    list each row names its NAMED nearest earlier rows that pass the length and bitmap filters, which drop no match; tokens
-    of the lines named are read from the texts again and verified; rows of which no named partner holds, but that had more, are asked
-    for all of them. So pairs never grow with the square of a group's size, and no match is lost.
+    list each row names the nearest earlier row that passes the length and bitmap filters, which drop no match. Of those over
+    all its lists the nearest is verified, on tokens read from the texts again; rows of which it does not hold, but that had
+    others, are asked for all of them. So pairs never grow with the square of a group's size, and no match is lost.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -247,7 +245,7 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
         opened = opened.withColumns({c: F.lit(0) for c in ("block", "i", "j")})
     listed = opened.select(*LISTED).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id", "line")
     kinds = {"doc_id": "long", "line": "int", "n": "int", "sig": "long"}
-    schema = ", ".join([*(f"y_{c} {kinds[c]}" for c in PLACE), *(f"x_{c} {kinds[c]}" for c in PLACE), "more boolean"])
+    schema = ", ".join([*(f"y_{c} {kinds[c]}" for c in PLACE), *(f"x_{c} {kinds[c]}" for c in PLACE), "more boolean, far long"])
     y, x = [f"y_{c}" for c in PLACE], [f"x_{c}" for c in PLACE]
     h = lambda p: F.shiftleft(F.col(f"{p}_doc_id"), 5).bitwiseXOR(F.col(f"{p}_line").cast("long"))
 
@@ -262,7 +260,10 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
         pairs = pairs.withColumn("both", F.size(F.array_intersect("sy", "sx"))).where(f"both * 100 >= {percent} * (size(sy) + size(sx) - both)")
         return materialize(pairs.select(*[F.col(a).alias(b) for a, b in zip(y, PLACE)]).distinct(), "later")
 
-    named = materialize(listed.mapInArrow(_partners(percent, None), schema), "named")
+    # The nearest of all lists; others: whether another partner was seen.
+    named = listed.mapInArrow(_partners(percent, None), schema).withColumn("x", F.struct("far", *x))
+    named = named.groupBy(*y).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("more").alias("more")).withColumn("more", F.col("more") | (F.col("lo") != F.col("hi")))
+    named = materialize(named.select(*y, *[F.col(f"lo.{c}").alias(c) for c in x], "more"), "named")
     later = verified(named)
     asked = named.where("more").select(*y).distinct().join(later.select(*[F.col(c).alias(f"y_{c}") for c in PLACE]), y, "left_anti")
     asked = materialize(asked, "asked")
