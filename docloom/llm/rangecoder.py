@@ -3,12 +3,14 @@
 Every block starts from the same fixed model and is coded alone. A block's steps depend on one another, so the work is laid across
 blocks: step t of all blocks is one round of numpy operations. The model of a block:
 
-- order 2: the id that last followed the two ids before, and how often in a row that was right;
+- order 2: the id that last followed the two ids before, and a record of how often it was right in a row;
 - order 1: the same for the one id before;
 - order 0: an adaptive distribution of the ids' upper four bits, for ids that neither predicts.
 
-The chance that a prediction is right is mixed from two adaptive estimates, one in the context of its own record, one in the context
-of both orders' records and whether they agree; the weight moves to the estimate that was nearer.
+The chance that a prediction is right is the mean of two adaptive estimates: one in the context of its own record, one in the context of
+both records and of whether the orders agree.
+
+The coder keeps a range of 32 to 48 bits and shifts out words of 16; a carry is added to the words before at the end.
 """
 
 from __future__ import annotations
@@ -17,137 +19,136 @@ import numpy as np
 
 U = np.uint64
 #: Entries of a block's context tables (a power of two), and the highest record.
-SLOTS, RECORD = 2048, 7
+SLOTS, RECORD = 1024, 7
 LOW_BITS = 12  # of an id below the upper four
-_TOP, _BOTTOM, _WORD = U(1 << 48), U(1 << 32), U(16)
+_WORD, _LEAST, _LOW = U(16), U(1 << 32), U((1 << 32) - 1)
+_STEPS = np.arange(17, dtype=np.int32)
 
 
 class Model:
     def __init__(self, lanes: int, length: int):
         slots = min(SLOTS, max(64, 1 << int(length).bit_length()))
-        self.mask = slots - 1
-        self.id2, self.id1 = np.zeros(lanes * slots, np.uint16), np.zeros(lanes * slots, np.uint16)
-        self.rec2, self.rec1 = np.zeros(lanes * slots, np.int8), np.zeros(lanes * slots, np.int8)
-        self.base = np.arange(lanes) * slots
-        self.own = [np.full(lanes * 8, 32768, np.int32) for _ in range(2)]  # estimates by own record, for order 2 and 1
-        self.joint = [np.full(lanes * 128, 32768, np.int32) for _ in range(2)]  # by both records and agreement
-        self.weight = np.full((2, lanes), 32768, np.int32)
-        self.upper = np.tile(np.arange(17, dtype=np.int32) * 4096, (lanes, 1))
-        self.a = self.b = np.zeros(lanes, np.int64)
-        self.lanes = np.arange(lanes)
+        self.mask = np.uint32(slots - 1)
+        self.table2, self.table1 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)  # id and record together
+        self.base = (np.arange(lanes) * slots).astype(np.uint32)
+        self.own2, self.own1 = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 8, 32768, np.int32)
+        self.joint2, self.joint1 = np.full(lanes * 128, 32768, np.int32), np.full(lanes * 128, 32768, np.int32)
+        self.upper = np.tile(_STEPS * 4096, (lanes, 1))
+        self.a = self.b = np.zeros(lanes, np.uint32)
+        self.lanes8, self.lanes128 = (np.arange(lanes) * 8).astype(np.uint32), (np.arange(lanes) * 128).astype(np.uint32)
 
     def look(self, n: int) -> None:
         """Predictions for the first n lanes: ids g2, g1 and 16-bit chances f2, f1 that sum to less than 65536."""
-        a, b, base = self.a[:n], self.b[:n], self.base[:n]
-        self.s1 = base + ((b * 40503 >> 4) & self.mask)
-        self.s2 = base + (((a * 40503 + b * 30011) >> 5) & self.mask)
-        self.g1, self.g2 = self.id1[self.s1], self.id2[self.s2]
-        r1, r2 = self.rec1[self.s1].astype(np.int64), self.rec2[self.s2].astype(np.int64)
-        lane, same = self.lanes[:n], self.g1 == self.g2
-        c = lane * 128 + r2 * 16 + r1 * 2 + same
-        self.at = [(lane * 8 + r2, c), (lane * 8 + r1, c)]
-        p = []
-        for k in (0, 1):
-            own, joint = self.own[k][self.at[k][0]], self.joint[k][self.at[k][1]]
-            p.append(own + ((joint - own) * (self.weight[k, :n] >> 4) >> 12))
-        self.f2 = np.clip(p[0], 64, 64000)
+        a, b = self.a[:n], self.b[:n]
+        mixed = b * np.uint32(0x9E3779B1)
+        self.s1 = self.base[:n] + ((mixed >> np.uint32(13)) & self.mask)
+        self.s2 = self.base[:n] + (((mixed + a * np.uint32(0x85EBCA6B)) >> np.uint32(14)) & self.mask)
+        self.e1, self.e2 = self.table1.take(self.s1), self.table2.take(self.s2)
+        self.g1, self.g2, self.r1, self.r2 = self.e1 >> 3, self.e2 >> 3, self.e1 & 7, self.e2 & 7
+        same = self.g1 == self.g2
+        self.c = self.lanes128[:n] + ((self.r2 << 4) | (self.r1 << 1) | same)
+        self.c2, self.c1 = self.lanes8[:n] + self.r2, self.lanes8[:n] + self.r1
+        self.p2 = self.own2.take(self.c2), self.joint2.take(self.c)
+        self.p1 = self.own1.take(self.c1), self.joint1.take(self.c)
+        self.f2 = (self.p2[0] + self.p2[1]) >> 1
         rest = 65536 - self.f2
-        self.f1 = np.where(same, 0, np.clip(rest * np.clip(p[1], 64, 64000) >> 16, 16, rest - 32))
+        self.f1 = rest * ((self.p1[0] + self.p1[1]) >> 2) >> 15
+        self.f1[same] = 0
 
     def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        for k, hit, on in ((0, hit2, None), (1, hit1, np.flatnonzero(~hit2))):
-            (own_at, joint_at), lanes = self.at[k], self.lanes[:n]
-            if on is not None:
-                own_at, joint_at, hit, lanes = own_at[on], joint_at[on], hit[on], lanes[on]
-            goal = hit * np.int32(65535)
-            own, joint = self.own[k][own_at], self.joint[k][joint_at]
-            nearer = np.abs(joint - goal) < np.abs(own - goal)
-            w = self.weight[k, lanes]
-            self.weight[k, lanes] = w + ((nearer * np.int32(65535) - w) >> 6)
-            self.own[k][own_at] = own + ((goal - own) >> 5)
-            self.joint[k][joint_at] = joint + ((goal - joint) >> 4)
-        for ids_at, rec, slot, guess in ((self.id2, self.rec2, self.s2, self.g2), (self.id1, self.rec1, self.s1, self.g1)):
-            right, r = guess == ids, rec[slot]
-            rec[slot] = np.where(right, np.minimum(r + 1, RECORD), np.where(r > 1, r >> 1, 0))
-            ids_at[slot] = np.where(right | (r <= 1), ids, guess)
-        self.a = self.a.copy()
-        self.a[:n] = self.b[:n]
-        self.b = self.b.copy()
-        self.b[:n] = ids
-
-    def learn_upper(self, lanes: np.ndarray, upper: np.ndarray) -> None:
-        goal = np.where(np.arange(17)[None, :] <= upper[:, None], np.arange(17) * 32, 65536 - (16 - np.arange(17)) * 32)
-        cdf = self.upper[lanes]
+        # Estimates stay within 48 to 65488, so no chance is 0.
+        goal = hit2 * np.int32(65440) + np.int32(48)
+        self.own2[self.c2], self.joint2[self.c] = self.p2[0] + ((goal - self.p2[0]) >> 5), self.p2[1] + ((goal - self.p2[1]) >> 4)
+        goal = hit1 * np.int32(65440) + np.int32(48)
+        skip = hit2
+        self.own1[self.c1] = np.where(skip, self.p1[0], self.p1[0] + ((goal - self.p1[0]) >> 5))
+        self.joint1[self.c] = np.where(skip, self.p1[1], self.p1[1] + ((goal - self.p1[1]) >> 4))
+        fresh = ids << np.uint32(3)
+        for table, slot, e, g, r in ((self.table2, self.s2, self.e2, self.g2, self.r2), (self.table1, self.s1, self.e1, self.g1, self.r1)):
+            # Right: the record grows. Wrong: it halves, and from 1 or less the new id takes the place.
+            table[slot] = np.where(g == ids, e + (r < RECORD), np.where(r > 1, (e - r) | (r >> 1), fresh))
+        if n == len(self.b):
+            self.a, self.b = self.b, ids
+        else:
+            self.a = np.concatenate([self.b[:n], self.a[n:]])
+            self.b = np.concatenate([ids, self.b[n:]])
+
+    def learn_upper(self, lanes: np.ndarray, cdf: np.ndarray, upper: np.ndarray) -> None:
+        goal = _STEPS * 32 + (_STEPS > upper[:, None]) * np.int32(65536 - 16 * 32)
         self.upper[lanes] = cdf + ((goal - cdf) >> 5)
 
 
-def _blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows x block matrix, lengths, longest first): only the last block is shorter."""
-    n = -(-len(ids) // block) if len(ids) else 0
-    rows = np.zeros((n, block), np.uint16)
+def _rows(ids: np.ndarray, block: int) -> tuple[np.ndarray, int]:
+    """(step x lane matrix, length of the last lane): only the last block is shorter."""
+    n = -(-len(ids) // block)
+    rows = np.zeros((n, block), np.uint32)
     rows.ravel()[: len(ids)] = ids
-    length = np.full(n, block)
-    if n:
-        length[-1] = len(ids) - (n - 1) * block
-    return rows, length
+    return np.ascontiguousarray(rows.T), len(ids) - (n - 1) * block
 
 
 def encode(ids: np.ndarray, block: int) -> list[bytes]:
     """The coded bytes of each run of ``block`` ids (the last may be shorter). Ids are below 65536."""
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-        raise ValueError("ids must be below 65536")
-    rows, length = _blocks(ids, block)
-    n_lanes = len(rows)
-    if not n_lanes:
+    if not len(ids):
         return []
-    model, low, span = Model(n_lanes, block), np.zeros(n_lanes, U), np.full(n_lanes, (1 << 64) - 1, U)
+    if ids.min() < 0 or ids.max() > 0xFFFF:
+        raise ValueError("ids must be below 65536")
+    steps, last = _rows(ids, block)
+    n_lanes = steps.shape[1]
+    model, low, span = Model(n_lanes, block), np.zeros(n_lanes, U), np.full(n_lanes, (1 << 48) - 1, U)
+    all_lanes = np.arange(n_lanes)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
 
-    def put(lanes: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
-        r = span[lanes] >> _WORD
-        low[lanes] += start.astype(U) * r
-        span[lanes] = freq.astype(U) * r
-        check = np.arange(n_lanes)[lanes]
-        while len(check):
-            lo, sp = low[check], span[check]
-            settled = (lo ^ (lo + sp)) < _TOP
-            tight = ~settled & (sp < _BOTTOM)
-            go = settled | tight
-            if not go.any():
-                return
-            check, lo, sp = check[go], lo[go], np.where(tight, (~lo + U(1)) & (_BOTTOM - U(1)), sp)[go]
-            out_lane.append(check)
-            out_word.append((lo >> U(48)).astype(np.uint16))
-            low[check], span[check] = lo << _WORD, sp << _WORD
+    def shift(due: np.ndarray) -> None:
+        if len(due):
+            lo = low[due]
+            out_lane.append(due)
+            out_word.append((lo >> U(32)).astype(np.int64))  # 17 bits: a carry may be among them
+            low[due], span[due] = (lo & _LOW) << _WORD, span[due] << _WORD
 
     live = n_lanes
     for t in range(block):
-        if t == length[-1]:
+        if t == last:
             live = n_lanes - 1
-        if not live:
-            break
-        x = rows[:live, t]
+            if not live:
+                break
+        x = steps[t, :live]
         model.look(live)
         hit2 = x == model.g2
-        hit1 = ~hit2 & (x == model.g1)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        put(slice(0, live), start, np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - model.f2 - model.f1)))
+        hit1 = (x == model.g1) & ~hit2
+        both = model.f2 + model.f1
+        start = np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(U)
+        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both)).astype(U)
+        r = span[:live] >> _WORD
+        low[:live] += start * r
+        span[:live] = freq * r
+        shift(np.flatnonzero(span[:live] < _LEAST))
         new = np.flatnonzero(~(hit2 | hit1))
         if len(new):
-            upper, cdf = (x[new] >> LOW_BITS).astype(np.int64), model.upper
-            start = cdf[new, upper]
-            put(new, start, cdf[new, upper + 1] - start)
-            put(new, (x[new] & 4095).astype(np.int64) << 4, np.full(len(new), 16))
-            model.learn_upper(new, upper)
+            upper = (x[new] >> LOW_BITS).astype(np.int32)
+            cdf, k = model.upper[new], all_lanes[: len(new)]
+            start = cdf[k, upper]
+            r = span[new] >> _WORD
+            low[new] += start.astype(U) * r
+            span[new] = (cdf[k, upper + 1] - start).astype(U) * r
+            shift(new[span[new] < _LEAST])
+            r = span[new] >> U(LOW_BITS)
+            low[new] += (x[new] & np.uint32(4095)).astype(U) * r
+            span[new] = r
+            shift(new[r < _LEAST])
+            model.learn_upper(new, cdf, upper)
         model.learn(live, x, hit2, hit1)
-    for k in range(4):
-        out_lane.append(np.arange(n_lanes))
-        out_word.append((low >> U(48 - 16 * k)).astype(np.uint16))
+    for k in range(3):
+        out_lane.append(all_lanes)
+        out_word.append((low >> U(32)).astype(np.int64))
+        low = (low & _LOW) << _WORD
     lanes, words = np.concatenate(out_lane), np.concatenate(out_word)
-    order = np.argsort(lanes, kind="stable")
+    words = words[np.argsort(lanes, kind="stable")]
+    while (carry := words >> 16).any():  # a lane's first word has none
+        words &= 0xFFFF
+        words[:-1] += carry[1:]
     at = np.concatenate([[0], np.cumsum(np.bincount(lanes, minlength=n_lanes))]) * 2
-    raw = words[order].astype("<u2").tobytes()
+    raw = words.astype("<u2").tobytes()
     return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
 
 
@@ -156,60 +157,57 @@ def decode(blocks: list[bytes], total: int, block: int) -> np.ndarray:
     n_lanes = len(blocks)
     if not n_lanes:
         return np.zeros(0, np.uint16)
-    length = np.full(n_lanes, block)
-    length[-1] = total - (n_lanes - 1) * block
-    sizes = np.array([len(b) // 2 for b in blocks])
-    flat = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(U), np.zeros(8, U)])
-    next_ = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    model, low, span, code = Model(n_lanes, block), np.zeros(n_lanes, U), np.full(n_lanes, (1 << 64) - 1, U), np.zeros(n_lanes, U)
-    for _ in range(4):
-        code = (code << _WORD) | flat[next_]
-        next_ += 1
-    rows = np.zeros((n_lanes, block), np.uint16)
-
-    def seek(lanes: np.ndarray | slice) -> np.ndarray:
-        return np.minimum((code[lanes] - low[lanes]) // (span[lanes] >> _WORD), U(65535)).astype(np.int64)
-
-    def take(lanes: np.ndarray | slice, start: np.ndarray, freq: np.ndarray) -> None:
-        r = span[lanes] >> _WORD
-        low[lanes] += start.astype(U) * r
-        span[lanes] = freq.astype(U) * r
-        check = np.arange(n_lanes)[lanes]
-        while len(check):
-            lo, sp = low[check], span[check]
-            settled = (lo ^ (lo + sp)) < _TOP
-            tight = ~settled & (sp < _BOTTOM)
-            go = settled | tight
-            if not go.any():
-                return
-            check, lo, sp = check[go], lo[go], np.where(tight, (~lo + U(1)) & (_BOTTOM - U(1)), sp)[go]
-            code[check] = (code[check] << _WORD) | flat[next_[check]]
-            next_[check] += 1
-            low[check], span[check] = lo << _WORD, sp << _WORD
+    last = total - (n_lanes - 1) * block
+    flat = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(U), np.zeros(4, U)])
+    place = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]]).astype(np.int64)
+    model, span, code = Model(n_lanes, block), np.full(n_lanes, (1 << 48) - 1, U), np.zeros(n_lanes, U)
+    all_lanes = np.arange(n_lanes)
+    for _ in range(3):
+        code = (code << _WORD) | flat[place]
+        place += 1
+    out = np.zeros((block, n_lanes), np.uint32)
+
+    def shift(due: np.ndarray) -> None:
+        if len(due):
+            at = place[due]
+            code[due], span[due] = (code[due] << _WORD) | flat[at], span[due] << _WORD
+            place[due] = at + 1
 
     live = n_lanes
     for t in range(block):
-        if t == length[-1]:
+        if t == last:
             live = n_lanes - 1
-        if not live:
-            break
+            if not live:
+                break
         model.look(live)
-        at = seek(slice(0, live))
+        r = span[:live] >> _WORD
+        at = np.minimum(code[:live] // r, U(65535)).astype(np.int32)
         hit2 = at < model.f2
-        hit1 = ~hit2 & (at < model.f2 + model.f1)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, model.f2 + model.f1))
-        take(slice(0, live), start, np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - model.f2 - model.f1)))
+        both = model.f2 + model.f1
+        miss = at >= both
+        hit1 = ~(hit2 | miss)
+        start = np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(U)
+        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both)).astype(U)
+        code[:live] -= start * r
+        span[:live] = freq * r
+        shift(np.flatnonzero(span[:live] < _LEAST))
         x = np.where(hit2, model.g2, model.g1)
-        new = np.flatnonzero(~(hit2 | hit1))
+        new = np.flatnonzero(miss)
         if len(new):
-            cdf = model.upper[new]
-            upper = (cdf[:, 1:16] <= seek(new)[:, None]).sum(1)
-            k = np.arange(len(new))
-            take(new, cdf[k, upper], cdf[k, upper + 1] - cdf[k, upper])
-            rest = seek(new) >> 4
-            take(new, rest << 4, np.full(len(new), 16))
-            x[new] = (upper << LOW_BITS) | rest
-            model.learn_upper(new, upper)
+            cdf, k = model.upper[new], all_lanes[: len(new)]
+            r = span[new] >> _WORD
+            upper = (cdf[:, 1:16] <= np.minimum(code[new] // r, U(65535)).astype(np.int32)[:, None]).sum(1, dtype=np.int32)
+            start = cdf[k, upper]
+            code[new] -= start.astype(U) * r
+            span[new] = (cdf[k, upper + 1] - start).astype(U) * r
+            shift(new[span[new] < _LEAST])
+            r = span[new] >> U(LOW_BITS)
+            rest = np.minimum(code[new] // r, U(4095))
+            code[new] -= rest * r
+            span[new] = r
+            shift(new[r < _LEAST])
+            x[new] = (upper.astype(np.uint32) << np.uint32(LOW_BITS)) | rest.astype(np.uint32)
+            model.learn_upper(new, cdf, upper)
         model.learn(live, x, hit2, hit1)
-        rows[:live, t] = x
-    return rows.ravel()[:total]
+        out[t, :live] = x
+    return out.T.ravel()[:total].astype(np.uint16)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,10 @@ MEMO_WORDS = 300_000
 FILE_SCHEMA = "part int, chunk int, doc_ids array<{kind}>, lengths array<long>, total long, block_ids int, crcs array<long>, blocks array<binary>"
 
 _WORDS: dict[str, WordIds] = {}
+#: What strings of special tokens begin with; texts without it may be put in lower case first, as the normaliser does.
+SPECIAL = b"<|"
+#: A full stop or comma behind a letter or digit is a part of its own for the splitter, so words are remembered without it.
+_TAIL = re.compile(rb"(?<=[a-z0-9])([.,])(?=\s|$)")
 
 
 class WordIds:
@@ -44,7 +49,7 @@ class WordIds:
     def learn(self, words: list[bytes]) -> None:
         for a in range(0, len(words), 8192):
             part = words[a : a + 8192]
-            for w, e in zip(part, self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in part], add_special_tokens=False)):
                 k, n = len(self.number), len(e.ids)
                 if k == len(self.first):
                     self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
@@ -65,7 +70,7 @@ class WordIds:
             self.first[0], self.size[0] = self.used, 1  # the empty part stands for the end of a text
             self.flat[self.used] = end_id
             self.used += 1
-        parts = [t.split() for t in texts]
+        parts = [(t if SPECIAL in t else _TAIL.sub(rb" \1", t.lower())).split() for t in texts]
         words = [w for p in parts for w in (*p, b"")]
         get = self.number.get
         at = [get(w, -1) for w in words]
