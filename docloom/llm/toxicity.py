@@ -89,19 +89,18 @@ class ToxicModel:
         return out
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray, default: float, least: int = 8) -> float:
-    """The raw score with the best F1, midway to the next; default with fewer than least of either kind."""
+def best_threshold(z: np.ndarray, y: np.ndarray, weight: float, default: float, least: int = 8) -> float:
+    """The raw score with the best F1, midway to the next, rows of label 0 counting ``weight`` times; default with fewer than least of either kind."""
     if y.sum() < least or (1 - y).sum() < least:
         return default
     order = np.argsort(-z)
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(z) + 1) + y.sum())
-    k = int(np.argmax(f1))
+    hit, false = np.cumsum(y[order]), weight * np.cumsum(1 - y[order])
+    k = int(np.argmax(2 * hit / (hit + false + y.sum())))
     return float((z[order][k] + z[order][min(k + 1, len(z) - 1)]) / 2)
 
 
-def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int = 1 << 15, dim: int = 12, filters: int = 6, epochs: int = 14, seed: int = 7, share: float | None = None) -> ToxicModel:
-    """Adam over mini-batches; max pooling sends a gradient to one window of each text and filter. A quarter is held back for slope
+def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int = 1 << 15, dim: int = 12, filters: int = 6, epochs: int = 14, updates: int = 1000, seed: int = 7, share: float | None = None) -> ToxicModel:
+    """Adam over mini-batches; max pooling sends a gradient to one window of each text and filter; at least epochs, and about updates steps. A quarter is held back for slope
     and thresholds. share: the true share of label 1, to which the held-back rows are weighted."""
     rng = np.random.default_rng(seed)
     rows = [word_ids(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())], np.int64), buckets)[0] for t in texts]
@@ -116,7 +115,9 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int =
     state = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in params.items()}
     seen, t = np.zeros(buckets, np.float32), 0
     rate = 0.01
-    for epoch in range(epochs if len(train) else 0):
+    # Both labels weigh the same in all; few rows are gone through more often.
+    balance = np.where(y > 0, 0.5 / max(y[train].mean(), 1e-6), 0.5 / max(1 - y[train].mean(), 1e-6)).astype(np.float32) if len(train) else y
+    for epoch in range(int(np.clip(updates * 32 / len(train), epochs, 10 * epochs)) if len(train) else 0):
         train = rng.permutation(train)
         for first in range(0, len(train), 32):
             batch = train[first : first + 32]
@@ -135,7 +136,7 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int =
                 tops.append(top)
                 places.append(place)
             H = np.concatenate(tops, 1)
-            g = (1 / (1 + np.exp(-np.clip(H @ v + b, -30, 30))) - y[batch]).astype(np.float32) / len(batch)
+            g = (1 / (1 + np.exp(-np.clip(H @ v + b, -30, 30))) - y[batch]).astype(np.float32) * balance[batch] / len(batch)
             grads = {"v": H.T @ g + 1e-4 * v}
             b -= rate * 10 * float(g.sum())
             dH, touched = np.outer(g, v), []
@@ -173,14 +174,18 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int =
     raw = [texts[i].encode() for i in use]
     z = model.raw(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
     target = y[use].astype(np.float64)
-    everywhere = best_threshold(z, target, float(np.median(z)), 2)
+    true = float(np.clip(share if share else target.mean(), 1e-6, 1 - 1e-6))
+    # Rows of label 0 count as often as in the whole; with too few of label 1 to tell, no such row is to reach the threshold.
+    zeros = (1 - true) / true * target.sum() / max((1 - target).sum(), 1)
+    clean = z[target == 0]
+    everywhere = best_threshold(z, target, zeros, float(clean.max() + 0.5 * clean.std() + 1e-6) if len(clean) else float(z.min()))
     known = np.array([languages.classes.index(langs[i]) if langs[i] in languages.classes else -1 for i in use])
     model.thresholds[:] = everywhere
     for k in range(len(languages.classes)):
-        own = best_threshold(z[known == k], target[known == k], everywhere)
+        own = best_threshold(z[known == k], target[known == k], zeros, everywhere)
         n = target[known == k].sum()
         model.thresholds[k] = (n * own + 20 * everywhere) / (n + 20)  # drawn to the common one where a language has few
-    weight = np.where(target > 0, (share or target.mean()) / max(target.mean(), 1e-9), (1 - (share or target.mean())) / max(1 - target.mean(), 1e-9))
+    weight = np.where(target > 0, 1.0, zeros)
     shift, loss = np.log(DECIDE / (1 - DECIDE)), []
     for slope in np.geomspace(0.1, 10, 30):
         q = 1 / (1 + np.exp(-np.clip(slope * (z - everywhere) + shift, -30, 30)))
