@@ -24,6 +24,8 @@ HOT, HOT_MEANS = 128, 8
 BLOCK = 1024
 #: A set of which less than this part of the sketch is uncommon opens its common lists as well.
 UNCOMMON = 0.75
+#: Leaders take in sets from this percentage of the threshold on: more than the estimate asks for, so that near misses lie in one neighbourhood.
+NEAR = 75
 #: Standard deviations of an estimate below the threshold that still go to the exact check.
 SIGMAS = 5.0
 
@@ -38,17 +40,21 @@ def sets(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.n
     return (np.concatenate(each) if each else h), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
 
 
-def signature(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128 bits of each set in two numbers: the lowest bit of the least value in each of 128 ranges of values.
+#: Columns of a set's signature, 64 bits each.
+SIGNATURE = ["sig0", "sig1", "sig2", "sig3"]
 
-    Sets of Jaccard J differ in about 64 (1 - J) of them, and never in more than they have values of their own.
+
+def signature(values: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """256 bits of each set in four numbers: the lowest bit of the least value in each of 256 ranges of values.
+
+    Sets of Jaccard J differ in about 128 (1 - J) of them, and never in more than they have values of their own.
     """
     row = np.repeat(np.arange(len(at) - 1, dtype=np.int64), np.diff(at))
-    bin_ = values >> U(56)
+    bin_ = values >> U(55)
     first = np.ones(len(values), bool)
     first[1:] = (row[1:] != row[:-1]) | (bin_[1:] != bin_[:-1])
     bit = np.where(first, (values & U(1)) << (bin_ & U(63)), U(0))
-    return tb.sum_by(np.where(bin_ < 64, bit, U(0)), at).view(np.int64), tb.sum_by(np.where(bin_ < 64, U(0), bit), at).view(np.int64)
+    return [tb.sum_by(np.where(bin_ >> U(6) == k, bit, U(0)), at).view(np.int64) for k in range(len(SIGNATURE))]
 
 
 def _sketches(width: int):
@@ -61,7 +67,7 @@ def _sketches(width: int):
                 cut = np.concatenate([[0], np.cumsum(np.minimum(n, SKETCH))])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(i, j - i), batch.column("h").slice(i, j - i), pa.array(n), tb.set_keys(v, own), *map(pa.array, signature(v, own)), tb.longs(v[keep], cut)],
-                    ["doc_id", "h", "n", "k", "sig", "sig2", "sketch"],
+                    ["doc_id", "h", "n", "k", *SIGNATURE, "sketch"],
                 )
 
     return run
@@ -79,7 +85,7 @@ def _full_sets(width: int, shared):
 
 
 def _openers(shared, hot_above: int | None):
-    """Rows (id, n, sig, sig2, pop, vs) of nodes: vs are the lists that a set opens. Values that no other set has open none.
+    """Rows (id, n, the signature, pop, vs) of nodes: vs are the lists that a set opens. Values that no other set has open none.
 
     Without hot_above a set opens its lowest RETAIN values, and pop tells how common its values are: of a group of copies with edits the
     one with the fewest edits has the most. With it, a set opens the lowest of those in buckets of at most so many values, and the plain
@@ -104,7 +110,7 @@ def _openers(shared, hot_above: int | None):
                 use = (rare & (before[1:] - before[start] <= RETAIN)) | (poor[row] & use)
             use &= seen > 1
             cut = np.concatenate([[0], np.cumsum(tb.sum_by(use.astype(np.int64), at))])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", "sig", "sig2")), pa.array(pop), tb.longs(v[use], cut)], ["id", "n", "sig", "sig2", "pop", "vs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "n", *SIGNATURE)), pa.array(pop), tb.longs(v[use], cut)], ["id", "n", *SIGNATURE, "pop", "vs"])
 
     return run
 
@@ -203,23 +209,25 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
        different neighbourhoods only. Values in very full buckets are replaced by a set's next lowest others; sets that
        consist of such values to a good part open both. No list is cut.
 
-    Pairs must agree in size and in a 128-bit signature within the join, then in the estimate from the union's lowest
+    Pairs must agree in size and in a 256-bit signature within the join, then in the estimate from the union's lowest
     SKETCH values, then exactly; full sets are computed again from the texts of those in question only, behind a bitmap
     of fixed size. A pair just at the threshold is missed with a chance below 1e-5; pairs above it, far less.
     """
     spark = docs.sparkSession
     ship(spark)
     kind, share = docs.schema["doc_id"].dataType.simpleString(), percent / 100
-    apart = (1 - share) / 2
-    max_apart = int(np.ceil(128 * apart + 5.6 * np.sqrt(128 * apart * (1 - apart))))
+    longs = ", ".join(f"{c} long" for c in SIGNATURE)
     source = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
-    rows = materialize(source.mapInArrow(_sketches(width), f"doc_id {kind}, h long, n long, k binary, sig long, sig2 long, sketch array<long>"), "sketches")
-    reps = rows.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("sig2").alias("sig2"), F.first("sketch").alias("sketch"))
+    rows = materialize(source.mapInArrow(_sketches(width), f"doc_id {kind}, h long, n long, k binary, {longs}, sketch array<long>"), "sketches")
+    reps = rows.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIGNATURE], F.first("sketch").alias("sketch"))
     reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # ids are fixed as they are written
 
-    def alike(a: str, b: str) -> str:
-        differ = f"bit_count({a}sig ^ {b}sig) + bit_count({a}sig2 ^ {b}sig2)"
-        return f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) AND {differ} <= least({max_apart}, ({a}n + {b}n) * {100 - percent} div {100 + percent})"
+    def alike(a: str, b: str, least: int = percent) -> str:
+        """What sets of a Jaccard of least percent satisfy by size and signature: by 5.6 standard deviations, and surely for small sets."""
+        apart = (100 - least) / 200
+        most = int(np.ceil(256 * apart + 5.6 * np.sqrt(256 * apart * (1 - apart))))
+        differ = " + ".join(f"bit_count({a}{c} ^ {b}{c})" for c in SIGNATURE)
+        return f"100 * least({a}n, {b}n) >= {least} * greatest({a}n, {b}n) AND {differ} <= least({most}, ({a}n + {b}n) * {100 - least} div {100 + least})"
 
     slack = SIGMAS * float(np.sqrt(share * (1 - share) / SKETCH))
 
@@ -253,14 +261,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     shared = spark.sparkContext.broadcast(counts)
 
     # Leaders, in two divisions of the sizes into ranges, so that no group is parted in both.
-    slim = reps.select("id", "n", "sig", "sig2", "sketch")
-    schema = "id long, n long, sig long, sig2 long, pop long, vs array<long>"
+    slim = reps.select("id", "n", *SIGNATURE, "sketch")
+    schema = f"id long, n long, {longs}, pop long, vs array<long>"
     opened = materialize(slim.mapInArrow(_openers(shared, None), schema).where("size(vs) > 0"), "opened")
     pairs: DataFrame | None = None
     for shift in (0.0, 0.5):
         ranged = opened.withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.5))) + F.lit(shift)).cast("int")).withColumn("v", F.explode("vs")).drop("vs")
-        leaders = ranged.groupBy("v", "range").agg(F.max(F.struct("pop", "id", "n", "sig", "sig2")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        found = ranged.join(leaders, ["v", "range"]).where(f"id <> l.id AND {alike('', 'l.')}").select(F.col("l.id").alias("a"), "id")
+        leaders = ranged.groupBy("v", "range").agg(F.max(F.struct("pop", "id", "n", *SIGNATURE)).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+        found = ranged.join(leaders, ["v", "range"]).where(f"id <> l.id AND {alike('', 'l.', percent * NEAR // 100)}").select(F.col("l.id").alias("a"), "id")
         pairs = found if pairs is None else pairs.union(found)
     hoods = components(estimated(pairs.select("a", F.col("id").alias("b")).distinct()))
     members = hoods.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
@@ -275,7 +283,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # What lies between neighbourhoods.
     hot_above = int(max(HOT, HOT_MEANS * counts.mean()))
     opened = slim.mapInArrow(_openers(shared, hot_above), schema).where("size(vs) > 0").join(hoods, "id", "left")
-    opened = materialize(opened.select("id", "n", "sig", "sig2", F.coalesce("hood", "id").alias("hood"), F.coalesce("members", F.lit(1).cast("long")).alias("members"), "vs"), "opened")
+    opened = materialize(opened.select("id", "n", *SIGNATURE, F.coalesce("hood", "id").alias("hood"), F.coalesce("members", F.lit(1).cast("long")).alias("members"), "vs"), "opened")
     listed = opened.withColumn("v", F.explode("vs")).drop("vs")
     several = listed.groupBy("v").agg(F.min("hood").alias("lo"), F.max("hood").alias("hi"), F.max(F.struct("members", "hood")).alias("most")).where("lo <> hi")
     mixed = materialize(listed.join(several.select("v", F.col("most.hood").alias("most")), "v").drop("members"), "mixed")
