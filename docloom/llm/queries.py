@@ -81,4 +81,44 @@ QUERIES: dict[str, Query] = {
     "op10_minhash": op10_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_COMPONENTS = (
+    "links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs), reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), "
+    "comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)"
+)
+
+#: SQL for the operators that SQL can express; hashes, classifiers and the coder are held against brute force in tests.
+ORACLES: dict[str, str] = {
+    "op4_decontam": (
+        "WITH word_re AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS r), "
+        f"d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, r), []) AS l FROM documents, word_re), i AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, r) AS l FROM benchmark, word_re), "
+        "win AS (SELECT DISTINCT item_id, least(len(l), 13) AS m, array_to_string(l[p : p + least(len(l), 13) - 1], ' ') AS k FROM (SELECT item_id, l, unnest(range(1, greatest(len(l) - 13, 0) + 2)) AS p FROM i WHERE len(l) > 0)), "
+        "gram AS (SELECT doc_id, m, p, array_to_string(l[p : p + m - 1], ' ') AS k FROM (SELECT doc_id, l, m, unnest(range(1, len(l) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM win) WHERE len(l) >= m)), "
+        "hits AS (SELECT doc_id, p, gram.m, item_id FROM gram JOIN win ON gram.k = win.k AND gram.m = win.m), "
+        "hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + m)) AS q FROM hits) GROUP BY doc_id), "
+        "hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hits) GROUP BY doc_id) "
+        "SELECT doc_id, len(l) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(l), false) AS contaminated "
+        "FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)"
+    ),
+    "op6_linededup": (
+        f"WITH l AS (SELECT doc_id, unnest(range(len(x))) AS line, list_sort(list_distinct(regexp_extract_all({_LOWER.format('unnest(x)')}, '[^\\x20\\x09-\\x0D]+'))) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), "
+        "u AS (SELECT t, min({d: doc_id, l: line}) AS at, len(t) AS n, row_number() OVER () AS id FROM l WHERE len(t) > 0 GROUP BY t), tok AS (SELECT id, n, unnest(t) AS w FROM u), "
+        "df AS (SELECT w, count(*) AS c FROM tok GROUP BY w), pre AS (SELECT id, n, w FROM (SELECT id, n, w, row_number() OVER (PARTITION BY id ORDER BY c, w) AS p FROM tok JOIN df USING (w)) WHERE p <= n - (4 * n + 4) // 5 + 1), "
+        "cand AS (SELECT DISTINCT a.id AS a, b.id AS b FROM pre a JOIN pre b ON a.w = b.w AND a.id <> b.id AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)), "
+        "near AS (SELECT DISTINCT y.id FROM cand JOIN u x ON x.id = cand.a JOIN u y ON y.id = cand.b WHERE x.at < y.at AND 100 * len(list_intersect(x.t, y.t)) >= 80 * (x.n + y.n - len(list_intersect(x.t, y.t)))), "
+        "gone AS (SELECT doc_id, count(*) AS n_removed, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS removed_lines FROM l JOIN u USING (t) LEFT JOIN near USING (id) WHERE near.id IS NOT NULL OR u.at <> {d: doc_id, l: line} GROUP BY doc_id) "
+        "SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed_lines, '') AS removed_lines FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents) LEFT JOIN gone USING (doc_id)"
+    ),
+    "op8_pivots": (
+        "WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0), "
+        f"pairs AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95), {_COMPONENTS}, n AS (SELECT x, count(*) AS k FROM links GROUP BY x) "
+        "SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(c, vec_id)) AS component_id, vec_id <= coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN comp ON comp.x = vec_id LEFT JOIN n ON n.x = vec_id"
+    ),
+    "op10_minhash": (
+        f"WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format('text')}, '[^\\x20\\x09-\\x0D]+') AS l FROM documents WHERE text IS NOT NULL), "
+        "s AS (SELECT DISTINCT doc_id, l[p] || CASE WHEN len(l) > 1 THEN ' ' || l[p + 1] ELSE '' END AS g FROM (SELECT doc_id, l, unnest(range(1, greatest(len(l) - 1, 1) + 1)) AS p FROM d WHERE len(l) > 0)), "
+        "n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), pairs AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id "
+        f"WHERE 5 * least(na.n, nb.n) >= 4 * greatest(na.n, nb.n) GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))), {_COMPONENTS} "
+        "SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id, doc_id <= coalesce(c, doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.x = doc_id"
+    ),
+}
