@@ -14,8 +14,12 @@ from docloom.llm.common import components, materialize, ship
 
 #: A vector is described by its NEAREST pivots in order; two vectors are compared when they share SHARED of them.
 NEAREST, SHARED = 6, 2
-#: Pivots grow with the root of the rows within these bounds, which bound the sample that they are drawn from, too.
-MIN_PIVOTS, MAX_PIVOTS = 64, 4096
+#: Pivots grow with the root of the rows within these bounds; DRAW rows are drawn for each pivot.
+MIN_PIVOTS, MAX_PIVOTS, DRAW = 64, 4096, 4
+#: No two pivots have this cosine or more. Rows this near to a hub, a pivot with others so near, are compared with all that can link with them.
+APART = 0.8
+#: Hubs are taken while a drawn row lies within reach of at most this many on average.
+REACHED = 8.0
 #: Rows of a list that meet in one cell are at most twice this; longer lists are dealt over a grid of cells.
 CELL = 2048
 
@@ -57,27 +61,58 @@ def list_keys(order: np.ndarray, pivots: int, shared: int) -> np.ndarray:
     return o[:, i] * pivots + o[:, j]
 
 
-def _index(shared_pivots, nearest_count: int, shared: int):
+def reach(least: float) -> float:
+    """The least cosine to a hub of whatever links with a row at APART from it: the angles add up."""
+    return float(np.cos(min(np.pi, np.arccos(APART) + np.arccos(np.clip(least, -1, 1))))) - 1e-9
+
+
+def choose(sample: np.ndarray, wanted: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Up to ``wanted`` pivots of the sample, in its order and kept apart, and the numbers of those that are hubs, the fullest first."""
+    taken = np.empty((wanted, sample.shape[1]))
+    n = 0
+    for x in sample:
+        if n == wanted:
+            break
+        if not n or (taken[:n] @ x).max() < APART:
+            taken[n] = x
+            n += 1
+    near, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for s in range(0, len(sample), 1024):
+        sim = sample[s : s + 1024] @ taken[:n].T
+        near += (sim >= APART).sum(0)
+        far += (sim >= reach(least)).sum(0)
+    order = np.argsort(-near, kind="stable")
+    order = order[near[order] > 1]
+    return taken[:n], order[np.cumsum(far[order]) <= REACHED * len(sample)]
+
+
+def _index(shared_pivots, nearest_count: int, shared: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, vectors = rows_of(batch.column("embedding"))
             dims = np.array([len(v) for v in vectors])
             for dim in np.unique(dims):
                 these = np.flatnonzero(dims == dim)
-                pivots = shared_pivots.value.get(int(dim))
-                if pivots is None:
-                    pivots = np.eye(1, int(dim))  # a length that the sample lacks: one list for all
+                # A length that the sample lacks: one list for all.
+                pivots, hubs = shared_pivots.value.get(int(dim), (np.eye(1, int(dim)), np.zeros(0, np.int64)))
                 X = unit(np.stack([vectors[i] for i in these]))
-                keys = list_keys(nearest(X, pivots, nearest_count), len(pivots), shared)
+                to_hubs = X @ pivots[hubs].T
+                home = np.full(len(X), -1)
+                if len(hubs):
+                    home = np.where(to_hubs.max(1) >= APART, hubs[to_hubs.argmax(1)], -1)
+                loose = np.flatnonzero(home < 0)
+                keys = list_keys(nearest(X[loose], pivots, nearest_count), len(pivots), shared)
                 n = keys.shape[1]
-                at = pa.array(np.repeat(np.array(good)[these], n))
+                ball_row, ball = np.nonzero(to_hubs >= reach(least))
+                each = np.concatenate([np.repeat(loose, n), ball_row])
                 width = int(dim) * 8
                 raw = pa.Array.from_buffers(pa.binary(), len(X), [None, pa.py_buffer((np.arange(len(X) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(X).tobytes())])
-                each = pa.array(np.repeat(np.arange(len(X)), n))
+                at = pa.array(np.array(good)[these][each])
+                ends = np.minimum(np.arange(len(each) + 1), len(loose) * n) * n  # balls carry no lists
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(each), dim, np.int32)), pa.array(keys.ravel()), batch.column("id").take(at), batch.column("copies").take(at), raw.take(each),
-                     pa.ListArray.from_arrays(pa.array((np.arange(len(each) + 1) * n).astype(np.int32)), pa.array(np.repeat(keys, n, axis=0).ravel()))],
-                    ["dim", "list", "id", "copies", "x", "lists"],
+                    [pa.array(np.full(len(each), dim, np.int32)), pa.array(np.concatenate([keys.ravel(), -1 - hubs[ball]])), batch.column("id").take(at), batch.column("copies").take(at), raw.take(pa.array(each)),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.repeat(keys, n, axis=0).ravel())), pa.array(home[each].astype(np.int32))],
+                    ["dim", "list", "id", "copies", "x", "lists", "home"],
                 )
 
     return run
@@ -117,6 +152,29 @@ def compare(ids: np.ndarray, X: np.ndarray, lists: np.ndarray, block: np.ndarray
     return found, ids[label]
 
 
+def compare_ball(ids: np.ndarray, X: np.ndarray, home: np.ndarray, block: np.ndarray, copies: np.ndarray, here: int, cell: tuple[int, int], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same in a cell of hub ``here``: links of the rows at home there with all rows in reach. A row at home elsewhere counts its links there."""
+    n = len(ids)
+    found, label, step = np.zeros(n, np.int64), np.arange(n), 256
+    core, free, weight = home == here, home < 0, copies.astype(float)
+    for a in range(0, n, step):
+        rows = slice(a, min(a + step, n))
+        sim = X[rows] @ X.T
+        link = sim >= least + 1e-12
+        i, j = np.nonzero((sim >= least - 1e-12) & ~link)
+        for s in range(0, len(i), 65536):
+            p, q = i[s : s + 65536], j[s : s + 65536]
+            link[p, q] = (X[a + p] * X[q]).sum(1) >= least
+        link &= ids[rows, None] != ids
+        if cell[0] != cell[1]:
+            link &= block[rows, None] != block
+        link &= core[rows, None] | (free[rows, None] & core)
+        found[rows] = (link @ weight).astype(np.int64)
+        i, j = np.nonzero(link & (label[rows, None] != label))
+        label = unite(label, i + a, j)
+    return found, ids[label]
+
+
 def _cells(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -125,9 +183,13 @@ def _cells(least: float):
             t = t.sort_by("id")
             ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
             X = np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(len(t), -1)
-            lists = np.stack(t["lists"].to_numpy(zero_copy_only=False))
-            found, low = compare(ids, X, lists, t["block"].to_numpy(), copies, t["list"][0].as_py(), (t["i"][0].as_py(), t["j"][0].as_py()), least)
-            hit = found > 0
+            here, cell = t["list"][0].as_py(), (t["i"][0].as_py(), t["j"][0].as_py())
+            if here < 0:
+                found, low = compare_ball(ids, X, t["home"].to_numpy(), t["block"].to_numpy(), copies, -1 - here, cell, least)
+            else:
+                lists = np.stack(t["lists"].to_numpy(zero_copy_only=False))
+                found, low = compare(ids, X, lists, t["block"].to_numpy(), copies, here, cell, least)
+            hit = (found > 0) | (low != ids)
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(found[hit]), pa.array(low[hit])], ["id", "links", "low"])
 
@@ -165,8 +227,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
     component but their own. An empty table gives no rows; other columns are left out.
 
     Equal vectors are one node with a number of copies. Pivots are a seeded draw of about twice the root of the nodes,
-    at most MAX_PIVOTS; a vector's description is its nearest ones in order; every choice of ``shared`` of them is an
-    inverted list, so vectors in a common list share that many pivots. Lists longer than ``cell`` are dealt over a grid
+    at most MAX_PIVOTS, kept apart; a vector's description is its nearest ones in order; every choice of ``shared`` of them
+    is an inverted list, so vectors in a common list share that many pivots. A pivot that has other drawn rows close by is a
+    hub: a vector at APART or nearer to one is in no list but at home there, and is compared with every vector whose angle to
+    the hub lets the two link, so it loses no link; links of two vectors far from all hubs can be missed. Lists longer than ``cell`` are dealt over a grid
     of cells, each of two blocks, so none grows with the group. A cell compares its rows by one matrix product and tells
     of each row how many links it found and the least id of the group that its links form there, not the pairs; a pair
     counts in the least list that it shares. The groups of all cells are joined into components.
@@ -177,13 +241,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
     nodes = materialize(rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     count = nodes.count()
     wanted = pivots or int(min(MAX_PIVOTS, max(MIN_PIVOTS, 2 * count**0.5)))
-    drawn = nodes.select("embedding").orderBy(F.xxhash64(F.lit(seed), "id")).limit(wanted).toPandas() if count else None
-    table: dict[int, np.ndarray] = {}
+    drawn = nodes.select("embedding").orderBy(F.xxhash64(F.lit(seed), "id")).limit(DRAW * wanted).toPandas() if count else None
+    table: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     if count:
         _, sample = rows_of(pa.array(drawn["embedding"].tolist(), pa.list_(pa.float64())))
         for dim in {len(x) for x in sample}:
-            table[dim] = np.unique(unit(np.stack([x for x in sample if len(x) == dim])), axis=0)
-    index = nodes.mapInArrow(_index(spark.sparkContext.broadcast(table), nearest_count, shared), "dim int, list long, id long, copies long, x binary, lists array<long>")
+            these = unit(np.stack([x for x in sample if len(x) == dim]))
+            table[dim] = choose(these, -(-wanted * len(these) // len(sample)), least)
+    index = nodes.mapInArrow(_index(spark.sparkContext.broadcast(table), nearest_count, shared, least), "dim int, list long, id long, copies long, x binary, lists array<long>, home int")
     index = materialize(index, "index")
     full = index.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     cells = index.join(full, ["dim", "list"]).withColumn("g", F.ceil(F.col("c") / F.lit(cell)).cast("int"))

@@ -6,6 +6,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -361,6 +363,22 @@ def test_recall_on_the_table(spark):
     assert found >= 0.9 * links
 
 
+@pytest.mark.parametrize("to_base", [0.98, 0.9999])
+def test_large_group_of_distinct_near_copies(spark, tmp_path, to_base):
+    """A third of 21,000 vectors around one base, no two equal; production defaults."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    base, r = unit(rng.normal(size=64)), rng.normal(size=(7000, 64))
+    group = to_base * base + (1 - to_base**2) ** 0.5 * unit(r - np.outer(r @ base, base))
+    X = np.concatenate([group, unit(rng.normal(size=(14000, 64)))])[rng.permutation(21000)]
+    pq.write_table(pa.table({"vec_id": np.arange(len(X)), "embedding": list(X)}), tmp_path / "v.parquet")
+    links = np.concatenate([(X[a : a + 1000] @ X.T >= 0.95).sum(1) - 1 for a in range(0, len(X), 1000)])
+    got = pivots.near_duplicates(spark.read.parquet(f"file://{tmp_path}/v.parquet")).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    assert (found <= links).all() and found.sum() >= 0.999 * links.sum()
+    assert (got["component_id"].to_numpy()[links > 0] == np.flatnonzero(links)[0]).all()
+
+
 # Quality
 
 
