@@ -33,11 +33,11 @@ def stream_session_status(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("stream_dedupe_consecutive", ORACLES["dedupe_consecutive"])
 def stream_dedupe_consecutive(spark: SparkSession, sf: str) -> DataFrame:
-    views = E.read_events(spark, f"{sf}/events.parquet").where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
+    views = E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None).where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
     return E.run_to_end(E.without_repeats_classic(views), _folder(spark))
 
 
 @query("stream_ticker")
 def stream_ticker(spark: SparkSession, sf: str) -> DataFrame:
-    """Ticks that the watermark has closed."""
-    return E.run_to_end(E.ticker(E.read_events(spark, f"{sf}/events.parquet")), _folder(spark))
+    """All ticks, those that the watermark has not closed included."""
+    return E.run_to_end(E.ticker(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id", "tick"])

@@ -18,10 +18,16 @@ from docloom.session import ship
 LATE = "10 minutes"
 
 
-def read_events(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
-    """event_id, session_id, ts (a timestamp with zone, as watermarks need), ts_us, kind, k, value of an event table's folder."""
+def read_events(spark: SparkSession, path: str, files_per_batch: int | None = 1000) -> DataFrame:
+    """event_id, session_id, ts (a timestamp with zone, as watermarks need), ts_us, kind, k, value of an event table's folder.
+
+    Files come in the order of their writing. What depends on the order of time across batches (watermarks, repeats) takes a
+    bounded table whose files are not in that order with files_per_batch None: all of it is one batch.
+    """
     table = spark.read.parquet(path)
-    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    reader = spark.readStream.schema(table.schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
     alone = any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())  # a file source reads folders: a single file is one of its folder
     rows = reader.option("pathGlobFilter", name).parquet(folder) if alone else reader.parquet(path)
@@ -33,7 +39,7 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
 
 
 def ticker(events: DataFrame, every: str = "200 milliseconds", late: str = LATE) -> DataFrame:
-    """The newest event of each session and tick."""
+    """The newest event of each session and tick. The append mode gives closed ticks only, the update mode open ones too, again as they change."""
     rows = events.withWatermark("ts", late).groupBy("session_id", F.window("ts", every).alias("w"))
     return rows.agg(F.max_by("value", F.struct("ts_us", "event_id")).alias("value"), F.count(F.lit(1)).alias("n")).select("session_id", F.col("w.start").alias("tick"), "value", "n")
 

@@ -77,3 +77,31 @@ def test_debounce_stream_is_batch_for_closed_bursts(spark, tmp_path):
     rows = tables.events(spark, "/root/testdata/sf0.001").where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
     batch = {(r["session_id"], r["ts_us"]): r["page"] for r in progress.debounce(rows.select("session_id", "ts_us", "event_id", "page"), 7_200_000_000).collect()}
     assert got and all(got[k] == v for k, v in batch.items() if k in got) and len(set(batch) - set(got)) <= 15
+
+
+def test_stream_queries_on_many_files_out_of_time_order(spark, tmp_path):
+    """More files than a batch of the default takes, the newest events in the first."""
+    import os
+
+    import duckdb
+    import pyarrow.parquet as pq
+
+    import docloom.plans.progress  # noqa: F401
+    from docloom.plans import streams
+    from docloom.plans.registry import ORACLES
+
+    table = pq.read_table("/root/testdata/sf0.01/events.parquet").sort_by([("ts", "descending")])
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(0, len(table), 9):
+        file = tmp_path / "events.parquet" / f"part-{k:05d}.parquet"
+        pq.write_table(table.slice(k, 9), file)
+        os.utime(file, (1_700_000_000 + k, 1_700_000_000 + k))
+    con = duckdb.connect()
+    con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
+    want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT session_id, tick, value FROM ({ORACLES['ticker']})").fetchall()}
+    got = streams.stream_ticker(spark, f"file://{tmp_path}").select("session_id", (F.unix_micros("tick") / 200000).cast("long").alias("tick"), "value", "n").collect()
+    assert len(got) == len(want) and {(r["session_id"], r["tick"]): r["value"] for r in got} == want
+    assert sum(r["n"] for r in got) == len(table)
+    want = sorted(con.execute(f"SELECT session_id, ts_us, event_id, page FROM ({ORACLES['dedupe_consecutive']})").fetchall())
+    repeats = streams.stream_dedupe_consecutive(spark, f"file://{tmp_path}").select("session_id", "ts_us", "event_id", "page")
+    assert sorted(map(tuple, repeats.collect())) == want
