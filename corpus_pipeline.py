@@ -19,10 +19,14 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of Jaccard 0.8 or more on shingles of five words stays, the one with the smallest doc_id; of rows
-    that repeat id and text, one."""
-    kept = minhash.near_duplicates(docs, width=5, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row of each group of Jaccard 0.8 or more on shingles of five words stays, the one with the smallest doc_id (a null one only
+    in a group of nulls) and, of texts under that id, the smallest digest; of rows that repeat id and text, one. Decisions are by
+    id and text, as ids may be null or repeat."""
+    digest = F.md5("text")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", digest.alias("digest"))
+    kept = minhash.near_duplicates(docs.select(row.alias("doc_id"), "text"), width=5, percent=80).where("kept")
+    kept = kept.select(F.col("doc_id.doc_id").alias("_kept"), F.col("doc_id.digest").alias("_digest")).distinct()
+    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")) & digest.eqNullSafe(F.col("_digest")), "left_semi")
     repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
     return out.dropDuplicates(["doc_id", "text"]) if repeated else out
 

@@ -48,3 +48,16 @@ def test_repeated_rows_and_empty(spark):
     assert sorted((str(r["doc_id"]) for r in got)) == ["1", "3", "None"]
     for name, stage in pipeline.STAGES:
         assert stage(spark, docs.where("false"), SMALL).count() == 0, name
+
+
+def test_near_duplicates_where_ids_repeat_or_are_null(spark):
+    import corpus_pipeline as pipeline
+
+    text = lambda s: [f"{s}{i}" for i in range(60)]
+    near = lambda s: " ".join([*text(s)[:-1], "changed"])
+    a, b, c, d = (" ".join(text(s)) for s in "abcd")
+    rows = [(1, b), (5, a), (5, near("b")), (None, c), (None, near("c")), (None, near("d")), (7, d), (8, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs.repartition(3), SMALL).collect()]
+    assert sum(g in [(None, c), (None, near("c"))] for g in got) == 1, "one of two near copies without ids"
+    assert sorted(map(str, (g for g in got if g[1] not in (c, near("c"))))) == sorted(map(str, [(1, b), (5, a), (7, d), (8, None), (None, None)]))
