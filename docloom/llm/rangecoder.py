@@ -1,101 +1,172 @@
-"""Adaptive context-mixing range coder for token ids, many blocks in step.
+"""Adaptive context-mixing range coder for token ids, in blocks that stand alone.
 
-Every block starts from the same fixed model and is coded alone. A block's steps depend on one another, so the work is laid across
-blocks: step t of all blocks is one round of numpy operations. The model of a block:
+A block is cut into lanes, runs of ids that are coded in step: step t of all lanes is one round of numpy operations, with one model that
+all lanes of the block feed. The model starts anew with each block:
 
 - order 2: the id that last followed the two ids before, and a record of how often it was right in a row;
 - order 1: the same for the one id before;
-- order 0: an adaptive distribution of the ids' upper four bits, for ids that neither predicts.
+- order 0: adaptive counts over all ids of the block.
 
-The chance that a prediction is right is the mean of two adaptive estimates: one in the context of its own record, one in the context of
-both records and of whether the orders agree.
+What an id is coded by is a mixture: the order-2 id gets one part of the range, the order-1 id another, and the rest is dealt by the
+order-0 counts. The first two parts are mixed in the logistic domain from two estimates each, one by the order's own record and one by
+both records together, with weights that follow the error online. All of it is whole numbers, so that every machine decodes alike.
 
-The coder keeps a range of 32 to 48 bits and shifts out words of 16; a carry is added to the words before at the end.
+A block is a header (the number of ids, of lanes, and the distinct ids as ascending differences) and 16-bit words in the order in which
+the decoder asks for them. The coder keeps a range of 32 to 48 bits; a carry is added to the words before at the end.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 U = np.uint64
-#: Entries of a block's context tables (a power of two), and the highest record.
-SLOTS, RECORD = 1024, 7
-LOW_BITS = 12  # of an id below the upper four
-_WORD, _LEAST, _LOW = U(16), U(1 << 32), U((1 << 32) - 1)
-_STEPS = np.arange(17, dtype=np.int32)
+#: Ids are below this.
+ID_LIMIT = 1 << 32
+#: Lanes of a block at most, and ids of a lane at least, where there are so many.
+LANES, LANE_IDS = 4096, 256
+#: Places of the order-2 table at most, as a power of two, and the highest record.
+SLOT_BITS, RECORD = 18, 7
+#: An order-0 count begins at FIRST and grows by STEP; all are halved beyond TOTAL.
+FIRST, STEP, TOTAL = 1, 6, 1 << 22
+_LEAST, _LOW = 1 << 32, (1 << 32) - 1
+#: ln(p / (1 - p)) of p in 4096ths, in 256ths; and its inverse in 65536ths, kept off 0 and 1.
+_LOGIT = np.array([round(256 * math.log((2 * p + 1) / (8191 - 2 * p))) for p in range(4096)], np.int64)
+_REACH = 2047
+_CHANCE = np.array([min(max(round(65536 / (1 + math.exp(-x / 256))), 24), 65512) for x in range(-_REACH, _REACH + 1)], np.int64)
+#: A context of the mixture: the records of order 2 and order 1, three bits each, and whether the two agree.
+_CONTEXT = np.arange(128)
+_OWN, _SAME = np.stack([_CONTEXT >> 4, (_CONTEXT >> 1) & 7]), _CONTEXT & 1
+#: By record and hit (the lowest bit): what is added to an entry, and whether the new id takes its place.
+_STEP = np.array([x for r in range(8) for x in (-(r - (r >> 1)), int(r < RECORD))], np.int64)
+#: By whether order 2 and order 1 (twice) are right: 2 for order 2, 1 for order 1 alone.
+_OUTCOME = np.array([0, 2, 1, 2])
+_REPLACE = np.array([x for r in range(8) for x in (r <= 1, False)])
 
 
 class Model:
-    def __init__(self, lanes: int, length: int):
-        slots = min(SLOTS, max(64, 1 << int(length).bit_length()))
-        self.mask = np.uint32(slots - 1)
-        self.table2, self.table1 = np.zeros(lanes * slots, np.uint32), np.zeros(lanes * slots, np.uint32)  # id and record together
-        self.base = (np.arange(lanes) * slots).astype(np.uint32)
-        self.own2, self.own1 = np.full(lanes * 8, 32768, np.int32), np.full(lanes * 8, 32768, np.int32)
-        self.joint2, self.joint1 = np.full(lanes * 128, 32768, np.int32), np.full(lanes * 128, 32768, np.int32)
-        self.upper = np.tile(_STEPS * 4096, (lanes, 1))
-        self.a = self.b = np.zeros(lanes, np.uint32)
-        self.lanes8, self.lanes128 = (np.arange(lanes) * 8).astype(np.uint32), (np.arange(lanes) * 128).astype(np.uint32)
+    """What coder and decoder know of a block so far; ids are numbered by rank among the block's distinct ones.
+
+    Pairs of values are of order 2 and order 1, in this order.
+    """
+
+    def __init__(self, total: int, lanes: int, distinct: int):
+        self.slots = 1 << min(SLOT_BITS, max(8, total.bit_length()))
+        self.table = np.zeros(self.slots + distinct + 1, np.int64)  # both orders' entries: rank and record together
+        self.count = np.full(distinct, FIRST, np.int64)
+        self.hits, self.seen = np.ones((2, 128), np.int64), np.full((2, 128), 8, np.int64)
+        self.weights = np.full((2, 2, 2), 1 << 15, np.int64)  # by order, whether the two agree, and estimate; 16 bits behind the point
+        self.a = self.b = np.full(lanes, distinct, np.int64)  # a lane's beginning has a context of its own
+        self.outcomes: list[np.ndarray] = []
+        self.others: list[np.ndarray] = []
+        self.t = 0
+        self.renew()
+
+    def renew(self) -> None:
+        """Takes in the outcomes since the last time: estimates, weights and counts, then the parts of the range."""
+        if self.outcomes:
+            n = np.bincount(np.concatenate(self.outcomes), minlength=512).reshape(128, 4)
+            hits, seen = np.stack([n[:, 2], n[:, 1]]), np.stack([n.sum(1), n[:, 0] + n[:, 1]])
+            error = ((hits << 16) - seen * self.chance)[:, None, :] * self.inputs  # order, estimate, context
+            for same in (0, 1):
+                some = seen[:, same::2].sum(1)
+                self.weights[:, same] += error[:, :, same::2].sum(2) // (np.maximum(some, 1) << 6)[:, None]
+            self.hits += hits
+            self.seen += seen
+            old = self.seen > 1 << 16
+            self.hits[old] = (self.hits[old] + 1) >> 1
+            self.seen[old] >>= 1
+            self.count += STEP * np.bincount(np.concatenate(self.others), minlength=len(self.count))
+            self.outcomes, self.others = [], []
+        self.cum = np.zeros(len(self.count) + 1, np.int64)
+        np.cumsum(self.count, out=self.cum[1:])
+        if self.cum[-1] > TOTAL:
+            self.count = (self.count + 1) >> 1
+            np.cumsum(self.count, out=self.cum[1:])
+        each = [np.stack([x[0].reshape(8, 16).sum(1), x[1].reshape(8, 8, 2).sum((0, 2))]) for x in (self.hits, self.seen)]
+        own = 4095 * each[0] // each[1]
+        self.inputs = _LOGIT[np.stack([4095 * self.hits // self.seen, np.take_along_axis(own, _OWN, 1)], 1)]  # order, estimate, context
+        x = (self.weights[:, _SAME] * self.inputs.transpose(0, 2, 1)).sum(2) >> 16
+        self.chance = _CHANCE[np.clip(x, -_REACH, _REACH) + _REACH]
+        f2 = self.chance[0]
+        f1 = np.where(_SAME == 1, 0, np.maximum((65536 - f2) * self.chance[1] >> 16, 1))  # below 65536 - f2, as chances are below 1
+        self.f2, self.both = f2, f2 + f1
+        self.start = np.stack([f2 + f1, f2, 0 * f2, 0 * f2], 1).ravel()  # by context and outcome: neither, order 1, order 2
+        self.width = np.stack([65536 - f2 - f1, f1, f2, f2], 1).ravel()
 
     def look(self, n: int) -> None:
-        """Predictions for the first n lanes: ids g2, g1 and 16-bit chances f2, f1 that sum to less than 65536."""
+        """Predictions for the first n lanes: ranks in guess, of both orders, and the context of the mixture."""
         a, b = self.a[:n], self.b[:n]
-        mixed = b * np.uint32(0x9E3779B1)
-        self.s1 = self.base[:n] + ((mixed >> np.uint32(13)) & self.mask)
-        self.s2 = self.base[:n] + (((mixed + a * np.uint32(0x85EBCA6B)) >> np.uint32(14)) & self.mask)
-        self.e1, self.e2 = self.table1.take(self.s1), self.table2.take(self.s2)
-        self.g1, self.g2, self.r1, self.r2 = self.e1 >> 3, self.e2 >> 3, self.e1 & 7, self.e2 & 7
-        same = self.g1 == self.g2
-        self.c = self.lanes128[:n] + ((self.r2 << 4) | (self.r1 << 1) | same)
-        self.c2, self.c1 = self.lanes8[:n] + self.r2, self.lanes8[:n] + self.r1
-        self.p2 = self.own2.take(self.c2), self.joint2.take(self.c)
-        self.p1 = self.own1.take(self.c1), self.joint1.take(self.c)
-        self.f2 = (self.p2[0] + self.p2[1]) >> 1
-        rest = 65536 - self.f2
-        self.f1 = rest * ((self.p1[0] + self.p1[1]) >> 2) >> 15
-        self.f1[same] = 0
-
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        # Estimates stay within 48 to 65488, so no chance is 0.
-        goal = hit2 * np.int32(65440) + np.int32(48)
-        self.own2[self.c2], self.joint2[self.c] = self.p2[0] + ((goal - self.p2[0]) >> 5), self.p2[1] + ((goal - self.p2[1]) >> 4)
-        goal = hit1 * np.int32(65440) + np.int32(48)
-        skip = hit2
-        self.own1[self.c1] = np.where(skip, self.p1[0], self.p1[0] + ((goal - self.p1[0]) >> 5))
-        self.joint1[self.c] = np.where(skip, self.p1[1], self.p1[1] + ((goal - self.p1[1]) >> 4))
-        fresh = ids << np.uint32(3)
-        for table, slot, e, g, r in ((self.table2, self.s2, self.e2, self.g2, self.r2), (self.table1, self.s1, self.e1, self.g1, self.r1)):
-            # Right: the record grows. Wrong: it halves, and from 1 or less the new id takes the place.
-            table[slot] = np.where(g == ids, e + (r < RECORD), np.where(r > 1, (e - r) | (r >> 1), fresh))
-        if n == len(self.b):
-            self.a, self.b = self.b, ids
-        else:
-            self.a = np.concatenate([self.b[:n], self.a[n:]])
-            self.b = np.concatenate([ids, self.b[n:]])
-
-    def learn_upper(self, lanes: np.ndarray, cdf: np.ndarray, upper: np.ndarray) -> None:
-        goal = _STEPS * 32 + (_STEPS > upper[:, None]) * np.int32(65536 - 16 * 32)
-        self.upper[lanes] = cdf + ((goal - cdf) >> 5)
-
-
-def _rows(ids: np.ndarray, block: int) -> tuple[np.ndarray, int]:
-    """(step x lane matrix, length of the last lane): only the last block is shorter."""
-    n = -(-len(ids) // block)
-    rows = np.zeros((n, block), np.uint32)
-    rows.ravel()[: len(ids)] = ids
-    return np.ascontiguousarray(rows.T), len(ids) - (n - 1) * block
+        self.slot = np.empty((2, n), np.int64)
+        np.bitwise_and((b * 0x9E3779B1 + a * 0x85EBCA6B) >> 20, self.slots - 1, out=self.slot[0])
+        np.add(b, self.slots, out=self.slot[1])
+        self.entry = self.table.take(self.slot)
+        self.guess, self.record = self.entry >> 3, self.entry & 7
+        self.context = (self.record[0] << 4) | (self.record[1] << 1) | (self.guess[0] == self.guess[1])
 
+    def learn(self, x: np.ndarray, right: np.ndarray, outcome: np.ndarray, rest: np.ndarray) -> None:
+        """x: the ids' ranks; right: which guesses held; outcome: context and outcome; rest: lanes coded by order 0."""
+        self.outcomes.append(outcome)
+        self.others.append(x[rest])
+        # Right: the record grows. Wrong: it halves, and from 1 or less the new id takes the place.
+        kind = (self.record << 1) | right
+        new = self.entry + _STEP.take(kind)
+        np.copyto(new, x << 3, where=_REPLACE.take(kind))
+        self.table[self.slot] = new
+        self.a, self.b = self.b[: len(x)], x
+        self.t += 1
+        if self.t < 8 or self.t % (4 if self.t < 64 else 8) == 0:
+            self.renew()
 
-def encode(ids: np.ndarray, block: int) -> list[bytes]:
-    """The coded bytes of each run of ``block`` ids (the last may be shorter). Ids are below 65536."""
-    if not len(ids):
-        return []
-    if ids.min() < 0 or ids.max() > 0xFFFF:
-        raise ValueError("ids must be below 65536")
-    steps, last = _rows(ids, block)
-    n_lanes = steps.shape[1]
-    model, low, span = Model(n_lanes, block), np.zeros(n_lanes, U), np.full(n_lanes, (1 << 48) - 1, U)
-    all_lanes = np.arange(n_lanes)
+
+def _varints(values: np.ndarray) -> bytes:
+    """Seven bits a byte, the lowest first; the upper bit says that more follow."""
+    v = values.astype(U)
+    size = np.maximum(1, sum((v >> U(7 * k) > 0).astype(np.int64) for k in range(1, 5)) + 1)
+    out, first = np.zeros(int(size.sum()), np.uint8), np.cumsum(size) - size
+    for k in range(5):
+        own = size > k
+        out[first[own] + k] = ((v[own] >> U(7 * k)) & U(127)).astype(np.uint8) | ((size[own] > k + 1) << 7).astype(np.uint8)
+    return out.tobytes()
+
+
+def _read_varints(raw: np.ndarray, count: int) -> tuple[np.ndarray, int]:
+    """(count values, bytes read)."""
+    ends = np.flatnonzero(raw[: 5 * count] < 128)[:count] + 1
+    first = np.concatenate([[0], ends[:-1]])
+    out = np.zeros(count, np.int64)
+    for k in range(5):
+        own = first + k < ends
+        out[own] |= (raw[first[own] + k].astype(np.int64) & 127) << (7 * k)
+    return out, int(ends[-1])
+
+
+def _ranks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids, ascending, and the rank of each id among them."""
+    if ids.max() >= 1 << 22:
+        distinct, rank = np.unique(ids, return_inverse=True)
+        return distinct.astype(np.int64), rank
+    seen = np.zeros(int(ids.max()) + 1, bool)
+    seen[ids] = True
+    return np.flatnonzero(seen), (np.cumsum(seen) - 1)[ids]
+
+
+def _live(total: int, length: int, t: int) -> int:
+    """Lanes that have an id at step t."""
+    return -(-(total - t) // length)
+
+
+def encode_block(ids: np.ndarray) -> bytes:
+    distinct, rank = _ranks(ids)
+    total = len(ids)
+    lanes = int(min(LANES, max(1, total // LANE_IDS)))
+    length = -(-total // lanes)
+    lanes = -(-total // length)
+    rows = np.zeros(lanes * length, np.int64)
+    rows[:total] = rank
+    steps = np.ascontiguousarray(rows.reshape(lanes, length).T)
+    model, low, span = Model(total, lanes, len(distinct)), np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
 
@@ -103,111 +174,104 @@ def encode(ids: np.ndarray, block: int) -> list[bytes]:
         if len(due):
             lo = low[due]
             out_lane.append(due)
-            out_word.append((lo >> U(32)).astype(np.int64))  # 17 bits: a carry may be among them
-            low[due], span[due] = (lo & _LOW) << _WORD, span[due] << _WORD
-
-    live = n_lanes
-    for t in range(block):
-        if t == last:
-            live = n_lanes - 1
-            if not live:
-                break
-        x = steps[t, :live]
-        model.look(live)
-        hit2 = x == model.g2
-        hit1 = (x == model.g1) & ~hit2
-        both = model.f2 + model.f1
-        start = np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(U)
-        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both)).astype(U)
-        r = span[:live] >> _WORD
-        low[:live] += start * r
-        span[:live] = freq * r
-        shift(np.flatnonzero(span[:live] < _LEAST))
-        new = np.flatnonzero(~(hit2 | hit1))
-        if len(new):
-            upper = (x[new] >> LOW_BITS).astype(np.int32)
-            cdf, k = model.upper[new], all_lanes[: len(new)]
-            start = cdf[k, upper]
-            r = span[new] >> _WORD
-            low[new] += start.astype(U) * r
-            span[new] = (cdf[k, upper + 1] - start).astype(U) * r
-            shift(new[span[new] < _LEAST])
-            r = span[new] >> U(LOW_BITS)
-            low[new] += (x[new] & np.uint32(4095)).astype(U) * r
-            span[new] = r
-            shift(new[r < _LEAST])
-            model.learn_upper(new, cdf, upper)
-        model.learn(live, x, hit2, hit1)
+            out_word.append(lo >> 32)  # 17 bits: a carry may be among them
+            low[due] = (lo & _LOW) << 16
+            span[due] <<= 16
+
+    for t in range(length):
+        n = _live(total, length, t)
+        x = steps[t, :n]
+        model.look(n)
+        right = model.guess == x
+        outcome = (model.context << 2) | _OUTCOME.take(right[0] + 2 * right[1])
+        r = span[:n] >> 16
+        low[:n] += model.start.take(outcome) * r
+        np.multiply(model.width.take(outcome), r, out=span[:n])
+        shift(np.flatnonzero(span[:n] < _LEAST))
+        rest = np.flatnonzero(outcome & 3 == 0)
+        if len(rest):
+            own = x[rest]
+            first = model.cum.take(own)
+            r = (span[rest].view(U) // U(model.cum[-1])).view(np.int64)
+            low[rest] += first * r
+            span[rest] = r = (model.cum.take(own + 1) - first) * r
+            due = rest[r < _LEAST]
+            shift(due)
+            shift(due[span[due] < _LEAST])
+        model.learn(x, right, outcome, rest)
+    lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.int64)
+    order = np.argsort(lane.astype(np.uint16), kind="stable")  # by radix
+    events = np.bincount(lane, minlength=lanes)
+    first = np.cumsum(events + 3) - (events + 3)  # a lane's words: those of its shifts, then its last three
+    place = np.empty(len(lane), np.int64)
+    place[order] = np.arange(len(lane)) - np.repeat(np.cumsum(events) - events, events)  # a shift's number within its lane
+    words = np.zeros(len(lane) + 3 * lanes, np.int64)
+    if len(lane):
+        words[first[lane] + place] = np.concatenate(out_word)
     for k in range(3):
-        out_lane.append(all_lanes)
-        out_word.append((low >> U(32)).astype(np.int64))
-        low = (low & _LOW) << _WORD
-    lanes, words = np.concatenate(out_lane), np.concatenate(out_word)
-    words = words[np.argsort(lanes, kind="stable")]
+        words[first + events + k] = low >> 32
+        low = (low & _LOW) << 16
     while (carry := words >> 16).any():  # a lane's first word has none
         words &= 0xFFFF
         words[:-1] += carry[1:]
-    at = np.concatenate([[0], np.cumsum(np.bincount(lanes, minlength=n_lanes))]) * 2
-    raw = words.astype("<u2").tobytes()
-    return [raw[a:b] for a, b in zip(at[:-1], at[1:])]
-
-
-def decode(blocks: list[bytes], total: int, block: int) -> np.ndarray:
-    """The ids again; total is their number."""
-    n_lanes = len(blocks)
-    if not n_lanes:
-        return np.zeros(0, np.uint16)
-    last = total - (n_lanes - 1) * block
-    flat = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(U), np.zeros(4, U)])
-    place = np.concatenate([[0], np.cumsum([len(b) // 2 for b in blocks])[:-1]]).astype(np.int64)
-    model, span, code = Model(n_lanes, block), np.full(n_lanes, (1 << 48) - 1, U), np.zeros(n_lanes, U)
-    all_lanes = np.arange(n_lanes)
-    for _ in range(3):
-        code = (code << _WORD) | flat[place]
-        place += 1
-    out = np.zeros((block, n_lanes), np.uint32)
+    stream = np.concatenate([words[first], words[first + 1], words[first + 2], words[first[lane] + place + 3]])
+    head = np.concatenate([[total, lanes, len(distinct)], np.diff(distinct, prepend=0)])
+    return _varints(head) + stream.astype("<u2").tobytes()
+
+
+def decode_block(raw: bytes) -> np.ndarray:
+    data = np.frombuffer(raw, np.uint8)
+    (total, lanes, n_distinct), skip = _read_varints(data, 3)
+    gaps, more = _read_varints(data[skip:], int(n_distinct))
+    distinct = np.cumsum(gaps)
+    flat = np.frombuffer(raw, "<u2", offset=skip + more).astype(np.int64)
+    total, lanes, length = int(total), int(lanes), -(-int(total) // int(lanes))
+    model, span = Model(total, lanes, len(distinct)), np.full(lanes, (1 << 48) - 1, np.int64)
+    code = (flat[:lanes] << 32) | (flat[lanes : 2 * lanes] << 16) | flat[2 * lanes : 3 * lanes]
+    at = 3 * lanes
+    out = np.zeros((length, lanes), np.int64)
 
     def shift(due: np.ndarray) -> None:
+        nonlocal at
         if len(due):
-            at = place[due]
-            code[due], span[due] = (code[due] << _WORD) | flat[at], span[due] << _WORD
-            place[due] = at + 1
-
-    live = n_lanes
-    for t in range(block):
-        if t == last:
-            live = n_lanes - 1
-            if not live:
-                break
-        model.look(live)
-        r = span[:live] >> _WORD
-        at = np.minimum(code[:live] // r, U(65535)).astype(np.int32)
-        hit2 = at < model.f2
-        both = model.f2 + model.f1
-        miss = at >= both
-        hit1 = ~(hit2 | miss)
-        start = np.where(hit2, 0, np.where(hit1, model.f2, both)).astype(U)
-        freq = np.where(hit2, model.f2, np.where(hit1, model.f1, 65536 - both)).astype(U)
-        code[:live] -= start * r
-        span[:live] = freq * r
-        shift(np.flatnonzero(span[:live] < _LEAST))
-        x = np.where(hit2, model.g2, model.g1)
-        new = np.flatnonzero(miss)
-        if len(new):
-            cdf, k = model.upper[new], all_lanes[: len(new)]
-            r = span[new] >> _WORD
-            upper = (cdf[:, 1:16] <= np.minimum(code[new] // r, U(65535)).astype(np.int32)[:, None]).sum(1, dtype=np.int32)
-            start = cdf[k, upper]
-            code[new] -= start.astype(U) * r
-            span[new] = (cdf[k, upper + 1] - start).astype(U) * r
-            shift(new[span[new] < _LEAST])
-            r = span[new] >> U(LOW_BITS)
-            rest = np.minimum(code[new] // r, U(4095))
-            code[new] -= rest * r
-            span[new] = r
-            shift(new[r < _LEAST])
-            x[new] = (upper.astype(np.uint32) << np.uint32(LOW_BITS)) | rest.astype(np.uint32)
-            model.learn_upper(new, cdf, upper)
-        model.learn(live, x, hit2, hit1)
-        out[t, :live] = x
-    return out.T.ravel()[:total].astype(np.uint16)
+            code[due] = (code[due] << 16) | flat[at : at + len(due)]
+            span[due] <<= 16
+            at += len(due)
+
+    for t in range(length):
+        n = _live(total, length, t)
+        model.look(n)
+        r, value = span[:n] >> 16, code[:n]
+        kind = (value >= model.f2.take(model.context) * r) + (value >= model.both.take(model.context) * r).view(np.int8)  # 0: order 2, 1: order 1, 2: neither
+        outcome = (model.context << 2) | (2 - kind)
+        value -= model.start.take(outcome) * r
+        np.multiply(model.width.take(outcome), r, out=span[:n])
+        shift(np.flatnonzero(span[:n] < _LEAST))
+        x = np.where(kind == 0, model.guess[0], model.guess[1])
+        rest = np.flatnonzero(kind == 2)
+        if len(rest):
+            whole = int(model.cum[-1])
+            r = (span[rest].view(U) // U(whole)).view(np.int64)
+            own = np.searchsorted(model.cum, np.minimum((code[rest].view(U) // r.view(U)).view(np.int64), whole - 1), "right") - 1
+            first = model.cum.take(own)
+            code[rest] -= first * r
+            span[rest] = r = (model.cum.take(own + 1) - first) * r
+            due = rest[r < _LEAST]
+            shift(due)
+            shift(due[span[due] < _LEAST])
+            x[rest] = own
+        model.learn(x, model.guess == x, outcome, rest)
+        out[t, :n] = x
+    return distinct[out.T.ravel()[:total]]
+
+
+def encode(ids: np.ndarray, block: int) -> list[bytes]:
+    """The coded bytes of each run of ``block`` ids (the last may be shorter). Ids are whole numbers from 0 to ID_LIMIT - 1; no ids, no blocks."""
+    if len(ids) and (ids.min() < 0 or ids.max() >= ID_LIMIT):
+        raise ValueError("ids must be of 32 bits")
+    return [encode_block(ids[a : a + block]) for a in range(0, len(ids), block)]
+
+
+def decode(blocks: list[bytes]) -> np.ndarray:
+    """The ids again, of 32 bits."""
+    return np.concatenate([decode_block(b) for b in blocks] or [np.zeros(0, np.int64)]).astype(np.uint32)

@@ -266,21 +266,51 @@ def test_many_variants_of_a_line(spark):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 65535), max_size=300), st.sampled_from([1, 7, 64]))
+@given(st.lists(st.one_of(st.integers(0, 5), st.integers(0, 2**32 - 1)), max_size=300), st.sampled_from([1, 7, 64, 1000]))
 def test_coder_round_trip(ids, block):
-    coded = rangecoder.encode(np.array(ids, np.uint16), block)
-    assert rangecoder.decode(coded, len(ids), block).tolist() == ids and len(coded) == -(-len(ids) // block)
+    coded = rangecoder.encode(np.array(ids, np.int64), block)
+    assert rangecoder.decode(coded).tolist() == ids and len(coded) == -(-len(ids) // block)
 
 
 def test_coder_learns_and_blocks_stand_alone():
-    ids = np.array([1, 2, 3, 4] * 1000, np.uint16)
+    ids = np.array([1, 2, 3, 70_000] * 1000)
     coded = rangecoder.encode(ids, 1000)
     assert sum(map(len, coded)) < 0.1 * 2 * len(ids)
-    assert rangecoder.decode([coded[2]], 1000, 1000).tolist() == ids[2000:3000].tolist()
-    zeros = rangecoder.encode(np.full(100_000, 7, np.uint16), 100_000)
-    assert rangecoder.decode(zeros, 100_000, 100_000).tolist() == [7] * 100_000, "carries over many words"
-    with pytest.raises(ValueError):
-        rangecoder.encode(np.array([65536]), 10)
+    assert rangecoder.decode([coded[2]]).tolist() == ids[2000:3000].tolist()
+    zeros = rangecoder.encode(np.full(100_000, 7), 100_000)
+    assert rangecoder.decode(zeros).tolist() == [7] * 100_000, "carries over many words"
+    for bad in (1 << 32, -1):
+        with pytest.raises(ValueError):
+            rangecoder.encode(np.array([bad]), 10)
+
+
+def test_coder_against_a_byte_compressor():
+    import public_tokenizers
+
+    table = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"]).sort_by("doc_id")["text"].to_pylist()
+    ids, n = tokenio.encoder_of(public_tokenizers.path("word_bpe_49k.json")).encode([t.encode() for t in table], 1)
+    coded = rangecoder.encode(ids, tokenio.BLOCK)
+    assert n.sum() == len(ids) and (rangecoder.decode(coded) == ids).all()
+    p = np.bincount(ids) / len(ids)
+    bits = 8 * sum(map(len, coded)) / len(ids)
+    assert bits < 0.9 * 8 * len(zlib.compress(ids.astype("<u2").tobytes(), 9)) / len(ids)
+    assert bits < -(p[p > 0] * np.log2(p[p > 0])).sum(), "fewer bits than the ids' own entropy: the contexts tell something"
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_those_of_whole_texts(name, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    coder, tokenizer = tokenio.encoder_of(path), Tokenizer.from_file(path)
+    assert isinstance(coder, tokenio.WordIds) == name.startswith("word")
+    texts = [t or "" for _, t, *_ in odd_rows()] + ["a|b ||. |, 9. 9, a., b.. c,,", "It's <|endoftext|>. I'LL. Go!!. a<|endoftext|>b. <|x.", "ΑΣ. Σ ﬁ ｜ e\u0301."]
+    monkeypatch.setattr(tokenio, "MEMO_WORDS", 100)
+    for a in range(0, len(texts), 9):
+        ids, n = coder.encode([t.encode() for t in texts[a : a + 9]], 3)
+        want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 3] for t in texts[a : a + 9]]
+        assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
 
 
 def test_tokens(spark, docs, none, tmp_path):
@@ -291,7 +321,7 @@ def test_tokens(spark, docs, none, tmp_path):
     tokenizer = Tokenizer.from_file(path)
     extra = [(500, "It's <|endoftext|> I'LL. Go!!. (x.) 3.5. a. b É. café. DON'T, x,y . ,"), (501, "<|ENDOFTEXT|> a"), (502, "́x İ. \x1c y\x85z")]
     table = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    for block in (5, 1024):
+    for block in (200, tokenio.BLOCK):
         out = f"file://{tmp_path}/{block}"
         tokenio.write_ids(table, out, path, 1, block=block, chunk_bytes=2000)
         got = tokenio.read_ids(spark, out).orderBy("start").collect()
