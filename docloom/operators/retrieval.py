@@ -1,8 +1,8 @@
 """Batch retrieval: semantic and keyword scores, hybrid search, merging, context, reranking.
 
-A table of questions meets the whole chunk table. The questions go to every worker in blocks of a checked size; a worker scores its
-chunks against a block by one matrix product and one automaton pass over the text, and passes on of each batch only the rows that can
-still be among a question's best. So the chunk table is scanned once a block, never shuffled, and what is shuffled is a few rows for each question and batch.
+A table of questions meets the whole chunk table. The questions go to every worker, as many in a pass as PASS says; a worker goes through its
+chunks once, scores them against the questions block by block, and keeps each question's best rows so far. It gives these out when its task
+ends. So the chunk table is scanned once a pass, never shuffled, and what is shuffled is bounded by questions x tasks x rows kept.
 """
 
 from __future__ import annotations
@@ -22,10 +22,14 @@ from docloom.functions.text import tokens
 from docloom.session import ship
 
 DIM = 64
-#: Questions of a block; more are taken block by block.
-BLOCK = 4096
+#: Questions of a block, which chunks meet in one matrix; and of a pass, broadcast together. More are taken in further passes.
+BLOCK, PASS = 2048, 65_536
+#: Chunks that meet a block at once.
+ROWS = 512
 #: Scores are rounded to this many places before they are ranked, so that equal texts tie on every engine; ties go by chunk_id.
 PLACES = 6
+#: Words that at least this many questions of a block hold are counted by matrix product, others one by one.
+COMMON = 32
 
 
 @lru_cache(maxsize=500_000)
@@ -56,97 +60,196 @@ def hash_embed(text: str | Column, dim: int = DIM) -> Column:
     return run(tokens(text))
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[list]:
+def _passes(queries: DataFrame, size: int) -> Iterator[list]:
     rows = queries.orderBy("qid", "list_no").toLocalIterator()
-    block: list = []
+    part: list = []
     for r in rows:
-        block.append(r)
-        if len(block) == size:
-            yield block
-            block = []
-    if block:
-        yield block
+        part.append(r)
+        if len(part) == size:
+            yield part
+            part = []
+    if part:
+        yield part
 
 
-class _Block:
-    """A block of questions on a worker: their vectors, their words in one automaton, their shares of words."""
+class _Words:
+    """What a task's distinct words are: where they stand in the embedding, and which words of the questions they hold."""
 
-    def __init__(self, rows: list, dim: int):
-        self.key = [(r["qid"], r["list_no"]) for r in rows]
-        self.documents = np.array([r["document_id"] for r in rows], object)
-        self.vectors = embed([r["words"] for r in rows], dim) if rows and rows[0]["vector"] is None else np.array([r["vector"] for r in rows])
-        words = sorted({w for r in rows for w in r["words"]})
-        number = {w: k for k, w in enumerate(words)}
-        self.share = np.zeros((len(words), len(rows)))
-        for j, r in enumerate(rows):
-            for w in r["words"]:  # a word counts as often as the question has it
-                self.share[number[w], j] += 1 / len(r["words"])
-        self.machine = ahocorasick.Automaton()
-        for w, k in number.items():
+    def __init__(self, words: list[str], dim: int):
+        self.dim, self.machine = dim, ahocorasick.Automaton()
+        for k, w in enumerate(words):
             self.machine.add_word(w, k)
         if words:
             self.machine.make_automaton()
 
-    def keyword(self, texts: list[str | None]) -> np.ndarray:
-        hits = np.zeros((len(texts), len(self.share)), np.float32)
-        if len(self.share):
-            for row, t in zip(hits, texts):
-                if t:
-                    row[list({k for _, k in self.machine.iter(t)})] = 1
-        return hits.astype(np.float64) @ self.share
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """From lists of words: (row of each word, its number among the distinct ones, their slots, their signs, the questions' words in each)."""
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = column.flatten().dictionary_encode()
+        distinct = flat.dictionary.to_pylist()
+        slots = [_slot(w, self.dim) for w in distinct]
+        found = [np.array(list({k for _, k in self.machine.iter(w)}) if len(self.machine) else [], np.int64) for w in distinct]
+        return np.repeat(np.arange(len(size)), size), flat.indices.to_numpy(), np.array([k for k, _ in slots], np.int64), np.array([s for _, s in slots]), found
+
+
+class _Best:
+    """The best rows so far of each question of a block by one score; ties go by chunk_id."""
+
+    def __init__(self, questions: int, keep: int, least: float):
+        self.keep, self.bar = keep, np.full(questions, least)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.size = 0
+
+    def add(self, score: np.ndarray, seen: np.ndarray, ids: np.ndarray, other: np.ndarray) -> None:
+        """score, other: a row for each of ids, ascending, a column for each question; seen: which of them count."""
+        hit = seen & (score >= self.bar)
+        if hit.sum() > 4 * self.keep * hit.shape[1]:  # of so many the best of these rows will do
+            order = np.argsort(np.where(hit, -score, np.inf), axis=0, kind="stable")[: self.keep]
+            best = np.zeros_like(hit)
+            np.put_along_axis(best, order, True, 0)
+            hit &= best
+        r, q = np.nonzero(hit)
+        if len(r):
+            self.parts.append((q, score[r, q], ids[r], other[r, q]))
+            self.size += len(r)
+            if self.size > 4 * self.keep * hit.shape[1] + 4096:
+                self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0), np.zeros(0, object), np.zeros(0)
+        q, score, ids, other = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.lexsort((ids.astype(str), -score, q))
+        q = q[order]
+        first = np.searchsorted(q, q)
+        stay = np.arange(len(q)) - first < self.keep
+        order, q = order[stay], q[stay]
+        self.parts, self.size = [(q, score[order], ids[order], other[order])], len(q)
+        full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.keep - 1)
+        self.bar[q[full]] = np.maximum(self.bar[q[full]], self.parts[0][1][full])
+        return self.parts[0]
+
 
+class _Block:
+    """A block of questions in a task: their vectors, how often each has each word, and their best rows."""
 
-def score_candidates(chunks: DataFrame, queries: DataFrame, keep: int, dim: int = DIM, by: str = "both", block: int = BLOCK) -> DataFrame:
+    def __init__(self, rows: list, number: dict[str, int], dim: int, keep: int, by: str):
+        self.key = [(r["qid"], r["list_no"]) for r in rows]
+        self.by, n = by, len(rows)
+        given = bool(rows) and rows[0]["vector"] is not None
+        self.vectors = np.array([r["vector"] for r in rows]) if given else embed([r["words"] for r in rows], dim)
+        # A word counts as often as the question has it.
+        times = pd.Series([(number[w], j) for j, r in enumerate(rows) for w in r["words"]], dtype=object).value_counts()
+        pair = np.array([*times.index], np.int64).reshape(-1, 2)
+        order = np.argsort(pair[:, 0], kind="stable")
+        self.word, self.question, self.times = pair[order, 0], pair[order, 1], times.to_numpy().astype(np.int64)[order]
+        self.first = np.searchsorted(self.word, np.arange(len(number) + 1))
+        self.length = np.array([max(len(r["words"]), 1) for r in rows])
+        self.common = np.flatnonzero(np.diff(self.first) >= COMMON)
+        self.table = np.zeros((len(self.common), n), np.float32)
+        for row, w in zip(self.table, self.common):
+            own = slice(self.first[w], self.first[w + 1])
+            row[self.question[own]] = self.times[own]
+        self.rank = np.full(len(number), -1)
+        self.rank[self.common] = np.arange(len(self.common))
+        self.documents = np.array([r["document_id"] for r in rows], object)
+        self.free = np.array([r["document_id"] is None for r in rows], bool)
+        bound: dict[str, list[int]] = {}
+        for j in np.flatnonzero(~self.free):
+            bound.setdefault(self.documents[j], []).append(j)
+        self.bound = bound
+        self.best = {k: _Best(n, keep, -np.inf if k == "sim" else 1e-9) for k in ("sim", "kw") if by in (k, "both")}
+
+    def keyword(self, row: np.ndarray, word: np.ndarray, n: int) -> np.ndarray:
+        """Shares of the questions' words that rows hold; (row, word) are distinct."""
+        q = len(self.key)
+        own = self.rank[word] >= 0
+        holds = np.zeros((n, len(self.common)), np.float32)
+        holds[row[own], self.rank[word[own]]] = 1
+        found = (holds @ self.table).astype(np.int64)  # counts below 2**24 are exact
+        row, word = row[~own], word[~own]
+        size = self.first[word + 1] - self.first[word]
+        at = np.repeat(self.first[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        found += np.bincount(np.repeat(row, size) * q + self.question[at], self.times[at], n * q).astype(np.int64).reshape(n, q)
+        return np.round(found / self.length, PLACES)
+
+    def meet(self, ids: np.ndarray, documents: np.ndarray, X: np.ndarray | None, row: np.ndarray, word: np.ndarray) -> None:
+        zero = np.zeros((len(ids), len(self.key)))
+        sim = np.round(X @ self.vectors.T, PLACES) + 0.0 if self.by != "kw" else zero
+        kw = self.keyword(row, word, len(ids)) if self.by != "sim" else zero
+        seen = np.broadcast_to(self.free, sim.shape)
+        asked = [d for d in set(documents.tolist()) if d in self.bound]
+        if asked:
+            seen = seen.copy()
+            for d in asked:
+                seen[np.ix_(documents == d, self.bound[d])] = True
+        for k, best in self.best.items():
+            best.add(*((sim, seen, ids, kw) if k == "sim" else (kw, seen, ids, sim)))
+
+    def rows(self) -> pd.DataFrame:
+        found = []
+        for k, best in self.best.items():
+            q, score, ids, other = best.settle()
+            found.append(pd.DataFrame({"q": q, "chunk_id": ids, "sim": score if k == "sim" else other, "kw": other if k == "sim" else score}))
+        out = pd.concat(found).drop_duplicates(["q", "chunk_id"])
+        q = out["q"].to_numpy()
+        return pd.DataFrame({"qid": [self.key[j][0] for j in q], "list_no": [self.key[j][1] for j in q], "chunk_id": out["chunk_id"], "sim": out["sim"], "kw": out["kw"]})
+
+
+def score_candidates(chunks: DataFrame, queries: DataFrame, keep: int, dim: int = DIM, by: str = "both", block: int = BLOCK, questions_a_pass: int = PASS) -> DataFrame:
     """Rows (qid, list_no, chunk_id, sim, kw) that hold of each query at least its ``keep`` best chunks by sim and its ``keep`` best by kw
-    above 0 (by: both, sim or kw), ties by chunk_id.
+    above 0 (by: both, sim or kw), ties by chunk_id. At most 2 * keep rows come from a task for each query.
 
     chunks(chunk_id, document_id, text[, embedding]); queries(qid, list_no, question, document_id[, vector]). A query with a
     document_id sees that document only. kw: the share of the query's words that occur in the text, as substrings of the lower-cased
-    text, repeated words counted each time. sim: cosine of the embeddings, hashed from the words unless given.
+    text, repeated words counted each time; as words hold no white space, that is as substrings of the text's own words. sim: cosine of
+    the embeddings: those given (embedding, vector) or, where chunks have none, hashed from the words.
     """
     spark = chunks.sparkSession
     ship(spark)
     vector = F.col("vector") if "vector" in queries.columns else F.lit(None).cast("array<double>")
     ask = queries.select("qid", "list_no", "document_id", tokens("question").alias("words"), vector.alias("vector"))
     given = "embedding" in chunks.columns
-    words = [] if given or by == "kw" else [tokens("text").alias("words")]
-    rows = chunks.select("chunk_id", "document_id", F.lower("text").alias("text"), *words, *["embedding"] * given)
+    rows = chunks.select("chunk_id", "document_id", tokens("text").alias("words"), *["embedding"] * given)
     schema = f"qid {ask.schema['qid'].dataType.simpleString()}, list_no int, chunk_id string, sim double, kw double"
     out: DataFrame | None = None
 
     def run_for(shared):
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            q = _Block(*shared.value)
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            asked = shared.value
+            words = sorted({w for r in asked for w in r["words"]}) if by != "sim" else []
+            number = {w: k for k, w in enumerate(words)} if by != "sim" else {w: 0 for r in asked for w in r["words"]}
+            blocks = [_Block(asked[a : a + block], number, dim, keep, by) for a in range(0, len(asked), block)]
+            known = _Words(words, dim)
             for batch in batches:
-                if not len(batch):
-                    continue
-                ids = batch["chunk_id"].to_numpy()
-                order = np.argsort(ids)  # ties go by chunk_id
-                batch, ids = batch.iloc[order], ids[order]
-                sim = np.zeros((len(ids), len(q.key)))
-                if by != "kw":
-                    X = np.stack(batch["embedding"].to_numpy()).astype(float) if given else embed([list(w) if w is not None else [] for w in batch["words"]], q.vectors.shape[1])
-                    sim = np.round(X @ q.vectors.T, PLACES) + 0.0
-                kw = np.round(q.keyword(list(batch["text"])), PLACES) if by != "sim" else np.zeros_like(sim)
-                own = batch["document_id"].to_numpy()
-                r, c = [], []
-                for j in range(len(q.key)):
-                    seen = np.arange(len(ids)) if q.documents[j] is None else np.flatnonzero(own == q.documents[j])
-                    best = set()
+                names = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+                batch = batch.take(pa.array(np.argsort(names.astype(str), kind="stable")))  # ties go by chunk_id
+                for a in range(0, batch.num_rows, ROWS):
+                    part = batch.slice(a, ROWS)
+                    ids, documents = (part.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "document_id"))
+                    row, word, slots, signs, found = known.of(part.column("words"))
+                    X = None
                     if by != "kw":
-                        best.update(seen[np.argsort(-sim[seen, j], kind="stable")[:keep]])
-                    if by != "sim":
-                        some = seen[kw[seen, j] > 0]
-                        best.update(some[np.argsort(-kw[some, j], kind="stable")[:keep]])
-                    r.extend(best)
-                    c.extend([j] * len(best))
-                keys = [q.key[j] for j in c]
-                yield pd.DataFrame({"qid": [k[0] for k in keys], "list_no": [k[1] for k in keys], "chunk_id": ids[r], "sim": sim[r, c], "kw": kw[r, c]})
+                        X = np.array(part.column("embedding").to_pylist(), float) if given else np.bincount(row * dim + slots[word], signs[word], len(ids) * dim).reshape(-1, dim)
+                        length = np.sqrt((X * X).sum(1, keepdims=True))
+                        X = X if given else X / np.where(length > 0, length, 1)
+                    size = np.array([len(x) for x in found], np.int64)
+                    flat = np.concatenate([np.zeros(0, np.int64), *found])
+                    at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(size[word].sum())
+                    pair = np.unique(np.repeat(row, size[word]) * max(len(words), 1) + flat[at])
+                    for b in blocks:
+                        b.meet(ids, documents, X, pair // max(len(words), 1), pair % max(len(words), 1))
+            for b in blocks:
+                yield pa.RecordBatch.from_pandas(b.rows(), schema=result, preserve_index=False)
 
         return run
 
-    for part in _blocks(ask, block):
-        found = rows.mapInPandas(run_for(spark.sparkContext.broadcast((part, dim))), schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    result = to_arrow_schema(spark.createDataFrame([], schema).schema)
+    for part in _passes(ask, questions_a_pass):
+        found = rows.mapInArrow(run_for(spark.sparkContext.broadcast(part)), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 

@@ -29,8 +29,8 @@ VIEWS = {
         ("lines",),
     ),
     "questions": (
-        "SELECT item_id AS qid, substr(text, 1, 120) AS question, CASE WHEN item_id % 3 = 0 THEN CAST(item_id * 7 % 100 AS VARCHAR) END AS document_id, "
-        "CASE WHEN item_id % 2 = 0 THEN string_split(text, chr(10))[1] END AS hypothetical_answer FROM benchmark",
+        "SELECT item_id AS qid, text AS question, CASE WHEN item_id % 3 = 0 THEN CAST(lo + item_id * 7919 % (hi - lo + 1) AS VARCHAR) END AS document_id, "
+        "CASE WHEN item_id % 2 = 0 THEN string_split(text, chr(10))[1] END AS hypothetical_answer FROM benchmark, (SELECT min(doc_id) AS lo, max(doc_id) AS hi FROM documents)",
         (),
     ),
     "memory": (

@@ -58,13 +58,15 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid, question, document_id (a document for every third), hypothetical_answer (null for every second): from the benchmark."""
+    """qid, question (the whole text), document_id (for every third, from the range of all documents), hypothetical_answer (null for every
+    second): from the benchmark."""
     items = table(spark, sf_dir, "benchmark")
+    ids = table(spark, sf_dir, "documents").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     q = F.col("item_id")
     head = F.element_at(F.split("text", "\n"), 1)
-    return items.select(
-        q.alias("qid"), F.substring("text", 1, 120).alias("question"), F.when(q % 3 == 0, (q * 7 % 100).cast("string")).alias("document_id"),
-        F.when(q % 2 == 0, head).alias("hypothetical_answer"),
+    asked = F.col("lo") + (q * 7919) % (F.col("hi") - F.col("lo") + 1)
+    return items.join(F.broadcast(ids)).select(  # ids is one row
+        q.alias("qid"), F.col("text").alias("question"), F.when(q % 3 == 0, asked.cast("string")).alias("document_id"), F.when(q % 2 == 0, head).alias("hypothetical_answer"),
     )
 
 
