@@ -31,6 +31,14 @@ def _upper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"cache_key": frame["cache_key"], "translated_text": text.str.upper().where(~text.str.match(r"\d"), None)})
 
 
+@backend("marked")
+def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Another: the text behind a mark; texts with a digit in front fail."""
+    for frame in frames:
+        text = frame["source_text"]
+        yield pd.DataFrame({"cache_key": frame["cache_key"], "translated_text": ("[vi] " + text).where(~text.str.match(r"[0-9]"), None)})
+
+
 def keyed(requests: DataFrame) -> DataFrame:
     """Adds cache_key to requests(source_text, lang_in, lang_out, service, model)."""
     return requests.withColumn("cache_key", memory_key("lang_in", "lang_out", "service", "model", "source_text"))

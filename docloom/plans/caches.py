@@ -37,7 +37,14 @@ def clean_translation(spark: SparkSession, sf: str) -> DataFrame:
     return S.lines(spark, sf).select("document_id", "line_no", T.clean_translation(rough).alias("text"))
 
 
-@query("protect_restore")
+_PARTS = "regexp_split_to_array(line, '\\p{L}{9,}')"
+
+
+@query(
+    "protect_restore",
+    f"SELECT document_id, k AS line_no, array_to_string(list_transform({_PARTS}, lambda x, i: CASE WHEN i = 1 THEN x ELSE '{{v' || (i - 1) || '}}' || x END), '') AS protected, CAST(len({_PARTS}) - 1 AS INTEGER) AS n_formulas, true AS same FROM lines",
+    ("lines",),
+)
 def protect_restore(spark: SparkSession, sf: str) -> DataFrame:
     """Every word of more than 8 letters stands for a formula; restoring gives the line again."""
     text, found = T.protect("line", r"\p{L}{9,}")
@@ -136,9 +143,21 @@ def apply_hits(spark: SparkSession, sf: str) -> DataFrame:
     return M.apply_hits(memory, hits).select("cache_key", "hit_count", "last_used")
 
 
-@query("translate_documents")
+_CLEAN = (
+    "regexp_replace(regexp_replace(regexp_replace(regexp_replace(" + _STRIP.format("{0}") + ", '\\s+([.,;:!?])', '\\1', 'g'), '([,;:])(\\p{{L}})', '\\1 \\2', 'g'), "
+    "'([.!?])([A-Z])', '\\1 \\2', 'g'), ' {{2,}}', ' ', 'g')"
+)
+
+
+@query(
+    "translate_documents",
+    f"SELECT request_id, CASE WHEN m.expires_at >= {NOW} THEN 'hit' WHEN NOT regexp_matches(r.source_text, '^\\d') THEN 'translated' ELSE 'failed' END AS status, "
+    f"CASE WHEN m.expires_at >= {NOW} THEN m.translated_text WHEN NOT regexp_matches(r.source_text, '^\\d') THEN {_CLEAN.format(chr(39) + '[vi] ' + chr(39) + ' || r.source_text')} ELSE r.source_text END AS translated_text "
+    "FROM requests r LEFT JOIN memory m USING (cache_key)",
+    ("requests", "memory"),
+)
 def translate_documents(spark: SparkSession, sf: str) -> DataFrame:
-    rows, _ = M.translate(M.keyed(S.memory_requests(spark, sf)), S.memory(spark, sf), NOW)
+    rows, _ = M.translate(M.keyed(S.memory_requests(spark, sf)), S.memory(spark, sf), NOW, using="marked")
     return rows.select("request_id", "status", "translated_text")
 
 

@@ -34,12 +34,24 @@ def events_unified(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("event_wire")
+@query(
+    "event_wire",
+    "SELECT kind AS event, '{\"session_id\":\"' || session_id || '\",\"ts_us\":' || ts_us || CASE WHEN k IS NULL THEN '' ELSE ',\"k\":' || k END || CASE WHEN value IS NULL THEN '' ELSE ',\"value\":' || CAST(value AS VARCHAR) END || '}' AS data FROM ev",
+    ("ev",),
+)
 def event_wire(spark: SparkSession, sf: str) -> DataFrame:
     return P.event_wire(S.events(spark, sf).select("kind", "session_id", "ts_us", "k", "value"))
 
 
-@query("parse_event_log")
+@query(
+    "parse_event_log",
+    "WITH b AS (SELECT session_id AS log_id, event_id, k, value, CASE WHEN k % 3 <> 0 THEN kind END AS kind, coalesce(k % 7 <> 0, false) AS has_data FROM ev), "
+    "r AS (SELECT *, coalesce(count(*) FILTER (has_data) OVER (PARTITION BY log_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM b), "
+    "t AS (SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY log_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM r) "
+    "SELECT log_id, CAST(row_number() OVER (PARTITION BY log_id ORDER BY event_id) AS INTEGER) AS event_no, coalesce(kept, 'message') AS event, '{\"k\": ' || k || ',' || chr(10) || '\"value\": ' || CAST(value AS VARCHAR) || '}' AS data, true AS is_json "
+    "FROM t WHERE has_data",
+    ("ev",),
+)
 def parse_event_log(spark: SparkSession, sf: str) -> DataFrame:
     """Every session's events written as an event stream, and parsed again."""
     ev = S.events(spark, sf)

@@ -157,7 +157,12 @@ def citations(spark: SparkSession, sf: str) -> DataFrame:
     return answers.citations(_hits(spark, sf)[0]).drop("bbox")
 
 
-@query("citation_labels")
+@query(
+    "citation_labels",
+    ALL + "SELECT qid, rank, regexp_replace('Trang ' || page || ': ' || substr(substr(text, 1, 150) || '...', 1, 100) || '... ' || concat_ws(' ', CASE WHEN has_equations THEN '[Eq]' END, CASE WHEN has_tables THEN '[Table]' END, CASE WHEN has_figures THEN '[Fig]' END) "
+    "|| ' ' || CASE WHEN similarity_score > 0 THEN '(' || printf('%.1f', round_even(similarity_score * 100, 1)) || '%)' ELSE '' END, '^ +| +$', '', 'g') AS label FROM hits",
+    ("chunks", "questions"),
+)
 def citation_labels(spark: SparkSession, sf: str) -> DataFrame:
     return answers.citations(_hits(spark, sf)[0]).select("qid", "rank", answers.citation_label().alias("label"))
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.plans.registry import ORACLES, query
+from docloom.plans.registry import ORACLES, query, with_views
 from docloom.streaming import events as E
 
 _OWN: list[str] = []
@@ -28,7 +28,7 @@ def _folder(spark: SparkSession) -> str:
 
 @query("stream_session_status", ORACLES["session_status"])
 def stream_session_status(spark: SparkSession, sf: str) -> DataFrame:
-    return E.run_to_end(E.status(E.read_events(spark, f"{sf}/events.parquet")), _folder(spark), "update", ["session_id"])
+    return E.run_to_end(E.status(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id"])
 
 
 @query("stream_dedupe_consecutive", ORACLES["dedupe_consecutive"])
@@ -37,7 +37,34 @@ def stream_dedupe_consecutive(spark: SparkSession, sf: str) -> DataFrame:
     return E.run_to_end(E.without_repeats_classic(views), _folder(spark))
 
 
-@query("stream_ticker")
+@query("stream_ticker", with_views("SELECT session_id, ts_us // 200000 * 200000 AS tick_us, arg_max(value, {t: ts_us, e: event_id}) AS value, count(*) AS n FROM ev GROUP BY ALL", "ev"))
 def stream_ticker(spark: SparkSession, sf: str) -> DataFrame:
     """All ticks, those that the watermark has not closed included."""
-    return E.run_to_end(E.ticker(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id", "tick"])
+    ticks = E.run_to_end(E.ticker(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id", "tick"])
+    return ticks.select("session_id", F.unix_micros("tick").alias("tick_us"), "value", "n")
+
+
+@query(
+    "stream_progress",
+    with_views(
+        "SELECT session_id, done, round(50 + 40 / 40.0::DOUBLE * done, 6) AS percent, round(CASE WHEN done < 40 AND done >= 2 AND hi > lo THEN (40 - done) / (done / ((hi - lo) / 1e6)) END, 3) AS eta_s "
+        "FROM (SELECT session_id, count(*) AS done, min(ts_us) AS lo, max(ts_us) AS hi FROM ev WHERE kind = 'chunk_ready' GROUP BY session_id)",
+        "ev",
+    ),
+)
+def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    return E.run_to_end(E.progress(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None), 40), _folder(spark), "update", ["session_id"])
+
+
+@query(
+    "stream_debounce",
+    with_views(
+        "WITH v AS (SELECT session_id, ts_us, event_id, 1 + k % 20 AS page FROM ev WHERE event_type = 'view'), d AS (SELECT *, lead(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id) AS nxt FROM v) "
+        "SELECT session_id, page, ts_us, event_id FROM d WHERE (nxt IS NULL OR nxt - ts_us >= 7200000000) AND ts_us + 7200000000 <= (SELECT max(ts_us) - 600000000 FROM v)",
+        "ev",
+    ),
+)
+def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
+    """The last page of each burst that the watermark has closed; bursts are parted by two hours here."""
+    views = E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None).where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
+    return E.run_to_end(E.debounce(views, "2 hours"), _folder(spark))
