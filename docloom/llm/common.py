@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-import os
+import ctypes
 import tempfile
 import uuid
-from pathlib import Path
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.session import ship  # noqa: F401
+
 _OWN: list[str] = []
+Batches = Iterator[pa.RecordBatch]
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def ship(spark: SparkSession) -> None:
-    """Lets Python workers import this package from where the driver has it."""
-    root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
-    if root not in known and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join([x for x in [root, *known] if x])
+def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run, giving freed memory back to the system at the end of a task: workers live on, beside the executor's heap."""
+
+    def wrapped(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,9 +47,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes df as Parquet to the shared folder and reads it back: cuts the lineage and survives lost executors. The table goes when the
+    application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -70,7 +82,18 @@ def bit_hit(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
     return (bitmap[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Joins the groups of p and q pair by pair; label[i] is the first row of i's group, of which the label is itself."""
+    while True:
+        a, b = label[p], label[q]
+        if (a == b).all():
+            return label
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while (label != label[label]).any():
+            label = label[label]
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges(a, b): (node, comp), comp being the smallest node of the component.
 
     Min-label propagation with pointer jumping: each round a node takes the least label among its own and its
@@ -81,7 +104,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges"
     )
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
-    for _ in range(max_rounds):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels.node == near.a).select("node", F.col("comp").alias("was"), F.least("comp", "near").alias("comp"))
         up = labels.select(F.col("node").alias("via"), F.col("comp").alias("root"))
@@ -90,4 +113,3 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         labels = step.select("node", "comp")
         if not step.where("moved").limit(1).count():
             return labels
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")

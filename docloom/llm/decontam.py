@@ -10,14 +10,15 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textbytes as tb
-from docloom.llm.common import ship
+from docloom.llm.common import lean, ship
 
-#: Characters of normalised items in one automaton; a larger benchmark is taken in blocks of items, each with a scan of its own.
-BLOCK_CHARS = 8 << 20
+#: Characters of items in one automaton, some hundred megabytes; a larger benchmark is taken in blocks of items, each with an automaton and a scan.
+BLOCK_CHARS = 1 << 19
 
 
 def normal(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -46,7 +47,7 @@ def windows(item: str, width: int) -> list[str]:
     return [f" {' '.join(w[i : i + width])} " for i in range(max(1, len(w) - width + 1))] if w else []
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def automaton(items: tuple[tuple[str, str], ...], width: int) -> ahocorasick.Automaton:
     """Payload of a window: (its words, the ids of the items that hold it)."""
     found: dict[str, set[str]] = {}
@@ -79,73 +80,73 @@ def scan(text: str, machine: ahocorasick.Automaton) -> tuple[list[tuple[int, int
     return runs, {i for _, (_, _, ids) in matches for i in ids}
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[tuple[tuple[str, str], ...]]:
-    """Items (id, text) in blocks of at most block_chars together; a longer item comes alone. Test sets are small by nature: they pass
-    through the driver by partitions, and only blocks are broadcast."""
-    blocks: list[list[tuple[str, str]]] = [[]]
-    size = 0
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Broadcast]:
+    """Items (id, text) in blocks of at most block_chars together, a broadcast each; a longer item comes alone. Rows come to the driver a
+    partition at a time and go on as they come."""
+    spark, blocks, block, size = benchmark.sparkSession, [], [], 0
     for r in benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("string").alias("i"), "text").orderBy("i", "text").toLocalIterator():
         if size and size + len(r["text"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["i"], r["text"]))
+            blocks.append(spark.sparkContext.broadcast(tuple(block)))
+            block, size = [], 0
+        block.append((r["i"], r["text"]))
         size += len(r["text"])
-    return [tuple(b) for b in blocks]
+    return [*blocks, spark.sparkContext.broadcast(tuple(block))] if block else blocks
 
 
-def examine(column: pa.Array, blocks: list[tuple[tuple[str, str], ...]], width: int, share: float) -> list[pa.Array]:
-    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each text."""
+def examine(column: pa.Array, blocks: list[Broadcast], width: int, percent: int) -> list[pa.Array]:
+    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each text. A worker keeps one automaton: it goes through all texts of
+    the batch before the next block's is built."""
     data, at = tb.strings(column)
     n = len(column)
     words, hit, items, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
     sha = np.array([hashlib.sha256(b"").hexdigest()] * n, object)
-    for i, j, part, own in tb.pieces(data, at):
-        texts, starts, ends, word_at = normal(part, own)
-        words[i:j] = np.diff(word_at)
-        found: list[tuple[list[tuple[int, int]], set[str]]] = [([], set()) for _ in texts]
-        for block in blocks:
-            machine = automaton(block, width)
+    found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
+    for block in blocks or [None]:
+        machine = automaton(block.value, width) if block is not None else ()
+        for i, j, part, own in tb.pieces(data, at):
+            texts, _, _, word_at = normal(part, own)
+            words[i:j] = np.diff(word_at)
             for k, text in enumerate(texts):
                 runs, ids = scan(text, machine)
                 if runs:
-                    found[k] = (merged(found[k][0] + runs), found[k][1] | ids)
-        for k, (runs, ids) in enumerate(found):
-            if not runs:
-                continue
-            hit[i + k], items[i + k] = sum(b - a for a, b in runs), len(ids)
-            sha[i + k] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
-            chars = np.cumsum((part[own[k] : own[k + 1]] & 0xC0) != 0x80)  # code points up to and with a byte
-            spans[i + k] = [{"begin": int(chars[starts[word_at[k] + a] - own[k]]) - 1, "end": int(chars[ends[word_at[k] + b - 1] - 1 - own[k]])} for a, b in runs]
-    bad = (hit > 0) & (hit >= share * words - 1e-9)
+                    before = found.get(i + k, ([], set()))
+                    found[i + k] = (merged(before[0] + runs), before[1] | ids)
+    for k, (runs, ids) in found.items():
+        text = data[at[k] : at[k + 1]]
+        starts, ends, _ = tb.words(text, np.array([0, len(text)]), tb.NOT_ALNUM)
+        hit[k], items[k] = sum(b - a for a, b in runs), len(ids)
+        sha[k] = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        chars = np.cumsum((text & 0xC0) != 0x80)  # code points up to and with a byte
+        spans[k] = [{"begin": int(chars[starts[a]]) - 1, "end": int(chars[ends[b - 1] - 1])} for a, b in runs]
+    bad = (hit > 0) & (100 * hit >= percent * words)
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     return [pa.array(words), pa.array(hit), pa.array(items), pa.array(sha, pa.string()), pa.array(bad), pa.array([x or [] for x in spans], kind)]
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
     benchmark(item_id, text) holds questions and answers, one text each. Texts are lower-cased (A-Z), words are letters,
     digits and all code points from 128; a window is width words of an item, or all of a shorter item. A word inside any
-    occurrence of a window is hit; contaminated: some word is, and hit words are at least ``share`` of all. spans are the hit
-    runs in the original text as array<struct<begin, end>>, 0-based code points, end behind the last.
+    occurrence of a window is hit; contaminated: some word is, and hit words are at least ``percent`` in a hundred of all. spans are the
+    hit runs in the original text as array<struct<begin, end>>, 0-based code points, end behind the last.
 
-    The benchmark's blocks are broadcast, bounded by block_chars each; texts are scanned once a block, which is once at all for
-    any usual benchmark, and never shuffled then. Null and empty texts have no words and are clean; items without words or with
-    null text match nothing; repeated items or rows count as they stand; null or repeated doc_ids stay as rows; either table may
-    be empty.
+    The benchmark goes to every worker in blocks of at most block_chars; a worker holds the texts of all blocks and the automaton of one.
+    Texts are scanned once a block, which is once at all for any usual benchmark, and never shuffled. Null and empty texts have no
+    words and are clean; items without words or with null text match nothing; repeated items or rows count as they stand; null or
+    repeated doc_ids stay as rows; other columns are left out; either table may be empty.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     blocks = item_blocks(benchmark, block_chars)
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:int,end:int>>"
-    shared = docs.sparkSession.sparkContext.broadcast(blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = examine(batch.column("text"), shared.value, width, share)
+            found = examine(batch.column("text"), blocks, width, percent)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), schema)
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -158,13 +159,15 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, share: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, that find_contamination would not call contaminated. A map, without a shuffle."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs, all columns whatever their names, that find_contamination would not call contaminated; repeated rows are judged
+    alike, rows with null or empty text stay, empty tables give no rows or all. A map, without a shuffle."""
     ship(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(item_blocks(benchmark, block_chars))
+    blocks = item_blocks(benchmark, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pc.invert(examine(batch.column("text"), shared.value, width, share)[4]))
+            yield batch.filter(pc.invert(examine(batch.column(names.index("text")), blocks, width, percent)[4]))
 
-    return docs.mapInArrow(run, docs.schema)
+    names = docs.columns
+    return docs.mapInArrow(lean(run), docs.schema)

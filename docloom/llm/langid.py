@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import sampling, textbytes as tb
-from docloom.llm.common import ship
+from docloom.llm.common import lean, ship
 
 U = np.uint64
 #: Subwords are runs of these many bytes, spaces included, in lower case.
@@ -44,10 +44,14 @@ class LangModel:
 
     def logits(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         total, count, buckets = np.zeros((len(at) - 1, len(self.classes))), np.zeros(len(at) - 1), len(self.table) - 1
-        if len(data):
-            for h, n in subwords(data, at, buckets):
-                total += tb.sum_by(np.take(self.table, h, axis=0), at)
-                count += n
+        for g in GRAMS:
+            count += np.maximum(np.diff(at) - g + 1, 0)
+        for a in range(0, len(data), tb.SEGMENT):  # a longer text than a segment comes alone; its subwords run on behind a segment's end
+            b = min(len(data), a + tb.SEGMENT)
+            more = min(len(data), b + max(GRAMS) - 1)
+            own = np.clip(at - a, 0, more - a)
+            for h, _ in subwords(data[a:more], own, buckets):
+                total += tb.sum_by(np.take(self.table, h[: b - a], axis=0), np.minimum(own, b - a))
         return total / np.maximum(count, 1)[:, None] + self.bias
 
     def predict(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -142,4 +146,4 @@ def identify(docs: DataFrame, model: LangModel, reject: bool = True) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names[best], pa.string()), pa.array(p), pa.array(ok)], ["doc_id", "lang_pred", "score", "accepted"])
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
-    return docs.select("doc_id", "text", letters).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", letters).mapInArrow(lean(run), schema)

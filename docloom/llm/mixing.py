@@ -9,10 +9,11 @@ from docloom.llm.common import materialize
 
 #: Words parted by ASCII whitespace.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Buckets of the seeded order within a source; sums per source and bucket are all that the cut is found from.
-BUCKETS = 4096
-#: The table of sources is a manifest: one row each, ranked in one task.
-MAX_SOURCES = 1_000_000
+#: A source's cut in the seeded order is found by the upper bits of the hash: 12, then 24, then all 63. Each look needs one sum for each
+#: value of the next bits, 4,096 a source, and at last one for each document that shares the 24 bits of the cut.
+LEVELS = (51, 39, 0)
+#: Tables with a row for each source are broadcast up to so many rows, and joined by Spark's choice beyond.
+BROADCAST_SOURCES = 100_000
 
 
 def word_count(text: str | Column) -> Column:
@@ -20,12 +21,19 @@ def word_count(text: str | Column) -> Column:
 
 
 def cyclic_weights(sources: DataFrame, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
-    """Adds weight: the cycle repeated over the sources by code point, null last. sources has a row for each source."""
-    n = sources.count()
-    if n > MAX_SOURCES:
-        raise ValueError(f"{n} sources; a manifest of weights is needed beyond {MAX_SOURCES}")
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    return sources.withColumn("weight", F.element_at(F.array(*[F.lit(float(x)) for x in cycle]), (rank % len(cycle) + 1).cast("int")))
+    """Adds weight: the cycle repeated over the sources by code point, null last. sources has a row for each source.
+
+    Ranks come from ranges of sources: a row's place within its range, and the counts of the ranges before.
+    """
+    ranged = sources.repartitionByRange(F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = materialize(ranged.withColumns({"_part": F.spark_partition_id(), "_place": place}), "ranges")
+    parts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    rank = F.col("_place") + F.col("before")
+    weights = F.array(*[F.lit(float(x)) for x in cycle])
+    ranged = ranged.join(F.broadcast(parts.select(F.col("_part"), before.alias("before"))), "_part")
+    return ranged.withColumn("weight", F.element_at(weights, (rank % len(cycle) + 1).cast("int"))).select(*sources.columns, "weight")
 
 
 def water_fill(sources: DataFrame, total: float | None = None, max_epochs: float = 3.0) -> DataFrame:
@@ -48,24 +56,22 @@ def water_fill(sources: DataFrame, total: float | None = None, max_epochs: float
         seen, level = row["n"], max(level, (total - row["cap"]) / row["weight"])
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3), with_rows: bool = False) -> DataFrame:
-    """One row for each row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+def _with(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows joined with table, which has a row for each source in _s."""
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    return rows.join(F.broadcast(table) if few else table, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
-    with_rows adds the whole row as the struct ``row``; it is then read again with docs, not shuffled.
 
-    A source's target over its size gives epochs e: every document is taken floor(e) times whole, and once more for
-    the documents first in a seeded hash order until their words fill the fraction, to the nearest document. The cut is
-    found from sums per (source, hash bucket), at most BUCKETS a source, so a hot source never meets in one task; only
-    the bucket in which the cut falls is ordered.
+def _order(seed: int) -> Column:
+    """A document's place in the seeded order, 63 bits of id and text: rows that repeat an id, or have none, are spread by their texts."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.xxhash64("text")), 1)
 
-    weights(source, weight) overrides the cycle; sources that it lacks get 0. Null text has size 0 and is a document
-    like others; null source is a source, last in order; null or repeated ids share a place in the order and stay
-    separate rows; an empty table gives no rows. Other columns of docs are left out, so none can clash.
-    """
-    order = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"))
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"), order.alias("_h"), *[F.struct(*docs.columns).alias("row")] * with_rows)
-    sized = (sized if with_rows else materialize(sized, "sized")).withColumn("_b", F.shiftrightunsigned("_h", 64 - 12).cast("int"))
-    sums = materialize(sized.groupBy("source", "_b").agg(F.sum("size").alias("words")), "sums")
+
+def _plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
+    """A row for each source of sized(source, size, h): _s, source_size, target, whole, cut, share. A document of the source is taken
+    ``whole`` times, once more if its h is below cut, and of those at cut a part of ``share``."""
+    first = F.shiftright("h", LEVELS[0])
+    sums = materialize(sized.groupBy("source", first.alias("b")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "sums")
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
     if weights is None:
         sources = cyclic_weights(sources, cycle)
@@ -74,25 +80,54 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: i
         sources = sources.join(w, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").fillna(0.0, ["weight"])
     plan = water_fill(materialize(sources, "sources"), max_epochs=max_epochs)
     plan = plan.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    plan = materialize(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("_s", F.col("source")).drop("source", "weight"), "plan")
-    same = F.col("source").eqNullSafe(F.col("_s"))
-    # A source's cut: the bucket in which the running sum passes the rest.
-    running = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))).join(plan, same)
-    cuts = cuts.where("before < rest AND rest <= before + words AND whole < {0}".format(int(max_epochs))).select(F.col("_s").alias("_cs"), F.col("_b").alias("cut"), "before")
-    plan = materialize(plan.join(cuts, F.col("_s").eqNullSafe(F.col("_cs")), "left").drop("_cs"), "plan")
-    rows = sized.join(plan, same).drop("_s")
-    at_cut = rows.where("_b = cut")
-    inner = Window.partitionBy("source", "_b").orderBy("_h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = at_cut.withColumn("extra", (F.col("before") + F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    others = rows.where("cut IS NULL OR _b <> cut").withColumn("extra", F.coalesce(F.col("_b") < F.col("cut"), F.lit(False)).cast("long"))
-    return others.unionByName(at_cut).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("whole") + F.col("extra")).alias("copies"), ((F.col("whole") + F.col("extra")) * F.col("size")).alias("taken"),
-        *["row"] * with_rows,
-    )
-
-
-def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: each row of docs, all columns, as often as mix_sources takes it."""
-    rows = mix_sources(docs, with_rows=True, **how).where("copies > 0")
-    return rows.select("row.*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("_copy")).drop("_copy")
+    plan = materialize(plan.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumnRenamed("source", "_s").drop("weight"), "plan")
+    at = plan.where(f"rest > 0 AND whole < {int(max_epochs)}").select("_s", "rest", F.lit(0).cast("long").alias("base"), F.lit(None).cast("long").alias("prefix"))
+    for k, level in enumerate(LEVELS):
+        if k:
+            inside = _with(sized, at.select("_s", "prefix")).where(F.shiftright("h", LEVELS[k - 1]) == F.col("prefix"))
+            sums = inside.groupBy("source", F.shiftright("h", level).alias("b")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n"))
+        running = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        found = _with(sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))), at.select("_s", "rest", "base"))
+        found = found.withColumn("base", F.col("base") + F.col("before")).where("base < rest AND rest <= base + words")
+        at = materialize(found.select(F.col("source").alias("_s"), "rest", "base", F.col("b").alias("prefix"), "words", "n"), "cuts")
+    taken = F.round((F.col("rest") - F.col("base")) / (F.col("words") / F.col("n")))  # of the documents at the cut, to the nearest
+    at = at.select(F.col("_s").alias("_c"), F.col("prefix").alias("cut"), (taken / F.col("n")).alias("share"))
+    return materialize(plan.join(at, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c", "rest"), "plan")
+
+
+def _copies(seed: int) -> Column:
+    """How often a row is taken; h, whole, cut and share are its columns. Only among rows that repeat id and text, where the cut falls
+    into them, is there a draw."""
+    at_cut = (F.col("h") == F.col("cut")) & (F.rand(seed) < F.col("share"))
+    return F.col("whole") + F.coalesce((F.col("h") < F.col("cut")) | at_cut, F.lit(False)).cast("long")
+
+
+def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
+    return materialize(docs.select(*more, "source", word_count("text").alias("size"), _order(seed).alias("h")), "sized")
+
+
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """One row for each row of docs(doc_id, text, source): doc_id, source, size, source_size, target, copies, taken.
+
+    A source's target over its size gives epochs e: every document is taken floor(e) times whole, and once more for
+    the documents first in a seeded hash order until their words fill the fraction, to the nearest document. That is a limit on the hash,
+    exact for each source, found from sums by the hash's upper bits; so a hot source never meets in one task, and what is
+    taken is then a map over the documents.
+
+    weights(source, weight) overrides the cycle; sources that it lacks get 0. Null text has size 0 and is a document
+    like others; null source is a source, last in order; rows with a null or repeated id have places by their texts, and of rows that
+    repeat both a part is drawn where the limit falls among them; an empty table gives no rows. Other columns of docs are left
+    out, so none can clash.
+    """
+    sized = _sized(docs, seed, "doc_id")
+    rows = _with(sized, _plan(sized, weights, max_epochs, cycle)).withColumn("copies", _copies(seed))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
+    """The mix itself: each row of docs, all its columns whatever their names, as often as mix_sources takes it, nulls and ties as there.
+    The limits come from narrow rows; texts are then mapped, not shuffled. An empty table gives no rows."""
+    plan = _plan(_sized(docs, seed), weights, max_epochs, cycle)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", _order(seed).alias("h"))
+    rows = _with(rows, plan).select("row", _copies(seed).cast("int").alias("copies"))
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")

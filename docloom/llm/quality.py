@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import sampling, textbytes as tb
-from docloom.llm.common import ship
+from docloom.llm.common import lean, ship
 
 U = np.uint64
 #: Texts per batch of the fit.
@@ -150,4 +150,4 @@ def grade(docs: DataFrame, model: OrdinalModel, select_from: int = 1, min_tail:
                 pa.array(tail), pa.array(tail >= min_tail),
             ], ["doc_id", "expected_grade", "tails", "tail", "kept"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, expected_grade double, tails array<double>, tail double, kept boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {kind}, expected_grade double, tails array<double>, tail double, kept boolean")

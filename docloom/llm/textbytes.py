@@ -17,6 +17,8 @@ NOT_ALNUM = (_B < 0x80) & ~(((_B >= 0x30) & (_B <= 0x39)) | ((_B >= 0x41) & (_B
 #: A-Z to a-z.
 LOWER = np.where((_B >= 0x41) & (_B <= 0x5A), _B + 32, _B).astype(np.uint8)
 _R = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
+#: Bytes that are taken at once within a text, so that tables and scratch arrays don't grow with the longest one.
+SEGMENT = 1 << 20
 _POWERS: list[np.ndarray] = []
 
 
@@ -65,21 +67,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n + 1:
-        size = max(1 << 20, 1 << int(n + 1).bit_length())
-        inv = pow(_R, -1, 1 << 64)
-        make = lambda b: np.cumprod(np.concatenate([np.ones(1, U), np.full(size, b, U)]))
-        _POWERS[:] = [make(_R), make(inv)]
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _R and of its inverse, up to SEGMENT."""
+    if not _POWERS:
+        for base in (_R, pow(_R, -1, 1 << 64)):
+            _POWERS.append(np.cumprod(np.concatenate([np.ones(1, U), np.full(SEGMENT, base, U)])))
     return _POWERS[0], _POWERS[1]
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, the same wherever it stands: differences of one running polynomial sum."""
-    up, down = _powers(len(data))
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * down[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * up[starts])
+    """A 64-bit hash of each word, the same wherever it stands: differences of one running polynomial sum, in segments. Both ascend."""
+    up, down = _powers()
+    lo, hi = np.zeros(len(starts), U), np.zeros(len(starts), U)
+    total, scale, steps = np.zeros(1, U), np.ones(1, U), [np.ones(1, U)]
+    for a in range(0, len(data), SEGMENT):
+        part = data[a : a + SEGMENT]
+        sums = np.zeros(len(part) + 1, U)
+        np.cumsum((part.astype(U) + U(1)) * down[: len(part)], out=sums[1:])
+        own = slice(*np.searchsorted(starts, [a, a + len(part)]))
+        lo[own] = total + scale * sums[starts[own] - a]
+        own = slice(*np.searchsorted(ends, [a, a + len(part)], "right"))
+        hi[own] = total + scale * sums[ends[own] - a]
+        total, scale = total + scale * sums[-1:], scale * down[-1:]
+        steps.append(steps[-1] * up[-1:])
+    return mix((hi - lo) * up[starts % SEGMENT] * np.concatenate(steps)[starts // SEGMENT])
 
 
 def shingles(h: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

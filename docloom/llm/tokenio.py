@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.llm import rangecoder, textbytes as tb
-from docloom.llm.common import ship
+from docloom.llm.common import lean, ship
 
 #: Ids in a block: its model starts anew, so a damaged block costs no other.
 BLOCK = 1 << 21
@@ -215,7 +215,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, block: in
 
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     ordered = hashed.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", F.spark_partition_id().alias("part"))
-    ordered.mapInArrow(run, FILE_SCHEMA.format(kind=kind)).write.parquet(path)
+    ordered.mapInArrow(lean(run), FILE_SCHEMA.format(kind=kind)).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -254,5 +254,5 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     schema = f"part int, chunk int, doc_id {kind}, offset long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    docs = chunks.mapInArrow(run, schema).join(starts, ["part", "chunk"])
+    docs = chunks.mapInArrow(lean(run), schema).join(starts, ["part", "chunk"])
     return docs.select("doc_id", (F.col("chunk_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)

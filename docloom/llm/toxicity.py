@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import langid, sampling, textbytes as tb
-from docloom.llm.common import ship
+from docloom.llm.common import lean, ship
 
 U = np.uint64
 WIDTHS = (1, 2, 3)
+#: Words whose embeddings a worker holds at once.
+SEGMENT = 1 << 17
 #: Every language's threshold is moved to this score.
 DECIDE = 0.3
 
@@ -73,10 +75,12 @@ class ToxicModel:
 
     def raw(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         ids, own = word_ids(data, at, len(self.embeddings))
-        n, maxima, X = np.diff(own), [], embedded(self.embeddings, ids)
-        for w in WIDTHS:
-            maxima.append(pooled(convolved(X, self.kernels[w], self.offsets[w]), n, own, w))
-        return np.concatenate(maxima, 1).astype(np.float64) @ self.weights + self.bias
+        maxima = np.zeros((len(at) - 1, len(WIDTHS) * len(self.offsets[WIDTHS[0]])), np.float32)
+        for a in range(0, ids.shape[1], SEGMENT):  # windows run on behind a segment's end
+            here = np.clip(own - a, 0, SEGMENT + max(WIDTHS) - 1)
+            n, X = np.diff(here), embedded(self.embeddings, ids[:, a : a + SEGMENT + max(WIDTHS) - 1])
+            np.maximum(maxima, np.concatenate([pooled(convolved(X, self.kernels[w], self.offsets[w]), n, here, w) for w in WIDTHS], 1), out=maxima)
+        return maxima.astype(np.float64) @ self.weights + self.bias
 
     def score(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         out = np.zeros(len(at) - 1)
@@ -219,7 +223,7 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.score(*tb.strings(batch.column("text"))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, reject_from: float = DECIDE) -> DataFrame:
@@ -231,4 +235,4 @@ def keep_clean(docs: DataFrame, model: ToxicModel, reject_from: float = DECIDE)
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score(*tb.strings(batch.column("text"))) < reject_from))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
