@@ -2,10 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.operators.retrieval import dual_retrieval, rerank, surrounding_context
+from docloom.session import ship
+
+#: A generator maps frames (qid, prompt) to frames (qid, answer), with its service's settings; a null answer means that it has none.
+Generator = Callable[[Iterator[pd.DataFrame], dict], Iterator[pd.DataFrame]]
+GENERATORS: dict[str, Generator] = {}
+
+
+def generator(name: str) -> Callable[[Generator], Generator]:
+    return lambda f: GENERATORS.setdefault(name, f)
+
+
+@generator("counting")
+def _counting(frames: Iterator[pd.DataFrame], settings: dict) -> Iterator[pd.DataFrame]:
+    """A deterministic stand-in: says how long the prompt is; has no answer to one without information."""
+    for frame in frames:
+        said = frame["prompt"].str.len().map(lambda n: f"The model was given {n} characters.")
+        yield pd.DataFrame({"qid": frame["qid"], "answer": said.where(~frame["prompt"].str.contains(PROMPT_CONTEXT + PROMPT_END, regex=False), None)})
 
 # Fixed texts.
 CONTEXT_HEAD = "=== INFORMATION FROM PDF DOCUMENTS ==="
@@ -50,6 +70,18 @@ def template_answer(hits: DataFrame, questions: DataFrame) -> DataFrame:
     return rows.select("qid", F.when(F.col("lines").isNull(), F.concat_ws("\n", head, F.lit(APOLOGY))).otherwise(found).alias("answer"))
 
 
+def generated_answers(hits: DataFrame, questions: DataFrame, using: str = "counting", settings: dict | None = None) -> DataFrame:
+    """qid, answer and source (model or template) of every question: what the generator makes of its prompt, or the template where it has none.
+
+    Prompts go to the generator by Arrow batches, a task at a time; settings reach every task.
+    """
+    ship(hits.sparkSession)
+    prompts, run, told = answer_context(hits, questions).select("qid", "prompt"), GENERATORS[using], dict(settings or {})
+    made = prompts.mapInPandas(lambda frames: run(frames, told), f"qid {questions.schema['qid'].dataType.simpleString()}, answer string")
+    rows = template_answer(hits, questions).withColumnRenamed("answer", "template").join(made, "qid", "left")
+    return rows.select("qid", F.coalesce("answer", "template").alias("answer"), F.when(F.col("answer").isNull(), "template").otherwise("model").alias("source"))
+
+
 def citations(hits: DataFrame) -> DataFrame:
     """One reference for each hit: 150 characters of text, confidence (its similarity, 0 for keyword-only hits), place and flags, box."""
     from docloom.operators.collection import first_bbox
@@ -63,10 +95,10 @@ def citations(hits: DataFrame) -> DataFrame:
     )
 
 
-def web_references(rows: DataFrame) -> DataFrame:
-    """Web references with defaults for what rows(url, title, snippet, source_type, reliability_score, scraped_at) lack."""
+def web_references(rows: DataFrame, *keys: str) -> DataFrame:
+    """Web references, behind the columns keys, with defaults for what rows(url, title, snippet, source_type, reliability_score, scraped_at) lack."""
     default = {"url": "", "title": "", "snippet": "", "source_type": "web", "reliability_score": 0.5, "scraped_at": ""}
-    return rows.select(*[(F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v)).alias(c) for c, v in default.items()])
+    return rows.select(*keys, *[(F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v)).alias(c) for c, v in default.items()])
 
 
 def percent(c: str | Column) -> Column:

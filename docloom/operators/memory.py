@@ -8,15 +8,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_translation, memory_key, strip
 from docloom.session import ship
 
-#: A backend maps frames with a column source_text to frames with cache_key and translated_text (null: failed).
-Backend = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+#: A backend maps frames with a column source_text to frames with cache_key and translated_text (null: failed), with its service's settings.
+Backend = Callable[[Iterator[pd.DataFrame], dict], Iterator[pd.DataFrame]]
 BACKENDS: dict[str, Backend] = {}
+#: Default settings of services.
+SERVICES: dict[str, dict] = {"marked": {"mark": "[vi] "}}
 
 
 def backend(name: str) -> Callable[[Backend], Backend]:
@@ -24,7 +26,7 @@ def backend(name: str) -> Callable[[Backend], Backend]:
 
 
 @backend("upper")
-def _upper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _upper(frames: Iterator[pd.DataFrame], settings: dict) -> Iterator[pd.DataFrame]:
     """A deterministic stand-in: upper case; texts with a digit in front fail."""
     for frame in frames:
         text = frame["source_text"]
@@ -32,11 +34,11 @@ def _upper(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 @backend("marked")
-def _marked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Another: the text behind a mark; texts with a digit in front fail."""
+def _marked(frames: Iterator[pd.DataFrame], settings: dict) -> Iterator[pd.DataFrame]:
+    """Another: the text behind a mark, the setting ``mark``; texts with a digit in front fail."""
     for frame in frames:
         text = frame["source_text"]
-        yield pd.DataFrame({"cache_key": frame["cache_key"], "translated_text": ("[vi] " + text).where(~text.str.match(r"[0-9]"), None)})
+        yield pd.DataFrame({"cache_key": frame["cache_key"], "translated_text": (settings.get("mark", "[vi] ") + text).where(~text.str.match(r"[0-9]"), None)})
 
 
 def keyed(requests: DataFrame) -> DataFrame:
@@ -89,17 +91,27 @@ def apply_hits(memory: DataFrame, hits: DataFrame) -> DataFrame:
     return rows.withColumns({"hit_count": F.col("hit_count") + F.coalesce("_n", F.lit(0)), "last_used": F.coalesce(F.greatest("_t", "last_used"), "last_used")}).drop("_n", "_t")
 
 
-def translate(requests: DataFrame, memory: DataFrame, now: int, using: str = "upper") -> tuple[DataFrame, DataFrame]:
+def settings_of(service: str, given: dict[str, dict] | None = None) -> dict:
+    """A service's settings: its defaults in SERVICES, overridden by those given for it."""
+    if service not in BACKENDS:
+        raise ValueError(f"no backend {service!r}; there are {', '.join(sorted(BACKENDS))}")
+    return SERVICES.get(service, {}) | (given or {}).get(service, {})
+
+
+def translate(requests: DataFrame, memory: DataFrame, now: int, using: str = "upper", settings: dict[str, dict] | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
     """(requests with translated_text and status, new memory rows). Distinct misses alone go to the backend; results are cleaned; where it
-    failed the source text comes back and nothing is stored."""
+    failed the source text comes back and nothing is stored. settings: by service, over its defaults. seen counts the paragraphs of each
+    status, for whoever follows the work, once an action has run over the requests."""
     ship(requests.sparkSession)
-    todo = misses(requests, memory, now)
-    done = todo.select("cache_key", "source_text").mapInPandas(BACKENDS[using], "cache_key string, translated_text string")
+    todo, run, told = misses(requests, memory, now), BACKENDS[using], settings_of(using, settings)
+    done = todo.select("cache_key", "source_text").mapInPandas(lambda frames: run(frames, told), "cache_key string, translated_text string")
     by_key = requests.groupBy("cache_key").agg(*[F.first(c).alias(c) for c in ("lang_in", "lang_out", "service", "model", "source_text")])
     new = done.join(by_key, "cache_key").withColumn("translated_text", clean_translation("translated_text", F.col("lang_out")))
     rows = lookup(requests, memory, now).join(new.select("cache_key", F.col("translated_text").alias("_new")), "cache_key", "left")
     status = F.when(F.col("status").isin("hit", "blank"), F.col("status")).when(F.coalesce("_new", F.lit("")) != "", "translated").otherwise("failed")
     rows = rows.withColumn("status", status).withColumn("translated_text", F.coalesce("translated_text", F.when(F.col("_new") != "", F.col("_new")), "source_text")).drop("_new")
+    if seen is not None:
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("paragraphs"), *[F.count_if(F.col("status") == s).alias(s) for s in ("hit", "blank", "translated", "failed")])
     return rows, memory_entries(new, now)
 
 
@@ -140,19 +152,24 @@ def document_cache_stats(index: DataFrame, hits: DataFrame, version: str) -> Dat
     return size.join(seen).withColumn("hit_rate", hit_rate(F.col("hits"), F.col("misses"))).withColumn("pipeline_version", F.lit(version))
 
 
-#: Buckets of the age order in which running sums are taken; a bucket's rows meet in one task.
-AGE_BUCKETS = 1024
+#: Ranges of the age order in which running sums are taken, this many times this many; a range's rows meet in one task.
+AGE_CUTS = 32
 
 
 def _oldest_first(index: DataFrame, size: Column, by: list[str]) -> DataFrame:
     """Adds _before, the sizes of all rows before it in the order of (age, by), and _place, their number plus one.
 
-    Running sums in two steps: totals of fixed age ranges (at most AGE_BUCKETS rows), then within a range.
+    Running sums in two steps: totals of age ranges between quantiles (at most AGE_CUTS ** 2 rows), then within a range. A range is found in
+    two looks, among every AGE_CUTS-th cut and among those up to the next.
     """
-    age = F.coalesce("last_used", "cached_at")
-    span = index.agg(F.min(age).alias("lo"), F.max(age).alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // AGE_BUCKETS))
-    rows = index.withColumns({"_age": age, "_size": size, "_b": F.floor((age - F.lit(lo)) / F.lit(width))})
+    age, n = F.coalesce("last_used", "cached_at"), AGE_CUTS**2
+    found = index.agg(F.percentile_approx(age, [k / n for k in range(1, n)], 20 * n).alias("cuts")).first()["cuts"]
+    cuts = [*(found or [0] * (n - 1)), (1 << 63) - 1]
+    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("_age")))
+    fine = F.array(*[long(cuts[a : a + AGE_CUTS]) for a in range(0, n, AGE_CUTS)])
+    rows = index.withColumns({"_age": F.coalesce(age, F.lit(-(1 << 63))), "_size": size}).withColumn("_p", below(long(cuts[AGE_CUTS - 1 : -1 : AGE_CUTS])))
+    rows = rows.withColumn("_b", F.col("_p") * AGE_CUTS + below(F.get(fine, F.col("_p")))).drop("_p")
     totals = rows.groupBy("_b").agg(F.sum("_size").alias("_s"), F.count(F.lit(1)).alias("_c"))
     run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_b", F.coalesce(F.sum("_s").over(run), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_c0"))

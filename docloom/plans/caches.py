@@ -110,6 +110,24 @@ def memory_upsert(spark: SparkSession, sf: str) -> DataFrame:
     return M.upsert(S.memory(spark, sf), _written(spark, sf)).select("cache_key", "translated_text", "cached_at", "hit_count", "last_used")
 
 
+@query(
+    "clear_caches",
+    f"WITH n AS (SELECT (SELECT count(*) FROM memory) AS m, (SELECT count(*) FROM memory WHERE expires_at >= {NOW}) AS v, (SELECT count(*) FROM doc_index) AS d), s AS (SELECT unnest(['expired', 'all']) AS scope), t AS (SELECT unnest(['memory', 'documents', 'both']) AS target) "
+    "SELECT scope, target, CASE WHEN target = 'documents' THEN m WHEN scope = 'expired' THEN v ELSE 0 END AS memory_rows, CASE WHEN scope = 'expired' OR target = 'memory' THEN d ELSE 0 END AS document_rows FROM n, s, t",
+    ("memory", "doc_index"),
+)
+def clear_caches(spark: SparkSession, sf: str) -> DataFrame:
+    """What every scope and target leaves."""
+    out, memory, index = None, S.memory(spark, sf), S.document_index(spark, sf)
+    for scope in ("expired", "all"):
+        for target in ("memory", "documents", "both"):
+            left = M.clear(memory, index, scope, target, NOW)
+            rows = left[0].select(F.lit(1).alias("m"), F.lit(0).alias("d")).unionAll(left[1].select(F.lit(0).alias("m"), F.lit(1).alias("d")))
+            rows = rows.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("memory_rows"), F.coalesce(F.sum("d"), F.lit(0)).alias("document_rows")).select(F.lit(scope).alias("scope"), F.lit(target).alias("target"), "memory_rows", "document_rows")
+            out = rows if out is None else out.unionAll(rows)
+    return out
+
+
 @query("expire_memory", f"SELECT cache_key FROM memory WHERE expires_at >= {NOW}", ("memory",))
 def expire_memory(spark: SparkSession, sf: str) -> DataFrame:
     return M.expire(S.memory(spark, sf), NOW).select("cache_key")

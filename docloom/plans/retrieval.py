@@ -148,6 +148,29 @@ def template_answer(spark: SparkSession, sf: str) -> DataFrame:
     return answers.template_answer(*_hits(spark, sf))
 
 
+@query(
+    "generated_answers",
+    ALL + f"SELECT qid, CASE WHEN n = 0 THEN answer ELSE 'The model was given ' || length({_sql(answers.PROMPT)} || question || {_sql(answers.PROMPT_CONTEXT)} || context || {_sql(answers.PROMPT_END)}) || ' characters.' END AS answer, "
+    f"CASE WHEN n = 0 THEN 'template' ELSE 'model' END AS source FROM (SELECT qid, q.question, count(chunk_id) AS n, {_ANSWER} AS answer, {_sql(answers.CONTEXT_HEAD)} || chr(10) || {_LINE3} AS context FROM questions q LEFT JOIN hits USING (qid) GROUP BY qid, q.question)",
+    ("chunks", "questions"),
+)
+def generated_answers(spark: SparkSession, sf: str) -> DataFrame:
+    return answers.generated_answers(*_hits(spark, sf))
+
+
+@query(
+    "web_references",
+    "SELECT page_id, url, '' AS title, substr(html, 1, 150) AS snippet, CASE WHEN page_id % 3 = 0 THEN 'web' ELSE 'blog' END AS source_type, CASE WHEN page_id % 4 = 0 THEN 0.5::DOUBLE ELSE (page_id % 100) / 100.0::DOUBLE END AS reliability_score, "
+    "'[' || CASE WHEN page_id % 3 = 0 THEN 'Web' ELSE 'Blog' END || '] ' || substr(html, 1, 100) || '...' || CASE WHEN page_id % 4 = 0 THEN ' (50.0%)' WHEN page_id % 100 = 0 THEN '' ELSE ' (' || (page_id % 100) || '.0%)' END AS label FROM pages",
+)
+def web_references(spark: SparkSession, sf: str) -> DataFrame:
+    d = F.col("page_id")
+    rows = S.table(spark, sf, "pages").select(
+        "page_id", "url", F.substring("html", 1, 150).alias("snippet"), F.when(d % 3 != 0, "blog").alias("source_type"), F.when(d % 4 != 0, (d % 100) / 100).alias("reliability_score"),
+    )
+    return answers.web_references(rows, "page_id").select("page_id", "url", "title", "snippet", "source_type", "reliability_score", answers.citation_label("web").alias("label"))
+
+
 @query(
     "citations",
     ALL + "SELECT qid, rank, 'pdf' AS type, page, substr(text, 1, 150) || '...' AS text, similarity_score AS confidence, document_id, document_path, chunk_id, has_equations, has_tables, has_figures FROM hits",
