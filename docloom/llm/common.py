@@ -28,13 +28,18 @@ def lean(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
 
     def wrapped(batches: Batches) -> Batches:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(OSError, AttributeError):
-            ctypes.CDLL(None).malloc_trim(0)
+        trim()
 
     return wrapped
 
 
+def trim() -> None:
+    """Gives memory that Arrow and the C library hold on to back to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where none is set (local runs)."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
@@ -51,6 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     application ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    trim()
     at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -69,11 +75,10 @@ def bit_filter(hashes: DataFrame, bits: int = 23) -> np.ndarray:
     at = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = (
         hashes.select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, int(h & 63L))").alias("bit"))
-        .groupBy("word").agg(F.bit_or("bit").alias("bit")).collect()
+        .groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()
     )  # at most 2**(bits - 6) rows
     out = np.zeros(1 << (bits - 6), np.int64)
-    if rows:
-        out[np.array([r[0] for r in rows])] = np.array([r[1] for r in rows], np.int64)
+    out[rows["word"].to_numpy()] = rows["bit"].to_numpy()
     return out
 
 

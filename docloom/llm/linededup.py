@@ -1,4 +1,4 @@
-"""Line dedup: an exact set-similarity join of lines with rarity order, prefix, length and bitmap filters; later matches are removed."""
+"""Line dedup: an exact set-similarity join of lines with rarity order, prefix, positional, length and bitmap filters; later matches are removed."""
 
 from __future__ import annotations
 
@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textbytes as tb
-from docloom.llm.common import bit_filter, bit_hit, materialize, ship
+from docloom.llm.common import bit_filter, bit_hit, lean, materialize, ship
 
 U = np.uint64
-#: Tokens are counted in this many buckets (a power of two): the counts, not the tokens, go to every worker, 2 MB whatever the input.
+#: Words are counted in this many buckets (a power of two) by the upper bits of their hash: the counts, not the words, go to every worker,
+#: some megabytes whatever the input.
 BUCKET_BITS = 18
+LOW = 64 - BUCKET_BITS
+#: A list's token leaves its lowest bits to the position, up to this number: tokens that differ there alone share a list, which costs
+#: candidates and loses none. Later positions count as the last, which the positional filter passes.
+POSITIONS = 1 << 12
 #: Rows of a token's list that meet in one cell; longer lists are dealt over a grid of cells.
 CELL = 4096
 
@@ -32,25 +37,25 @@ def line_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def line_sets(data: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(tokens of each line with a word, rarest first and distinct; offsets; the lines; lines of each text; first lines).
 
-    A token is 48 bits: the rank of its bucket, then 30 bits of its hash; the same word has the same token on every worker.
+    A token is the word's hash of 64 bits with its bucket replaced by the bucket's rank, so it loses nothing and sorts by rarity.
     """
     h, line, n, first = line_words(data, at)
-    token = (rank[(h >> U(64 - BUCKET_BITS)).astype(np.int64)] << U(30)) | (h & U((1 << 30) - 1))
-    tokens, numbers, lengths = [], [], []
-    for a in range(0, int(line[-1]) + 1 if len(line) else 0, 1 << 16):  # 16 bits of line
-        lo, hi = np.searchsorted(line, [a, a + (1 << 16)])
-        if lo == hi:
-            continue
-        key = np.unique(((line[lo:hi] - a).astype(U) << U(48)) | token[lo:hi])
-        which = (key >> U(48)).astype(np.int64)
-        cut = np.flatnonzero(np.concatenate([[True], which[1:] != which[:-1]]))
-        tokens.append(key & U((1 << 48) - 1))
-        numbers.append(which[cut] + a)
-        lengths.append(np.diff(np.concatenate([cut, [len(which)]])))
-    if not tokens:
+    if not len(h):
         none = np.zeros(0, np.int64)
-        return np.zeros(0, U), np.zeros(1, np.int64), none, n, first
-    return np.concatenate(tokens), np.concatenate([[0], np.cumsum(np.concatenate(lengths))]), np.concatenate(numbers), n, first
+        return h, np.zeros(1, np.int64), none, n, first
+    token = (rank[(h >> U(LOW)).astype(np.int64)].astype(U) << U(LOW)) | (h & U((1 << LOW) - 1))
+    bits = U(64 - max(1, int(line[-1]).bit_length()))
+    key = (line.astype(U) << bits) | (token >> (U(64) - bits))
+    order = np.argsort(key)
+    tied = (key[order[1:]] == key[order[:-1]]) & (token[order[1:]] != token[order[:-1]])
+    if tied.any():  # two words of a line that the key can't tell apart
+        order = np.lexsort((token, line))
+    token, line = token[order], line[order]
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (line[1:] != line[:-1])
+    token, line = token[new], line[new]
+    cut = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+    return token, np.concatenate([cut, [len(token)]]), line[cut], n, first
 
 
 def bitmaps(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -71,59 +76,66 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for _, _, data, at in tb.pieces(*tb.strings(batch.column("text"))):
-            total += np.bincount((line_words(data, at)[0] >> U(64 - BUCKET_BITS)).astype(np.int64), minlength=len(total))
+            total += np.bincount((line_words(data, at)[0] >> U(LOW)).astype(np.int64), minlength=len(total))
     full = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["bucket", "c"])
 
 
-def _lines(shared, percent: int, full: bool):
-    """Rows (doc_id, line, k, n, sig, prefix) of the lines with words; without full only doc_id, line, k."""
+def places(row: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of each line's place from its row's hash and its number."""
+    return tb.mix(row.view(U) + line.astype(U) * U(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _lines(shared, percent: int):
+    """Rows (doc_id, row, line, place, k, n, sig, prefix) of the lines with words; k names the set; an entry of prefix is a token, its lowest
+    bits replaced by where in the set it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, single = shared.value
         for batch in batches:
-            ids = batch.column("doc_id")
+            row = batch.column("row").to_numpy()
             for i, _, data, at in tb.pieces(*tb.strings(batch.column("text"))):
                 tokens, own, line, _, first = line_sets(data, at, rank)
                 doc = np.searchsorted(first, line, "right") - 1
-                n = np.diff(own)
-                cols = [ids.take(pa.array(doc + i)), pa.array((line - first[doc]).astype(np.int32)), tb.set_keys(tokens, own)]
-                if full:
-                    # Sets of Jaccard t share one of their n - ceil(t n) + 1 rarest tokens; a token that no other line has opens no list.
-                    length = n - -(-percent * n // 100) + 1
-                    length[n * (100 - percent) < percent] = 0  # too few tokens for a match that isn't equal
-                    use = np.arange(len(tokens)) - np.repeat(own[:-1], n) < np.repeat(length, n)
-                    use &= ~single[(tokens >> U(30)).astype(np.int64)]
-                    cut = np.concatenate([[0], np.cumsum(tb.sum_by(use.astype(np.int64), own))])
-                    cols += [pa.array(n.astype(np.int32)), pa.array(bitmaps(tokens, own).view(np.int64)), tb.longs(tokens[use], cut)]
-                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "line", "k", "n", "sig", "prefix"][: len(cols)])
+                n, number = np.diff(own), line - first[doc]
+                # Sets of Jaccard t share one of their n - ceil(t n) + 1 rarest tokens; a token that no other line has opens no list.
+                length = n - -(-percent * n // 100) + 1
+                length[n * (100 - percent) < percent] = 0  # too few tokens for a match that isn't equal
+                pos = np.arange(len(tokens)) - np.repeat(own[:-1], n)
+                use = (pos < np.repeat(length, n)) & ~single[(tokens >> U(LOW)).astype(np.int64)]
+                cut = np.concatenate([[0], np.cumsum(tb.sum_by(use.astype(np.int64), own))])
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("doc_id").take(pa.array(doc + i)), pa.array(row[doc + i]), pa.array(number.astype(np.int32)), pa.array(places(row[doc + i], number)), tb.set_keys(tokens, own),
+                    pa.array(n.astype(np.int32)), pa.array(bitmaps(tokens, own).view(np.int64)), tb.longs((tokens[use] & ~U(POSITIONS - 1)) | np.minimum(pos[use], POSITIONS - 1).astype(U), cut),
+                ], ["doc_id", "row", "line", "place", "k", "n", "sig", "prefix"])
 
     return run
 
 
 def _tokens_of(rank_shared, bitmap_shared):
-    """Rows (doc_id, line, n, sig, s) of the lines that the bitmap lets through; s is all tokens of the line."""
+    """Rows (k, s) of the lines whose place the bitmap lets through; s is all tokens of the line. Texts without such a line are left out first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy()
-            for i, _, data, at in tb.pieces(*tb.strings(batch.column("text"))):
-                tokens, own, line, _, first = line_sets(data, at, rank_shared.value[0])
-                doc = np.searchsorted(first, line, "right") - 1
-                ids_here, number, n = ids[doc + i], line - first[doc], np.diff(own)
-                hit = bit_hit(bitmap_shared.value, (ids_here << 5) ^ number)
-                cut = np.concatenate([[0], np.cumsum(n[hit])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids_here[hit]), pa.array(number[hit].astype(np.int32)), pa.array(n[hit].astype(np.int32)), pa.array(bitmaps(tokens, own).view(np.int64)[hit]), tb.longs(tokens[np.repeat(hit, n)], cut)],
-                    ["doc_id", "line", "n", "sig", "s"],
-                )
+            row, data, at = batch.column("row").to_numpy(), *tb.strings(batch.column("text"))
+            lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), at)) + 1
+            first = np.cumsum(lines) - lines
+            asked = bit_hit(bitmap_shared.value, places(np.repeat(row, lines), np.arange(lines.sum()) - np.repeat(first, lines)))
+            some = tb.sum_by(asked.astype(np.int64), np.concatenate([first, [len(asked)]])) > 0
+            row = row[some]
+            for i, _, part, here in tb.pieces(*tb.strings(batch.column("text").filter(pa.array(some)))):
+                tokens, own, line, _, start = line_sets(part, here, rank_shared.value[0])
+                doc = np.searchsorted(start, line, "right") - 1
+                hit = bit_hit(bitmap_shared.value, places(row[doc + i], line - start[doc]))
+                keep = np.repeat(hit, np.diff(own))
+                cut = np.concatenate([[0], np.cumsum(np.diff(own)[hit])])
+                yield pa.RecordBatch.from_arrays([tb.set_keys(tokens[keep], cut), tb.longs(tokens[keep], cut)], ["k", "s"])
 
     return run
 
 
-#: What tells a distinct set of tokens from others: its first place, size and bitmap.
-PLACE = ["doc_id", "line", "n", "sig"]
-LISTED = [*PLACE, "token", "block", "i", "j"]
+#: Order of the sets: by first place.
+PLACE = ["doc_id", "row", "line"]
 
 
 def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -146,48 +158,58 @@ def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, n
             yield x[keep], y[keep]
 
 
-def _partners(percent: int, asked):
-    """Of each row y of a list the rows x before it that pass the filters: the nearest, or all where the bitmap asks for y."""
+def _key(t: pa.Table | pa.RecordBatch, grid: bool) -> np.ndarray:
+    token = t.column("p").to_numpy().view(U) >> U(POSITIONS.bit_length() - 1)
+    return np.stack([token.astype(np.int64), *(t.column(c).to_numpy().astype(np.int64) for c in ("i", "j") if grid)], 1)
+
+
+def _partners(percent: int, all_of: bool, grid: bool):
+    """Rows (y, x, far, more): of each set y of a list the earlier sets x that pass the filters, the nearest alone or, for those that ``ask``, all."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
-        key = np.stack([t[c].to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
-        n, sig, block = t["n"].to_numpy().astype(np.int64), t["sig"].to_numpy().view(U), t["block"].to_numpy()
-        apart = key[:, 1] != key[:, 2]
-        all_of = None if asked is None else bit_hit(asked.value, (t["doc_id"].to_numpy() << 5) ^ t["line"].to_numpy())
-        xs, ys, far = [], [], []
+        key, n, sid, sig = _key(t, grid), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy(), t["sig"].to_numpy().view(U)
+        pos = t["p"].to_numpy() & (POSITIONS - 1)
+        pos = np.where(pos == POSITIONS - 1, -1, pos)
+        block = t["block"].to_numpy() if grid else None
+        ask = t["ask"].to_numpy(zero_copy_only=False) if all_of else None
+        xs, ys, fars = [], [], []
         for x, y in list_pairs(key):
-            if all_of is not None:
-                keep = all_of[y]
+            if all_of:
+                keep = ask[y]
                 x, y = x[keep], y[keep]
             both = n[x] + n[y]
-            differ = popcount(sig[x] ^ sig[y]).astype(np.int64)
             overlap = -(-percent * both // (100 + percent))  # least for the threshold
-            keep = (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (differ <= both - 2 * overlap) & (~apart[x] | (block[x] != block[y]))
+            # Tokens in common are this one, at most the fewer before it and the fewer behind it.
+            most = np.where((pos[x] < 0) | (pos[y] < 0), overlap, np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]))
+            keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+            if grid:
+                keep &= (key[x, 1] == key[x, 2]) | (block[x] != block[y])
+            x, y, slack = x[keep], y[keep], (both - 2 * overlap)[keep]
+            differ = popcount(sig[x] ^ sig[y]).astype(np.int64)
+            keep = differ <= slack
             xs.append(x[keep])
             ys.append(y[keep])
-            far.append(differ[keep])
-        x, y, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, far))
+            fars.append(differ[keep])
+        x, y, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, fars))
         if not len(x):
             return None
         order = np.lexsort((x, far, y))
-        x, y = x[order], y[order]
+        x, y, far = x[order], y[order], far[order]
         cut = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
         size = np.diff(np.concatenate([cut, [len(y)]]))
-        rank = np.arange(len(y)) - np.repeat(cut, size)
-        more, far = np.repeat(size > 1, size), far[order]
-        if all_of is None:
-            x, y, more, far = x[rank == 0], y[rank == 0], more[rank == 0], far[rank == 0]
-        side = lambda at, p: [t[c].combine_chunks().take(pa.array(at)) for c in PLACE]
-        return pa.RecordBatch.from_arrays([*side(y, "y"), *side(x, "x"), pa.array(more), pa.array(far)], [*(f"y_{c}" for c in PLACE), *(f"x_{c}" for c in PLACE), "more", "far"])
+        if not all_of:
+            x, y, far = x[cut], y[cut], far[cut]
+        more = size > 1 if not all_of else np.ones(len(x), bool)
+        return pa.RecordBatch.from_arrays([pa.array(sid[y]), pa.array(sid[x]), pa.array(far), pa.array(more)], ["y", "x", "far", "more"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # of the list that goes on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "i", "j")], 1)
+            key = _key(batch, grid)
             last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))[-1])
-            same = bool(rest) and all(rest[-1].column(c)[-1].as_py() == key[0, k] for k, c in enumerate(("token", "i", "j")))
+            same = bool(rest) and (_key(rest[-1].slice(rest[-1].num_rows - 1), grid)[0] == key[0]).all()
             if last == 0 and (same or not rest):
                 rest.append(batch)
                 continue
@@ -201,90 +223,102 @@ def _partners(percent: int, asked):
 
 
 def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataFrame:
-    """One row for each row of docs(doc_id, text): doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
+    """One row for each row of docs(doc_id, text): doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), row (a hash of id and text).
 
     Lines are parted by newlines; a line's set is its distinct words (lower-cased A-Z, parted by ASCII white space). A line
-    is removed if an earlier line, in the order of (doc_id, line), has a set of Jaccard percent / 100 or more, whether that
-    line is removed itself or not. Lines without a word are kept. A null text has no lines, an empty text one. doc_id is
-    a whole number, null before all; rows that repeat a doc_id and its text are one document in that order and come out
-    alike. An empty table gives no rows; other columns are left out.
+    is removed if an earlier line, in the order of (doc_id, row, line), has a set of Jaccard percent / 100 or more, whether that
+    line is removed itself or not. Lines without a word are kept. A null text has no lines, an empty text one. doc_id is of any type
+    that sorts, null before all; rows with one id, or none, and different texts are documents of their own; rows that repeat id and text
+    are one document in that order and come out alike. An empty table gives no rows; other columns are left out.
 
     Words are ordered by rarity: counts in 2**BUCKET_BITS buckets, then the hash, a total order of bounded size that keeps
     the prefix filter exact. Equal sets become one, at their first place. Of each set the prefix opens lists; a row of a
-    list holds place, size and a bitmap, not the text. Lists longer than ``cell`` are dealt over a grid of cells. Within a
-    list each row names the nearest earlier row that passes the length and bitmap filters, which drop no match. Of those over
-    all its lists the nearest is verified, on tokens read from the texts again; rows of which it does not hold, but that had
-    others, are asked for all of them. So pairs never grow with the square of a group's size, and no match is lost.
+    list holds place, size, position and a bitmap, not the text. Lists longer than ``cell`` are dealt over a grid of cells. Within a
+    list each row names the nearest earlier row that passes the positional, length and bitmap filters, which drop no match. Of those over
+    all its lists the nearest is verified, on all tokens (64 bits each) read from the texts again; rows of which it does not hold, but that
+    had others, are asked for all of them, in their own lists. So pairs never grow with the square of a group's size, and no match is lost.
     """
     spark = docs.sparkSession
     ship(spark)
-    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), "text")
-    counted = source.select("text").mapInArrow(_counts, "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toPandas()  # at most 2**BUCKET_BITS rows
+    row_hash = F.xxhash64(F.col("doc_id").cast("string"), "text")
+    source = docs.select("doc_id", row_hash.alias("row"), "text")
+    counted = source.select("text").mapInArrow(lean(_counts), "bucket int, c long").groupBy("bucket").agg(F.sum("c").alias("c")).toArrow()  # at most 2**BUCKET_BITS rows
     counts = np.zeros(1 << BUCKET_BITS, np.int64)
-    counts[counted["bucket"].to_numpy(np.int64)] = counted["c"].to_numpy(np.int64)
-    rank = np.empty(len(counts), U)
+    counts[counted["bucket"].to_numpy()] = counted["c"].to_numpy()
+    rank = np.empty(len(counts), np.uint32)
     order = np.argsort(counts, kind="stable")
-    rank[order] = np.arange(len(counts), dtype=U)
+    rank[order] = np.arange(len(counts), dtype=np.uint32)
     shared = spark.sparkContext.broadcast((rank, (counts <= 1)[order]))
 
-    lines = source.mapInArrow(_lines(shared, percent, True), "doc_id long, line int, k binary, n int, sig long, prefix array<long>")
-    sets = lines.groupBy("k", "n", "sig", "prefix").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.count(F.lit(1)).alias("c"))
-    sets = materialize(sets.select("k", "at.doc_id", "at.line", "n", "sig", "prefix", "c"), "sets")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    lines = source.mapInArrow(lean(_lines(shared, percent)), f"doc_id {kind}, row long, line int, place long, k binary, n int, sig long, prefix array<long>")
+    lines = materialize(lines, "lines")
+    at = F.min(F.struct(*PLACE, "place")).alias("at")
+    sets = lines.groupBy("k").agg(at, F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "sig", "prefix")])
+    sets = sets.select(F.monotonically_increasing_id().alias("sid"), "k", "at.*", "n", "sig", "prefix", "c")
+    sets = materialize(sets, "sets")  # sid is fixed as it is written
 
     # Longer lists than a cell: at most the count of the token's bucket says how many rows a list has.
     blocks = np.minimum(-(-counts[order] // cell), 1 << 12).astype(np.int64)
     long = np.flatnonzero(blocks > 1)
-    opened = sets.where("size(prefix) > 0").select(*PLACE, F.explode("prefix").alias("token"))
+    opened = sets.where("size(prefix) > 0").select("sid", *PLACE, "n", "sig", F.explode("prefix").alias("p"))
+    opened = opened.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1))
     if len(long):
-        table = spark.createDataFrame([(int(r), int(blocks[r])) for r in long], "r long, g int")  # at most 2**BUCKET_BITS rows
-        opened = opened.withColumn("r", F.shiftright("token", 30)).join(F.broadcast(table), "r", "left").drop("r")
+        table = spark.createDataFrame(pa.table({"r": long, "g": blocks[long]}))  # at most 2**BUCKET_BITS rows
+        opened = opened.withColumn("r", F.shiftrightunsigned("p", LOW)).join(F.broadcast(table), "r", "left").drop("r")
         opened = opened.withColumn("g", F.coalesce("g", F.lit(1)))
-        opened = opened.withColumn("block", F.pmod(F.xxhash64("doc_id", "line"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-        opened = opened.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")})
-    else:
-        opened = opened.withColumns({c: F.lit(0) for c in ("block", "i", "j")})
-    listed = opened.select(*LISTED).repartition("token", "i", "j").sortWithinPartitions("token", "i", "j", "doc_id", "line")
-    kinds = {"doc_id": "long", "line": "int", "n": "int", "sig": "long"}
-    schema = ", ".join([*(f"y_{c} {kinds[c]}" for c in PLACE), *(f"x_{c} {kinds[c]}" for c in PLACE), "more boolean, far long"])
-    y, x = [f"y_{c}" for c in PLACE], [f"x_{c}" for c in PLACE]
-    h = lambda p: F.shiftleft(F.col(f"{p}_doc_id"), 5).bitwiseXOR(F.col(f"{p}_line").cast("long"))
-
-    def verified(named: DataFrame) -> DataFrame:
-        """Places of the y of which some x holds."""
-        bitmap = spark.sparkContext.broadcast(bit_filter(named.select(F.explode(F.array(h("y"), h("x"))).alias("h"))))
-        tokens = source.mapInArrow(_tokens_of(shared, bitmap), "doc_id long, line int, n int, sig long, s array<long>")
-        own = named.select(F.struct(*[F.col(a).alias(b) for a, b in zip(y, PLACE)]).alias("p")).union(named.select(F.struct(*[F.col(a).alias(b) for a, b in zip(x, PLACE)]).alias("p"))).distinct().select("p.*")
-        tokens = materialize(tokens.dropDuplicates(PLACE).join(own, PLACE, "left_semi"), "tokens")
-        pairs = named.select(*y, *x).distinct()
-        pairs = pairs.join(tokens.select(*[F.col(c).alias(f"y_{c}") for c in PLACE], F.col("s").alias("sy")), y).join(tokens.select(*[F.col(c).alias(f"x_{c}") for c in PLACE], F.col("s").alias("sx")), x)
-        pairs = pairs.withColumn("both", F.size(F.array_intersect("sy", "sx"))).where(f"both * 100 >= {percent} * (size(sy) + size(sx) - both)")
-        return materialize(pairs.select(*[F.col(a).alias(b) for a, b in zip(y, PLACE)]).distinct(), "later")
+        opened = opened.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+        opened = opened.withColumns({"i": F.least("block", "o").cast("int"), "j": F.greatest("block", "o").cast("int")}).drop("g", "o")
+    grid = ["i", "j"] if len(long) else []
+
+    def named_in(rows: DataFrame, all_of: bool) -> DataFrame:
+        key = ["token", *grid]
+        listed = rows.select(*key, *["block"] * bool(grid), "p", "sid", *PLACE, "n", "sig", *["ask"] * all_of).drop("token")
+        listed = listed.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1)).repartition(*key).sortWithinPartitions(*key, *PLACE)
+        return listed.select(*grid, *["block"] * bool(grid), "p", "sid", "n", "sig", *["ask"] * all_of).mapInArrow(lean(_partners(percent, all_of, bool(grid))), "y long, x long, far long, more boolean")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The y of pairs (y, x) of which some x holds."""
+        ids = pairs.select(F.explode(F.array("y", "x")).alias("sid")).distinct()
+        asked = materialize(ids.join(sets.select("sid", "k", "place"), "sid"), "asked")
+        bits = int(np.clip(int(asked.count()).bit_length() + 4, 16, 27))
+        bitmap = spark.sparkContext.broadcast(bit_filter(asked.select(F.col("place").alias("h")), bits))
+        tokens = source.mapInArrow(lean(_tokens_of(shared, bitmap)), "k binary, s array<long>").join(asked.select("sid", "k"), "k").select("sid", "s").dropDuplicates(["sid"])
+        tokens = materialize(tokens, "tokens")
+        both = pairs.join(tokens.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y").join(tokens.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
+        both = both.withColumn("both", F.size(F.array_intersect("sy", "sx"))).where(f"both * 100 >= {percent} * (size(sy) + size(sx) - both)")
+        return materialize(both.select("y").distinct(), "later")
 
     # The nearest of all lists; others: whether another partner was seen.
-    named = listed.mapInArrow(_partners(percent, None), schema).withColumn("x", F.struct("far", *x))
-    named = named.groupBy(*y).agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.max("more").alias("more")).withColumn("more", F.col("more") | (F.col("lo") != F.col("hi")))
-    named = materialize(named.select(*y, *[F.col(f"lo.{c}").alias(c) for c in x], "more"), "named")
-    later = verified(named)
-    asked = named.where("more").select(*y).distinct().join(later.select(*[F.col(c).alias(f"y_{c}") for c in PLACE]), y, "left_anti")
-    asked = materialize(asked, "asked")
-    if asked.limit(1).count():
-        bitmap = spark.sparkContext.broadcast(bit_filter(asked.select(h("y").alias("h"))))
-        rest = materialize(listed.mapInArrow(_partners(percent, bitmap), schema).join(asked, y, "left_semi"), "named")
+    # far is at most 64, and sid below 2**56: both in one number.
+    named = named_in(opened, False).withColumn("p", F.shiftleft("far", 56).bitwiseOR(F.col("x")))
+    named = named.groupBy("y").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("more").alias("more"))
+    named = materialize(named.select("y", F.col("lo").bitwiseAND(F.lit((1 << 56) - 1)).alias("x"), (F.col("more") | (F.col("lo") != F.col("hi"))).alias("more")), "named")
+    later = verified(named.select("y", "x"))
+    asking = materialize(named.where("more").select("y").join(later, "y", "left_anti"), "asking")
+    if asking.limit(1).count():
+        own = asking.join(sets.select(F.col("sid").alias("y"), "prefix"), "y").select(F.explode("prefix").alias("p"))
+        own = own.select(F.shiftrightunsigned("p", POSITIONS.bit_length() - 1).alias("token")).distinct()
+        rows = opened.join(own, "token", "left_semi").join(asking.select(F.col("y").alias("sid"), F.lit(True).alias("ask")), "sid", "left").fillna(False, ["ask"])
+        rest = materialize(named_in(rows, True).select("y", "x").distinct(), "rest")
         later = later.union(verified(rest)).distinct()
 
-    flagged = sets.join(later.withColumn("near", F.lit(True)), PLACE, "left").where("c > 1 OR near")
-    flagged = materialize(flagged.select("k", F.col("doc_id").alias("first_doc"), F.col("line").alias("first_line"), F.coalesce("near", F.lit(False)).alias("near")), "flagged")
-    lines = source.mapInArrow(_lines(shared, percent, False), "doc_id long, line int, k binary")
-    gone = lines.join(flagged, "k").where("near OR doc_id <> first_doc OR line <> first_line")
-    gone = gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")).withColumnRenamed("doc_id", "_d")
+    flagged = sets.join(later.select(F.col("y").alias("sid"), F.lit(True).alias("near")), "sid", "left").where("c > 1 OR near")
+    flagged = materialize(flagged.select("k", *[F.col(c).alias(f"first_{c}") for c in PLACE], F.coalesce("near", F.lit(False)).alias("near")), "flagged")
+    gone = lines.select("k", *PLACE).join(flagged, "k").where("near OR NOT (doc_id <=> first_doc_id AND row = first_row AND line = first_line)")
+    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
-    out = docs.select("doc_id", n_lines.alias("n_lines")).withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))).join(gone, "_d", "left")
+    out = docs.select("doc_id", row_hash.alias("row"), n_lines.alias("n_lines")).alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.row = g.row"), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    return out.select("d.doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), "d.row")
 
 
 def without_lines(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """docs with the lines that similar_lines found taken out of text; all columns stay. doc_id tells rows apart."""
-    gone = found.where("n_removed > 0").select(F.col("doc_id").alias("_d"), "removed").dropDuplicates(["_d"])
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")), "left").withColumn("text", F.when(F.col("removed").isNull(), F.col("text")).otherwise(kept)).select(*docs.columns)
+    """docs with the lines that similar_lines found taken out of text; all columns stay, whatever their names. Rows are told apart by id and
+    text, so rows that repeat both come out alike; null texts stay null; an empty table gives no rows."""
+    gone = found.where("n_removed > 0").select(F.col("doc_id").alias("id"), "row", "removed").dropDuplicates(["id", "row"])
+    own = docs.select(F.struct(*docs.columns).alias("doc"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("own"))
+    own = own.join(gone, F.col("doc")["doc_id"].eqNullSafe(F.col("id")) & (F.col("own") == F.col("row")), "left")
+    kept = F.array_join(F.filter(F.split(F.col("doc")["text"], "\n", -1), lambda x, i: ~F.array_contains("removed", i)), "\n")
+    text = F.when(F.col("removed").isNull(), F.col("doc")["text"]).otherwise(kept)
+    return own.select(*[text.alias("text") if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
