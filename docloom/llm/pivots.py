@@ -9,13 +9,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
-from docloom.llm.common import components, materialize, ship
+from docloom.llm.common import components, lean, materialize, ship, unite
 
-#: A vector is described by its NEAREST pivots in order; two vectors are compared when they share SHARED of them.
+#: A vector is described by its NEAREST pivots in order; two vectors are candidates when they share at least SHARED of them.
 NEAREST, SHARED = 6, 2
 #: Pivots grow with the root of the rows within these bounds; DRAW rows are drawn for each pivot.
-MIN_PIVOTS, MAX_PIVOTS, DRAW = 64, 4096, 4
+MIN_PIVOTS, MAX_PIVOTS, DRAW = 64, 32_768, 4
+#: Numbers of pivots are below this.
+BASE = 1 << 20
 #: No two pivots have this cosine or more. Rows this near to a hub, a pivot with others so near, are compared with all that can link with them.
 APART = 0.8
 #: Hubs are taken while a drawn row lies within reach of at most this many on average.
@@ -52,13 +55,16 @@ def nearest(X: np.ndarray, pivots: np.ndarray, count: int) -> np.ndarray:
     return np.take_along_axis(top, np.argsort(-np.take_along_axis(sim, top, 1), axis=1, kind="stable"), 1)
 
 
-def list_keys(order: np.ndarray, pivots: int, shared: int) -> np.ndarray:
+def list_keys(order: np.ndarray, shared: int) -> np.ndarray:
     """The lists of each row: one for each choice of ``shared`` (1 or 2) of its pivots, a number for each."""
     if shared == 1 or order.shape[1] < 2:
         return order.astype(np.int64)
-    o = np.sort(order, axis=1).astype(np.int64)
-    i, j = np.triu_indices(o.shape[1], 1)
-    return o[:, i] * pivots + o[:, j]
+    i, j = np.triu_indices(order.shape[1], 1)
+    return joint(order[:, i], order[:, j])
+
+
+def joint(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return np.minimum(p, q).astype(np.int64) * BASE + np.maximum(p, q)
 
 
 def reach(least: float) -> float:
@@ -70,12 +76,13 @@ def choose(sample: np.ndarray, wanted: int, least: float) -> tuple[np.ndarray, n
     """Up to ``wanted`` pivots of the sample, in its order and kept apart, and the numbers of those that are hubs, the fullest first."""
     taken = np.empty((wanted, sample.shape[1]))
     n = 0
-    for x in sample:
-        if n == wanted:
-            break
-        if not n or (taken[:n] @ x).max() < APART:
-            taken[n] = x
-            n += 1
+    for a in range(0, len(sample), 256):
+        part = sample[a : a + 256]
+        before = n
+        for x in part[(part @ taken[:n].T).max(1) < APART] if n else part:
+            if n < wanted and (n == before or (taken[before:n] @ x).max() < APART):
+                taken[n] = x
+                n += 1
     near, far = np.zeros(n, np.int64), np.zeros(n, np.int64)
     for s in range(0, len(sample), 1024):
         sim = sample[s : s + 1024] @ taken[:n].T
@@ -86,7 +93,10 @@ def choose(sample: np.ndarray, wanted: int, least: float) -> tuple[np.ndarray, n
     return taken[:n], order[np.cumsum(far[order]) <= REACHED * len(sample)]
 
 
-def _index(shared_pivots, nearest_count: int, shared: int, least: float):
+def _index(shared_pivots, nearest_count: int, shared: int, least: float, kind: type):
+    """Rows (dim, list, id, copies, x, order, home): of a vector far from all hubs one for each of its lists, with its nearest pivots in
+    order; of one near a hub's reach one for the hub, without. x is the vector as it is stored."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good, vectors = rows_of(batch.column("embedding"))
@@ -95,46 +105,57 @@ def _index(shared_pivots, nearest_count: int, shared: int, least: float):
                 these = np.flatnonzero(dims == dim)
                 # A length that the sample lacks: one list for all.
                 pivots, hubs = shared_pivots.value.get(int(dim), (np.eye(1, int(dim)), np.zeros(0, np.int64)))
-                X = unit(np.stack([vectors[i] for i in these]))
+                raw = np.stack([vectors[i] for i in these])
+                X = unit(raw)
                 to_hubs = X @ pivots[hubs].T
                 home = np.full(len(X), -1)
                 if len(hubs):
                     home = np.where(to_hubs.max(1) >= APART, hubs[to_hubs.argmax(1)], -1)
                 loose = np.flatnonzero(home < 0)
-                keys = list_keys(nearest(X[loose], pivots, nearest_count), len(pivots), shared)
-                n = keys.shape[1]
+                order = nearest(X[loose], pivots, nearest_count).astype(np.int32)
+                keys = list_keys(order, shared)
+                n, m = keys.shape[1], order.shape[1]
                 ball_row, ball = np.nonzero(to_hubs >= reach(least))
                 each = np.concatenate([np.repeat(loose, n), ball_row])
-                width = int(dim) * 8
-                raw = pa.Array.from_buffers(pa.binary(), len(X), [None, pa.py_buffer((np.arange(len(X) + 1) * width).astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(X).tobytes())])
+                flat = np.ascontiguousarray(raw.astype(kind))
+                stored = pa.Array.from_buffers(pa.binary(), len(X), [None, pa.py_buffer((np.arange(len(X) + 1) * flat.itemsize * int(dim)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
                 at = pa.array(np.array(good)[these][each])
-                ends = np.minimum(np.arange(len(each) + 1), len(loose) * n) * n  # balls carry no lists
+                ends = np.minimum(np.arange(len(each) + 1), len(loose) * n) * m
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(each), dim, np.int32)), pa.array(np.concatenate([keys.ravel(), -1 - hubs[ball]])), batch.column("id").take(at), batch.column("copies").take(at), raw.take(pa.array(each)),
-                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.repeat(keys, n, axis=0).ravel())), pa.array(home[each].astype(np.int32))],
-                    ["dim", "list", "id", "copies", "x", "lists", "home"],
+                    [pa.array(np.full(len(each), dim, np.int32)), pa.array(np.concatenate([keys.ravel(), -1 - hubs[ball]])), batch.column("id").take(at), batch.column("copies").take(at), stored.take(pa.array(each)),
+                     pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.repeat(order, n, axis=0).ravel())), pa.array(home[each].astype(np.int32))],
+                    ["dim", "list", "id", "copies", "x", "order", "home"],
                 )
 
     return run
 
 
-def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Joins the groups of p and q pair by pair; label[i] is the first row of i's group, of which the label is itself."""
-    while True:
-        a, b = label[p], label[q]
-        if (a == b).all():
-            return label
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label != label[label]).any():
-            label = label[label]
+def counted_in(order: np.ndarray, p: np.ndarray, q: np.ndarray, shared: int) -> np.ndarray:
+    """The list in which each pair of rows (p, q) counts: of the pivots that both have, the first in the order of the first row."""
+    first, second = order[np.minimum(p, q)], order[np.maximum(p, q)]
+    both = (first[:, :, None] == second[:, None, :]).any(2)
+    rows = np.arange(len(p))
+    u = both.argmax(1)
+    if shared == 1 or order.shape[1] < 2:
+        return first[rows, u].astype(np.int64)
+    both[rows, u] = False
+    return joint(first[rows, u], first[rows, both.argmax(1)])
+
 
+def compare(ids: np.ndarray, X: np.ndarray, order: np.ndarray, block: np.ndarray, copies: np.ndarray, here: int, cell: tuple[int, int], least: float, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links found in a cell, rows by ascending id: for each row the copies of the rows linked with it, and the least id of its group.
 
-def compare(ids: np.ndarray, X: np.ndarray, lists: np.ndarray, block: np.ndarray, copies: np.ndarray, here: int, cell: tuple[int, int], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links found in a cell, rows by ascending id: for each row the copies of the rows linked with it, and the least id of its group."""
+    Candidates are the pairs whose count of shared pivots is at least ``shared``; those are verified.
+    """
     n = len(ids)
     found, label, step = np.zeros(n, np.int64), np.arange(n), 256
+    local, at = np.unique(order, return_inverse=True)
+    holds = np.zeros((n, len(local)), np.float32)
+    holds[np.arange(n)[:, None], at.reshape(order.shape)] = 1
+    least_count = min(shared, order.shape[1])
     for a in range(0, n, step):
-        i, j = np.nonzero(X[a : a + step] @ X.T >= least - 1e-12)
+        candidate = holds[a : a + step] @ holds.T >= least_count
+        i, j = np.nonzero(candidate & (X[a : a + step] @ X.T >= least - 1e-12))
         i += a
         keep = ids[i] != ids[j]
         if cell[0] != cell[1]:
@@ -144,9 +165,8 @@ def compare(ids: np.ndarray, X: np.ndarray, lists: np.ndarray, block: np.ndarray
         i, j = i[exact], j[exact]
         for s in range(0, len(i), 1 << 14):
             p, q = i[s : s + (1 << 14)], j[s : s + (1 << 14)]
-            # A pair counts once: in the least of the lists that it shares.
-            both = np.where((lists[p][:, :, None] == lists[q][:, None, :]).any(2), lists[p], np.iinfo(np.int64).max).min(1)
-            p, q = p[both == here], q[both == here]
+            own = counted_in(order, p, q, shared) == here
+            p, q = p[own], q[own]
             np.add.at(found, p, copies[q])
             label = unite(label, p, q)
     return found, ids[label]
@@ -175,20 +195,20 @@ def compare_ball(ids: np.ndarray, X: np.ndarray, home: np.ndarray, block: np.nda
     return found, ids[label]
 
 
-def _cells(least: float):
+def _cells(least: float, shared: int, kind: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
             if len(t) < 2:
                 return
             t = t.sort_by("id")
             ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
-            X = np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(len(t), -1)
+            X = unit(np.frombuffer(b"".join(t["x"].to_pylist()), kind).astype(np.float64).reshape(len(t), -1))
             here, cell = t["list"][0].as_py(), (t["i"][0].as_py(), t["j"][0].as_py())
             if here < 0:
                 found, low = compare_ball(ids, X, t["home"].to_numpy(), t["block"].to_numpy(), copies, -1 - here, cell, least)
             else:
-                lists = np.stack(t["lists"].to_numpy(zero_copy_only=False))
-                found, low = compare(ids, X, lists, t["block"].to_numpy(), copies, here, cell, least)
+                order = np.stack(t["order"].to_numpy(zero_copy_only=False))
+                found, low = compare(ids, X, order, t["block"].to_numpy(), copies, here, cell, least, shared)
             hit = (found > 0) | (low != ids)
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(found[hit]), pa.array(low[hit])], ["id", "links", "low"])
@@ -237,6 +257,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
     """
     spark = vectors.sparkSession
     ship(spark)
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     nodes = materialize(rows.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("copies")), "nodes")
     count = nodes.count()
@@ -248,13 +269,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
         for dim in {len(x) for x in sample}:
             these = unit(np.stack([x for x in sample if len(x) == dim]))
             table[dim] = choose(these, -(-wanted * len(these) // len(sample)), least)
-    index = nodes.mapInArrow(_index(spark.sparkContext.broadcast(table), nearest_count, shared, least), "dim int, list long, id long, copies long, x binary, lists array<long>, home int")
+    index = nodes.mapInArrow(lean(_index(spark.sparkContext.broadcast(table), nearest_count, shared, least, kind)), "dim int, list long, id long, copies long, x binary, order array<int>, home int")
     index = materialize(index, "index")
     full = index.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     cells = index.join(full, ["dim", "list"]).withColumn("g", F.ceil(F.col("c") / F.lit(cell)).cast("int"))
     cells = cells.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
     cells = cells.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("g", "o", "c")
-    found = cells.repartition("dim", "list", "i", "j").sortWithinPartitions("dim", "list", "i", "j").mapInArrow(_cells(least), "id long, links long, low long")
+    found = cells.repartition("dim", "list", "i", "j").sortWithinPartitions("dim", "list", "i", "j").mapInArrow(lean(_cells(least, shared, kind)), "id long, links long, low long")
     found = materialize(found, "found")
     comps = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
