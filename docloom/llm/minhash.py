@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm import textbytes as tb
-from docloom.llm.common import bit_filter, bit_hit, components, materialize, ship
+from docloom.llm.common import bit_filter, bit_hit, components, lean, materialize, ship, unite
 
 U = np.uint64
 #: Retained values of a sketch, and how many of them open lists. Two sets of Jaccard 0.8 have none of the lowest RETAIN in common
@@ -137,35 +137,22 @@ def overlaps(A: list[np.ndarray], B: list[np.ndarray], step: int = 4096) -> np.n
     return out
 
 
-def unite(label: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Joins the groups of p and q pair by pair; label[i] is the first row of i's group."""
-    while True:
-        a, b = label[p], label[q]
-        if (a == b).all():
-            return label
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while (label != label[label]).any():
-            label = label[label]
-
-
 def _cells(percent: int, step: int = 256):
-    """Edges (a, b) that join the rows of each cell (hood, i, j) as their links do; rows are sorted by cell."""
+    """Edges (a, b) that join the rows of each cell (hood, i, j), those that are open with all, as their links do; rows are sorted by cell."""
 
     def groups(t: pa.Table) -> pa.RecordBatch | None:
-        ids, block = t["id"].to_numpy(), t["block"].to_numpy()
+        ids, place = np.unique(t["id"].to_numpy(), return_inverse=True)
+        open_ = t["open"].to_numpy(zero_copy_only=False)
         sets_ = t["s"].combine_chunks()
         values, size = sets_.flatten().to_numpy(), sets_.value_lengths().to_numpy().astype(np.int64)
         each = np.split(values, np.cumsum(size)[:-1])
-        label, (i, j) = np.arange(len(ids)), (t["i"][0].as_py(), t["j"][0].as_py())
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        label, left, right = np.arange(len(ids)), np.flatnonzero(open_), np.flatnonzero(~open_)
         for a in range(0, len(left), step):
             for b in range(0, len(right), step):
                 A, B = left[a : a + step], right[b : b + step]
-                if i == j and b < a:
-                    continue
                 both = overlaps([each[k] for k in A], [each[k] for k in B]).astype(np.int64)
                 p, q = np.nonzero(100 * both >= percent * (size[A][:, None] + size[B][None, :] - both))
-                label = unite(label, A[p], B[q])
+                label = unite(label, place[A[p]], place[B[q]])
         moved = label != np.arange(len(ids))
         return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], ["a", "b"]) if moved.any() else None
 
@@ -203,8 +190,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     1. Neighbourhoods. Each list (a retained value, within a range of set sizes) compares its members with one leader, the
        member whose values are the most common, which in a group of copies with edits is the one nearest to the others. Pairs
-       with an estimate near the threshold or above join nodes into neighbourhoods; those are dealt over grids of cells of at
-       most two blocks, where all pairs are checked on full sets by matrix products, and a cell tells of its groups, not its pairs.
+       with an estimate near the threshold or above join nodes into neighbourhoods. Of each the member with the most common values is
+       checked against all others, on full sets; those that link with it are one group. Only the ones left open are then checked against
+       the whole neighbourhood, dealt over grids of cells of at most two blocks, by matrix products; a cell tells of its groups, not its pairs.
     2. Lists that hold several neighbourhoods are joined with themselves, one side without the list's largest, for pairs of
        different neighbourhoods only. Values in very full buckets are replaced by a set's next lowest others; sets that
        consist of such values to a good part open both. No list is cut.
@@ -218,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     kind, share = docs.schema["doc_id"].dataType.simpleString(), percent / 100
     longs = ", ".join(f"{c} long" for c in SIGNATURE)
     source = docs.select("doc_id", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text")
-    rows = materialize(source.mapInArrow(_sketches(width), f"doc_id {kind}, h long, n long, k binary, {longs}, sketch array<long>"), "sketches")
+    rows = materialize(source.mapInArrow(lean(_sketches(width)), f"doc_id {kind}, h long, n long, k binary, {longs}, sketch array<long>"), "sketches")
     reps = rows.where("n > 0").groupBy("k").agg(F.min("h").alias("h"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in SIGNATURE], F.first("sketch").alias("sketch"))
     reps = materialize(reps.withColumn("id", F.monotonically_increasing_id()), "reps")  # ids are fixed as they are written
 
@@ -245,7 +233,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         """id and s, all values of the nodes ids(id): read from the texts again, of one document for each node."""
         asked = ids.join(reps.select("id", "k", "h"), "id")
         bitmap = spark.sparkContext.broadcast(bit_filter(asked.select("h")))
-        full = source.mapInArrow(_full_sets(width, bitmap), "k binary, s array<long>")
+        full = source.mapInArrow(lean(_full_sets(width, bitmap)), "k binary, s array<long>")
         return full.join(asked.select("id", "k"), "k").select("id", "s").dropDuplicates(["id"])
 
     def verified(close: DataFrame) -> DataFrame:
@@ -263,7 +251,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     # Leaders, in two divisions of the sizes into ranges, so that no group is parted in both.
     slim = reps.select("id", "n", *SIGNATURE, "sketch")
     schema = f"id long, n long, {longs}, pop long, vs array<long>"
-    opened = materialize(slim.mapInArrow(_openers(shared, None), schema).where("size(vs) > 0"), "opened")
+    opened = materialize(slim.mapInArrow(lean(_openers(shared, None)), schema).where("size(vs) > 0"), "opened")
     pairs: DataFrame | None = None
     for shift in (0.0, 0.5):
         ranged = opened.withColumn("range", F.floor(F.ln("n") / F.lit(float(np.log(1.5))) + F.lit(shift)).cast("int")).withColumn("v", F.explode("vs")).drop("vs")
@@ -274,15 +262,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = hoods.groupBy("comp").agg(F.count(F.lit(1)).alias("members"))
     hoods = materialize(hoods.join(members, "comp").select(F.col("node").alias("id"), F.col("comp").alias("hood"), "members"), "hoods")
 
-    cells = full_sets(hoods.select("id")).join(hoods, "id").withColumn("g", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.select("hood", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "id", "s")
-    links = cells.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "id").mapInArrow(_cells(percent), "a long, b long")
+    # All of a neighbourhood against its leader, then what that leaves open against all.
+    full = materialize(full_sets(hoods.select("id")).join(hoods, "id"), "full")
+    lead = opened.select("id", "pop").join(hoods, "id").groupBy("hood").agg(F.max(F.struct("pop", "id"))["id"].alias("leader"))
+    lead = full.select("id", F.col("s").alias("ls")).join(lead.withColumnRenamed("leader", "id"), "id").withColumnRenamed("id", "leader")
+    both = F.size(F.array_intersect("s", "ls"))
+    met = full.join(lead, "hood").where("id <> leader").select("hood", "members", "id", "leader", (both * 100 >= percent * (F.size("s") + F.size("ls") - both)).alias("linked"))
+    met = materialize(met, "met")
+    links = met.where("linked").select(F.col("leader").alias("a"), F.col("id").alias("b"))
+    open_ = met.where("NOT linked").select("hood", "id")
+    sizes = open_.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("g_open"))
+    partly = full.join(sizes, "hood").withColumn("g_all", F.ceil(F.col("members") / F.lit(BLOCK)).cast("int"))
+    dealt = lambda g: F.pmod(F.xxhash64("id"), F.col(g)).cast("int")
+    blocks = lambda g: F.explode(F.sequence(F.lit(0), F.col(g) - 1))
+    each = partly.select("hood", blocks("g_open").alias("i"), dealt("g_all").alias("j"), F.lit(False).alias("open"), "id", "s")
+    those = partly.join(open_.select("id"), "id", "left_semi").select("hood", dealt("g_open").alias("i"), blocks("g_all").alias("j"), F.lit(True).alias("open"), "id", "s")
+    cells = each.unionByName(those).repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "open", "id")
+    links = links.union(cells.mapInArrow(lean(_cells(percent)), "a long, b long"))
     links = materialize(links, "links")
 
     # What lies between neighbourhoods.
     hot_above = int(max(HOT, HOT_MEANS * counts.mean()))
-    opened = slim.mapInArrow(_openers(shared, hot_above), schema).where("size(vs) > 0").join(hoods, "id", "left")
+    opened = slim.mapInArrow(lean(_openers(shared, hot_above)), schema).where("size(vs) > 0").join(hoods, "id", "left")
     opened = materialize(opened.select("id", "n", *SIGNATURE, F.coalesce("hood", "id").alias("hood"), F.coalesce("members", F.lit(1).cast("long")).alias("members"), "vs"), "opened")
     listed = opened.withColumn("v", F.explode("vs")).drop("vs")
     several = listed.groupBy("v").agg(F.min("hood").alias("lo"), F.max("hood").alias("hi"), F.max(F.struct("members", "hood")).alias("most")).where("lo <> hi")
