@@ -66,7 +66,7 @@ class LangModel:
 
 
 def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int = 16, epochs: int = 12, rate: float = 0.5, reject_share: float = 0.01, seed: int = 3) -> LangModel:
-    """SGD with momentum over whole texts; a fifth is held back for the temperature and for reject_below, the probability under which
+    """SGD over whole texts, in a new order each epoch; a fifth is held back for the temperature and for reject_below, the probability under which
     reject_share of those rightly predicted fall. Without any label there are no classes."""
     rng, classes = np.random.default_rng(seed), sorted(set(labels))
     if not classes:
@@ -85,8 +85,9 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int =
     W, b = rng.normal(0, 0.1, (dim, len(classes))).astype(np.float32), np.zeros(len(classes), np.float32)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs) + 0.01
+        train = rng.permutation(train)
         for first in range(0, len(train), 16):
-            batch = rng.permutation(train)[:16] if first == 0 else train[first : first + 16]
+            batch = train[first : first + 16]
             H = np.stack([bags[i][1] @ E[bags[i][0]] for i in batch])
             z = H @ W + b
             p = np.exp(z - z.max(1, keepdims=True))
@@ -115,10 +116,10 @@ def fit(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int =
     return model
 
 
-def fit_on(rows: DataFrame, per_class: int = 500, max_classes: int = 64, **how) -> LangModel:
-    """Fits on about per_class rows(doc_id, text, lang) of each of at most max_classes languages, chosen by a hash of doc_id; the only bound."""
+def fit_on(rows: DataFrame, per_class: int = 500, **how) -> LangModel:
+    """Fits on about per_class rows(doc_id, text, lang) of each language, chosen by a hash of doc_id and text; the only bound."""
     known = rows.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    got = sampling.stratified(known, "lang", F.col("doc_id").cast("string"), per_class, max_classes).collect()
+    got = sampling.stratified(known, "lang", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")), per_class).collect()
     got.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in got], [r["lang"] for r in got], **how)
 

@@ -115,7 +115,8 @@ def fit_on(docs: DataFrame, ratings: DataFrame, per_grade: int = 1200, **how) ->
     known = ratings.where("grade IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     sizes = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     chosen = sampling.stratified(known, "grade", F.col("doc_id").cast("string"), per_grade)
-    got = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()  # at most 2 * per_grade keys a grade
+    found = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    got = found.groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min("text").alias("text")).collect()  # at most 2 * per_grade rows a grade
     got.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     model = fit([r["text"] for r in got], [r["grade"] for r in got], **how)
     drawn = {g: sum(r["grade"] == g for r in got) for g in model.grades}
@@ -133,7 +134,7 @@ def grade(docs: DataFrame, model: OrdinalModel, select_from: int = 1, min_tail:
     tail (P of at least the select_from-th grade, counted from 0), kept (tail >= min_tail).
 
     Null and empty texts have no features: they get the grade of the thresholds alone. Without grades nothing is known: expected 0,
-    tail 0. A map over Arrow batches, without a shuffle; repeated rows and ids stay; an empty table gives no rows.
+    tail 0. A map over Arrow batches, without a shuffle; repeated rows and ids stay; an empty table gives no rows; other columns are left out.
     """
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def stratified(rows: DataFrame, label: str, key: Column, per_class: int, max_classes: int = 256, seed: int = 5) -> DataFrame:
+def stratified(rows: DataFrame, label: str, key: Column, per_class: int, seed: int = 5) -> DataFrame:
     """About per_class rows of each label value, at most twice as many in all, by a seeded hash of key: no sort, no shuffle of
-    texts. Only the max_classes most frequent values take part."""
-    sizes = rows.groupBy(label).count().orderBy(F.col("count").desc(), label).limit(max_classes).collect()
+    texts. The driver holds a count for each label value."""
+    sizes = rows.groupBy(label).count().orderBy(label).collect()
     if not sizes:
         return rows.limit(0)
     share = F.create_map(*[x for r in sizes for x in (F.lit(r[0]), F.lit(per_class / r["count"]))])

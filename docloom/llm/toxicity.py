@@ -204,7 +204,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, per_class: int = 2000, **how) ->
     known = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic")).first()[0]
     chosen = sampling.stratified(known, "toxic", F.col("doc_id").cast("string"), per_class)
-    got = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id").collect()  # at most 4 * per_class keys
+    found = docs.where("text IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    got = found.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min(F.struct("text", "lang")).alias("t")).select("doc_id", "toxic", "t.*").collect()  # at most 4 * per_class rows
     got.sort(key=lambda r: (str(r["doc_id"]), r["text"]))
     return fit([r["text"] for r in got], np.array([r["toxic"] for r in got], np.float32), [r["lang"] for r in got], share=share, **how)
 
@@ -227,7 +228,8 @@ def score(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: ToxicModel, reject_from: float = DECIDE) -> DataFrame:
-    """The rows of docs, all columns, whose text scores under reject_from; null and empty texts as in ``score``. A map, without a shuffle."""
+    """The rows of docs, all columns whatever their names, whose text scores under reject_from; null and empty texts as in ``score``, repeated
+    rows alike; an empty table gives no rows. A map, without a shuffle."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

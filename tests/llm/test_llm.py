@@ -219,16 +219,32 @@ def test_weighted_shards(spark):
 
 
 def removed_lines(rows, percent=80):
-    lines = sorted({(i if i is not None else -1, k, frozenset(WORD.findall(low(x)))) for i, t in rows if t is not None for k, x in enumerate(t.split("\n"))}, key=lambda r: r[:2])
+    """By (id, text): the lines that go. rows(id, text, hash of both)."""
+    each = {(i is not None, i if i is not None else 0, h, k): (t, frozenset(WORD.findall(low(x)))) for i, t, h in rows if t is not None for k, x in enumerate(t.split("\n"))}
     out, before = defaultdict(list), []
-    for i, k, s in lines:
+    for (there, i, _, k), (t, s) in sorted(each.items()):
         if s:
             if any(100 * len(s & b) >= percent * len(s | b) for b in before):
-                out[i].append(k)
+                out[i if there else None, t].append(k)
             before.append(s)
     return out
 
 
+def check_lines(table, **how):
+    rows = table.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")).collect()
+    want = removed_lines(rows)
+    found = linededup.similar_lines(table, **how)
+    got = {(r["doc_id"], r["row"]): r for r in found.collect()}
+    assert found.count() == len(rows)
+    for i, t, h in rows:
+        assert got[i, h]["removed"] == want[i, t] and got[i, h]["n_lines"] == (len(t.split("\n")) if t is not None else 0), (i, t)
+    clean = linededup.without_lines(table, found)
+    assert clean.columns == table.columns
+    cut = lambda i, t: t if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i, t])
+    assert Counter((r["doc_id"], r["text"]) for r in clean.collect()) == Counter((i, cut(i, t)) for i, t, _ in rows)
+    return want
+
+
 @pytest.mark.parametrize("cell", [linededup.CELL, 3])
 def test_lines(spark, docs, none, cell):
     rng = np.random.default_rng(3)
@@ -236,30 +252,28 @@ def test_lines(spark, docs, none, cell):
     lines = [" ".join(b) for b in base] + [" ".join([*b[:-1], "new"]) for b in base] + ["", " ", "V1", "v1 v1"]
     texts = ["\n".join(rng.choice(lines, rng.integers(1, 9))) for _ in range(30)]
     rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
-    table = spark.createDataFrame(rows, DOCS).repartition(3)
-    want = removed_lines([(i, t) for i, t, *_ in rows])
-    for r in linededup.similar_lines(table, cell=cell).collect():
-        assert r["removed"] == want[r["doc_id"]] and r["n_lines"] == texts[r["doc_id"]].count("\n") + 1
-    found = linededup.similar_lines(table)
-    clean = {r["doc_id"]: r["text"] for r in linededup.without_lines(table, found).collect()}
-    assert clean == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in enumerate(texts)}
-
-
-def test_lines_odd(docs, none):
-    want = removed_lines([(r[0], r[1]) for r in odd_rows()])
-    got = linededup.similar_lines(docs).collect()
-    assert len(got) == docs.count() and all(r["removed"] == want[r["doc_id"] if r["doc_id"] is not None else -1] for r in got)
+    assert check_lines(spark.createDataFrame(rows, DOCS).repartition(3), cell=cell)
+
+
+def test_lines_odd(spark, docs, none):
+    check_lines(docs.withColumns({"removed": F.lit("clash"), "row": F.lit(1), "doc": F.lit(2)}))
     assert linededup.similar_lines(none).count() == 0
 
 
+def test_lines_where_ids_repeat_or_are_null(spark):
+    same, near = "alpha beta gamma delta eps zeta eta theta iota", "alpha beta gamma delta eps zeta eta theta kappa"
+    rows = [(5, f"{same}\nkeep me one two three"), (5, f"other words here now then\n{same}"), (None, f"{near}\nfirst of none"), (None, f"second of none\n{same}"), (None, f"second of none\n{same}"), (6, None), (6, "")]
+    want = check_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sum(map(len, want.values())) == 3, "of four lines that are alike the first stays"
+    check_lines(spark.createDataFrame([(None if i is None else f"d{i}", t) for i, t in rows], "doc_id string, text string"))
+
+
 def test_many_variants_of_a_line(spark):
     """Each asks for the rest only if its nearest partner fails; none is lost."""
     rng = np.random.default_rng(4)
     base = [f"b{i}" for i in range(40)]
     rows = [(i, " ".join(base[j] if rng.random() > 0.12 else f"r{rng.integers(9)}" for j in range(40))) for i in range(150)]
-    want = removed_lines(rows)
-    got = linededup.similar_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cell=40).collect()
-    assert {r["doc_id"] for r in got if r["removed"]} == {i for i, x in want.items() if x}
+    check_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), cell=40)
 
 
 # Token output
@@ -381,16 +395,21 @@ def test_vectors(spark, cell):
     assert pivots.near_duplicates(table.where("false")).count() == 0
 
 
-def test_recall_on_the_table(spark):
-    table = common.read(spark, SMALL, "embeddings")
-    rows = table.collect()
-    X = np.array([r["embedding"] for r in rows], float)
-    X /= np.linalg.norm(X, axis=1, keepdims=True)
-    near = np.argsort(-(X @ X.T), axis=1)[:, :2]
-    least = float(np.quantile((X[near[:, 0]] * X[near[:, 1]]).sum(1), 0.9))
-    links = (X @ X.T >= least).sum() - len(X)
-    found = pivots.near_duplicates(table, least=least, nearest_count=12, shared=1, pivots=16).agg(F.sum("n_links")).first()[0]
-    assert found >= 0.9 * links
+@pytest.mark.parametrize("pivot_count", [64, 4096])
+def test_recall_on_clusters(spark, tmp_path, pivot_count):
+    """Production's parameters; 2,000 clusters of four whose pairs lie around a cosine of 0.96, among 8,000 others."""
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    near = [unit(base + 0.2 * unit(rng.normal(size=(2000, 64)))) for base in [unit(rng.normal(size=(2000, 64)))] for _ in range(4)]
+    X = np.concatenate([*near, unit(rng.normal(size=(8000, 64)))])[rng.permutation(16000)].astype(np.float32)
+    pq.write_table(pa.table({"vec_id": np.arange(len(X)), "embedding": list(X)}), tmp_path / "v.parquet")
+    U = unit(X.astype(float))
+    links = np.concatenate([(U[a : a + 1000] @ U.T >= 0.95).sum(1) - 1 for a in range(0, len(U), 1000)])
+    assert links.sum() > 10_000
+    got = pivots.near_duplicates(spark.read.parquet(f"file://{tmp_path}/v.parquet"), pivots=pivot_count).toPandas().sort_values("vec_id")
+    found = got["n_links"].to_numpy()
+    assert (found <= links).all() and found.sum() >= 0.9 * links.sum()
+    assert (got["kept"] == (got["vec_id"] == got["component_id"])).all() and (found[~got["kept"]] > 0).all()
 
 
 @pytest.mark.parametrize("to_base", [0.98, 0.9999])
