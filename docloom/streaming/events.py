@@ -1,6 +1,8 @@
 """Structured Streaming over the event table: ticker, debounce, suppressed repeats, progress and terminal state.
 
-Every stream has a watermark, so state is bounded; rows later than it are dropped.
+Windows (ticker, debounce) are closed by a watermark, so their state is bounded; rows later than it are dropped. Status, progress and
+suppressed repeats are of a whole session, whose end no event tells: they keep one small row for each session seen, for as long as the
+query runs. Restart such a query from a new checkpoint, or filter the stream to sessions of a day, where sessions never stop coming.
 """
 
 from __future__ import annotations
