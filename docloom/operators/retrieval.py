@@ -28,6 +28,8 @@ BLOCK, PASS = 2048, 65_536
 ROWS = 512
 #: Scores are rounded to this many places before they are ranked, so that equal texts tie on every engine; ties go by chunk_id.
 PLACES = 6
+#: Distinct words of texts that a task remembers.
+KNOWN = 500_000
 #: Words that at least this many questions of a block hold are counted by matrix product, others one by one.
 COMMON = 32
 
@@ -81,16 +83,25 @@ class _Words:
             self.machine.add_word(w, k)
         if words:
             self.machine.make_automaton()
+        self.known: dict[str, tuple[int, float, list[int]]] = {}
 
-    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-        """From lists of words: (row of each word, its number among the distinct ones, their slots, their signs, the questions' words in each)."""
+    def look(self, word: str) -> tuple[int, float, list[int]]:
+        found = self.known[word] = (*_slot(word, self.dim), list({k for _, k in self.machine.iter(word)}) if len(self.machine) else [])
+        return found
+
+    def of(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """From lists of words: (offsets of the rows, number of each word among the distinct ones, their slots, their signs, how many of the
+        questions' words each holds, those in turn)."""
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         size = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = column.flatten().dictionary_encode()
-        distinct = flat.dictionary.to_pylist()
-        slots = [_slot(w, self.dim) for w in distinct]
-        found = [np.array(list({k for _, k in self.machine.iter(w)}) if len(self.machine) else [], np.int64) for w in distinct]
-        return np.repeat(np.arange(len(size)), size), flat.indices.to_numpy(), np.array([k for k, _ in slots], np.int64), np.array([s for _, s in slots]), found
+        if len(self.known) > KNOWN:
+            self.known.clear()
+        get = self.known.get
+        each = [get(w) or self.look(w) for w in flat.dictionary.to_pylist()]
+        slots, signs = np.array([x[0] for x in each], np.int64), np.array([x[1] for x in each])
+        held = np.array([len(x[2]) for x in each], np.int64)
+        return np.concatenate([[0], np.cumsum(size)]), flat.indices.to_numpy(), slots, signs, held, np.array([k for x in each for k in x[2]], np.int64)
 
 
 class _Best:
@@ -225,19 +236,21 @@ def score_candidates(chunks: DataFrame, queries: DataFrame, keep: int, dim: int
             for batch in batches:
                 names = batch.column("chunk_id").to_numpy(zero_copy_only=False)
                 batch = batch.take(pa.array(np.argsort(names.astype(str), kind="stable")))  # ties go by chunk_id
+                starts, every, slots, signs, held, of_questions = known.of(batch.column("words"))
+                before = np.cumsum(held) - held
                 for a in range(0, batch.num_rows, ROWS):
                     part = batch.slice(a, ROWS)
                     ids, documents = (part.column(c).to_numpy(zero_copy_only=False) for c in ("chunk_id", "document_id"))
-                    row, word, slots, signs, found = known.of(part.column("words"))
+                    own = starts[a : a + part.num_rows + 1]
+                    row, word = np.repeat(np.arange(part.num_rows), np.diff(own)), every[own[0] : own[-1]]
                     X = None
                     if by != "kw":
                         X = np.array(part.column("embedding").to_pylist(), float) if given else np.bincount(row * dim + slots[word], signs[word], len(ids) * dim).reshape(-1, dim)
                         length = np.sqrt((X * X).sum(1, keepdims=True))
                         X = X if given else X / np.where(length > 0, length, 1)
-                    size = np.array([len(x) for x in found], np.int64)
-                    flat = np.concatenate([np.zeros(0, np.int64), *found])
-                    at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(size[word]) - size[word]), size[word]) + np.arange(size[word].sum())
-                    pair = np.unique(np.repeat(row, size[word]) * max(len(words), 1) + flat[at])
+                    size = held[word]
+                    at = np.repeat(before[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                    pair = np.unique(np.repeat(row, size) * max(len(words), 1) + of_questions[at])
                     for b in blocks:
                         b.meet(ids, documents, X, pair // max(len(words), 1), pair % max(len(words), 1))
             for b in blocks:
