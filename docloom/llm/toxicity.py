@@ -15,6 +15,8 @@ from docloom.llm.common import lean, ship
 
 U = np.uint64
 WIDTHS = (1, 2, 3)
+#: With fewer rows of either label nothing is learned: every text scores next to 0.
+LEAST_ROWS = 4
 #: Words whose embeddings a worker holds at once.
 SEGMENT = 1 << 17
 #: Every language's threshold is moved to this score.
@@ -121,7 +123,8 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int =
     rate = 0.01
     # Both labels weigh the same in all; few rows are gone through more often.
     balance = np.where(y > 0, 0.5 / max(y[train].mean(), 1e-6), 0.5 / max(1 - y[train].mean(), 1e-6)).astype(np.float32) if len(train) else y
-    for epoch in range(int(np.clip(updates * 32 / len(train), epochs, 10 * epochs)) if len(train) else 0):
+    enough = min(y.sum(), (1 - y).sum()) >= LEAST_ROWS
+    for epoch in range(int(np.clip(updates * 32 / len(train), epochs, 10 * epochs)) if len(train) and enough else 0):
         train = rng.permutation(train)
         for first in range(0, len(train), 32):
             batch = train[first : first + 32]
@@ -169,6 +172,8 @@ def fit(texts: list[str], y: np.ndarray, langs: list[str | None], buckets: int =
                 np.add.at(G, back, what)
                 seen[u] += (G**2).mean(1)
                 E[u] -= 0.05 * G / (np.sqrt(seen[u]) + 1e-6)[:, None]
+    if not enough:
+        return ToxicModel(E, K, o, v.astype(np.float64), float(b), 1.0, np.full(1, np.inf), langid.fit([], []))
     langs_ok = [(x, g) for x, g in zip(texts, langs) if g is not None]
     languages = langid.fit([x for x, _ in langs_ok], [g for _, g in langs_ok], epochs=6)
     model = ToxicModel(E, K, o, v.astype(np.float64), float(b), 1.0, np.zeros(len(languages.classes) + 1), languages)

@@ -61,3 +61,24 @@ def test_near_duplicates_where_ids_repeat_or_are_null(spark):
     got = [(r["doc_id"], r["text"]) for r in pipeline.drop_near_duplicates(spark, docs.repartition(3), SMALL).collect()]
     assert sum(g in [(None, c), (None, near("c"))] for g in got) == 1, "one of two near copies without ids"
     assert sorted(map(str, (g for g in got if g[1] not in (c, near("c"))))) == sorted(map(str, [(1, b), (5, a), (7, d), (8, None), (None, None)]))
+
+
+def test_long_texts_ties_and_clashing_names(spark):
+    """A text of 2 MB among short ones, copies without ids, columns with the names that stages use inside; every stage keeps what it must."""
+    import corpus_pipeline as pipeline
+
+    long = " ".join(f"w{i % 5000}x{i % 7}" for i in range(250_000))
+    rows = [(1, long, "en", "s", 1), (2, long, "en", "s", 1), (None, "same words here in two rows", None, None, None), (None, "same words here in two rows", None, None, None), (3, "", "en", "t", 0), (4, "same words here in two rows", "en", "t", 5)]
+    names = ["row", "doc", "copies", "h", "k", "_kept", "_digest", "removed", "part"]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} int" for n in names)).repartition(2)
+    kept = docs
+    for name, stage in pipeline.STAGES[:-1]:
+        kept = common.materialize(stage(spark, kept, SMALL), name)
+        assert kept.columns == docs.columns, name
+        if name == "near_dedup":
+            assert sorted((str(r["doc_id"]), len(r["text"])) for r in kept.collect()) == [("1", len(long)), ("3", 0), ("4", 27)]
+    taken = kept.collect()
+    got = pipeline.STAGES[-1][1](spark, kept, SMALL).orderBy("start").collect()
+    assert [r["doc_id"] for r in got] == sorted(r["doc_id"] for r in taken)
+    assert all(a["start"] + a["n_tokens"] == b["start"] for a, b in zip(got, got[1:]))
+    assert all(r["n_tokens"] == 1 for r in got if r["doc_id"] == 3)
