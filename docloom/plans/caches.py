@@ -94,14 +94,16 @@ def distinct_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _written(spark: SparkSession, sf: str) -> DataFrame:
-    asked = M.keyed(S.memory_requests(spark, sf)).where("CAST(split_part(request_id, ':', 1) AS BIGINT) % 5 = 1")
+    """What a backend would give for all requests that the memory doesn't hold."""
+    valid = S.memory(spark, sf).where(F.col("expires_at") >= NOW).select("cache_key")
+    asked = M.keyed(S.memory_requests(spark, sf)).join(valid, "cache_key", "left_anti")
     one = asked.groupBy("cache_key", "lang_in", "lang_out", "service", "model", "source_text").count()
     return M.memory_entries(one.withColumn("translated_text", F.concat(F.lit("new: "), "source_text")), NOW)
 
 
 @query(
     "memory_upsert",
-    f"WITH new AS (SELECT DISTINCT cache_key, 'new: ' || source_text AS translated_text FROM requests WHERE CAST(string_split(request_id, ':')[1] AS BIGINT) % 5 = 1), "
+    f"WITH new AS (SELECT DISTINCT cache_key, 'new: ' || source_text AS translated_text FROM requests WHERE cache_key NOT IN (SELECT cache_key FROM memory WHERE expires_at >= {NOW})), "
     f"a AS (SELECT cache_key, translated_text, cached_at, hit_count, last_used, 0 AS o FROM memory UNION ALL SELECT cache_key, translated_text, CAST({NOW} AS BIGINT), 0, NULL, 1 FROM new) "
     "SELECT cache_key, translated_text, cached_at, hit_count, last_used FROM (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY cached_at DESC, o DESC) AS n FROM a) WHERE n = 1",
     ("memory", "requests"),

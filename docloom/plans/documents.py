@@ -136,6 +136,39 @@ def contextual_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.contextual_chunks(S.elements(spark, sf)).select("document_id", "page", "seq", "text", "section", F.size("elements").alias("elements_count"))
 
 
+#: Lines as elements of all kinds, two at each height; figures of every second have no caption.
+_MIXED = (
+    "mixed AS (SELECT document_id, k // 8 AS page, k AS ordinal, 40 + 14 * (k % 8 // 2) AS y0, CASE WHEN k % 7 = 3 THEN 'equation' WHEN k % 7 = 5 THEN 'table' WHEN k % 11 = 4 THEN 'figure' ELSE 'text' END AS kind, "
+    "CASE WHEN k % 8 = 0 THEN 'title' WHEN k % 5 = 0 THEN 'header' END AS head, line, k FROM lines), "
+    "piece AS (SELECT document_id, page, kind, CASE WHEN kind = 'text' THEN head END AS head, CASE kind WHEN 'text' THEN line || ' ' WHEN 'equation' THEN ' [EQUATION: Mathematical equation on page ' || page || '] ' "
+    "WHEN 'table' THEN ' [TABLE: | ' || substr(line, 1, 20) || ' |] ' ELSE CASE WHEN k % 2 = 0 AND substr(line, 1, 30) <> '' THEN ' [FIGURE: ' || substr(line, 1, 30) || '] ' ELSE '' END END AS piece, "
+    "row_number() OVER (PARTITION BY document_id, page ORDER BY y0, CASE kind WHEN 'text' THEN 0 WHEN 'table' THEN 2 ELSE 1 END, ordinal) AS n, count(*) OVER (PARTITION BY document_id, page) AS m FROM mixed)"
+)
+_FOLD = (
+    "RECURSIVE {mixed}, f AS (SELECT document_id, page, CAST(0 AS BIGINT) AS n, '' AS cur, 'content' AS section, 0 AS els, false AS eq, false AS tab, false AS fig, CAST(NULL AS VARCHAR) AS o_text, '' AS o_section, 0 AS o_els, false AS o_eq, false AS o_tab, false AS o_fig FROM piece WHERE n = 1 "
+    "UNION ALL SELECT f.document_id, f.page, e.n, CASE WHEN e.head IS NOT NULL THEN e.piece WHEN {full} THEN '' ELSE f.cur || e.piece END, CASE WHEN e.head IS NOT NULL THEN e.head WHEN {full} THEN 'content' ELSE f.section END, "
+    "CASE WHEN e.head IS NOT NULL THEN 1 WHEN {full} THEN 0 ELSE f.els + 1 END, {keep} AND (f.eq OR e.kind = 'equation'), {keep} AND (f.tab OR e.kind = 'table'), {keep} AND (f.fig OR e.kind = 'figure'), "
+    "CASE WHEN e.head IS NOT NULL OR {full} THEN f.cur || e.piece END, f.section, CASE WHEN e.head IS NOT NULL THEN f.els ELSE f.els + 1 END, f.eq OR e.kind = 'equation', f.tab OR e.kind = 'table', f.fig OR e.kind = 'figure' "
+    "FROM f JOIN piece e ON e.document_id = f.document_id AND e.page = f.page AND e.n = f.n + 1), "
+    "raw AS (SELECT document_id, page, n AS pos, o_text AS raw, o_section AS section, o_els AS els, o_eq AS eq, o_tab AS tab, o_fig AS fig FROM f WHERE o_text IS NOT NULL "
+    "UNION ALL SELECT f.document_id, f.page, f.n + 1, f.cur, f.section, f.els, f.eq, f.tab, f.fig FROM f JOIN (SELECT DISTINCT document_id, page, m FROM piece) c ON c.document_id = f.document_id AND c.page = f.page AND f.n = c.m "
+    "WHERE regexp_replace(f.cur, '^\\s+|\\s+$', '', 'g') <> '') "
+    "SELECT document_id, page, CAST(row_number() OVER (PARTITION BY document_id, page ORDER BY pos) - 1 AS INTEGER) AS seq, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text, section, CAST(els AS INTEGER) AS elements_count, eq AS has_equations, tab AS has_tables, fig AS has_figures FROM raw"
+)
+_FULL = "length(f.cur) + length(e.piece) > 1000"
+
+
+@query("contextual_chunks_mixed", "WITH " + _FOLD.format(mixed=_MIXED, full=_FULL, keep=f"NOT (e.head IS NOT NULL OR {_FULL})"), ("lines",))
+def contextual_chunks_mixed(spark: SparkSession, sf: str) -> DataFrame:
+    """Text among equations, tables and figures, with their markers, in the order of height, kind and place."""
+    k = F.col("ordinal")
+    kind = F.when(k % 7 == 3, "equation").when(k % 7 == 5, "table").when(k % 11 == 4, "figure").otherwise("text")
+    rows = S.elements(spark, sf).withColumns({
+        "kind": kind, "y0": (40 + 14 * F.floor(k % 8 / 2)).cast("double"), "markdown": F.concat(F.lit("| "), F.substring("content", 1, 20), F.lit(" |")), "caption": F.when(k % 2 == 0, F.substring("content", 1, 30)),
+    })
+    return chunking.contextual_chunks(rows).select("document_id", "page", "seq", "text", "section", F.size("elements").alias("elements_count"), "has_equations", "has_tables", "has_figures")
+
+
 @query("chunk_context", WITH_CHUNKER + "SELECT document_id, page, chunk_index, previous_context, next_context FROM ctx", ("elements",))
 def chunk_context(spark: SparkSession, sf: str) -> DataFrame:
     return made_chunks(spark, sf).select("document_id", "page", "chunk_index", "previous_context", "next_context")
@@ -224,7 +257,7 @@ def first_bbox(spark: SparkSession, sf: str) -> DataFrame:
 def _fix_recursive() -> None:
     from docloom.plans.registry import ORACLES
 
-    for name in ("contextual_chunks", "chunk_context", "chunk_records"):
+    for name in ("contextual_chunks", "contextual_chunks_mixed", "chunk_context", "chunk_records"):
         ORACLES[name] = _recursive(ORACLES[name])
 
 

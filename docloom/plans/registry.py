@@ -36,8 +36,8 @@ VIEWS = {
     "memory": (
         "SELECT sha256('en|vi|' || service || '|' || coalesce(model, '') || '|' || line) AS cache_key, 'en' AS source_lang, 'vi' AS target_lang, service, model, line AS source_text, 'vi: ' || line AS translated_text, "
         "cached_at, cached_at + 2592000000000 AS expires_at, CAST(d % 5 AS BIGINT) AS hit_count, CASE WHEN d % 3 <> 0 THEN cached_at + 3600000000 END AS last_used FROM ("
-        "SELECT line, min(doc_id) AS d, CASE WHEN min(doc_id) % 3 = 0 THEN 'argos' WHEN min(doc_id) % 3 = 1 THEN 'openai' ELSE 'gemini' END AS service, "
-        "CASE WHEN min(doc_id) % 3 <> 0 THEN 'base' END AS model, min(doc_id) * 3600000000 + 1704067200000000 AS cached_at FROM lines WHERE doc_id % 2 = 0 AND trim(line) <> '' GROUP BY line)",
+        "SELECT line, min(doc_id) AS d, CASE WHEN length(line) % 3 = 0 THEN 'argos' WHEN length(line) % 3 = 1 THEN 'openai' ELSE 'gemini' END AS service, "
+        "CASE WHEN length(line) % 3 <> 0 THEN 'base' END AS model, min(doc_id) * 3600000000 + 1704067200000000 AS cached_at FROM lines WHERE trim(line) <> '' GROUP BY line)",
         ("lines",),
     ),
     "requests": (
