@@ -153,7 +153,7 @@ def document_cache_stats(index: DataFrame, hits: DataFrame, version: str) -> Dat
 
 
 #: Ranges of the age order in which running sums are taken, this many times this many; a range's rows meet in one task.
-AGE_CUTS = 32
+AGE_CUTS = 16
 
 
 def _oldest_first(index: DataFrame, size: Column, by: list[str]) -> DataFrame:
