@@ -1,5 +1,7 @@
 """Operators on hand-written rows: the corners that the tables do not reach."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,37 @@ def test_clear(spark):
     docs = spark.createDataFrame([("d",)], "cache_key string")
     left = lambda scope, target: tuple(x.count() for x in memory.clear(mem, docs, scope, target, 6))
     assert left("expired", "both") == (1, 1) and left("expired", "documents") == (2, 1) and left("all", "both") == (0, 0) and left("all", "documents") == (2, 0)
+
+
+def test_observed_translation_and_settings(spark):
+    from pyspark.sql import Observation
+
+    requests = memory.keyed(spark.createDataFrame([("a", "hello"), ("b", "hello"), ("c", "1 fails"), ("d", " ")], "request_id string, source_text string").selectExpr(
+        "request_id", "source_text", "'en' lang_in", "'vi' lang_out", "'marked' service", "CAST(NULL AS STRING) model", "0L ts"
+    ))
+    empty = memory.memory_entries(requests.withColumn("translated_text", F.lit("")), 100)
+    seen = Observation("translation")
+    got, _ = memory.translate(requests, empty, 100, using="marked", settings={"marked": {"mark": "<vi> "}}, seen=seen)
+    assert {r["request_id"]: (r["status"], r["translated_text"]) for r in got.collect()} == {"a": ("translated", "<vi> hello"), "b": ("translated", "<vi> hello"), "c": ("failed", "1 fails"), "d": ("blank", " ")}
+    assert seen.get == {"paragraphs": 4, "hit": 0, "blank": 1, "translated": 2, "failed": 1}
+    with pytest.raises(ValueError, match="no backend"):
+        memory.settings_of("nobody")
+
+
+def test_rows_of_candidates_are_bounded(spark):
+    """Whatever the batches, a task gives at most twice the rows kept for each question; blocks and passes agree with one."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    chunks = chunk_rows(spark, [" ".join(rng.choice(words) for _ in range(rng.randint(1, 9))) for _ in range(3000)]).repartition(3)
+    questions = asked(spark, *[" ".join(rng.choice(words) for _ in range(4)) for _ in range(20)])
+    queries = retrieval._as_queries(questions)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        found = retrieval.score_candidates(chunks, queries, 5)
+        assert found.count() <= 20 * 3 * 2 * 5
+        best = lambda df, c: {q: sorted(((-r[c], r["chunk_id"]) for r in df if r["qid"] == q and r[c] > 0))[:5] for q in range(20)}
+        one, many = found.collect(), retrieval.score_candidates(chunks, queries, 5, block=3, questions_a_pass=7).collect()
+        whole = retrieval.score_candidates(chunks.coalesce(1), queries, 3000).collect()
+        assert best(one, "sim") == best(many, "sim") == best(whole, "sim") and best(one, "kw") == best(many, "kw") == best(whole, "kw")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -64,7 +64,7 @@ def test_ticker_stream_is_batch_for_closed_ticks(spark, tmp_path):
 
     batch = progress.ticker(tables.events(spark, "/root/testdata/sf0.001"))
     want = {(r["session_id"], r["tick"]): r["value"] for r in batch.collect()}
-    rows = got.select("session_id", (F.unix_micros("tick") / 200000).cast("long").alias("tick"), "value").collect()
+    rows = got.select("session_id", (F.col("tick_us") / 200000).cast("long").alias("tick"), "value").collect()
     assert len(rows) > 0.9 * len(want) and all(want[r["session_id"], r["tick"]] == r["value"] for r in rows)
 
 
@@ -99,7 +99,7 @@ def test_stream_queries_on_many_files_out_of_time_order(spark, tmp_path):
     con = duckdb.connect()
     con.execute("CREATE VIEW events AS SELECT * FROM '/root/testdata/sf0.01/events.parquet'")
     want = {(r[0], r[1]): r[2] for r in con.execute(f"SELECT session_id, tick, value FROM ({ORACLES['ticker']})").fetchall()}
-    got = streams.stream_ticker(spark, f"file://{tmp_path}").select("session_id", (F.unix_micros("tick") / 200000).cast("long").alias("tick"), "value", "n").collect()
+    got = streams.stream_ticker(spark, f"file://{tmp_path}").select("session_id", (F.col("tick_us") / 200000).cast("long").alias("tick"), "value", "n").collect()
     assert len(got) == len(want) and {(r["session_id"], r["tick"]): r["value"] for r in got} == want
     assert sum(r["n"] for r in got) == len(table)
     want = sorted(con.execute(f"SELECT session_id, ts_us, event_id, page FROM ({ORACLES['dedupe_consecutive']})").fetchall())
