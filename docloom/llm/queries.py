@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import decontam, langid, linededup, minhash, mixing, pivots, quality, sharding, tokenio, toxicity
-from docloom.llm.common import id_fold, read, shared_dir
+from docloom.llm.common import id_fold, materialize, read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,13 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The targets of op1_mixing by source, which SQL can say."""
+    sizes = read(spark, sf_dir, "documents").groupBy("source").agg(F.sum(mixing.word_count("text")).alias("source_size"))
+    filled = mixing.water_fill(materialize(mixing.cyclic_weights(sizes), "sources"))
+    return filled.select("source", "source_size", "weight", F.round("target", 3).alias("target"))
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit_on(docs.where(id_fold("doc_id", 3) != 1))
@@ -70,6 +77,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
+    "mix_targets": mix_targets,
     "op2_langid": op2_langid,
     "op3_toxicity": op3_toxicity,
     "op4_decontam": op4_decontam,
@@ -89,6 +97,12 @@ _COMPONENTS = (
 
 #: SQL for the operators that SQL can express; hashes, classifiers and the coder are held against brute force in tests.
 ORACLES: dict[str, str] = {
+    "mix_targets": (
+        "WITH s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents) GROUP BY source), "
+        "w AS (SELECT *, CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS cap, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s), "
+        "c AS (SELECT *, cap / weight AS ratio, (total - coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w) "
+        "SELECT source, source_size, weight, round(least(cap, weight * (SELECT level FROM c WHERE level <= ratio ORDER BY ratio, source LIMIT 1)), 3) AS target FROM c"
+    ),
     "op4_decontam": (
         "WITH word_re AS (SELECT '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+' AS r), "
         f"d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format('text')}, r), []) AS l FROM documents, word_re), i AS (SELECT item_id, regexp_extract_all({_LOWER.format('text')}, r) AS l FROM benchmark, word_re), "
