@@ -22,27 +22,28 @@ def event_log_lines(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("log_id", F.posexplode(F.split("value", "\n", -1)).alias("line_no", "line"))
 
 
-def write_chunks(records: DataFrame, path: str, mode: str = "append") -> None:
+def write_chunks(records: DataFrame, path: str, mode: str = "append", buckets: int | None = None) -> None:
     """The chunk table: Parquet, partitioned by document_id's hash bucket, sorted within, so that a filter on a document reads one bucket and
-    skips row groups. overwrite replaces the buckets that records has, no others."""
-    bucketed = records.withColumn("bucket", bucket_of(F.col("document_id")))
-    writer = bucketed.repartition("bucket").sortWithinPartitions("document_id", "chunk_index").write.partitionBy("bucket").mode(mode)
+    skips row groups. overwrite replaces the buckets that records has, no others. All writers and readers of a table name the same number of
+    buckets: some gigabytes a bucket are a good size."""
+    bucketed = records.withColumn("bucket", bucket_of(F.col("document_id"), buckets))
+    writer = bucketed.repartition("bucket", F.pmod(F.xxhash64("document_id", F.lit(1)), F.lit(FILES))).sortWithinPartitions("document_id", "chunk_index").write.partitionBy("bucket").mode(mode)
     (writer.option("partitionOverwriteMode", "dynamic") if mode == "overwrite" else writer).parquet(path)
 
 
-#: Folders of the chunk table.
-BUCKETS = 256
+#: Folders of the chunk table unless said otherwise, and files that a write deals a folder's documents over at most.
+BUCKETS, FILES = 256, 8
 
 
-def bucket_of(document_id: Column) -> Column:
-    return F.pmod(F.xxhash64(document_id), F.lit(BUCKETS)).cast("int")
+def bucket_of(document_id: Column, buckets: int | None = None) -> Column:
+    return F.pmod(F.xxhash64(document_id), F.lit(buckets or BUCKETS)).cast("int")
 
 
-def read_chunks(spark: SparkSession, path: str, document_id: str | None = None) -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, document_id: str | None = None, buckets: int | None = None) -> DataFrame:
     """The chunk table, or the chunks of a document by way of its bucket only."""
     rows = spark.read.parquet(path)
     if document_id is not None:
-        bucket = spark.range(1).select(bucket_of(F.lit(document_id))).first()[0]
+        bucket = spark.range(1).select(bucket_of(F.lit(document_id), buckets)).first()[0]
         rows = rows.where((F.col("bucket") == bucket) & (F.col("document_id") == document_id))
     return rows.drop("bucket")
 
