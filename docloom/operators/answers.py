@@ -33,6 +33,10 @@ ANSWER_HEAD = "Based on available information, I will answer the question: '"
 SOURCES_HEAD = "\n**Information from PDF documents:**"
 CONCLUSION = "\n**Conclusion:** The above information provides an overview of your question. For more details, please refer to the cited sources."
 APOLOGY = "\nSorry, I could not find relevant information to answer this question."
+SOURCE_LINE = ("[PDF Source ", ", Page ", "]: ")  # before rank, page, text
+BULLET = ("- Page ", ": ")  # before page, text
+LABEL = ("Trang ", ": ")  # before page, text
+MARKS = {"has_equations": "[Eq]", "has_tables": "[Table]", "has_figures": "[Fig]"}
 PROMPT = (
     "\nYou are an intelligent AI assistant specialized in answering questions based on translated PDF documents.\n\nTASK:\n"
     "- Answer questions comprehensively and accurately\n- Base your answer on the PDF context provided\n- Answer in Vietnamese\n\nQUESTION: "
@@ -53,9 +57,19 @@ def _page() -> Column:
     return F.coalesce(F.col("page").cast("string"), F.lit("N/A"))
 
 
+def _source_line() -> Column:
+    a, b, c = map(F.lit, SOURCE_LINE)
+    return F.concat(a, F.col("rank").cast("string"), b, _page(), c, F.substring("text", 1, 300), F.lit("..."))
+
+
+def _bullet() -> Column:
+    a, b = map(F.lit, BULLET)
+    return F.concat(a, _page(), b, F.substring("text", 1, 200), F.lit("..."))
+
+
 def answer_context(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """qid, context and prompt of every question: the first 3 sources, 300 characters each, under a head line; '' without sources."""
-    line = F.concat(F.lit("[PDF Source "), F.col("rank").cast("string"), F.lit(", Page "), _page(), F.lit("]: "), F.substring("text", 1, 300), F.lit("..."))
+    line = _source_line()
     rows = questions.select("qid", "question").join(_joined(hits, 3, line), "qid", "left")
     rows = rows.withColumn("context", F.when(F.col("lines").isNull(), "").otherwise(F.concat_ws("\n", F.lit(CONTEXT_HEAD), "lines")))
     return rows.select("qid", "context", F.concat(F.lit(PROMPT), "question", F.lit(PROMPT_CONTEXT), "context", F.lit(PROMPT_END)).alias("prompt"))
@@ -63,7 +77,7 @@ def answer_context(hits: DataFrame, questions: DataFrame) -> DataFrame:
 
 def template_answer(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """qid and answer without a model: the first 2 sources, 200 characters each, and a fixed end; an apology without sources."""
-    line = F.concat(F.lit("- Page "), _page(), F.lit(": "), F.substring("text", 1, 200), F.lit("..."))
+    line = _bullet()
     rows = questions.select("qid", "question").join(_joined(hits, 2, line), "qid", "left")
     head = F.concat(F.lit(ANSWER_HEAD), "question", F.lit("'"))
     found = F.concat_ws("\n", head, F.lit(SOURCES_HEAD), "lines", F.lit(CONCLUSION))
@@ -110,8 +124,8 @@ def citation_label(kind: str = "pdf") -> Column:
     """Display text of a row of citations (pdf) or web references (web)."""
     if kind == "web":
         return F.trim(F.concat(F.lit("["), F.initcap("source_type"), F.lit("] "), F.substring("snippet", 1, 100), F.lit("... "), percent("reliability_score")))
-    marks = F.concat_ws(" ", *[F.when(F.col(c), name) for c, name in (("has_equations", "[Eq]"), ("has_tables", "[Table]"), ("has_figures", "[Fig]"))])
-    head = F.concat(F.lit("Trang "), F.col("page").cast("string"), F.lit(": "), F.substring("text", 1, 100), F.lit("..."))
+    marks = F.concat_ws(" ", *[F.when(F.col(c), name) for c, name in MARKS.items()])
+    head = F.concat(F.lit(LABEL[0]), F.col("page").cast("string"), F.lit(LABEL[1]), F.substring("text", 1, 100), F.lit("..."))
     return F.trim(F.concat(head, F.lit(" "), marks, F.lit(" "), percent("confidence")))
 
 
@@ -133,8 +147,8 @@ def answer_questions(chunks: DataFrame, questions: DataFrame, k: int = 5) -> Dat
     A model takes the place of the template by mapping over ``answer_context``'s prompts.
     """
     hits = retrieve(chunks, questions, k)
-    line3 = F.concat(F.lit("[PDF Source "), F.col("rank").cast("string"), F.lit(", Page "), _page(), F.lit("]: "), F.substring("text", 1, 300), F.lit("..."))
-    line2 = F.concat(F.lit("- Page "), _page(), F.lit(": "), F.substring("text", 1, 200), F.lit("..."))
+    line3 = _source_line()
+    line2 = _bullet()
     ordered = F.array_sort(F.collect_list(F.struct("rank", line3.alias("c"), line2.alias("a"), "chunk_id")))
     # One aggregation for all parts of the answer, so that retrieval runs once.
     rows = questions.select("qid", "question").join(hits.groupBy("qid").agg(ordered.alias("s")), "qid", "left")

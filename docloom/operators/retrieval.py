@@ -354,7 +354,7 @@ METADATA_WORDS = {
     "en": ["title", "author", "abstract", "summary", "introduction", "conclusion"],
     "vi": ["tiêu đề", "tác giả", "tóm tắt", "giới thiệu", "kết luận"],
 }
-#: Weights of base, keyword density, page, index, length and section: for questions about the document itself, and for others.
+# Weights of base, keyword density, page, index, length and section, for questions about the document itself and for others: fixed values.
 METADATA_WEIGHTS, CONTENT_WEIGHTS = (0.15, 0.05, 0.2, 0.2, 0.1, 0.3), (0.4, 0.3, 0.15, 0.05, 0.05, 0.05)
 
 
