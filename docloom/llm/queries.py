@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import decontam, langid, linededup, minhash, mixing, pivots, quality, sharding, tokenio, toxicity
+from docloom.llm import bpe, decontam, fim, langid, linededup, merkle, minhash, mixing, pivots, quality, sharding, tokenio, toxicity
 from docloom.llm.common import id_fold, materialize, read, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,6 +75,32 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, and what a copy folds to in which some rows have n_chars one higher."""
+    docs = read(spark, sf_dir, "documents")
+    touched = F.coalesce(id_fold("doc_id", 7) == 0, F.lit(False))
+    copy = merkle.record(["doc_id", "source", "lang", F.when(touched, F.col("n_chars") + 1).otherwise(F.col("n_chars")), "text"])
+    rows = merkle.folded(merkle.manifest(docs, carry={"presented": copy}), "presented")
+    shown = {c: F.lower(F.hex(c)) for c in ("leaf", "subroot", "root", "folded_root")}
+    proof = F.sha2(F.lower(F.hex("siblings")).cast("binary"), 256)
+    return rows.select("doc_id", *[v.alias(k) for k, v in shown.items()], proof.alias("proof_sha256"), (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(read(spark, sf_dir, "documents"))
+    back = fim.restored(F.col("output"), F.col("form"))
+    digests = [F.sha2(x.cast("binary"), 256).alias(name) for x, name in ((F.col("output"), "output_sha256"), (back, "restored_sha256"))]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rows = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path, packed=True), path)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "mix_targets": mix_targets,
@@ -87,6 +113,9 @@ QUERIES: dict[str, Query] = {
     "op8_pivots": op8_pivots,
     "op9_quality": op9_quality,
     "op10_minhash": op10_minhash,
+    "op11_merkle": op11_merkle,
+    "op12_fim": op12_fim,
+    "op13_bpe": op13_bpe,
 }
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -94,6 +123,16 @@ _COMPONENTS = (
     "links AS (SELECT x, y FROM pairs UNION ALL SELECT y, x FROM pairs), reach AS (SELECT x, y FROM links UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x), "
     "comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x)"
 )
+def _leaf(n_chars: str) -> str:
+    fields = [f"coalesce(octet_length(encode(({c})::VARCHAR)) || ':' || ({c}), '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _crc32(text: str) -> str:
+    """SQL for the unsigned crc32 of a short ASCII text: eight steps of shift and mask a character."""
+    eight = "list_reduce(list_prepend(xor(c, o), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), lambda ch: ord(ch)::BIGINT)), lambda c, o: {eight}), 4294967295)"
+
 
 #: SQL for the operators that SQL can express; hashes, classifiers and the coder are held against brute force in tests.
 ORACLES: dict[str, str] = {
@@ -135,4 +174,27 @@ ORACLES: dict[str, str] = {
         f"WHERE 5 * least(na.n, nb.n) >= 4 * greatest(na.n, nb.n) GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))), {_COMPONENTS} "
         "SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(c, doc_id)) AS component_id, doc_id <= coalesce(c, doc_id) AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN comp ON comp.x = doc_id"
     ),
+    "op11_merkle": (
+        f"WITH RECURSIVE leaf AS (SELECT doc_id, lang, {_leaf('n_chars')} AS leaf, CASE WHEN {_crc32('doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('n_chars + 1')} ELSE {_leaf('n_chars')} END AS shown FROM documents), "
+        "pos AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS c FROM leaf), "
+        "tree AS (SELECT lang, 0 AS lvl, i, c, leaf AS h FROM pos UNION ALL SELECT lang, lvl + 1, i // 2, any_value((c + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tree WHERE c > 1 GROUP BY lang, lvl + 1, i // 2), "
+        "subs AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS c FROM tree WHERE c = 1), "
+        "tops AS (SELECT 0 AS lvl, i, c, subroot AS h FROM subs UNION ALL SELECT lvl + 1, i // 2, any_value((c + 1) // 2), sha256(string_agg(h, '' ORDER BY i)) FROM tops WHERE c > 1 GROUP BY lvl + 1, i // 2), "
+        "sib AS (SELECT doc_id, lvl, h FROM pos JOIN tree ON pos.lang IS NOT DISTINCT FROM tree.lang AND tree.i = xor(pos.i >> lvl, 1)), "
+        "topsib AS (SELECT lang, lvl, h FROM subs JOIN tops ON tops.i = xor(subs.i >> lvl, 1)), "
+        "proof AS (SELECT doc_id, sha256(string_agg(h, '' ORDER BY lvl)) AS p FROM (SELECT * FROM sib UNION ALL SELECT doc_id, lvl + 1000, h FROM pos JOIN topsib ON pos.lang IS NOT DISTINCT FROM topsib.lang) GROUP BY doc_id), "
+        "low AS (SELECT doc_id, lang, 0 AS lvl, i, c, shown AS h FROM pos UNION ALL SELECT low.doc_id, lang, low.lvl + 1, i // 2, (c + 1) // 2, sha256(CASE WHEN i % 2 = 1 THEN s.h || low.h ELSE low.h || coalesce(s.h, '') END) FROM low LEFT JOIN sib s ON s.doc_id = low.doc_id AND s.lvl = low.lvl WHERE c > 1), "
+        "high AS (SELECT doc_id, low.lang, 0 AS lvl, subs.i, subs.c, h FROM low JOIN subs ON low.lang IS NOT DISTINCT FROM subs.lang WHERE low.c = 1 UNION ALL "
+        "SELECT doc_id, high.lang, high.lvl + 1, i // 2, (c + 1) // 2, sha256(CASE WHEN i % 2 = 1 THEN s.h || high.h ELSE high.h || coalesce(s.h, '') END) FROM high LEFT JOIN topsib s ON s.lang IS NOT DISTINCT FROM high.lang AND s.lvl = high.lvl WHERE c > 1) "
+        "SELECT pos.doc_id, leaf, subroot, root, high.h AS folded_root, coalesce(p, sha256('')) AS proof_sha256, high.h = root AS verified FROM pos JOIN subs ON pos.lang IS NOT DISTINCT FROM subs.lang "
+        "JOIN high ON high.doc_id = pos.doc_id AND high.c = 1 LEFT JOIN proof ON proof.doc_id = pos.doc_id, (SELECT h AS root FROM tops WHERE c = 1)"
+    ),
+    "op12_fim": (
+        "WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS l, sha256('42:' || doc_id) AS h FROM documents), "
+        "e AS (SELECT *, ('0x' || h[1:8])::BIGINT % (len(l) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(l) + 1) AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d), "
+        "f AS (SELECT doc_id, t, len(l) AS n, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form, "
+        "array_to_string(l[1:least(h1, h2)], '') AS p, array_to_string(l[least(h1, h2) + 1:greatest(h1, h2)], '') AS m, array_to_string(l[greatest(h1, h2) + 1:], '') AS s FROM e) "
+        "SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars, "
+        "sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM f"
+    ),
 }
