@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
-from docloom.session import ship
+from docloom.session import ship, spread
 
 DIM = 64
 #: Questions of a block, which chunks meet in one matrix; and of a pass, broadcast together. More are taken in further passes.
@@ -74,6 +74,26 @@ def _passes(queries: DataFrame, size: int) -> Iterator[list]:
         yield part
 
 
+class WordsHeld:
+    """Which of the questions' words, by number, a word holds as substrings."""
+
+    def __init__(self, words: list[str]):
+        self.machine = ahocorasick.Automaton()
+        for k, w in enumerate(words):
+            self.machine.add_word(w, k)
+        if words:
+            self.machine.make_automaton()
+        self.known: dict[str, np.ndarray] = {}
+
+    def of(self, word: str) -> np.ndarray:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > KNOWN:
+                self.known.clear()
+            found = self.known[word] = np.array(sorted({k for _, k in self.machine.iter(word)}) if len(self.machine) else [], np.int64)
+        return found
+
+
 class _Words:
     """What a task's distinct words are: where they stand in the embedding, and which words of the questions they hold."""
 
@@ -222,7 +242,7 @@ def score_candidates(chunks: DataFrame, queries: DataFrame, keep: int, dim: int
     vector = F.col("vector") if "vector" in queries.columns else F.lit(None).cast("array<double>")
     ask = queries.select("qid", "list_no", "document_id", tokens("question").alias("words"), vector.alias("vector"))
     given = "embedding" in chunks.columns
-    rows = chunks.select("chunk_id", "document_id", tokens("text").alias("words"), *["embedding"] * given)
+    rows = spread(chunks.select("chunk_id", "document_id", tokens("text").alias("words"), *["embedding"] * given))
     schema = f"qid {ask.schema['qid'].dataType.simpleString()}, list_no int, chunk_id string, sim double, kw double"
     out: DataFrame | None = None
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import answers, retrieval
+from docloom.operators import ann, answers, postings, retrieval
 from docloom.plans.registry import query
+from docloom.session import new_folder, spread, written
 from docloom.sources import tables as S
 
 _BUCKETS = "v % 64 AS b, sum(CASE WHEN v // 64 % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS s"
@@ -90,11 +91,60 @@ def semantic_topk(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.semantic_topk(S.chunks(spark, sf), S.questions(spark, sf))
 
 
-@query("keyword_scores", f"WITH {scores(ONE)} SELECT qid, chunk_id, kw AS keyword_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY kw DESC, chunk_id) AS INTEGER) AS rank FROM pair WHERE kw > 0) WHERE rank <= 10", ("chunks", "questions"))
+def _indexed(spark: SparkSession, sf: str) -> tuple[str, DataFrame]:
+    """(a new index of all chunks' vectors, the questions with theirs)."""
+    path = new_folder(spark, "ann")
+    vectors = written(spread(S.chunks(spark, sf).select("chunk_id", "document_id", "text")).select("chunk_id", "document_id", retrieval.hash_embed("text").alias("embedding")), "vectors")
+    ann.build(vectors, path)
+    return path, S.questions(spark, sf).select("qid", "document_id", retrieval.hash_embed("question").alias("vector"))
+
+
+@query("ann_topk")
+def ann_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest chunks by way of the index; ann_recall measures them."""
+    path, asked = _indexed(spark, sf)
+    return ann.search(spark, path, asked)
+
+
+@query("ann_recall")
+def ann_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Recall of ann_topk against semantic_topk, question by question."""
+    path, asked = _indexed(spark, sf)
+    exact = retrieval.semantic_topk(S.chunks(spark, sf), S.questions(spark, sf))
+    return ann.recall(ann.search(spark, path, asked), exact)
+
+
+@query(
+    "ann_rerank",
+    f"WITH {scores(ONE)} SELECT qid, chunk_id, sim AS similarity, CAST(row_number() OVER (PARTITION BY qid ORDER BY sim DESC, chunk_id) AS INTEGER) AS rank "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY kw DESC, chunk_id) AS r FROM pair WHERE kw > 0) WHERE r <= 30 QUALIFY rank <= 10",
+    ("chunks", "questions"),
+)
+def ann_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """The thirty best chunks of each question by keywords, in the order of their exact similarity."""
+    chunks, questions = S.chunks(spark, sf), S.questions(spark, sf)
+    found = retrieval.keyword_topk(chunks, questions, 30)
+    vectors = chunks.join(found.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", retrieval.hash_embed("text").alias("embedding"))
+    return ann.rerank_exact(found, vectors, questions.select("qid", retrieval.hash_embed("question").alias("vector")), 10)
+
+
+_KEYWORD = f"WITH {scores(ONE)} SELECT qid, chunk_id, kw AS keyword_score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY kw DESC, chunk_id) AS INTEGER) AS rank FROM pair WHERE kw > 0) WHERE rank <= 10"
+
+
+@query("keyword_scores", _KEYWORD, ("chunks", "questions"))
 def keyword_scores(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.keyword_topk(S.chunks(spark, sf), S.questions(spark, sf))
 
 
+@query("keyword_indexed", _KEYWORD, ("chunks", "questions"))
+def keyword_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """The same from a substring index, which is made here in two goes."""
+    path, chunks = new_folder(spark, "postings"), spread(S.chunks(spark, sf).select("chunk_id", "document_id", "chunk_index", "text"))
+    postings.add(chunks.where("chunk_index < 8"), path)
+    postings.add(chunks.where("chunk_index >= 8"), path)
+    return postings.keyword_topk(spark, path, S.questions(spark, sf))
+
+
 @query("hybrid_search", f"WITH {scores(ONE)}, {hybrid(10)} SELECT qid, chunk_id, similarity_score, keyword_score, final_score, rank FROM hyb", ("chunks", "questions"))
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.hybrid_search(S.chunks(spark, sf), S.questions(spark, sf)).drop("list_no")
