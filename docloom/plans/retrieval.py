@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import ann, answers, postings, retrieval
+from docloom.operators import ann, answers, learned, postings, retrieval
 from docloom.plans.registry import query
 from docloom.session import new_folder, spread, written
 from docloom.sources import tables as S
@@ -253,3 +253,10 @@ def answer_metrics(spark: SparkSession, sf: str) -> DataFrame:
 )
 def answer_questions(spark: SparkSession, sf: str) -> DataFrame:
     return answers.answer_questions(S.chunks(spark, sf), S.questions(spark, sf), K)
+
+
+@query("learned_topk")
+def learned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The chunks nearest to each question by an embedding that is learned from all of them."""
+    chunks = S.chunks(spark, sf)
+    return learned.topk(chunks, S.questions(spark, sf), learned.fit(chunks))
