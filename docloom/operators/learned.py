@@ -96,21 +96,21 @@ def _product(rows: DataFrame, model: Model) -> np.ndarray:
                 order = np.argsort(term, kind="stable")
                 total += _sums(own[row[order]] * w[order, None], term[order], len(total))
         at = np.flatnonzero(total.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(list(total[at]), pa.list_(pa.float64()))], ["feature", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([x.tobytes() for x in total[at]], pa.binary())], ["feature", "part"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, part in zip(batch.column("feature").to_pylist(), np.array(batch.column("part").to_pylist()).reshape(batch.num_rows, -1)):
+            for k, part in zip(batch.column("feature").to_pylist(), np.frombuffer(b"".join(batch.column("part").to_pylist())).reshape(batch.num_rows, -1)):
                 sums[k] = sums[k] + part if k in sums else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(list(sums.values()), pa.list_(pa.float64()))], ["feature", "part"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["feature", "part"])
 
-    schema = "feature int, part array<double>"
+    schema = "feature int, part binary"  # the numbers of a column, as they lie in memory
     parts = rows.mapInArrow(run, schema).withColumn("task", F.spark_partition_id())
     summed = parts.repartition("feature").sortWithinPartitions("feature", "task").select("feature", "part").mapInArrow(add, schema).toArrow()  # a row for each column
     out = np.zeros(model.basis.shape)
     if summed.num_rows:
-        out[summed["feature"].to_numpy()] = np.array(summed["part"].to_pylist())
+        out[summed["feature"].to_numpy()] = np.frombuffer(b"".join(summed["part"].to_pylist())).reshape(summed.num_rows, -1)
     return out
 
 

@@ -1,46 +1,38 @@
-"""Streaming queries run over the event table to its end; their results are those of the batch forms."""
+"""Streaming queries run over the event table to its end, in several batches in the order of time; their results are those of the batch forms."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.plans.registry import ORACLES, query, with_views
+from docloom.session import new_folder
 from docloom.streaming import events as E
 
-_OWN: list[str] = []
-
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder below the shared one that the session names; a temporary one only where none is set (local runs)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        if not _OWN:
-            _OWN.append(f"file://{tempfile.mkdtemp(prefix='spark-docloom-')}")
-        base = _OWN[0]
-    return f"{base}/stream-{uuid.uuid4().hex}"
+def _replayed(spark: SparkSession, sf: str) -> tuple[DataFrame, str]:
+    """(the event table as a stream of several batches in the order of time, a folder for the run)."""
+    path = new_folder(spark, "stream")
+    return E.replay(E.event_table(spark, f"{sf}/events.parquet"), path), path
 
 
 @query("stream_session_status", ORACLES["session_status"])
 def stream_session_status(spark: SparkSession, sf: str) -> DataFrame:
-    return E.run_to_end(E.status(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id"])
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.status(stream), path, "update", ["session_id"])
 
 
 @query("stream_dedupe_consecutive", ORACLES["dedupe_consecutive"])
 def stream_dedupe_consecutive(spark: SparkSession, sf: str) -> DataFrame:
-    views = E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None).where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
-    return E.run_to_end(E.without_repeats_classic(views), _folder(spark))
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.without_repeats_classic(stream.where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)), path)
 
 
 @query("stream_ticker", with_views("SELECT session_id, ts_us // 200000 * 200000 AS tick_us, arg_max(value, {t: ts_us, e: event_id}) AS value, count(*) AS n FROM ev GROUP BY ALL", "ev"))
 def stream_ticker(spark: SparkSession, sf: str) -> DataFrame:
     """All ticks, those that the watermark has not closed included."""
-    ticks = E.run_to_end(E.ticker(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None)), _folder(spark), "update", ["session_id", "tick"])
+    stream, path = _replayed(spark, sf)
+    ticks = E.run_to_end(E.ticker(stream), path, "update", ["session_id", "tick"])
     return ticks.select("session_id", F.unix_micros("tick").alias("tick_us"), "value", "n")
 
 
@@ -53,7 +45,8 @@ def stream_ticker(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    return E.run_to_end(E.progress(E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None), 40), _folder(spark), "update", ["session_id"])
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.progress(stream, 40), path, "update", ["session_id"])
 
 
 @query(
@@ -66,5 +59,40 @@ def stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 )
 def stream_debounce(spark: SparkSession, sf: str) -> DataFrame:
     """The last page of each burst that the watermark has closed; bursts are parted by two hours here."""
-    views = E.read_events(spark, f"{sf}/events.parquet", files_per_batch=None).where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20)
-    return E.run_to_end(E.debounce(views, "2 hours"), _folder(spark))
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.debounce(stream.where("event_type = 'view'").withColumn("page", 1 + F.col("k") % 20), "2 hours"), path)
+
+
+_GAP = 6 * 3_600_000
+
+
+@query(
+    "stream_stale_sessions",
+    with_views(
+        "SELECT session_id, ts_us AS ended_at FROM (SELECT *, lead(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id) AS nxt, max(ts_us) OVER () AS hi FROM ev) "
+        "WHERE kind IN ('finish', 'error', 'cancelled') AND (nxt - ts_us > 3600000000 OR (nxt IS NULL AND ts_us // 1000 + 3600000 <= hi // 1000 - 600000))",
+        "ev",
+    ),
+)
+def stream_stale_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that ended and were reclaimed after an hour, by timers, over several batches."""
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.reclaimed(stream), path, conf=E.ROCKSDB)
+
+
+@query(
+    "stream_jobs",
+    with_views(
+        f"WITH g AS (SELECT *, ts_us - lag(ts_us) OVER (PARTITION BY session_id ORDER BY ts_us, event_id) > {1000 * _GAP} AS fresh FROM ev), "
+        "j AS (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY session_id ORDER BY ts_us, event_id) AS job FROM g), "
+        "a AS (SELECT session_id, min(ts_us) AS began, count(*) AS n_events, count(*) FILTER (kind = 'chunk_ready') AS done, min(ts_us) FILTER (kind = 'chunk_ready') AS lo, max(ts_us) FILTER (kind = 'chunk_ready') AS hi, "
+        "bool_or(kind = 'cancelled') AS c, bool_or(kind = 'error') AS e, bool_or(kind = 'finish') AS f, arg_max(value, {t: ts_us, e: event_id}) FILTER (kind = 'finish') AS result FROM j GROUP BY session_id, job) "
+        "SELECT session_id, began, n_events, done, round(50 + 40 / 40.0::DOUBLE * done, 6) AS percent, round(CASE WHEN done < 40 AND done >= 2 AND hi > lo THEN (40 - done) / (done / ((hi - lo) / 1e6)) END, 3) AS eta_s, "
+        "CASE WHEN c THEN 'cancelled' WHEN e THEN 'error' WHEN f THEN 'done' ELSE 'error' END AS status, result FROM a",
+        "ev",
+    ),
+)
+def stream_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    """Progress and status of each session's jobs, parted by six idle hours, from state that timers clear."""
+    stream, path = _replayed(spark, sf)
+    return E.run_to_end(E.jobs(stream, 40, _GAP), path, "update", ["session_id", "began"], conf=E.ROCKSDB)

@@ -1,8 +1,8 @@
 """Structured Streaming over the event table: ticker, debounce, suppressed repeats, progress and terminal state.
 
-Windows (ticker, debounce) are closed by a watermark, so their state is bounded; rows later than it are dropped. Status, progress and
-suppressed repeats are of a whole session, whose end no event tells: they keep one small row for each session seen, for as long as the
-query runs. Restart such a query from a new checkpoint, or filter the stream to sessions of a day, where sessions never stop coming.
+Windows (ticker, debounce) are closed by a watermark, so their state is bounded; rows later than it are dropped. ``jobs`` (progress and status), ``without_repeats``
+and ``reclaimed`` keep a small row for each session, which an event-time timer takes away once the session has been idle for long enough. ``status`` and
+``progress`` are of whole sessions, whose end no event tells: their state lasts as long as the query.
 """
 
 from __future__ import annotations
@@ -33,6 +33,15 @@ def read_events(spark: SparkSession, path: str, files_per_batch: int | None = 10
     folder, _, name = path.rstrip("/").rpartition("/")
     alone = any(f.rstrip("/").endswith(f"/{name}") for f in table.inputFiles())  # a file source reads folders: a single file is one of its folder
     rows = reader.option("pathGlobFilter", name).parquet(folder) if alone else reader.parquet(path)
+    return _columns(rows)
+
+
+def event_table(spark: SparkSession, path: str) -> DataFrame:
+    """The columns of ``read_events`` of the whole table, not streaming."""
+    return _columns(spark.read.parquet(path))
+
+
+def _columns(rows: DataFrame) -> DataFrame:
     kind = F.create_map(*[F.lit(x) for p in {"view": "progress_update", "click": "paragraph_translated", "signup": "chunk_ready", "purchase": "finish", "error": "error"}.items() for x in p])
     return rows.select(
         "event_id", F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_us"),
@@ -68,33 +77,139 @@ def progress(events: DataFrame, total: int) -> DataFrame:
     return rows.select("session_id", "done", F.round(50 + 40 / total * F.col("done"), 6).alias("percent"), F.round(F.when((left > 0) & rate.isNotNull(), left / rate), 3).alias("eta_s"))
 
 
-class LastPage(StatefulProcessor):
-    """Keeps a session's last page; passes on views that differ from it."""
+#: The state store that timers and typed state need.
+ROCKSDB = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+#: Kinds of events that end a job.
+TERMINAL = ("finish", "error", "cancelled")
+#: How long a session may be idle before what is known of it goes.
+IDLE_MS = 24 * 3_600_000
+
+
+class _Idle(StatefulProcessor):
+    """Keeps one row of state for a session and a timer that ends it when the session has been idle for idle_ms of event time. A row that comes later than that
+    after the one before begins anew, whether or not the watermark has got to the timer; so results don't depend on how rows fall into batches."""
+
+    schema = ""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "page int")
+        self.handle, self.state = handle, handle.getValueState("state", self.schema)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        last = self.last.get()[0] if self.last.exists() else None
-        before = frame["page"].shift()
-        before.iloc[0] = last
-        keep = (frame["page"] != before) | before.isna()
-        self.last.update((int(frame["page"].iloc[-1]),))
-        yield frame.loc[keep, ["session_id", "ts_us", "event_id", "page"]]
+    def keep(self, row: tuple, last_us: int, timed: bool = True) -> None:
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.state.update(row)
+        if timed:
+            self.handle.registerTimer(last_us // 1000 + self.idle_ms)
+
+    def late(self, last_us: int, now_us: int) -> bool:
+        return now_us - last_us > 1000 * self.idle_ms
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
 
     def close(self) -> None:
         pass
 
 
+class LastPage(_Idle):
+    """Passes on views whose page differs from the session's last."""
+
+    schema = "page int, ts_us long"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        page, ts = self.state.get() if self.state.exists() else (None, None)
+        before, at = frame["page"].shift(), frame["ts_us"].shift()
+        before.iloc[0], at.iloc[0] = page, ts
+        keep = (frame["page"] != before) | before.isna() | (frame["ts_us"] - at.astype("float") > 1000 * self.idle_ms)
+        last = int(frame["ts_us"].iloc[-1])
+        self.keep((int(frame["page"].iloc[-1]), last), last)
+        yield frame.loc[keep, ["session_id", "ts_us", "event_id", "page"]]
+
+
+class Reclaim(_Idle):
+    """Gives out sessions that ended and stayed so for idle_ms. A running one has no timer and is never touched."""
+
+    schema = "ts_us long, ended boolean"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        ts, ended = self.state.get() if self.state.exists() else (None, False)
+        gone = []
+        for now, kind in zip(frame["ts_us"], frame["kind"]):
+            if ended and self.late(ts, now):
+                gone.append(ts)
+            ts, ended = int(now), kind in TERMINAL
+        self.keep((ts, ended), ts, timed=ended)
+        yield self.gone(key[0], gone)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        ts, _ = self.state.get()
+        self.state.clear()
+        yield self.gone(key[0], [ts])
+
+    @staticmethod
+    def gone(session: str, ended: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"session_id": pd.Series([session] * len(ended), dtype=object), "ended_at": pd.Series(ended, dtype="int64")})
+
+
+class Jobs(_Idle):
+    """Progress and status of a session's job as its events come: those with no idle time above idle_ms between them."""
+
+    schema = "began long, last long, n_events long, done long, lo long, hi long, finished boolean, failed boolean, cancelled boolean, result double"
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
+        jobs, job = [], list(self.state.get()) if self.state.exists() else None
+        for now, kind, value in zip(frame["ts_us"].tolist(), frame["kind"], frame["value"].tolist()):
+            if job is not None and self.late(job[1], now):
+                jobs.append(job)
+                job = None
+            job = job or [now, now, 0, 0, None, None, False, False, False, None]
+            job[1], job[2] = now, job[2] + 1
+            if kind == "chunk_ready":
+                job[3], job[4], job[5] = job[3] + 1, now if job[4] is None else job[4], now
+            job[6:9] = job[6] or kind == "finish", job[7] or kind == "error", job[8] or kind == "cancelled"
+            if kind == "finish":
+                job[9] = None if value is None or value != value else float(value)
+        self.keep(tuple(job), job[1])
+        columns = ["began", "last", "n_events", "done", "lo", "hi", "finished", "failed", "cancelled", "result"]
+        out = pd.DataFrame([*jobs, job], columns=columns).astype({"lo": "Int64", "hi": "Int64", "result": "Float64"})
+        out.insert(0, "session_id", pd.Series([key[0]] * len(out), dtype=object))
+        yield out
+
+
 REPEATS = "session_id string, ts_us long, event_id long, page int"
 
 
-def without_repeats(views: DataFrame) -> DataFrame:
-    """Views (session_id, ts_us, event_id, page) whose page is not that of the session's view before. Needs the RocksDB state store."""
-    ship(views.sparkSession)
-    rows = views.select("session_id", "ts_us", "event_id", "page").groupBy("session_id")
-    return rows.transformWithStateInPandas(LastPage(), REPEATS, "append", "none")
+def _timed(rows: DataFrame, processor: StatefulProcessor, schema: str, mode: str, late: str) -> DataFrame:
+    ship(rows.sparkSession)
+    return rows.withWatermark("ts", late).groupBy("session_id").transformWithStateInPandas(processor, schema, mode, "EventTime")
+
+
+def without_repeats(views: DataFrame, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
+    """Views (session_id, ts, ts_us, event_id, page) whose page is not that of the session's view before, at most idle_ms ago. Needs ROCKSDB."""
+    return _timed(views.select("session_id", "ts", "ts_us", "event_id", "page"), LastPage(idle_ms), REPEATS, "append", late)
+
+
+def reclaimed(events: DataFrame, age_ms: int = 3_600_000, late: str = LATE) -> DataFrame:
+    """session_id and ended_at of each session whose last event ended it and that nothing followed within age_ms. Needs ROCKSDB."""
+    return _timed(events.select("session_id", "ts", "ts_us", "event_id", "kind"), Reclaim(age_ms), "session_id string, ended_at long", "append", late)
+
+
+def jobs(events: DataFrame, total: int, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
+    """session_id, began, n_events, done, percent, eta_s, status, result of each job so far, for the update mode, by (session_id, began). Needs ROCKSDB."""
+    rows = _timed(events.select("session_id", "ts", "ts_us", "event_id", "kind", "value"), Jobs(idle_ms), f"session_id string, {Jobs.schema}", "update", late)
+    status = F.when(F.col("cancelled"), "cancelled").when(F.col("failed"), "error").when(F.col("finished"), "done").otherwise("error")
+    rate = F.when((F.col("done") >= 2) & (F.col("hi") > F.col("lo")), F.col("done") / ((F.col("hi") - F.col("lo")) / 1e6))
+    left = F.lit(total) - F.col("done")
+    return rows.select(
+        "session_id", "began", "n_events", "done", F.round(50 + 40 / total * F.col("done"), 6).alias("percent"), F.round(F.when((left > 0) & rate.isNotNull(), left / rate), 3).alias("eta_s"), status.alias("status"), "result",
+    )
 
 
 def without_repeats_classic(views: DataFrame) -> DataFrame:
@@ -113,14 +228,38 @@ def without_repeats_classic(views: DataFrame) -> DataFrame:
     return rows.applyInPandasWithState(run, REPEATS, "page int", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_to_end(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None) -> DataFrame:
-    """Runs the stream over what is there now and returns what it wrote below path; in the update mode the last row for each of keys."""
+def replay(events: DataFrame, path: str, batches: int = 6, rows_a_file: int = 1_000_000) -> DataFrame:
+    """A bounded event table as a stream of as many batches, in the order of time: it is written below path in slices between quantiles of ts, one after the
+    other, and read a slice at a time. events(ts, ...) as ``read_events`` gives them, not streaming."""
+    spark = events.sparkSession
+    cuts = events.agg(F.percentile_approx(F.col("ts_us"), [k / batches for k in range(1, batches)], 10_000)).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    files = max(1, events.count() // batches // rows_a_file)
+    for a, b in zip(edges[:-1], edges[1:]):
+        inside = (F.lit(True) if a is None else F.col("ts_us") > a) & (F.lit(True) if b is None else F.col("ts_us") <= b)
+        events.where(inside).repartition(files).write.mode("append").parquet(f"{path}/in")
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
+
+
+def run_to_end(stream: DataFrame, path: str, mode: str = "append", keys: list[str] | None = None, conf: dict[str, str] | None = None) -> DataFrame:
+    """Runs the stream over what is there now and returns what it wrote below path; in the update mode the last row for each of keys. conf holds for the
+    run. Without a batch there are no rows."""
     spark = stream.sparkSession
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out/batch={number}")  # a batch that is run again replaces itself
 
-    stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], stream.schema)
     rows = spark.read.parquet(f"{path}/out").drop("batch")
     if mode == "append":
         return rows.drop("_batch")
