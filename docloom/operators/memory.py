@@ -5,14 +5,16 @@ Times are whole microseconds; the clock is an argument.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import clean_translation, memory_key, strip
-from docloom.session import ship
+from docloom.session import ship, written
 
 #: A backend maps frames with a column source_text to frames with cache_key and translated_text (null: failed), with its service's settings.
 Backend = Callable[[Iterator[pd.DataFrame], dict], Iterator[pd.DataFrame]]
@@ -98,13 +100,86 @@ def settings_of(service: str, given: dict[str, dict] | None = None) -> dict:
     return SERVICES.get(service, {}) | (given or {}).get(service, {})
 
 
-def translate(requests: DataFrame, memory: DataFrame, now: int, using: str = "upper", settings: dict[str, dict] | None = None, seen: Observation | None = None) -> tuple[DataFrame, DataFrame]:
-    """(requests with translated_text and status, new memory rows). Distinct misses alone go to the backend; results are cleaned; where it
-    failed the source text comes back and nothing is stored. settings: by service, over its defaults. seen counts the paragraphs of each
-    status, for whoever follows the work, once an action has run over the requests."""
-    ship(requests.sparkSession)
-    todo, run, told = misses(requests, memory, now), BACKENDS[using], settings_of(using, settings)
-    done = todo.select("cache_key", "source_text").mapInPandas(lambda frames: run(frames, told), "cache_key string, translated_text string")
+@dataclass(frozen=True)
+class Calls:
+    """How a backend is called: texts a call, calls a second over the whole cluster (None: as fast as it goes), tries after the first that fails and the wait
+    before the first of them, which doubles. tasks: how many call at a time, by default as many as there are cores; profile: a ResourceProfile of the stage."""
+
+    batch: int = 64
+    rate: float | None = None
+    retries: int = 2
+    wait_s: float = 0.5
+    tasks: int | None = None
+    profile: object = None
+
+
+class Bucket:
+    """Lets ``rate`` calls a second through, none faster than that after the first ``burst``."""
+
+    def __init__(self, rate: float | None, burst: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep):
+        self.rate, self.burst, self.left, self.clock, self.sleep = rate, burst, burst, clock, sleep
+        self.at = clock()
+
+    def take(self) -> None:
+        if not self.rate:
+            return
+        now = self.clock()
+        self.left, self.at = min(self.burst, self.left + (now - self.at) * self.rate), now
+        if self.left < 1:
+            self.sleep((1 - self.left) / self.rate)
+            self.at, self.left = self.clock(), 1.0
+        self.left -= 1
+
+
+def _groups(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
+    """The same rows in frames of ``size``, the last with what remains."""
+    rest: pd.DataFrame | None = None
+    for frame in frames:
+        rest = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        while len(rest) >= size:
+            yield rest.iloc[:size].reset_index(drop=True)
+            rest = rest.iloc[size:].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest
+
+
+def call_backend(todo: DataFrame, using: str, settings: dict[str, dict] | None = None, calls: Calls = Calls()) -> DataFrame:
+    """cache_key, translated_text, tries and error of todo(cache_key, source_text), one row for each, written: whoever reads it later calls nothing.
+
+    A call takes ``calls.batch`` texts; one that raises is tried again, and after the last try its rows have no text but the error. Each of the tasks has its share of
+    the rate. Only a task that is lost calls again for its rows.
+    """
+    ship(todo.sparkSession)
+    run, told, tasks = BACKENDS[using], settings_of(using, settings), calls.tasks or todo.sparkSession.sparkContext.defaultParallelism
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(calls.rate / tasks if calls.rate else None)
+        for group in _groups(frames, calls.batch):
+            error, tries, found = None, 0, None
+            while found is None and tries <= calls.retries:
+                if tries:
+                    time.sleep(calls.wait_s * 2 ** (tries - 1))
+                bucket.take()
+                tries += 1
+                try:
+                    found = pd.concat(list(run(iter([group]), told)))
+                except Exception as e:  # noqa: BLE001  a service may fail in any way; the rows say how
+                    error = f"{type(e).__name__}: {e}"
+            text = group["cache_key"].map(found.drop_duplicates("cache_key").set_index("cache_key")["translated_text"]) if found is not None else None
+            yield pd.DataFrame({
+                "cache_key": group["cache_key"].astype(object), "translated_text": (text if text is not None else pd.Series([None] * len(group))).astype(object).where(lambda x: x.notna(), None),
+                "tries": tries, "error": pd.Series([None if found is not None else error] * len(group), dtype=object),
+            })
+
+    dealt = todo.select("cache_key", "source_text").repartition(tasks, "cache_key")
+    return written(dealt.mapInPandas(ask, "cache_key string, translated_text string, tries int, error string", profile=calls.profile), "translated")
+
+
+def translate(requests: DataFrame, memory: DataFrame, now: int, using: str = "upper", settings: dict[str, dict] | None = None, seen: Observation | None = None, calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:
+    """(requests with translated_text and status, new memory rows). Distinct misses alone go to the backend, here and once, whatever is done with the two
+    results; they are cleaned; where it failed the source text comes back and nothing is stored. settings: by service, over its defaults. seen counts the
+    paragraphs of each status, for whoever follows the work, once an action has run over the requests."""
+    done = call_backend(misses(requests, memory, now), using, settings, calls)
     by_key = requests.groupBy("cache_key").agg(*[F.first(c).alias(c) for c in ("lang_in", "lang_out", "service", "model", "source_text")])
     new = done.join(by_key, "cache_key").withColumn("translated_text", clean_translation("translated_text", F.col("lang_out")))
     rows = lookup(requests, memory, now).join(new.select("cache_key", F.col("translated_text").alias("_new")), "cache_key", "left")
@@ -115,6 +190,21 @@ def translate(requests: DataFrame, memory: DataFrame, now: int, using: str = "up
     return rows, memory_entries(new, now)
 
 
+def translate_sentences(requests: DataFrame, memory: DataFrame, now: int, split: Callable[[Column], Column], using: str = "upper", settings: dict[str, dict] | None = None, calls: Calls = Calls()) -> tuple[DataFrame, DataFrame]:
+    """(request_id, translated_text, n_sentences, n_failed of each request; new memory rows, of sentences). Each text's sentences, by ``split``, take the way of
+    ``translate``: distinct, looked up, to the backend, stored. They are joined by newlines in order. A text without a sentence is its own translation.
+
+    requests(request_id, source_text, lang_in, lang_out, service, model); request_id tells the rows apart.
+    """
+    base = requests.select("request_id", "source_text", "lang_in", "lang_out", "service", "model")
+    parts = base.select("request_id", F.posexplode(split(F.col("source_text"))).alias("_n", "source_text"), "lang_in", "lang_out", "service", "model")
+    rows, new = translate(keyed(parts), memory, now, using, settings, calls=calls)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.col("translated_text").alias("t")))), lambda x: x["t"])
+    joined = rows.groupBy("request_id").agg(F.array_join(texts, "\n").alias("translated_text"), F.count(F.lit(1)).alias("n_sentences"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+    whole = base.select("request_id", "source_text").join(joined, "request_id", "left")
+    return whole.select("request_id", F.coalesce("translated_text", "source_text").alias("translated_text"), F.coalesce("n_sentences", F.lit(0)).alias("n_sentences"), F.coalesce("n_failed", F.lit(0)).alias("n_failed")), new
+
+
 def sentence_regroup(texts: DataFrame, key: str, text: str, change: Callable[[Column], Column], ends: str = r"(?<=[.!?])\s+") -> DataFrame:
     """key and translated_text: each text split into sentences, each changed, joined by newlines in order."""
     rows = texts.select(key, F.posexplode(F.filter(F.split(strip(text), ends, -1), lambda s: s != "")).alias("_n", "_s"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import memory as M
-from docloom.operators import progress
+from docloom.operators import progress, sentences
 from docloom.plans.registry import query
 from docloom.sources import tables as S
 
@@ -181,6 +181,21 @@ def translate_documents(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("request_id", "status", "translated_text")
 
 
+@query(
+    "translate_sentences",
+    "WITH s AS (SELECT request_id, service, model, unnest(l) AS s, unnest(range(len(l))) AS n FROM (SELECT request_id, service, model, "
+    "list_filter(string_split(regexp_replace(" + _STRIP.format("source_text") + ", '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS l FROM requests)), "
+    f"t AS (SELECT request_id, n, CASE WHEN m.expires_at >= {NOW} THEN m.translated_text WHEN NOT regexp_matches(s, '^[0-9]') THEN {_CLEAN.format(chr(39) + '[vi] ' + chr(39) + ' || s')} ELSE s END AS t, "
+    f"coalesce(m.expires_at < {NOW}, true) AND regexp_matches(s, '^[0-9]') AS bad FROM s LEFT JOIN memory m ON m.cache_key = sha256('en|vi|' || s.service || '|' || coalesce(s.model, '') || '|' || s)) "
+    "SELECT request_id, coalesce(string_agg(t, chr(10) ORDER BY n), any_value(source_text)) AS translated_text, count(n) AS n_sentences, count(*) FILTER (bad) AS n_failed FROM requests LEFT JOIN t USING (request_id) GROUP BY request_id",
+    ("requests", "memory"),
+)
+def translate_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences, parted by marks and white space, by way of the memory."""
+    split = lambda text: F.filter(F.split(T.strip(text), r"(?<=[.!?])\s+", -1), lambda s: s != "")
+    return M.translate_sentences(S.memory_requests(spark, sf), S.memory(spark, sf), NOW, split, using="marked")[0]
+
+
 @query(
     "sentence_regroup",
     "SELECT doc_id, string_agg('vi: ' || s, chr(10) ORDER BY n) AS translated_text, count(*) AS n_sentences FROM (SELECT doc_id, unnest(l) AS s, unnest(range(len(l))) AS n FROM (SELECT doc_id, "
@@ -248,3 +263,10 @@ def stale_index_rows(spark: SparkSession, sf: str) -> DataFrame:
 @query("orphan_files", f"SELECT file_id, path FROM files WHERE starts_with(path, '/tmp/job_') AND mtime <= {NOW} - 3600000000", ("files",))
 def orphan_files(spark: SparkSession, sf: str) -> DataFrame:
     return progress.orphan_files(S.files(spark, sf), "/tmp/job_", NOW).select("file_id", "path")
+
+
+@query("learned_sentences")
+def learned_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences of each document by boundaries learned from all of them."""
+    docs = S.table(spark, sf, "documents")
+    return docs.select("doc_id", F.posexplode(sentences.sentences("text", sentences.fit(docs))).alias("n", "sentence"))
