@@ -67,9 +67,23 @@ def _order(seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), F.xxhash64("text")), 1)
 
 
+def _last(sized: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Adds last to cuts(_s, cut, some): the number of the last of the first ``some`` rows of the source at cut, -1 for none. These rows repeat one id and text;
+    they are counted by the parts in which they were written, and numbered in the one part where they end."""
+    part = F.shiftright("row", 33)
+    sums = _with(sized, cuts).where(F.col("h") == F.col("cut")).groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("m"))
+    running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    found = _with(materialize(sums.withColumn("before", F.coalesce(F.sum("m").over(running), F.lit(0))), "repeats"), cuts)
+    ends = materialize(found.where("before < some AND some <= before + m").select(F.col("source").alias("_s"), "cut", "part", (F.col("some") - F.col("before")).alias("need")), "ends")
+    rows = _with(sized, ends).where((F.col("h") == F.col("cut")) & (part == F.col("part")))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("row"))
+    last = rows.withColumn("number", number).where("number = need").select(F.col("source").alias("_c"), F.col("row").alias("last"))
+    return cuts.join(last, F.col("_s").eqNullSafe(F.col("_c")), "left").select("_s", "cut", F.coalesce("last", F.lit(-1)).alias("last"))
+
+
 def _plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int, cycle: tuple[int, ...]) -> DataFrame:
-    """A row for each source of sized(source, size, h): _s, source_size, target, whole, cut, share. A document of the source is taken
-    ``whole`` times, once more if its h is below cut, and of those at cut a part of ``share``."""
+    """A row for each source of sized(source, size, h, row): _s, source_size, target, whole, cut, last. A document of the source is taken
+    ``whole`` times, and once more if its h is below cut, or is cut and its row not above last."""
     first = F.shiftright("h", LEVELS[0])
     sums = materialize(sized.groupBy("source", first.alias("b")).agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("n")), "sums")
     sources = sums.groupBy("source").agg(F.sum("words").alias("source_size"))
@@ -90,20 +104,20 @@ def _plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int, cycle: t
         found = _with(sums.withColumn("before", F.coalesce(F.sum("words").over(running), F.lit(0))), at.select("_s", "rest", "base"))
         found = found.withColumn("base", F.col("base") + F.col("before")).where("base < rest AND rest <= base + words")
         at = materialize(found.select(F.col("source").alias("_s"), "rest", "base", F.col("b").alias("prefix"), "words", "n"), "cuts")
-    taken = F.round((F.col("rest") - F.col("base")) / (F.col("words") / F.col("n")))  # of the documents at the cut, to the nearest
-    at = at.select(F.col("_s").alias("_c"), F.col("prefix").alias("cut"), (taken / F.col("n")).alias("share"))
-    return materialize(plan.join(at, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c", "rest"), "plan")
+    taken = F.round((F.col("rest") - F.col("base")) / (F.col("words") / F.col("n"))).cast("long")  # of the documents at the cut, to the nearest
+    cuts = _last(sized, materialize(at.select("_s", F.col("prefix").alias("cut"), taken.alias("some")), "cuts"))
+    cuts = cuts.select(F.col("_s").alias("_c"), "cut", "last")
+    return materialize(plan.join(cuts, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c", "rest"), "plan")
 
 
-def _copies(seed: int) -> Column:
-    """How often a row is taken; h, whole, cut and share are its columns. Only among rows that repeat id and text, where the cut falls
-    into them, is there a draw."""
-    at_cut = (F.col("h") == F.col("cut")) & (F.rand(seed) < F.col("share"))
+def _copies() -> Column:
+    """How often a row is taken; h, row, whole, cut and last are its columns."""
+    at_cut = (F.col("h") == F.col("cut")) & (F.col("row") <= F.col("last"))
     return F.col("whole") + F.coalesce((F.col("h") < F.col("cut")) | at_cut, F.lit(False)).cast("long")
 
 
 def _sized(docs: DataFrame, seed: int, *more: str) -> DataFrame:
-    return materialize(docs.select(*more, "source", word_count("text").alias("size"), _order(seed).alias("h")), "sized")
+    return materialize(docs.select(*more, "source", word_count("text").alias("size"), _order(seed).alias("h"), F.monotonically_increasing_id().alias("row")), "sized")
 
 
 def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -116,18 +130,19 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, max_epochs: i
 
     weights(source, weight) overrides the cycle; sources that it lacks get 0. Null text has size 0 and is a document
     like others; null source is a source, last in order; rows with a null or repeated id have places by their texts, and of rows that
-    repeat both a part is drawn where the limit falls among them; an empty table gives no rows. Other columns of docs are left
+    repeat both as many are taken, where the limit falls among them, as come nearest to it; an empty table gives no rows. Other columns of docs are left
     out, so none can clash.
     """
     sized = _sized(docs, seed, "doc_id")
-    rows = _with(sized, _plan(sized, weights, max_epochs, cycle)).withColumn("copies", _copies(seed))
+    rows = _with(sized, _plan(sized, weights, max_epochs, cycle)).withColumn("copies", _copies())
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = 3, seed: int = 17, cycle: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mix itself: each row of docs, all its columns whatever their names, as often as mix_sources takes it, nulls and ties as there.
-    The limits come from narrow rows; texts are then mapped, not shuffled. An empty table gives no rows."""
+    The limits come from narrow rows; texts are then mapped, not shuffled. docs is a table that has been written, so that its rows come in the same parts twice.
+    An empty table gives no rows."""
     plan = _plan(_sized(docs, seed), weights, max_epochs, cycle)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), "source", _order(seed).alias("h"))
-    rows = _with(rows, plan).select("row", _copies(seed).cast("int").alias("copies"))
-    return rows.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), "source", _order(seed).alias("h"), F.monotonically_increasing_id().alias("row"))
+    rows = _with(rows, plan).select("doc", _copies().cast("int").alias("copies"))
+    return rows.select("doc", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import bpe, decontam, fim, langid, linededup, merkle, minhash, mixing, pivots, quality, sharding, tokenio, toxicity
@@ -14,6 +14,11 @@ from docloom.llm.common import id_fold, materialize, read, shared_dir
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def held_out(doc_id: str, folds: int, fold: int) -> Column:
+    """Whether a row is of the held-out fold; one without an id is not."""
+    return F.coalesce(id_fold(doc_id, folds) == fold, F.lit(False)).alias("held_out")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -28,13 +33,13 @@ def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = langid.fit_on(docs.where(id_fold("doc_id", 3) != 1))
-    return langid.identify(docs, model, reject=False).select("doc_id", (id_fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "accepted")
+    return langid.identify(docs, model, reject=False).select("doc_id", held_out("doc_id", 3, 1), "lang_pred", "score", "accepted")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit_on(docs, read(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2))
-    return toxicity.score(docs, model).select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return toxicity.score(docs, model).select("doc_id", held_out("doc_id", 4, 2), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op4_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +73,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     ratings = read(spark, sf_dir, "labels").where(id_fold("doc_id", 4) != 2).select("doc_id", F.col("quality").cast("double").alias("grade"))
     graded = quality.grade(docs, quality.fit_on(docs, ratings))
-    return graded.select("doc_id", (id_fold("doc_id", 4) == 2).alias("held_out"), "expected_grade", F.col("tail").alias("tail_prob"), "kept")
+    return graded.select("doc_id", held_out("doc_id", 4, 2), "expected_grade", F.col("tail").alias("tail_prob"), "kept")
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,27 @@ def test_mix(spark, docs):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs.repartition(7)).collect())), "reruns agree"
 
 
+def test_mix_of_repeated_rows(spark, tmp_path):
+    """Rows that repeat one id and text, over whatever number of parts: as many are taken as come nearest to the target."""
+    rows = [(7, "seven words are in this one text", "en", "a", 1)] * 1000 + [(None, "no id", None, "b", 1)] * 500 + [(i, f"x{i} y", "en", "c", 1) for i in range(900)]
+    taken = set()
+    for parts in (3, 7, 11):
+        docs = spark.createDataFrame(rows, DOCS).repartition(parts)
+        got = mixing.mix_sources(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target"), F.max("size").alias("size")).orderBy("source").collect()
+        assert all(abs(r["taken"] - r["target"]) <= r["size"] for r in got)
+        taken.add(tuple(r["taken"] for r in got))
+        docs.write.parquet(f"file://{tmp_path}/{parts}")
+        mixed = mixing.mixed_documents(spark.read.parquet(f"file://{tmp_path}/{parts}"))
+        words = mixed.groupBy("source").agg(F.sum(mixing.word_count("text")).alias("n")).orderBy("source").collect()
+        assert all(abs(w["n"] - r["target"]) <= r["size"] for w, r in zip(words, got))
+    assert len(taken) == 1
+
+
+def test_rows_without_an_id_are_not_held_out(spark):
+    rows = spark.createDataFrame([(None,), (1,), (2,), (5,)], "doc_id long").select("doc_id", queries.held_out("doc_id", 3, 1)).collect()
+    assert all(r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in rows)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 1000), st.integers(0, 5)), min_size=1, max_size=8))
 def test_water_fill(spark, rows):
