@@ -17,8 +17,17 @@ from pyspark.sql import functions as F
 from docloom.llm import textbytes as tb
 from docloom.llm.common import lean, ship
 
-#: Characters of items in one automaton, some hundred megabytes; a larger benchmark is taken in blocks of items, each with an automaton and a scan.
-BLOCK_CHARS = 1 << 19
+#: Characters of items in one automaton, some three hundred megabytes; a larger benchmark is taken in blocks of items, each with an automaton and a scan.
+BLOCK_CHARS = 1 << 22
+#: Bytes of rows that a worker gathers, where there are several blocks, before it builds their automata in turn.
+GATHERED = 1 << 26
+
+
+class Numbers(dict):
+    """Numbers of the benchmark's words, from 1; 0 for all others."""
+
+    def __missing__(self, word: str) -> int:
+        return 0
 
 
 def normal(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -41,43 +50,34 @@ def normal(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], starts, ends, own
 
 
-def windows(item: str, width: int) -> list[str]:
-    """Runs of width words; all words if they are fewer; nothing without a word."""
-    w = item.split(" ")[1:-1] if item.strip(" ") else []
-    return [f" {' '.join(w[i : i + width])} " for i in range(max(1, len(w) - width + 1))] if w else []
-
-
 @lru_cache(maxsize=1)
-def automaton(items: tuple[tuple[str, str], ...], width: int) -> ahocorasick.Automaton:
-    """Payload of a window: (its words, the ids of the items that hold it)."""
-    found: dict[str, set[str]] = {}
-    raw = [t.encode() for _, t in items]
+def automaton(items: tuple[tuple[str, str], ...], width: int) -> tuple[Numbers, ahocorasick.Automaton]:
+    """Over word numbers as letters. Payload of a window: (its words, the ids of the items that hold it)."""
+    found: dict[tuple[int, ...], set[str]] = {}
+    raw, number = [t.encode() for _, t in items], Numbers()
     texts = normal(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))[0]
     for (item, _), text in zip(items, texts):
-        for x in windows(text, width):
-            found.setdefault(x, set()).add(item)
-    out = ahocorasick.Automaton()
+        own = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
+        for i in range(max(1, len(own) - width + 1)) if own else ():
+            found.setdefault(tuple(own[i : i + width]), set()).add(item)
+    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
     for x, ids in found.items():
-        out.add_word(x, (x.count(" ") - 1, len(x), tuple(sorted(ids))))
+        out.add_word(x, (len(x), tuple(sorted(ids))))
     if found:
         out.make_automaton()
-    return out
+    return number, out
 
 
-def scan(text: str, machine: ahocorasick.Automaton) -> tuple[list[tuple[int, int]], set[str]]:
+def words_of(text: str) -> list[str]:
+    """The words of a text as ``normal`` gives it."""
+    return text.split(" ")[1:-1] if len(text) > 1 else []
+
+
+def scan(text: str, machine: tuple[Numbers, ahocorasick.Automaton]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged runs of hit words [first, end), and the items; text as ``normal`` gives it."""
-    matches = list(machine.iter(text)) if len(machine) else []
-    if not matches:
-        return [], set()
-    space = np.frombuffer(text.encode("utf-32-le"), np.uint32) == 32
-    before = np.cumsum(space)  # spaces up to and with a place
-    runs: list[tuple[int, int]] = []
-    for first, n in sorted((int(before[end - size + 1]) - 1, n) for end, (n, size, _) in matches):
-        if runs and first <= runs[-1][1]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], first + n))
-        else:
-            runs.append((first, first + n))
-    return runs, {i for _, (_, _, ids) in matches for i in ids}
+    number, states = machine
+    matches = list(states.iter(tuple(map(number.__getitem__, words_of(text))))) if len(states) else []
+    return merged([(end - n + 1, end + 1) for end, (n, _) in matches]), {i for _, (_, ids) in matches for i in ids}
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Broadcast]:
@@ -94,15 +94,15 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Br
 
 
 def examine(column: pa.Array, blocks: list[Broadcast], width: int, percent: int) -> list[pa.Array]:
-    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each text. A worker keeps one automaton: it goes through all texts of
-    the batch before the next block's is built."""
+    """n_words, n_hit, n_items, items_sha256, contaminated and spans of each text. A worker keeps one automaton: it goes through all these texts before
+    the next block's is built."""
     data, at = tb.strings(column)
     n = len(column)
     words, hit, items, spans = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), [None] * n
     sha = np.array([hashlib.sha256(b"").hexdigest()] * n, object)
     found: dict[int, tuple[list[tuple[int, int]], set[str]]] = {}
     for block in blocks or [None]:
-        machine = automaton(block.value, width) if block is not None else ()
+        machine = automaton(block.value if block is not None else (), width)
         for i, j, part, own in tb.pieces(data, at):
             texts, _, _, word_at = normal(part, own)
             words[i:j] = np.diff(word_at)
@@ -123,6 +123,21 @@ def examine(column: pa.Array, blocks: list[Broadcast], width: int, percent: int)
     return [pa.array(words), pa.array(hit), pa.array(items), pa.array(sha, pa.string()), pa.array(bad), pa.array([x or [] for x in spans], kind)]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]) -> Iterator[pa.RecordBatch]:
+    """The batches as they come where there is one block, whose automaton a worker builds once; else together, GATHERED bytes of rows at least."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if len(blocks) < 2:
+            yield batch
+            continue
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent: int = 5, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans.
 
@@ -131,8 +146,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
     occurrence of a window is hit; contaminated: some word is, and hit words are at least ``percent`` in a hundred of all. spans are the
     hit runs in the original text as array<struct<begin, end>>, 0-based code points, end behind the last.
 
-    The benchmark goes to every worker in blocks of at most block_chars; a worker holds the texts of all blocks and the automaton of one.
-    Texts are scanned once a block, which is once at all for any usual benchmark, and never shuffled. Null and empty texts have no
+    A benchmark of up to block_chars, which is any usual one, is one automaton, which a worker builds once, and each text is scanned once. A larger one goes to the
+    workers in blocks; a worker holds the texts of all blocks and the automaton of one, and gathers texts before it goes through the blocks. Nothing is shuffled. Null and empty texts have no
     words and are clean; items without words or with null text match nothing; repeated items or rows count as they stand; null or
     repeated doc_ids stay as rows; other columns are left out; either table may be empty.
     """
@@ -142,7 +157,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, p
     schema = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<begin:int,end:int>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, blocks):
             found = examine(batch.column("text"), blocks, width, percent)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *found], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
@@ -166,7 +181,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, width: int = 13, percent:
     blocks = item_blocks(benchmark, block_chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches, blocks):
             yield batch.filter(pc.invert(examine(batch.column(names.index("text")), blocks, width, percent)[4]))
 
     names = docs.columns

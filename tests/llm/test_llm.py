@@ -209,6 +209,24 @@ def test_decontam(spark, docs, none, block_chars):
     assert clean == {i for i, t in enumerate(texts) if not contamination(t, items)[4]}
 
 
+def test_one_automaton_for_a_large_benchmark(spark):
+    """Two megabytes of items are one block and one build a worker; smaller blocks are gone through once for all that is gathered."""
+    rng = np.random.default_rng(2)
+    vocabulary = [f"v{i}" for i in range(20000)]
+    items = [(i, " ".join(rng.choice(vocabulary, 60))) for i in range(6000)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(len(t) for _, t in items) > 2_000_000
+    texts = [f"start {items[k][1]} end" if k % 3 == 0 else " ".join(rng.choice(vocabulary, 80)) for k in range(200)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[a : a + 50])], ["text"]) for a in range(0, 200, 50)]
+    for chars, blocks_wanted in ((decontam.BLOCK_CHARS, 1), (1 << 20, 3)):
+        blocks = decontam.item_blocks(bench, chars)
+        assert len(blocks) == blocks_wanted
+        decontam.automaton.cache_clear()
+        found = [x for b in decontam.gathered(iter(batches), blocks) for x in decontam.examine(b.column("text"), blocks, 13, 5)[2].to_pylist()]
+        assert decontam.automaton.cache_info().misses == blocks_wanted
+        assert found == [1 if k % 3 == 0 else 0 for k in range(200)]
+
+
 # Sharding
 
 
