@@ -50,12 +50,62 @@ def normal(data: np.ndarray, at: np.ndarray) -> tuple[list[str], np.ndarray, np.
     return [raw[a:b].decode("utf-8", "replace") for a, b in zip(bounds[:-1], bounds[1:])], starts, ends, own
 
 
+class Sieve:
+    """Tells texts that may hold a window from those that can't: a window is a run of neighbours that some item has as neighbours, word by word."""
+
+    def __init__(self, data: np.ndarray, at: np.ndarray, width: int):
+        h, own = self.hashes(data, at)
+        n = np.minimum(np.diff(own), width)
+        self.known = np.unique(h)
+        k = self.numbers(h)
+        inside = np.ones(max(len(k) - 1, 0), bool)
+        inside[own[1:-1][(own[1:-1] > 0) & (own[1:-1] < len(k))] - 1] = False
+        self.pairs = np.unique((k[:-1] * (len(self.known) + 1) + k[1:])[inside])
+        self.least = int(n[n > 1].min()) if (n > 1).any() else 0
+        self.alone = np.zeros(len(self.known) + 1, bool)
+        self.alone[k[own[:-1][n == 1]]] = True
+
+    @staticmethod
+    def hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        low = tb.LOWER[data]
+        starts, ends, own = tb.words(low, at, tb.NOT_ALNUM)
+        return tb.word_hashes(low, starts, ends), own
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """Numbers from 1, 0 for words that no item has."""
+        return _places(self.known, h) + 1
+
+    def suspects(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts to be scanned, words of each text)."""
+        h, own = self.hashes(data, at)
+        if not len(self.known) or not len(h):
+            return np.zeros(0, np.int64), np.diff(own)
+        k = self.numbers(h)
+        hit = self.alone[k]
+        if self.least and len(k) > 1:
+            near = np.flatnonzero((k[:-1] > 0) & (k[1:] > 0))
+            alive = np.zeros(len(k), np.int64)
+            alive[near[_places(self.pairs, k[near] * (len(self.known) + 1) + k[near + 1]) >= 0]] = 1
+            alive[own[1:][own[1:] > 0] - 1] = 0  # the last word of a text has no neighbour behind it
+            run = np.concatenate([[0], np.cumsum(alive)])
+            first = np.flatnonzero(run[self.least - 1 :] - run[: max(len(run) - self.least + 1, 0)] == self.least - 1)
+            hit[first[first < len(hit)]] = True
+        return np.unique(np.searchsorted(own, np.flatnonzero(hit), "right") - 1), np.diff(own)
+
+
+def _places(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where each x stands among ascending values; -1 where it does not."""
+    at = np.minimum(np.searchsorted(values, x), max(len(values) - 1, 0))
+    return np.where(values[at] == x, at, -1) if len(values) else np.full(len(x), -1)
+
+
 @lru_cache(maxsize=1)
-def automaton(items: tuple[tuple[str, str], ...], width: int) -> tuple[Numbers, ahocorasick.Automaton]:
+def automaton(items: tuple[tuple[str, str], ...], width: int) -> tuple[Numbers, ahocorasick.Automaton, Sieve]:
     """Over word numbers as letters. Payload of a window: (its words, the ids of the items that hold it)."""
     found: dict[tuple[int, ...], set[str]] = {}
     raw, number = [t.encode() for _, t in items], Numbers()
-    texts = normal(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))[0]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64)
+    texts = normal(data, at)[0]
     for (item, _), text in zip(items, texts):
         own = [number.setdefault(w, len(number) + 1) for w in words_of(text)]
         for i in range(max(1, len(own) - width + 1)) if own else ():
@@ -65,7 +115,7 @@ def automaton(items: tuple[tuple[str, str], ...], width: int) -> tuple[Numbers,
         out.add_word(x, (len(x), tuple(sorted(ids))))
     if found:
         out.make_automaton()
-    return number, out
+    return number, out, Sieve(data, at, width)
 
 
 def words_of(text: str) -> list[str]:
@@ -73,9 +123,9 @@ def words_of(text: str) -> list[str]:
     return text.split(" ")[1:-1] if len(text) > 1 else []
 
 
-def scan(text: str, machine: tuple[Numbers, ahocorasick.Automaton]) -> tuple[list[tuple[int, int]], set[str]]:
+def scan(text: str, machine: tuple[Numbers, ahocorasick.Automaton, Sieve]) -> tuple[list[tuple[int, int]], set[str]]:
     """Merged runs of hit words [first, end), and the items; text as ``normal`` gives it."""
-    number, states = machine
+    number, states, _ = machine
     matches = list(states.iter(tuple(map(number.__getitem__, words_of(text))))) if len(states) else []
     return merged([(end - n + 1, end + 1) for end, (n, _) in matches]), {i for _, (_, ids) in matches for i in ids}
 
@@ -104,10 +154,9 @@ def examine(column: pa.Array, blocks: list[Broadcast], width: int, percent: int)
     for block in blocks or [None]:
         machine = automaton(block.value if block is not None else (), width)
         for i, j, part, own in tb.pieces(data, at):
-            texts, _, _, word_at = normal(part, own)
-            words[i:j] = np.diff(word_at)
-            for k, text in enumerate(texts):
-                runs, ids = scan(text, machine)
+            some, words[i:j] = machine[2].suspects(part, own)
+            for k in some:
+                runs, ids = scan(normal(part[own[k] : own[k + 1]], np.array([0, own[k + 1] - own[k]]))[0][0], machine)
                 if runs:
                     before = found.get(i + k, ([], set()))
                     found[i + k] = (merged(before[0] + runs), before[1] | ids)

@@ -209,6 +209,18 @@ def test_decontam(spark, docs, none, block_chars):
     assert clean == {i for i, t in enumerate(texts) if not contamination(t, items)[4]}
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", "é", "."]), max_size=24), max_size=5), st.lists(st.lists(st.sampled_from(["a", "b", "c", "d", "E", "é", ".", "zz"]), max_size=40), min_size=1, max_size=6), st.integers(2, 5))
+def test_sieve_lets_no_hit_through(items, texts, width):
+    """The scan of every text by plain Python, against the texts that the sieve leaves."""
+    bench = tuple((str(i), " ".join(w)) for i, w in enumerate(items))
+    block = type("Block", (), {"value": bench})
+    texts = [" ".join(t) for t in texts]
+    got = decontam.examine(pa.array(texts), [block], width, 5)
+    for k, t in enumerate(texts):
+        assert tuple(x[k].as_py() for x in got[:5]) == contamination(t, [(int(i), w) for i, w in bench], width)
+
+
 def test_one_automaton_for_a_large_benchmark(spark):
     """Two megabytes of items are one block and one build a worker; smaller blocks are gone through once for all that is gathered."""
     rng = np.random.default_rng(2)
