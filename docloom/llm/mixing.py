@@ -68,8 +68,10 @@ def _order(seed: int) -> Column:
 
 
 def _last(sized: DataFrame, cuts: DataFrame) -> DataFrame:
-    """Adds last to cuts(_s, cut, some): the number of the last of the first ``some`` rows of the source at cut, -1 for none. These rows repeat one id and text;
+    """Adds last to cuts(_s, cut, some, n): the number of the last of the first ``some`` rows of the source at cut, -1 for none. These rows repeat one id and text;
     they are counted by the parts in which they were written, and numbered in the one part where they end."""
+    if not cuts.where("n > 1").limit(1).count():  # no rows repeat there: all or none are taken
+        return cuts.select("_s", "cut", F.when(F.col("some") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-1)).alias("last"))
     part = F.shiftright("row", 33)
     sums = _with(sized, cuts).where(F.col("h") == F.col("cut")).groupBy("source", part.alias("part")).agg(F.count(F.lit(1)).alias("m"))
     running = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,7 +107,7 @@ def _plan(sized: DataFrame, weights: DataFrame | None, max_epochs: int, cycle: t
         found = found.withColumn("base", F.col("base") + F.col("before")).where("base < rest AND rest <= base + words")
         at = materialize(found.select(F.col("source").alias("_s"), "rest", "base", F.col("b").alias("prefix"), "words", "n"), "cuts")
     taken = F.round((F.col("rest") - F.col("base")) / (F.col("words") / F.col("n"))).cast("long")  # of the documents at the cut, to the nearest
-    cuts = _last(sized, materialize(at.select("_s", F.col("prefix").alias("cut"), taken.alias("some")), "cuts"))
+    cuts = _last(sized, materialize(at.select("_s", F.col("prefix").alias("cut"), taken.alias("some"), "n"), "cuts"))
     cuts = cuts.select(F.col("_s").alias("_c"), "cut", "last")
     return materialize(plan.join(cuts, F.col("_s").eqNullSafe(F.col("_c")), "left").drop("_c", "rest"), "plan")
 
