@@ -587,7 +587,7 @@ def test_bit_filter_lets_all_of_its_own_through(spark):
 
 
 def test_registered(spark):
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES if n.startswith("op")) == list(range(1, 14))
     for name in ("op1_mixing", "op5_sharding", "op4_decontam"):
         assert queries.QUERIES[name](spark, SMALL).count() == common.read(spark, SMALL, "documents").count()
 
