@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import progress as P
-from docloom.plans.registry import query
+from docloom.plans.registry import ORACLES, query
+from docloom.session import new_folder
+from docloom.sources import blobs, eventlog
 from docloom.sources import tables as S
 
 _O = "(PARTITION BY session_id ORDER BY ts_us, event_id)"
@@ -63,6 +65,20 @@ def parse_event_log(spark: SparkSession, sf: str) -> DataFrame:
     return P.parse_event_log(rows.select(F.col("session_id").alias("log_id"), (F.col("event_id") * 8 + F.col("n")).alias("line_no"), "line"))
 
 
+@query("event_log_source", ORACLES["event_wire"])
+def event_log_source(spark: SparkSession, sf: str) -> DataFrame:
+    """All events written as logs by the data source, and read by it."""
+    path = f"{new_folder(spark, 'logs')}/in"
+    eventlog.write_logs(P.event_wire(S.events(spark, sf).select("kind", "session_id", "ts_us", "k", "value")), path)
+    return eventlog.read_logs(spark, path).select("event", "data")
+
+
+@query("file_hashes")
+def file_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """SHA-256 of the tables' own files, read in blocks."""
+    return blobs.hashed(spark, sf, "*.parquet").select("path", "size_bytes", "content_hash")
+
+
 @query(
     "session_status",
     "SELECT session_id, CASE WHEN bool_or(kind = 'cancelled') THEN 'cancelled' WHEN bool_or(kind = 'error') THEN 'error' WHEN bool_or(kind = 'finish') THEN 'done' ELSE 'error' END AS status, "

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def listing(spark: SparkSession, path: str, pattern: str = "*", with_content: bool = False) -> DataFrame:
     """path, size_bytes, mtime (microseconds) and present of the files below path; with_content adds content_hash (SHA-256).
 
-    Without content the column is pruned, so the files themselves are not read.
+    Without content the column is pruned, so the files themselves are not read. With it a file is held in one row, below 2 GB; ``blobs.hashed`` takes any size.
+    Spark's reader leaves empty files out.
     """
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     extra = [F.sha2("content", 256).alias("content_hash")] if with_content else []
