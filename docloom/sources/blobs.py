@@ -25,10 +25,11 @@ def opened(path: str) -> tuple[fs.FileSystem, str]:
     return system, base.rstrip("/") + (found[3] or "")
 
 
-def qualified(spark: SparkSession, path: str) -> str:
-    """path with the scheme of the session's file system, so that workers read where the driver lists."""
+def qualified(spark: SparkSession, path: str, resolve: bool = True) -> str:
+    """path with the scheme of the session's file system, mount points resolved, so that workers read where the driver lists."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (system.resolvePath(at) if resolve and system.exists(at) else system.makeQualified(at)).toString()
 
 
 def digest(path: str, block: int = BLOCK) -> str | None:
@@ -47,13 +48,18 @@ def digest(path: str, block: int = BLOCK) -> str | None:
 def hashed(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """``listing`` with content_hash, for files of any size: a worker holds a block of 1 MB, never a file. A file that went since it was listed has a null hash.
 
-    Tasks are packed by the files' sizes. A file is hashed by one task, as SHA-256 goes from its first byte to its last.
+    Tasks are packed by the files' sizes. A file is hashed by one task, as SHA-256 goes from its first byte to its last. In a store that workers can't open, but
+    Spark reads, the files go through rows and have to be below 2 GB.
     """
+    listed, resolved = qualified(spark, path, resolve=False), qualified(spark, path)
+    try:
+        opened(resolved)
+    except (ValueError, OSError, ImportError):  # no such file system outside the JVM
+        return listing(spark, path, pattern, with_content=True)
     ship(spark)
-    rows = listing(spark, path, pattern)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            yield frame.assign(content_hash=[digest(p) for p in frame["path"]])
+            yield frame.assign(content_hash=[digest(resolved + p.removeprefix(listed)) for p in frame["path"]])
 
-    return rows.mapInPandas(run, "path string, size_bytes long, mtime long, present boolean, content_hash string")
+    return listing(spark, path, pattern).mapInPandas(run, "path string, size_bytes long, mtime long, present boolean, content_hash string")

@@ -111,6 +111,14 @@ def test_files_are_hashed_in_blocks(spark, tmp_path):
     assert blobs.digest(str(tmp_path / "gone")) is None
 
 
+def test_files_below_a_mount_point(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abc")
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.box.link./m", f"file://{tmp_path}")
+    row = blobs.hashed(spark, "viewfs://box/m", "*.bin").first()
+    assert row["path"] == "viewfs://box/m/x.bin" and row["content_hash"] == hashlib.sha256(b"abc").hexdigest()
+
+
 def test_a_file_is_never_held(tmp_path, monkeypatch):
     import tracemalloc
 
