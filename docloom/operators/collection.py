@@ -57,6 +57,41 @@ def collection_stats(chunks: DataFrame, sample: int | None = None) -> DataFrame:
     return total.join(rows.agg(F.countDistinct("document_id").alias("unique_documents"), *has))
 
 
+#: Sums that a part of the statistics holds.
+COUNTS = ("total_chunks", "chunks_with_equations", "chunks_with_tables", "chunks_with_figures")
+
+
+def stats_part(chunks: DataFrame, batch: int, sign: int = 1) -> DataFrame:
+    """Statistics of a batch of chunks that come (sign 1) or go (-1): batch, document_id and the sums of COUNTS, a row a document. ``add_part`` keeps them."""
+    has = [F.count_if(c).alias(f"chunks_with_{c[4:]}") for c in ("has_equations", "has_tables", "has_figures")]
+    rows = chunks.groupBy("document_id").agg(F.count(F.lit(1)).alias("total_chunks"), *has)
+    return rows.select(F.lit(batch).cast("long").alias("batch"), "document_id", *[(sign * F.col(c)).alias(c) for c in COUNTS])
+
+
+def add_part(part: DataFrame, path: str, batch: int) -> None:
+    """Keeps a part below path, in a folder of its batch; a batch that comes again replaces itself."""
+    part.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
+def retracted(parts: DataFrame, documents: DataFrame, batch: int) -> DataFrame:
+    """The part that takes documents(document_id) out: what the parts of earlier batches hold of them, negative. The chunks are not read; unknown documents give nothing."""
+    held = parts.where(F.col("batch") < batch).join(documents.select("document_id").distinct(), "document_id", "left_semi").groupBy("document_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return held.where("total_chunks <> 0").select(F.lit(batch).cast("long").alias("batch"), "document_id", *[(-F.col(c)).alias(c) for c in COUNTS])
+
+
+def merged_stats(parts: DataFrame) -> DataFrame:
+    """``collection_stats`` from the parts alone, exact: documents whose chunks came and went are not counted. A document's parts are summed before all else, so
+    no key is hot; a null document_id counts in the sums, not among the documents."""
+    own = parts.groupBy("document_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return own.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTS], F.count_if((F.col("total_chunks") > 0) & F.col("document_id").isNotNull()).alias("unique_documents"))
+
+
+def compacted(parts: DataFrame, batch: int) -> DataFrame:
+    """The same statistics in one part: a row for each document that is there. To be written elsewhere and swapped in."""
+    own = parts.groupBy("document_id").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    return own.where("total_chunks <> 0").select(F.lit(batch).cast("long").alias("batch"), "document_id", *COUNTS)
+
+
 def first_bbox(elements: str | Column) -> Column:
     """The box of the first element of a JSON list; null for malformed JSON, no element or no box."""
     parsed = F.from_json(F.col(elements) if isinstance(elements, str) else elements, "array<struct<bbox:array<double>>>")

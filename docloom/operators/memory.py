@@ -5,6 +5,7 @@ Times are whole microseconds; the clock is an argument.
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -242,48 +243,56 @@ def document_cache_stats(index: DataFrame, hits: DataFrame, version: str) -> Dat
     return size.join(seen).withColumn("hit_rate", hit_rate(F.col("hits"), F.col("misses"))).withColumn("pipeline_version", F.lit(version))
 
 
-#: Ranges of the age order in which running sums are taken, this many times this many; a range's rows meet in one task.
-AGE_CUTS = 16
+def by_age(index: DataFrame, size: Column, by: list[str], ranges: int | None = None) -> DataFrame:
+    """The order of eviction as a written table: _k0 (age: last_used, else cached_at, null first), _k1 ... (``by``), _size and _range, rows dealt in ranges of all of
+    _k, not of age alone, so that a bulk load of one age is many ranges. ranges: the session's shuffle partitions unless said otherwise."""
+    keys = [F.coalesce("last_used", "cached_at").alias("_k0"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by, 1)]]
+    slim = index.select(*keys, F.coalesce(size, F.lit(0)).alias("_size"))
+    n = ranges or int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(slim.repartitionByRange(n, *slim.columns[:-1]).withColumn("_range", F.spark_partition_id()), "ages")
 
 
-def _oldest_first(index: DataFrame, size: Column, by: list[str]) -> DataFrame:
-    """Adds _before, the sizes of all rows before it in the order of (age, by), and _place, their number plus one.
+def _evicted(index: DataFrame, size: Column, by: list[str], goes: Callable) -> DataFrame:
+    """The rows that go: a first part of the order of ``by_age``. goes(before, place, total, n) says so of a row by the sizes before it and its place, numbers
+    or columns, and by the sum and number of all; where it fails it fails for all later rows.
 
-    Running sums in two steps: totals of age ranges between quantiles (at most AGE_CUTS ** 2 rows), then within a range. A range is found in
-    two looks, among every AGE_CUTS-th cut and among those up to the next.
+    A distributed prefix sum: sums of ranges, one row each, tell the range in which the last row to go lies, that range alone tells the row, and the index is
+    filtered by it, without a shuffle of its other columns. Sizes are not negative. Rows that are alike in age and ``by`` go together.
     """
-    age, n = F.coalesce("last_used", "cached_at"), AGE_CUTS**2
-    found = index.agg(F.percentile_approx(age, [k / n for k in range(1, n)], 20 * n).alias("cuts")).first()["cuts"]
-    cuts = [*(found or [0] * (n - 1)), (1 << 63) - 1]
-    long = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
-    below = lambda xs: F.size(F.filter(xs, lambda c: c < F.col("_age")))
-    fine = F.array(*[long(cuts[a : a + AGE_CUTS]) for a in range(0, n, AGE_CUTS)])
-    rows = index.withColumns({"_age": F.coalesce(age, F.lit(-(1 << 63))), "_size": size}).withColumn("_p", below(long(cuts[AGE_CUTS - 1 : -1 : AGE_CUTS])))
-    rows = rows.withColumn("_b", F.col("_p") * AGE_CUTS + below(F.get(fine, F.col("_p")))).drop("_p")
-    totals = rows.groupBy("_b").agg(F.sum("_size").alias("_s"), F.count(F.lit(1)).alias("_c"))
-    run = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", F.coalesce(F.sum("_s").over(run), F.lit(0)).alias("_s0"), F.coalesce(F.sum("_c").over(run), F.lit(0)).alias("_c0"))
-    inner = Window.partitionBy("_b").orderBy("_age", *by)
-    before = F.coalesce(F.sum("_size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumns({"_in": before, "_n": F.row_number().over(inner)}).join(F.broadcast(totals), "_b")
-    return rows.withColumns({"_before": F.col("_s0") + F.col("_in"), "_place": F.col("_c0") + F.col("_n")}).drop("_s0", "_c0", "_in", "_n", "_b", "_age")
+    order = by_age(index, size, by)
+    sums = order.groupBy("_range").agg(F.sum("_size").alias("s"), F.count(F.lit(1)).alias("n")).orderBy("_range").collect()  # a row a range
+    total, n = sum(r["s"] for r in sums), sum(r["n"] for r in sums)
+    before, place, at = 0, 1, None
+    for r in sums:
+        if not goes(before, place, total, n):
+            break
+        at = (r["_range"], before, place)
+        before, place = before + r["s"], place + r["n"]
+    if at is None:
+        return index.limit(0)
+    keys = [c for c in order.columns if c.startswith("_k")]
+    inner = Window.partitionBy("_range").orderBy(*keys)
+    inside = order.where(F.col("_range") == at[0]).withColumns({
+        "_before": F.lit(at[1]) + F.coalesce(F.sum("_size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "_place": F.lit(at[2] - 1) + F.row_number().over(inner),
+    })
+    last = inside.where(goes(F.col("_before"), F.col("_place"), total, n)).agg(F.max(F.struct(*keys)).alias("k")).first()["k"]
+    own = F.struct(F.coalesce("last_used", "cached_at").alias("_k0"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by, 1)])
+    return index.where(own <= F.struct(*[F.lit(last[k]).cast(order.schema[k].dataType).alias(k) for k in keys]))
 
 
 def lru_evicted(index: DataFrame, cap: int, size: str = "file_size_bytes", by: tuple[str, ...] = ("cache_key",)) -> DataFrame:
     """Rows to evict, least recently used first, until what remains is at most cap: a row goes if the total less all rows before it is above."""
-    total = index.agg(F.sum(size)).first()[0] or 0
-    return _oldest_first(index, F.col(size), list(by)).where(F.lit(total) - F.col("_before") > cap).drop("_before", "_place", "_size")
+    return _evicted(index, F.col(size), list(by), lambda before, place, total, n: total - before > cap)
 
 
 def size_cap_evicted(index: DataFrame, cap: int, size: Column, by: tuple[str, ...] = ("cache_key",)) -> DataFrame:
     """Rows to evict when the sizes' sum is above cap: as many of the least recently used as, at the average size (at least 1), bring it to 0.9 cap."""
-    row = index.agg(F.sum(size).alias("s"), F.count(F.lit(1)).alias("n")).first()
-    total, n = row["s"] or 0, row["n"]
-    if total <= cap or not n:
-        return index.limit(0)
-    excess, mean = total - 0.9 * cap, max(1, total // n)
-    remove = min(n, int(-(-excess // mean)))
-    return _oldest_first(index, size, list(by)).where(F.col("_place") <= remove).drop("_before", "_place", "_size")
+
+    def goes(before: int | Column, place: int | Column, total: int, n: int) -> bool | Column:
+        remove = math.ceil((total - 0.9 * cap) / max(1, total // n)) if total > cap else 0
+        return place <= remove
+
+    return _evicted(index, size, list(by), goes)
 
 
 def stale_rows(index: DataFrame, present: DataFrame, path: str = "cached_path") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions import text as T
 from docloom.operators import chunking, collection, elements, progress
 from docloom.plans.registry import query
+from docloom.session import new_folder, written
 from docloom.sources import tables as S
 
 
@@ -243,6 +244,26 @@ def collection_stats(spark: SparkSession, sf: str) -> DataFrame:
     return collection.collection_stats(S.chunks(spark, sf))
 
 
+_PARTS = 8
+
+
+@query(
+    "collection_stats_kept",
+    "SELECT count(*) AS total_chunks, count(DISTINCT document_id) AS unique_documents, count(*) FILTER (has_equations) AS chunks_with_equations, count(*) FILTER (has_tables) AS chunks_with_tables, count(*) FILTER (has_figures) AS chunks_with_figures "
+    "FROM chunks WHERE CAST(document_id AS BIGINT) % 10 <> 3",
+    ("chunks",),
+)
+def collection_stats_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """All chunks, come in batches; then documents go; the statistics from what was kept of both."""
+    path, chunks = new_folder(spark, "stats"), S.chunks(spark, sf).withColumn("batch", F.pmod(F.col("chunk_index"), F.lit(_PARTS)))
+    chunks = written(chunks.select("document_id", "batch", "has_equations", "has_tables", "has_figures"), "arrived")
+    for n in range(_PARTS):
+        collection.add_part(collection.stats_part(chunks.where(F.col("batch") == n), n), path, n)
+    gone = S.table(spark, sf, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("document_id"))
+    collection.add_part(collection.retracted(spark.read.parquet(path), gone, _PARTS), path, _PARTS)
+    return collection.merged_stats(spark.read.parquet(path))
+
+
 @query(
     "first_bbox",
     "SELECT chunk_id, CASE WHEN k % 11 <> 5 THEN 40.0::DOUBLE END AS x0, CASE WHEN k % 11 <> 5 THEN CAST(40 + 14 * (k % 8) AS DOUBLE) END AS y0, CASE WHEN k % 11 <> 5 THEN 550.0::DOUBLE END AS x1, "

@@ -175,6 +175,43 @@ def test_size_cap(spark):
     assert memory.size_cap_evicted(rows.limit(0), 50, F.col("file_size_bytes")).count() == 0
 
 
+def test_eviction_of_rows_without_an_age_or_a_key(spark):
+    rows = spark.createDataFrame([("a", None, None, 10), (None, 3, None, 10), ("b", 3, None, None), ("b", 3, None, 10), ("c", 4, None, 10)], INDEX)
+    assert sorted((r[0] or "", r[3] or 0) for r in memory.lru_evicted(rows, 20).collect()) == [("", 10), ("a", 10)]
+    assert memory.lru_evicted(rows, 10).count() == 4 and memory.lru_evicted(rows, 40).count() == 0
+
+
+def test_a_bulk_load_of_one_age_is_many_ranges(spark):
+    n, ranges = 20_000, 16
+    rows = spark.range(n).select(F.sha2(F.col("id").cast("string"), 256).alias("cache_key"), F.when(F.col("id") % 10 == 0, F.col("id")).otherwise(7).alias("cached_at"), F.lit(None).cast("long").alias("last_used"), (F.col("id") % 13).alias("file_size_bytes"))
+    sizes = [r["count"] for r in memory.by_age(rows, F.col("file_size_bytes"), ["cache_key"], ranges).groupBy("_range").count().collect()]
+    assert len(sizes) == ranges and max(sizes) <= 2 * n / ranges
+    cap = 40_000
+    got = {r["cache_key"] for r in memory.lru_evicted(rows, cap).collect()}
+    assert got == set(lru_loop([tuple(r) for r in rows.collect()], cap)) and 5_000 < len(got) < n
+
+
+def test_statistics_kept_over_appends_and_deletes(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/stats", "document_id string, has_equations boolean, has_tables boolean, has_figures boolean"
+    made = lambda n: spark.createDataFrame([(None if i % 9 == 8 else f"d{(i * n) % 7}", i % 2 == 0, i % 3 == 0, None if i % 5 else True) for i in range(20 + n)], schema)
+    there = None
+    for n in range(10):
+        collection.add_part(collection.stats_part(made(n), n), path, n)
+        there = made(n) if there is None else there.unionByName(made(n))
+    for n, gone in [(10, ["d1", "d3", "none"]), (11, ["d3", "d6"])]:
+        gone = spark.createDataFrame([(x,) for x in [*gone, None]], "document_id string")
+        for _ in range(2):  # a batch that comes again
+            collection.add_part(collection.retracted(spark.read.parquet(path), gone, n), path, n)
+        there = there.join(gone, "document_id", "left_anti")
+    collection.add_part(collection.stats_part(made(3).where("document_id = 'd3'"), 12), path, 12)
+    there = there.unionByName(made(3).where("document_id = 'd3'"))
+    want = collection.collection_stats(there).first().asDict()
+    parts = spark.read.parquet(path)
+    assert collection.merged_stats(parts).first().asDict() == want
+    assert collection.merged_stats(collection.compacted(parts, 13)).first().asDict() == want
+    assert collection.merged_stats(parts.limit(0)).first().asDict() == {k: 0 for k in want}
+
+
 def test_translation_keeps_failures_out(spark):
     schema = "request_id string, source_text string, lang_in string, lang_out string, service string, model string, ts long"
     rows = [("1", "abc", "en", "vi", "s", None, 1), ("2", "abc", "en", "vi", "s", "", 2), ("3", "9 fails", "en", "vi", "s", None, 3), ("4", " ", "en", "vi", "s", None, 4)]
