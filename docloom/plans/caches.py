@@ -169,6 +169,16 @@ _CLEAN = (
 )
 
 
+_NO_STARS = "replace(line, '*', '')"
+
+
+@query("clean_markdown", f"SELECT document_id, k AS line_no, {_CLEAN.format(_NO_STARS)} AS text FROM lines", ("lines",))
+def clean_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines with marks put around their words, cleaned of them."""
+    marked = F.concat(F.lit("**"), F.replace("line", F.lit(" "), F.lit("* *")), F.lit("**"))
+    return S.lines(spark, sf).select("document_id", "line_no", T.clean_translation(marked, strip_markdown=True).alias("text"))
+
+
 @query(
     "translate_documents",
     f"SELECT request_id, CASE WHEN m.expires_at >= {NOW} THEN 'hit' WHEN NOT regexp_matches(r.source_text, '^\\d') THEN 'translated' ELSE 'failed' END AS status, "

@@ -242,3 +242,22 @@ def eta_labels(spark: SparkSession, sf: str) -> DataFrame:
     left = T.eta_left(F.when(F.col("k") % 10 != 0, F.col("value") * F.col("k") / 10.0), F.lit(3.0))
     left = F.when(F.col("k") % 10 != 0, left)
     return S.events(spark, sf).select("event_id", T.eta_label(left).alias("eta"))
+
+
+_AGE = "CASE WHEN k % 10 <> 0 THEN 37 * k * k - 3000 END"
+
+
+def _say(per: int, word: str) -> str:
+    n = f"CAST(floor(-age / {per}.0::DOUBLE + 0.5) AS BIGINT)"
+    many = f"abs({n}) || ' {word}' || CASE WHEN abs({n}) = 1 THEN '' ELSE 's' END"
+    return f"CASE WHEN {n} < 0 THEN {many} || ' ago' ELSE 'in ' || {many} END"
+
+
+@query(
+    "relative_labels",
+    f"SELECT event_id, CASE WHEN age IS NULL THEN 'earlier' WHEN age = 0 THEN 'now' WHEN abs(age) < 60 THEN {_say(1, 'second')} WHEN abs(age) < 3600 THEN {_say(60, 'minute')} WHEN abs(age) < 86400 THEN {_say(3600, 'hour')} "
+    f"WHEN floor(-age / 86400.0::DOUBLE + 0.5) = -1 THEN 'yesterday' WHEN floor(-age / 86400.0::DOUBLE + 0.5) = 1 THEN 'tomorrow' ELSE {_say(86400, 'day')} END AS label FROM (SELECT event_id, {_AGE} AS age FROM ev)",
+    ("ev",),
+)
+def relative_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return S.events(spark, sf).select("event_id", T.relative_label(F.expr(_AGE)).alias("label"))
