@@ -22,6 +22,10 @@ LOW = 64 - BUCKET_BITS
 POSITIONS = 1 << 12
 #: Rows of a token's list that meet in one cell; longer lists are dealt over a grid of cells.
 CELL = 4096
+#: Partners up to which a row's pairs leave the cells for verification; rows with more are verified within them.
+PARTNERS = 64
+#: Tokens a row for which a cell of verification has room.
+ROOM = 64
 
 
 def line_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,8 +167,59 @@ def _key(t: pa.Table | pa.RecordBatch, grid: bool) -> np.ndarray:
     return np.stack([token.astype(np.int64), *(t.column(c).to_numpy().astype(np.int64) for c in ("i", "j") if grid)], 1)
 
 
+def filtered(x: np.ndarray, y: np.ndarray, percent: int, key: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) that pass the positional, length and bitmap filters, and in how many bits they differ."""
+    both = n[x] + n[y]
+    overlap = -(-percent * both // (100 + percent))  # least for the threshold
+    # Tokens in common are this one, at most the fewer before it and the fewer behind it.
+    most = np.where((pos[x] < 0) | (pos[y] < 0), overlap, np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]))
+    keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    if block is not None:
+        keep &= (key[x, 1] == key[x, 2]) | (block[x] != block[y])
+    x, y, slack = x[keep], y[keep], (both - 2 * overlap)[keep]
+    differ = popcount(sig[x] ^ sig[y]).astype(np.int64)
+    keep = differ <= slack
+    return x[keep], y[keep], differ[keep]
+
+
+def _confirmed(percent: int, pairs_room: int = 1 << 20):
+    """Column y: the sets of a list that ``ask`` of which an earlier one holds, verified on the tokens s, each once a cell."""
+
+    def match(t: pa.Table) -> pa.RecordBatch | None:
+        key, n, sid, sig = _key(t, True), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy(), t["sig"].to_numpy().view(U)
+        pos = t["p"].to_numpy() & (POSITIONS - 1)
+        pos, block, open_ = np.where(pos == POSITIONS - 1, -1, pos), t["block"].to_numpy(), t["ask"].to_numpy(zero_copy_only=False).copy()
+        sets = t["s"].combine_chunks()
+        own, tokens = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
+        own, tokens = own - own[0], tokens[own[0] : own[-1]]
+        kinds, token = np.unique(tokens, return_inverse=True)
+        held = np.sort(np.repeat(np.arange(len(n)), np.diff(own)) * len(kinds) + token)  # (row, token), in order
+        found = np.zeros(len(n), bool)
+        for x, y in list_pairs(key):
+            keep = open_[y]
+            x, y, _ = filtered(x[keep], y[keep], percent, key, n, pos, sig, block)
+            start = 0
+            while start < len(x):
+                room = np.cumsum(n[y[start : start + pairs_room]])
+                stop = start + max(1, int(np.searchsorted(room, pairs_room, "right")))
+                a, b = x[start:stop], y[start:stop]
+                a, b, start = a[open_[b]], b[open_[b]], stop
+                if not len(a):
+                    continue
+                cut = np.concatenate([[0], np.cumsum(n[b])])
+                at = np.arange(cut[-1]) + np.repeat(own[b] - cut[:-1], n[b])
+                want = np.repeat(a, n[b]) * len(kinds) + token[at]
+                place = np.minimum(np.searchsorted(held, want), len(held) - 1)
+                both = tb.sum_by((held[place] == want).astype(np.int64), cut)
+                hit = b[both * 100 >= percent * (n[a] + n[b] - both)]
+                found[hit], open_[hit] = True, False
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(sid[found]))], ["y"]) if found.any() else None
+
+    return by_list(match, True)
+
+
 def _partners(percent: int, all_of: bool, grid: bool):
-    """Rows (y, x, far, more): of each set y of a list the earlier sets x that pass the filters, the nearest alone or, for those that ``ask``, all."""
+    """Rows (y, x, far, many): of each set y of a list the earlier sets x that pass the filters, the nearest alone with their number or, for those that ``ask``, all."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
         key, n, sid, sig = _key(t, grid), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy(), t["sig"].to_numpy().view(U)
@@ -177,19 +232,10 @@ def _partners(percent: int, all_of: bool, grid: bool):
             if all_of:
                 keep = ask[y]
                 x, y = x[keep], y[keep]
-            both = n[x] + n[y]
-            overlap = -(-percent * both // (100 + percent))  # least for the threshold
-            # Tokens in common are this one, at most the fewer before it and the fewer behind it.
-            most = np.where((pos[x] < 0) | (pos[y] < 0), overlap, np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]))
-            keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            if grid:
-                keep &= (key[x, 1] == key[x, 2]) | (block[x] != block[y])
-            x, y, slack = x[keep], y[keep], (both - 2 * overlap)[keep]
-            differ = popcount(sig[x] ^ sig[y]).astype(np.int64)
-            keep = differ <= slack
-            xs.append(x[keep])
-            ys.append(y[keep])
-            fars.append(differ[keep])
+            x, y, differ = filtered(x, y, percent, key, n, pos, sig, block)
+            xs.append(x)
+            ys.append(y)
+            fars.append(differ)
         x, y, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, fars))
         if not len(x):
             return None
@@ -199,8 +245,14 @@ def _partners(percent: int, all_of: bool, grid: bool):
         size = np.diff(np.concatenate([cut, [len(y)]]))
         if not all_of:
             x, y, far = x[cut], y[cut], far[cut]
-        more = size > 1 if not all_of else np.ones(len(x), bool)
-        return pa.RecordBatch.from_arrays([pa.array(sid[y]), pa.array(sid[x]), pa.array(far), pa.array(more)], ["y", "x", "far", "more"])
+        many = size if not all_of else np.ones(len(x), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sid[y]), pa.array(sid[x]), pa.array(far), pa.array(many)], ["y", "x", "far", "many"])
+
+    return by_list(match, grid)
+
+
+def by_list(match, grid: bool):
+    """A worker that gives whole lists to match, which may be None for those without a result; rows come sorted by list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []  # of the list that goes on in the next batch
@@ -235,8 +287,10 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
     the prefix filter exact. Equal sets become one, at their first place. Of each set the prefix opens lists; a row of a
     list holds place, size, position and a bitmap, not the text. Lists longer than ``cell`` are dealt over a grid of cells. Within a
     list each row names the nearest earlier row that passes the positional, length and bitmap filters, which drop no match. Of those over
-    all its lists the nearest is verified, on all tokens (64 bits each) read from the texts again; rows of which it does not hold, but that
-    had others, are asked for all of them, in their own lists. So pairs never grow with the square of a group's size, and no match is lost.
+    all its lists the nearest is verified, on all tokens (64 bits each) read from the texts again. Rows of which it does not hold, but that
+    had others, are asked again in their own lists: those with up to PARTNERS for all of them; for those with more the lists' rows
+    take their tokens along and are verified within the cells, which give a row at most once. So what leaves the cells is linear in
+    the rows, and no match is lost. Within a list rows are still compared with each other, as the filters ask.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -262,7 +316,7 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
     blocks = np.minimum(-(-counts[order] // cell), 1 << 12).astype(np.int64)
     long = np.flatnonzero(blocks > 1)
     opened = sets.where("size(prefix) > 0").select("sid", *PLACE, "n", "sig", F.explode("prefix").alias("p"))
-    opened = opened.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1))
+    opened = plain = opened.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1))
     if len(long):
         table = spark.createDataFrame(pa.table({"r": long, "g": blocks[long]}))  # at most 2**BUCKET_BITS rows
         opened = opened.withColumn("r", F.shiftrightunsigned("p", LOW)).join(F.broadcast(table), "r", "left").drop("r")
@@ -275,33 +329,53 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
         key = ["token", *grid]
         listed = rows.select(*key, *["block"] * bool(grid), "p", "sid", *PLACE, "n", "sig", *["ask"] * all_of).drop("token")
         listed = listed.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1)).repartition(*key).sortWithinPartitions(*key, *PLACE)
-        return listed.select(*grid, *["block"] * bool(grid), "p", "sid", "n", "sig", *["ask"] * all_of).mapInArrow(lean(_partners(percent, all_of, bool(grid))), "y long, x long, far long, more boolean")
+        return listed.select(*grid, *["block"] * bool(grid), "p", "sid", "n", "sig", *["ask"] * all_of).mapInArrow(lean(_partners(percent, all_of, bool(grid))), "y long, x long, far long, many long")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The y of pairs (y, x) of which some x holds."""
-        ids = pairs.select(F.explode(F.array("y", "x")).alias("sid")).distinct()
-        asked = materialize(ids.join(sets.select("sid", "k", "place"), "sid"), "asked")
+    def token_sets(ids: DataFrame) -> DataFrame:
+        """sid and all tokens of the sets of ids(sid), read from the texts."""
+        asked = materialize(ids.distinct().join(sets.select("sid", "k", "place"), "sid"), "asked")
         bits = int(np.clip(int(asked.count()).bit_length() + 4, 16, 27))
         bitmap = spark.sparkContext.broadcast(bit_filter(asked.select(F.col("place").alias("h")), bits))
         tokens = source.mapInArrow(lean(_tokens_of(shared, bitmap)), "k binary, s array<long>").join(asked.select("sid", "k"), "k").select("sid", "s").dropDuplicates(["sid"])
-        tokens = materialize(tokens, "tokens")
+        return materialize(tokens, "tokens")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The y of pairs (y, x) of which some x holds."""
+        tokens = token_sets(pairs.select(F.explode(F.array("y", "x")).alias("sid")))
         both = pairs.join(tokens.select(F.col("sid").alias("y"), F.col("s").alias("sy")), "y").join(tokens.select(F.col("sid").alias("x"), F.col("s").alias("sx")), "x")
         both = both.withColumn("both", F.size(F.array_intersect("sy", "sx"))).where(f"both * 100 >= {percent} * (size(sy) + size(sx) - both)")
         return materialize(both.select("y").distinct(), "later")
 
-    # The nearest of all lists; others: whether another partner was seen.
-    # far is at most 64, and sid below 2**56: both in one number.
-    named = named_in(opened, False).withColumn("p", F.shiftleft("far", 56).bitwiseOR(F.col("x")))
-    named = named.groupBy("y").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.max("more").alias("more"))
-    named = materialize(named.select("y", F.col("lo").bitwiseAND(F.lit((1 << 56) - 1)).alias("x"), (F.col("more") | (F.col("lo") != F.col("hi"))).alias("more")), "named")
-    later = verified(named.select("y", "x"))
-    asking = materialize(named.where("more").select("y").join(later, "y", "left_anti"), "asking")
-    if asking.limit(1).count():
+    def lists_of(asking: DataFrame, rows: DataFrame) -> DataFrame:
+        """The rows of the lists that asking(y) opens, those of y marked."""
         own = asking.join(sets.select(F.col("sid").alias("y"), "prefix"), "y").select(F.explode("prefix").alias("p"))
         own = own.select(F.shiftrightunsigned("p", POSITIONS.bit_length() - 1).alias("token")).distinct()
-        rows = opened.join(own, "token", "left_semi").join(asking.select(F.col("y").alias("sid"), F.lit(True).alias("ask")), "sid", "left").fillna(False, ["ask"])
-        rest = materialize(named_in(rows, True).select("y", "x").distinct(), "rest")
-        later = later.union(verified(rest)).distinct()
+        return rows.join(own, "token", "left_semi").join(asking.select(F.col("y").alias("sid"), F.lit(True).alias("ask")), "sid", "left").fillna(False, ["ask"])
+
+    def confirmed_in(asking: DataFrame) -> DataFrame:
+        """The y of asking that hold, verified within cells; the lists' lengths and tokens are counted, so a cell has room for its rows' tokens."""
+        rows = materialize(lists_of(asking, plain), "lists")
+        load = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum("n") / (cell * ROOM))).alias("g")).where("g > 1")
+        rows = rows.join(load, "token", "left").join(token_sets(rows.select("sid")), "sid").withColumn("g", F.coalesce("g", F.lit(1)))
+        rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
+        rows = rows.withColumns({"i": F.least("block", "o").cast("int"), "j": F.greatest("block", "o").cast("int")})
+        key = ["token", "i", "j"]
+        rows = rows.select(*key, "block", "p", "sid", *PLACE, "n", "sig", "ask", "s").repartition(*key).sortWithinPartitions(*key, *PLACE)
+        return materialize(rows.select("i", "j", "block", "p", "sid", "n", "sig", "ask", "s").mapInArrow(lean(_confirmed(percent)), "y long").distinct(), "confirmed")
+
+    # The nearest of all lists; many: partners of all lists, at least as many as there are. far is at most 64, and sid below 2**56: both in one number.
+    named = named_in(opened, False).withColumn("p", F.shiftleft("far", 56).bitwiseOR(F.col("x")))
+    named = named.groupBy("y").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum("many").alias("many"), F.max("many").alias("most"))
+    named = materialize(named.select("y", F.col("lo").bitwiseAND(F.lit((1 << 56) - 1)).alias("x"), F.when((F.col("most") > 1) | (F.col("lo") != F.col("hi")), F.col("many")).otherwise(0).alias("many")), "named")
+    later = verified(named.select("y", "x"))
+    asking = materialize(named.where("many > 0").select("y", "many").join(later, "y", "left_anti"), "asking")
+    few, many = asking.where(F.col("many") <= PARTNERS).select("y"), asking.where(F.col("many") > PARTNERS).select("y")
+    if few.limit(1).count():
+        rest = materialize(named_in(lists_of(few, opened), True).select("y", "x").distinct(), "rest")
+        later = later.union(verified(rest))
+    if many.limit(1).count():
+        later = later.union(confirmed_in(many))
+    later = later.distinct()
 
     flagged = sets.join(later.select(F.col("y").alias("sid"), F.lit(True).alias("near")), "sid", "left").where("c > 1 OR near")
     flagged = materialize(flagged.select("k", *[F.col(c).alias(f"first_{c}") for c in PLACE], F.coalesce("near", F.lit(False)).alias("near")), "flagged")

@@ -306,6 +306,23 @@ def test_lines(spark, docs, none, cell):
     assert check_lines(spark.createDataFrame(rows, DOCS).repartition(3), cell=cell)
 
 
+@pytest.mark.parametrize(("cell", "room"), [(linededup.CELL, linededup.ROOM), (64, 2)])
+def test_lines_that_share_most_words(spark, monkeypatch, cell, room):
+    """17 words in common and 3 of their own: all pairs are just below the threshold, and some lines have a match among the many that fail."""
+    monkeypatch.setattr(linededup, "ROOM", room)
+    rng, head = np.random.default_rng(5), " ".join(f"c{i}" for i in range(17))
+    own = [[f"w{x}" for x in rng.integers(0, 1 << 40, 3)] for _ in range(700)]
+    lines = [f"{head} {' '.join(x)}" for x in own]
+    lines += [f"{head} {' '.join(own[k][:1])} u{k} u{k + 1}" for k in range(0, 700, 23)] + [f"{head} {' '.join(own[k][:2])}" for k in range(0, 700, 31)]
+    made = {}
+    real = linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    want = check_lines(spark.createDataFrame([(i, "\n".join(lines[i::40]), None, None, None) for i in range(40)], DOCS).repartition(4), cell=cell)
+    assert 0 < sum(map(len, want.values())) < 100
+    asked = sum(x.where("many > 64").count() for x in made["asking"])
+    assert asked > 300 and made["confirmed"] and all(x.count() <= 64 * len(lines) for x in made.get("rest", []))
+
+
 def test_lines_odd(spark, docs, none):
     check_lines(docs.withColumns({"removed": F.lit("clash"), "row": F.lit(1), "doc": F.lit(2)}))
     assert linededup.similar_lines(none).count() == 0
