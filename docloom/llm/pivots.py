@@ -172,26 +172,27 @@ def compare(ids: np.ndarray, X: np.ndarray, order: np.ndarray, block: np.ndarray
     return found, ids[label]
 
 
-def compare_ball(ids: np.ndarray, X: np.ndarray, home: np.ndarray, block: np.ndarray, copies: np.ndarray, here: int, cell: tuple[int, int], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """The same in a cell of hub ``here``: links of the rows at home there with all rows in reach. A row at home elsewhere counts its links there."""
-    n = len(ids)
-    found, label, step = np.zeros(n, np.int64), np.arange(n), 256
-    core, free, weight = home == here, home < 0, copies.astype(float)
-    for a in range(0, n, step):
-        rows = slice(a, min(a + step, n))
-        sim = X[rows] @ X.T
+def compare_ball(ids: np.ndarray, X: np.ndarray, home: np.ndarray, core: np.ndarray, copies: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same in a cell of a hub: links of the ``core`` entries, rows at home there, with the others, rows in reach. Each entry of a row at home counts as
+    core alone; one at home elsewhere counts its links there; one in no home counts them here. A row may be there twice, as both."""
+    found, label, step = np.zeros(len(ids), np.int64), np.arange(len(ids)), 256
+    twice = np.flatnonzero(ids[1:] == ids[:-1])
+    label = unite(label, twice, twice + 1)
+    mine, others = np.flatnonzero(core), np.flatnonzero(~core)
+    Y, weight, free = X[others], copies[others].astype(float), home[others] < 0
+    for a in range(0, len(mine), step):
+        rows = mine[a : a + step]
+        sim = X[rows] @ Y.T
         link = sim >= least + 1e-12
         i, j = np.nonzero((sim >= least - 1e-12) & ~link)
         for s in range(0, len(i), 65536):
             p, q = i[s : s + 65536], j[s : s + 65536]
-            link[p, q] = (X[a + p] * X[q]).sum(1) >= least
-        link &= ids[rows, None] != ids
-        if cell[0] != cell[1]:
-            link &= block[rows, None] != block
-        link &= core[rows, None] | (free[rows, None] & core)
+            link[p, q] = (X[rows[p]] * Y[q]).sum(1) >= least
+        link &= ids[rows, None] != ids[others]
         found[rows] = (link @ weight).astype(np.int64)
-        i, j = np.nonzero(link & (label[rows, None] != label))
-        label = unite(label, i + a, j)
+        found[others] += np.where(free, copies[rows].astype(float) @ link, 0).astype(np.int64)
+        i, j = np.nonzero(link & (label[rows, None] != label[others]))
+        label = unite(label, rows[i], others[j])
     return found, ids[label]
 
 
@@ -205,7 +206,7 @@ def _cells(least: float, shared: int, kind: type):
             X = unit(np.frombuffer(b"".join(t["x"].to_pylist()), kind).astype(np.float64).reshape(len(t), -1))
             here, cell = t["list"][0].as_py(), (t["i"][0].as_py(), t["j"][0].as_py())
             if here < 0:
-                found, low = compare_ball(ids, X, t["home"].to_numpy(), t["block"].to_numpy(), copies, -1 - here, cell, least)
+                found, low = compare_ball(ids, X, t["home"].to_numpy(), t["core"].to_numpy(zero_copy_only=False), copies, least)
             else:
                 order = np.stack(t["order"].to_numpy(zero_copy_only=False))
                 found, low = compare(ids, X, order, t["block"].to_numpy(), copies, here, cell, least, shared)
@@ -243,14 +244,14 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
     Vectors link when their cosine in double precision is at least ``least``. Those that are null, empty or zero, or that
     hold a null or non-finite component, link with nothing; vectors of different lengths never link. n_links counts the
     other rows linked directly, copies included; component_id is the smallest vec_id reachable; kept is vec_id =
-    component_id. vec_id is a whole number; rows that repeat one link like any others, null ids come as -1 in no
-    component but their own. An empty table gives no rows; other columns are left out.
+    component_id. vec_id is a whole number; rows that repeat one link like any others, null ids have no links, no component
+    and are kept. An empty table gives no rows; other columns are left out.
 
     Equal vectors are one node with a number of copies. Pivots are a seeded draw of about twice the root of the nodes,
     at most MAX_PIVOTS, kept apart; a vector's description is its nearest ones in order; every choice of ``shared`` of them
     is an inverted list, so vectors in a common list share that many pivots. A pivot that has other drawn rows close by is a
     hub: a vector at APART or nearer to one is in no list but at home there, and is compared with every vector whose angle to
-    the hub lets the two link, so it loses no link; links of two vectors far from all hubs can be missed. Lists longer than ``cell`` are dealt over a grid
+    the hub lets the two link (rows at home against those, not those with each other), so it loses no link; links of two vectors far from all hubs can be missed. Lists longer than ``cell`` are dealt over a grid
     of cells, each of two blocks, so none grows with the group. A cell compares its rows by one matrix product and tells
     of each row how many links it found and the least id of the group that its links form there, not the pairs; a pair
     counts in the least list that it shares. The groups of all cells are joined into components.
@@ -271,10 +272,19 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, nearest_count: int
             table[dim] = choose(these, -(-wanted * len(these) // len(sample)), least)
     index = nodes.mapInArrow(lean(_index(spark.sparkContext.broadcast(table), nearest_count, shared, least, kind)), "dim int, list long, id long, copies long, x binary, order array<int>, home int")
     index = materialize(index, "index")
-    full = index.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    cells = index.join(full, ["dim", "list"]).withColumn("g", F.ceil(F.col("c") / F.lit(cell)).cast("int"))
-    cells = cells.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cells = cells.withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("g", "o", "c")
+    # Of a hub's list (below 0) only the rows at home are compared with all: without any it is left out, and its grid is one of blocks of those by blocks of all.
+    at_home = F.col("list") == -1 - F.col("home")
+    full = index.groupBy("dim", "list").agg(F.count(F.lit(1)).alias("c"), F.count_if(at_home).alias("h")).where("c > 1 AND (list >= 0 OR h > 0)")
+    blocks = lambda c: F.ceil(F.col(c) / F.lit(cell)).cast("int")
+    cells = index.join(full, ["dim", "list"]).withColumns({"g": blocks("c"), "gh": F.greatest(F.lit(1), blocks("h"))})
+    cells = cells.withColumn("block", F.pmod(F.xxhash64("id"), F.col("g")).cast("int")).withColumn("home_block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("gh")).cast("int"))
+    to = lambda i, j, core: F.struct(i.alias("i"), j.alias("j"), F.lit(core).alias("core"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pairs = F.transform(upto("g"), lambda o: to(F.least("block", o), F.greatest("block", o), False))
+    reached = F.transform(upto("gh"), lambda o: to(o, F.col("block"), False))
+    own = F.transform(upto("g"), lambda o: to(F.col("home_block"), o, True))
+    cells = cells.withColumn("to", F.explode(F.when(F.col("list") >= 0, pairs).when(at_home, F.concat(reached, own)).otherwise(reached)))
+    cells = cells.select(*index.columns, "block", "to.*")
     found = cells.repartition("dim", "list", "i", "j").sortWithinPartitions("dim", "list", "i", "j").mapInArrow(lean(_cells(least, shared, kind)), "id long, links long, low long")
     found = materialize(found, "found")
     comps = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
