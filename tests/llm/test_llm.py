@@ -587,6 +587,42 @@ def test_chains_and_variants(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == set(near(sorted(rows), 2, 80))
 
 
+def joined_rows(spark, key, since):
+    """The most rows that a join on this key alone has made, in executions from this number on."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, most = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for run in (runs.apply(k) for k in range(runs.size())):
+        if run.executionId() < since:
+            continue
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and re.search(rf"Join \[{key}#\d+L\], \[{key}#\d+L\], Inner", node.desc()):
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                rows = [values.get(m.accumulatorId()) for m in metrics if m.name() == "number of output rows"]
+                most = max([most, *(int(r.get().replace(",", "")) for r in rows if r.isDefined())])
+    return most
+
+
+def test_strays_of_a_large_group(spark):
+    """Texts half like all of a large group, and chains that lead out of it: no join makes a pair of each with each member."""
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(300)]
+    swap = lambda words, k, n, name: [*words[:k], *[f"{name}.{i}" for i in range(n)], *words[k + n :]]
+    members = [swap(swap(base, int(rng.integers(300)), 1, f"m{k}"), int(rng.integers(300)), 1, f"n{k}") for k in range(150)]
+    strays = [swap(base, int(rng.integers(0, 180)), int(rng.integers(80, 100)), f"s{k}") for k in range(60)]
+    chain = [swap(base, 0, 24 * k, "c") for k in range(1, 8)]
+    rows = list(enumerate(" ".join(t[:300]) for t in [*strays, *members, *chain]))
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    since = 1 + max([-1, *(runs.apply(k).executionId() for k in range(runs.size()))])
+    # Without broadcasts, so that the join is one that has its rows counted on its own.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 2, 80).collect()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == set(near(rows, 2, 80))
+    assert joined_rows(spark, "v", since) <= 24 * len(rows), "a set opens at most so many lists"
+
+
 # What they share
 
 
