@@ -166,6 +166,7 @@ def encode_block(ids: np.ndarray) -> bytes:
     rows = np.zeros(lanes * length, np.int64)
     rows[:total] = rank
     steps = np.ascontiguousarray(rows.reshape(lanes, length).T)
+    del rows, rank  # as large as the block
     model, low, span = Model(total, lanes, len(distinct)), np.zeros(lanes, np.int64), np.full(lanes, (1 << 48) - 1, np.int64)
     out_lane: list[np.ndarray] = []
     out_word: list[np.ndarray] = []
@@ -173,8 +174,8 @@ def encode_block(ids: np.ndarray) -> bytes:
     def shift(due: np.ndarray) -> None:
         if len(due):
             lo = low[due]
-            out_lane.append(due)
-            out_word.append(lo >> 32)  # 17 bits: a carry may be among them
+            out_lane.append(due.astype(np.uint16))
+            out_word.append((lo >> 32).astype(np.int32))  # 17 bits: a carry may be among them
             low[due] = (lo & _LOW) << 16
             span[due] <<= 16
 
@@ -199,8 +200,8 @@ def encode_block(ids: np.ndarray) -> bytes:
             shift(due)
             shift(due[span[due] < _LEAST])
         model.learn(x, right, outcome, rest)
-    lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.int64)
-    order = np.argsort(lane.astype(np.uint16), kind="stable")  # by radix
+    lane = np.concatenate(out_lane) if out_lane else np.zeros(0, np.uint16)
+    order = np.argsort(lane, kind="stable")  # by radix
     events = np.bincount(lane, minlength=lanes)
     first = np.cumsum(events + 3) - (events + 3)  # a lane's words: those of its shifts, then its last three
     place = np.empty(len(lane), np.int64)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -35,6 +36,10 @@ WORD_SPLITTER = {
     ],
 }
 
+#: Words that are their own normal form and one part of the splitter: a to z, and the lower-case letters from sharp s to y with diaeresis in UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Those of their bytes that are written as other characters in the vocabulary than their own.
+_BYTE_CHARS = {0x9F: "\u0141", 0xA0: "\u0142", 0xAD: "\u0143"}
 #: Ends a text among the words; the byte stands in no UTF-8 text.
 _END = b"\xff"
 #: What strings of special tokens begin with; texts without it may be put in lower case first, as the normaliser does.
@@ -69,7 +74,8 @@ class Words(dict):
 
 class WordIds(WholeTexts):
     """The same under WORD_NORMALIZER and WORD_SPLITTER: each distinct word goes through the tokenizer once, many in one text with bars
-    between them. A full stop or comma at the end of a word, behind a letter or digit, is a part of its own and is left out for that."""
+    between them; one of plain letters, which normaliser and splitter leave as it is, goes to the tokenizer's model at once. A full stop or
+    comma at the end of a word, behind a letter or digit, is a part of its own and is left out for that."""
 
     def __init__(self, tokenizer):
         super().__init__(tokenizer)
@@ -84,10 +90,18 @@ class WordIds(WholeTexts):
 
     def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By the tokenizer: (numbers of the words in the order of what follows, ids of the words, number of each)."""
-        texts = [w.decode("utf-8", "replace") for w in words]
-        alone = [k for k, t in enumerate(texts) if self.bar is None or "|" in t]
-        together = [k for k, t in enumerate(texts) if "|" not in t] if self.bar is not None else []
-        order, found, size = [], [], []
+        model, flat, size, plain, texts = self.tokenizer.model, [], [], [], {}
+        for k, w in enumerate(words):
+            if _LETTERS.fullmatch(w):
+                ids = [t.id for t in model.tokenize(w.decode() if w.isascii() else w.decode("latin-1").translate(_BYTE_CHARS))]
+                plain.append(k)
+                flat += ids
+                size.append(len(ids))
+            else:
+                texts[k] = w.decode("utf-8", "replace")
+        alone = [k for k, t in texts.items() if self.bar is None or "|" in t]
+        together = [k for k, t in texts.items() if "|" not in t] if self.bar is not None else []
+        order, found, size = plain, [np.array(flat, np.uint32)], [np.array(size, np.int64)]
         runs = [together[b : b + 500] for b in range(0, len(together), 500)]
         for a in range(0, len(runs), 64):
             for run, e in zip(runs[a : a + 64], self.tokenizer.encode_batch_fast([" | ".join([texts[k] for k in run]) for run in runs[a : a + 64]], add_special_tokens=False)):
@@ -168,6 +182,7 @@ class WordIds(WholeTexts):
         joined = joined.lower() if _SPECIAL not in joined else (b" " + _END + b" ").join([*(t if _SPECIAL in t else t.lower() for t in texts), b""])
         words = joined.split()
         k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        del joined, words  # some ten times the texts' size
         self.learn()
         self.met += np.bincount(k, minlength=len(self.met))
         ends = np.cumsum(self.size[k])[k == 0]

@@ -537,6 +537,31 @@ def test_quality(spark, docs, none):
     assert unfit.where("kept").count() == 0 and unfit.count() == docs.count()
 
 
+def test_plain_words_go_to_the_model():
+    """Words of plain letters have the library's ids without a pass through normaliser and splitter."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, passed = Tokenizer.from_file(path), []
+
+    class Spy:
+        model, encode = tokenizer.model, staticmethod(tokenizer.encode)
+
+        def encode_batch_fast(self, texts, **more):
+            passed.extend(w for t in texts for w in t.split(" | "))
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    rng = np.random.default_rng(12)
+    letters = "abcxyz" + "".join(chr(k) for k in range(0xDF, 0x100) if chr(k).isalpha())
+    plain = sorted({"".join(rng.choice(list(letters), int(rng.integers(1, 12)))) for _ in range(2000)})
+    odd = ["É", "ÀÉ", "e\u0301a", "a\u0301", "÷", "aé÷", "don't", "x1", "日本", "ſa", "a|b", "|"]
+    ids, n = tokenio.WordIds(Spy()).encode([w.encode() for w in [*plain, *odd]], 1)
+    want = [[*e.ids, 1] for e in tokenizer.encode_batch_fast([*plain, *odd], add_special_tokens=False)]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == want
+    assert not set(passed) & set(plain)
+
+
 # Near-dedup of texts
 
 
