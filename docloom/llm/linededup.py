@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import textbytes as tb
@@ -22,10 +23,15 @@ LOW = 64 - BUCKET_BITS
 POSITIONS = 1 << 12
 #: Rows of a token's list that meet in one cell; longer lists are dealt over a grid of cells.
 CELL = 4096
-#: Partners up to which a row's pairs leave the cells for verification; rows with more are verified within them.
+#: Partners up to which all of a row's pairs leave the cells for verification; of rows with more only the nearest, and if that fails they are
+#: verified within the cells.
 PARTNERS = 64
 #: Tokens a row for which a cell of verification has room.
 ROOM = 64
+#: Words of the widest signature.
+SIGN_WORDS = 8
+#: Rows of lists that are packed together before they go to their parts; rows of a part, and parts at least.
+PACK, PART, PARTS = 1 << 19, 1 << 16, 256
 
 
 def line_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,18 +68,46 @@ def line_sets(data: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.nd
     return token, np.concatenate([cut, [len(token)]]), line[cut], n, first
 
 
-def bitmaps(tokens: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """64 parities of each set: two sets differ in at most as many as they have tokens of their own."""
-    bit = U(1) << (tb.mix(tokens) >> U(58))
-    out = np.zeros(len(at) - 1, U)
-    full = np.flatnonzero(at[1:] > at[:-1])
-    if len(full):
-        out[full] = np.bitwise_xor.reduceat(bit, at[full])
-    return out
+def sign_words(n: np.ndarray) -> np.ndarray:
+    """Words of 64 bits in the signature of a set of n tokens: a power of two, so that about a third of the bits at most may differ."""
+    return np.select([n <= 64, n <= 160, n <= 320], [1, 2, 4], SIGN_WORDS)
 
 
-def popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def bitmaps(tokens: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, offsets): parities of each set; two sets differ in at most as many as they have tokens of their own. Wide ones fold to narrower."""
+    n = np.diff(at)
+    words = sign_words(n)
+    own = np.concatenate([[0], np.cumsum(words)])
+    h, out = tb.mix(tokens), np.zeros(own[-1], U)
+    word = (h >> U(55)).astype(np.int64) & (np.repeat(words, n) - 1)
+    np.bitwise_xor.at(out, np.repeat(own[:-1], n) + word, U(1) << (h >> U(58)))
+    return out, own
+
+
+class Signatures:
+    """Signatures of rows with n tokens, one behind the other."""
+
+    def __init__(self, flat: np.ndarray, n: np.ndarray):
+        self.flat, self.words = flat, sign_words(n)
+        self.at = np.concatenate([[0], np.cumsum(self.words)])
+        self.one = np.bitwise_xor.reduceat(flat, self.at[:-1]) if len(n) else flat
+
+    def folded(self, x: np.ndarray, j: int, width: int) -> np.ndarray:
+        """Word j of the signatures of x, folded to width words."""
+        out = self.flat[self.at[x] + j]
+        for k in range(width, SIGN_WORDS, width):
+            more = np.flatnonzero(self.words[x] > k)
+            out[more] ^= self.flat[self.at[x[more]] + j + k]
+        return out
+
+    def differ(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """In how many bits x and y differ; above most not all may be counted."""
+        out = np.bitwise_count(self.one[x] ^ self.one[y]).astype(np.int64)
+        width = np.where(out <= most, np.minimum(self.words[x], self.words[y]), 1)
+        for w in np.unique(width[width > 1]):
+            these = np.flatnonzero(width == w)
+            out[these] = sum(np.bitwise_count(self.folded(x[these], j, w) ^ self.folded(y[these], j, w)).astype(np.int64) for j in range(w))
+        return out
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +125,8 @@ def places(row: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _lines(shared, percent: int):
-    """Rows (doc_id, row, line, place, k, n, sig, prefix) of the lines with words; k names the set; an entry of prefix is a token, its lowest
-    bits replaced by where in the set it stands."""
+    """Rows (doc_id, row, line, place, k, n, sig, opens, prefix) of the lines with words; k names the set; each of the opens entries of prefix, of
+    8 bytes, is a token, its lowest bits replaced by where in the set it stands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, single = shared.value
@@ -107,33 +141,40 @@ def _lines(shared, percent: int):
                 length[n * (100 - percent) < percent] = 0  # too few tokens for a match that isn't equal
                 pos = np.arange(len(tokens)) - np.repeat(own[:-1], n)
                 use = (pos < np.repeat(length, n)) & ~single[(tokens >> U(LOW)).astype(np.int64)]
-                cut = np.concatenate([[0], np.cumsum(tb.sum_by(use.astype(np.int64), own))])
+                opens = tb.sum_by(use.astype(np.int64), own)
+                prefix = (tokens[use] & ~U(POSITIONS - 1)) | np.minimum(pos[use], POSITIONS - 1).astype(U)
+                sig, signed = bitmaps(tokens, own)
                 yield pa.RecordBatch.from_arrays([
                     batch.column("doc_id").take(pa.array(doc + i)), pa.array(row[doc + i]), pa.array(number.astype(np.int32)), pa.array(places(row[doc + i], number)), tb.set_keys(tokens, own),
-                    pa.array(n.astype(np.int32)), pa.array(bitmaps(tokens, own).view(np.int64)), tb.longs((tokens[use] & ~U(POSITIONS - 1)) | np.minimum(pos[use], POSITIONS - 1).astype(U), cut),
-                ], ["doc_id", "row", "line", "place", "k", "n", "sig", "prefix"])
+                    pa.array(n.astype(np.int32)), tb.binaries(sig, signed * 8), pa.array(opens.astype(np.int32)), tb.binaries(prefix, np.concatenate([[0], np.cumsum(opens)]) * 8),
+                ], ["doc_id", "row", "line", "place", "k", "n", "sig", "opens", "prefix"])
 
     return run
 
 
 def _tokens_of(rank_shared, bitmap_shared):
-    """Rows (k, s) of the lines whose place the bitmap lets through; s is all tokens of the line. Texts without such a line are left out first."""
+    """Rows (k, s) of the lines whose place the bitmap lets through; s is all tokens of the line. Other lines are not parted into words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, data, at = batch.column("row").to_numpy(), *tb.strings(batch.column("text"))
-            lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), at)) + 1
-            first = np.cumsum(lines) - lines
-            asked = bit_hit(bitmap_shared.value, places(np.repeat(row, lines), np.arange(lines.sum()) - np.repeat(first, lines)))
-            some = tb.sum_by(asked.astype(np.int64), np.concatenate([first, [len(asked)]])) > 0
-            row = row[some]
-            for i, _, part, here in tb.pieces(*tb.strings(batch.column("text").filter(pa.array(some)))):
-                tokens, own, line, _, start = line_sets(part, here, rank_shared.value[0])
-                doc = np.searchsorted(start, line, "right") - 1
-                hit = bit_hit(bitmap_shared.value, places(row[doc + i], line - start[doc]))
-                keep = np.repeat(hit, np.diff(own))
-                cut = np.concatenate([[0], np.cumsum(np.diff(own)[hit])])
-                yield pa.RecordBatch.from_arrays([tb.set_keys(tokens[keep], cut), tb.longs(tokens[keep], cut)], ["k", "s"])
+            row = batch.column("row").to_numpy()
+            for i, j, data, at in tb.pieces(*tb.strings(batch.column("text"))):
+                breaks = np.flatnonzero(data == 10)
+                lines = np.diff(np.searchsorted(breaks, at)) + 1
+                first = np.cumsum(lines) - lines
+                number = np.arange(lines.sum()) - np.repeat(first, lines)
+                asked = np.flatnonzero(bit_hit(bitmap_shared.value, places(np.repeat(row[i:j], lines), number)))
+                if not len(asked):
+                    continue
+                last = np.zeros(len(number), bool)
+                last[first + lines - 1] = True
+                starts, ends = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
+                starts[first], ends[last] = at[:-1], at[1:]
+                starts[number > 0], ends[~last] = breaks + 1, breaks
+                size = (ends - starts)[asked]
+                own = np.concatenate([[0], np.cumsum(size)])
+                tokens, own, _, _, _ = line_sets(data[np.arange(own[-1]) + np.repeat(starts[asked] - own[:-1], size)], own, rank_shared.value[0])
+                yield pa.RecordBatch.from_arrays([tb.set_keys(tokens, own), tb.longs(tokens, own)], ["k", "s"])
 
     return run
 
@@ -142,9 +183,10 @@ def _tokens_of(rank_shared, bitmap_shared):
 PLACE = ["doc_id", "row", "line"]
 
 
-def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs (x, y), x < y, of rows with equal keys, in runs; rows are sorted by key. Short lists are taken together, by distance."""
-    cut = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(key)]])
+def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """All pairs (x, y), x < y, of rows with equal keys, in runs; rows are sorted by key. Short lists are taken together, by distance; of
+    others, which the third value tells, a run has all pairs of its y."""
+    cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
     size = np.diff(cut)
     end = np.repeat(cut[1:], size)
     x = np.flatnonzero(np.repeat((size > 1) & (size <= small), size))
@@ -152,52 +194,56 @@ def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, n
     while len(x):
         x = x[x + d < end[x]]
         if len(x):
-            yield x, x + d
+            yield x, x + d, False
         d += 1
     for k in np.flatnonzero(size > small):
         for a in range(cut[k], cut[k + 1], 256):
             b = min(a + 256, cut[k + 1])
             x, y = np.meshgrid(np.arange(cut[k], b), np.arange(a, b))
             keep = x < y
-            yield x[keep], y[keep]
+            yield x[keep], y[keep], True
 
 
-def _key(t: pa.Table | pa.RecordBatch, grid: bool) -> np.ndarray:
-    token = t.column("p").to_numpy().view(U) >> U(POSITIONS.bit_length() - 1)
-    return np.stack([token.astype(np.int64), *(t.column(c).to_numpy().astype(np.int64) for c in ("i", "j") if grid)], 1)
+def list_key(p: np.ndarray, i: np.ndarray | int = 0, j: np.ndarray | int = 0) -> np.ndarray:
+    """A number for each list and cell; were two alike, their rows would only meet in vain."""
+    return tb.mix(tb.mix(p >> U(POSITIONS.bit_length() - 1)) + (np.asarray(i, U) << U(32)) + np.asarray(j, U))
 
 
-def filtered(x: np.ndarray, y: np.ndarray, percent: int, key: np.ndarray, n: np.ndarray, pos: np.ndarray, sig: np.ndarray, block: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (x, y) that pass the positional, length and bitmap filters, and in how many bits they differ."""
+def filtered(x: np.ndarray, y: np.ndarray, percent: int, n: np.ndarray, pos: np.ndarray, sig: Signatures, off: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) that pass the positional, length and bitmap filters, and in how many bits they differ; off the diagonal of a grid, blocks meet others."""
     both = n[x] + n[y]
     overlap = -(-percent * both // (100 + percent))  # least for the threshold
     # Tokens in common are this one, at most the fewer before it and the fewer behind it.
     most = np.where((pos[x] < 0) | (pos[y] < 0), overlap, np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]))
-    keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-    if block is not None:
-        keep &= (key[x, 1] == key[x, 2]) | (block[x] != block[y])
+    keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (~off[x] | (block[x] != block[y]))
     x, y, slack = x[keep], y[keep], (both - 2 * overlap)[keep]
-    differ = popcount(sig[x] ^ sig[y]).astype(np.int64)
+    differ = sig.differ(x, y, slack)
     keep = differ <= slack
     return x[keep], y[keep], differ[keep]
 
 
+def positions(p: np.ndarray) -> np.ndarray:
+    """Where in its set each token stands; -1 if that is not known."""
+    pos = (p & U(POSITIONS - 1)).astype(np.int64)
+    return np.where(pos == POSITIONS - 1, -1, pos)
+
+
 def _confirmed(percent: int, pairs_room: int = 1 << 20):
     """Column y: the sets of a list that ``ask`` of which an earlier one holds, verified on the tokens s, each once a cell."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
-        key, n, sid, sig = _key(t, True), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy(), t["sig"].to_numpy().view(U)
-        pos = t["p"].to_numpy() & (POSITIONS - 1)
-        pos, block, open_ = np.where(pos == POSITIONS - 1, -1, pos), t["block"].to_numpy(), t["ask"].to_numpy(zero_copy_only=False).copy()
+        p, n, sid = t["p"].to_numpy().view(U), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy()
+        key, pos, sig = _key(t), positions(p), Signatures(tb.strings(t["sig"])[0].copy().view(U), n)
+        off, block, open_ = t["i"].to_numpy() != t["j"].to_numpy(), t["block"].to_numpy(), t["ask"].to_numpy(zero_copy_only=False).copy()
         sets = t["s"].combine_chunks()
         own, tokens = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
         own, tokens = own - own[0], tokens[own[0] : own[-1]]
         kinds, token = np.unique(tokens, return_inverse=True)
         held = np.sort(np.repeat(np.arange(len(n)), np.diff(own)) * len(kinds) + token)  # (row, token), in order
         found = np.zeros(len(n), bool)
-        for x, y in list_pairs(key):
-            keep = open_[y]
-            x, y, _ = filtered(x[keep], y[keep], percent, key, n, pos, sig, block)
+        for x, y, _ in list_pairs(key):
+            keep = open_[y] & (sid[x] != sid[y])
+            x, y, _ = filtered(x[keep], y[keep], percent, n, pos, sig, off, block)
             start = 0
             while start < len(x):
                 room = np.cumsum(n[y[start : start + pairs_room]])
@@ -215,65 +261,160 @@ def _confirmed(percent: int, pairs_room: int = 1 << 20):
                 found[hit], open_[hit] = True, False
         return pa.RecordBatch.from_arrays([pa.array(np.unique(sid[found]))], ["y"]) if found.any() else None
 
-    return by_list(match, True)
+    return by_key(match, _key)
+
+
+def _key(t: pa.Table | pa.RecordBatch) -> np.ndarray:
+    return list_key(*(t.column(c).to_numpy().view(kind) for c, kind in (("p", U), ("i", np.uint32), ("j", np.uint32))))
+
+
+def opened(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """(set, entry of its prefix) of a batch of sets, one behind the other."""
+    return np.repeat(np.arange(batch.num_rows), batch.column("opens").to_numpy()), tb.strings(batch.column("prefix"))[0].copy().view(U)
+
+
+def _packed(blocks_shared, parts: int):
+    """Rows (part, p, sid, n, i, j, block, sig) from sets: each has, packed, the rows of lists that go to one part; long lists are dealt over a grid of cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+
+        def packed() -> pa.RecordBatch:
+            batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            own, p = opened(batch)
+            sid, n = batch.column("sid").to_numpy(), batch.column("n").to_numpy()
+            g = blocks_shared.value[(p >> U(LOW)).astype(np.int64)]
+            block = (tb.mix(sid.view(U))[own] % g.astype(U)).astype(np.int64)
+            at = np.repeat(np.arange(len(p)), g)
+            other = np.arange(len(at)) - np.repeat(np.cumsum(g) - g, g)
+            own, p, block = own[at], p[at], block[at]
+            i, j = np.minimum(block, other), np.maximum(block, other)
+            part = (list_key(p, i, j) % U(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            cut = np.flatnonzero(np.concatenate([[True], part[order[1:]] != part[order[:-1]]]))
+            part, own = part[order], own[order]
+            cut = np.concatenate([cut, [len(part)]])
+            flat, signed = tb.strings(batch.column("sig"))[0].copy().view(U), sign_words(n)
+            words = signed[own]
+            ends = np.concatenate([[0], np.cumsum(words)])
+            sig = flat[np.arange(ends[-1]) + np.repeat((np.cumsum(signed) - signed)[own] - ends[:-1], words)]
+            fields = [p[order], sid[own], n[own].astype(np.uint32), *(x[order].astype(np.uint16) for x in (i, j, block))]
+            return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]]), *(tb.binaries(x, cut * x.itemsize) for x in fields), tb.binaries(sig, ends[cut] * 8)], PACKED)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, p = opened(batch)
+            total = rows + np.cumsum(np.bincount(own, blocks_shared.value[(p >> U(LOW)).astype(np.int64)], batch.num_rows).astype(np.int64))
+            cut = [0, *(np.flatnonzero(np.diff(total // PACK)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cut, cut[1:]):  # noqa: B905
+                if a:
+                    yield packed()
+                    held.clear()
+                held.append(batch.slice(a, b - a))
+            rows = int(total[-1])
+        if held:
+            yield packed()
+
+    return run
 
 
-def _partners(percent: int, all_of: bool, grid: bool):
-    """Rows (y, x, far, many): of each set y of a list the earlier sets x that pass the filters, the nearest alone with their number or, for those that ``ask``, all."""
+#: Columns of packed rows.
+PACKED = ["part", "p", "sid", "n", "i", "j", "block", "sig"]
+
+
+def _partners(percent: int):
+    """Rows (y, x, far, many) from packed rows: of each set y of a list the earlier sets x that pass the filters, if they are at most PARTNERS, else
+    the nearest alone; many is their number in y's first row, else 0."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
-        key, n, sid, sig = _key(t, grid), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy(), t["sig"].to_numpy().view(U)
-        pos = t["p"].to_numpy() & (POSITIONS - 1)
-        pos = np.where(pos == POSITIONS - 1, -1, pos)
-        block = t["block"].to_numpy() if grid else None
-        ask = t["ask"].to_numpy(zero_copy_only=False) if all_of else None
-        xs, ys, fars = [], [], []
-        for x, y in list_pairs(key):
-            if all_of:
-                keep = ask[y]
-                x, y = x[keep], y[keep]
-            x, y, differ = filtered(x, y, percent, key, n, pos, sig, block)
-            xs.append(x)
-            ys.append(y)
-            fars.append(differ)
-        x, y, far = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, fars))
-        if not len(x):
+        p, sid, n, i, j, block, sig = (tb.strings(t[c])[0].copy().view(kind) for c, kind in zip(PACKED[1:], (U, np.int64, np.uint32, np.uint16, np.uint16, np.uint16, U), strict=True))
+        sig = Signatures(sig, n := n.astype(np.int64))
+        key = list_key(p, i, j)
+        order = np.lexsort((sid, key))
+        key, n, sid, pos, off, block = key[order], n[order], sid[order], positions(p)[order], (i != j)[order], block[order]
+        sig.words, sig.at, sig.one = sig.words[order], sig.at[:-1][order], sig.one[order]
+        found = []
+
+        def keep_near(x: np.ndarray, y: np.ndarray, far: np.ndarray) -> None:
+            order = np.lexsort((x, far, y))
+            x, y, far = x[order], y[order], far[order]
+            cut = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]])[: len(y)])
+            size = np.diff(np.concatenate([cut, [len(y)]]))
+            many = np.zeros(len(y), np.int64)
+            many[cut] = size
+            keep = (many > 0) | np.repeat(size <= PARTNERS, size)
+            found.append((sid[y[keep]], sid[x[keep]], far[keep], many[keep]))
+
+        short = []
+        for x, y, whole in list_pairs(key):
+            passed = filtered(x, y, percent, n, pos, sig, off, block)
+            apart = sid[passed[0]] != sid[passed[1]]
+            if apart.any():
+                passed = [v[apart] for v in passed]
+                keep_near(*passed) if whole else short.append(passed)
+        if short:
+            keep_near(*(np.concatenate(v) for v in zip(*short, strict=True)))
+        if not found:
             return None
-        order = np.lexsort((x, far, y))
-        x, y, far = x[order], y[order], far[order]
-        cut = np.flatnonzero(np.concatenate([[True], y[1:] != y[:-1]]))
-        size = np.diff(np.concatenate([cut, [len(y)]]))
-        if not all_of:
-            x, y, far = x[cut], y[cut], far[cut]
-        many = size if not all_of else np.ones(len(x), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(sid[y]), pa.array(sid[x]), pa.array(far), pa.array(many)], ["y", "x", "far", "many"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], ["y", "x", "far", "many"])
+
+    return by_key(match, lambda t: t.column("part").to_numpy(), each=True)
+
 
-    return by_list(match, grid)
+def _asked_rows(bitmap_shared):
+    """Rows (token, p, sid, n, sig) of the lists whose token the bitmap lets through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, p = opened(batch)
+            token = (p >> U(POSITIONS.bit_length() - 1)).view(np.int64)
+            hit = np.flatnonzero(bit_hit(bitmap_shared.value, token)) if bitmap_shared else np.arange(len(p))
+            sets = batch.select(["sid", "n", "sig"]).take(pa.array(own[hit]))
+            yield pa.RecordBatch.from_arrays([pa.array(token[hit]), pa.array(p[hit].view(np.int64)), *sets.columns], ["token", "p", "sid", "n", "sig"])
+
+    return run
 
 
-def by_list(match, grid: bool):
-    """A worker that gives whole lists to match, which may be None for those without a result; rows come sorted by list."""
+def by_key(match, key_of, each: bool = False):
+    """A worker that gives all rows of a key together to match (several keys at once, or each alone), which may be None for those without a
+    result; rows come sorted by key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # of the list that goes on in the next batch
+        rest: list[pa.RecordBatch] = []  # of the key that goes on in the next batch
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = _key(batch, grid)
-            last = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))[-1])
-            same = bool(rest) and (_key(rest[-1].slice(rest[-1].num_rows - 1), grid)[0] == key[0]).all()
-            if last == 0 and (same or not rest):
+            key = key_of(batch)
+            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])).tolist()
+            same = bool(rest) and key_of(rest[-1].slice(rest[-1].num_rows - 1))[0] == key[0]
+            if len(cut) == 1 and (same or not rest):
                 rest.append(batch)
                 continue
-            if (found := match(pa.Table.from_batches([*rest, batch.slice(0, last)]))) is not None:
-                yield found
-            rest = [batch.slice(last)]
+            whole = [[batch.slice(a, b - a)] for a, b in zip(cut, cut[1:])]  # noqa: B905
+            whole = [rest + whole[0], *whole[1:]] if same else [rest] * bool(rest) + whole
+            for group in whole if each else [sum(whole, [])]:
+                if (found := match(pa.Table.from_batches(group))) is not None:
+                    yield found
+            rest = [batch.slice(cut[-1])]
         if rest and (found := match(pa.Table.from_batches(rest))) is not None:
             yield found
 
     return run
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go as soon as the query ends that wrote them, not when the driver collects its garbage: what is needed again is materialized."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was) if was is not None else spark.conf.unset(key)
+
+
 def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataFrame:
     """One row for each row of docs(doc_id, text): doc_id, n_lines, n_removed, removed (line numbers from 0, ascending), row (a hash of id and text).
 
@@ -284,14 +425,20 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
     are one document in that order and come out alike. An empty table gives no rows; other columns are left out.
 
     Words are ordered by rarity: counts in 2**BUCKET_BITS buckets, then the hash, a total order of bounded size that keeps
-    the prefix filter exact. Equal sets become one, at their first place. Of each set the prefix opens lists; a row of a
-    list holds place, size, position and a bitmap, not the text. Lists longer than ``cell`` are dealt over a grid of cells. Within a
-    list each row names the nearest earlier row that passes the positional, length and bitmap filters, which drop no match. Of those over
-    all its lists the nearest is verified, on all tokens (64 bits each) read from the texts again. Rows of which it does not hold, but that
-    had others, are asked again in their own lists: those with up to PARTNERS for all of them; for those with more the lists' rows
-    take their tokens along and are verified within the cells, which give a row at most once. So what leaves the cells is linear in
-    the rows, and no match is lost. Within a list rows are still compared with each other, as the filters ask.
+    the prefix filter exact. Equal sets become one, at their first place, and are numbered in the order of places. Of each set the prefix
+    opens lists; a row of a list holds number, size, position and a bitmap of parities that is wider for larger sets, not the text. Rows go to
+    parts by list, packed. Lists longer than ``cell`` are dealt over a grid of cells. Within a list each row names the earlier rows that
+    pass the positional, length and bitmap filters, which drop no match: all of them up to PARTNERS, else the nearest. What is named is
+    verified on all tokens (64 bits each), read from the texts again; of a row with more than PARTNERS partners only the nearest. Such rows,
+    if that does not hold, are asked again: their lists' rows take tokens along and are verified within the cells, which give a
+    row at most once. So what leaves the cells is linear in the rows, and no match is lost. Within a list rows are still
+    compared with each other, as the filters ask.
     """
+    with shuffles_dropped(docs.sparkSession):
+        return _similar_lines(docs, percent, cell)
+
+
+def _similar_lines(docs: DataFrame, percent: int, cell: int) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     row_hash = F.xxhash64(F.col("doc_id").cast("string"), "text")
@@ -305,31 +452,17 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
     shared = spark.sparkContext.broadcast((rank, (counts <= 1)[order]))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = source.mapInArrow(lean(_lines(shared, percent)), f"doc_id {kind}, row long, line int, place long, k binary, n int, sig long, prefix array<long>")
+    lines = source.mapInArrow(lean(_lines(shared, percent)), f"doc_id {kind}, row long, line int, place long, k binary, n int, sig binary, opens int, prefix binary")
     lines = materialize(lines, "lines")
     at = F.min(F.struct(*PLACE, "place")).alias("at")
-    sets = lines.groupBy("k").agg(at, F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "sig", "prefix")])
-    sets = sets.select(F.monotonically_increasing_id().alias("sid"), "k", "at.*", "n", "sig", "prefix", "c")
+    sets = lines.groupBy("k").agg(at, F.count(F.lit(1)).alias("c"), *[F.first(x).alias(x) for x in ("n", "sig", "opens", "prefix")])
+    sets = sets.select("k", "at.*", "n", "sig", "opens", "prefix", "c").orderBy(*PLACE).withColumn("sid", F.monotonically_increasing_id())
     sets = materialize(sets, "sets")  # sid is fixed as it is written
 
     # Longer lists than a cell: at most the count of the token's bucket says how many rows a list has.
-    blocks = np.minimum(-(-counts[order] // cell), 1 << 12).astype(np.int64)
-    long = np.flatnonzero(blocks > 1)
-    opened = sets.where("size(prefix) > 0").select("sid", *PLACE, "n", "sig", F.explode("prefix").alias("p"))
-    opened = plain = opened.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1))
-    if len(long):
-        table = spark.createDataFrame(pa.table({"r": long, "g": blocks[long]}))  # at most 2**BUCKET_BITS rows
-        opened = opened.withColumn("r", F.shiftrightunsigned("p", LOW)).join(F.broadcast(table), "r", "left").drop("r")
-        opened = opened.withColumn("g", F.coalesce("g", F.lit(1)))
-        opened = opened.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
-        opened = opened.withColumns({"i": F.least("block", "o").cast("int"), "j": F.greatest("block", "o").cast("int")}).drop("g", "o")
-    grid = ["i", "j"] if len(long) else []
-
-    def named_in(rows: DataFrame, all_of: bool) -> DataFrame:
-        key = ["token", *grid]
-        listed = rows.select(*key, *["block"] * bool(grid), "p", "sid", *PLACE, "n", "sig", *["ask"] * all_of).drop("token")
-        listed = listed.withColumn("token", F.shiftrightunsigned("p", POSITIONS.bit_length() - 1)).repartition(*key).sortWithinPartitions(*key, *PLACE)
-        return listed.select(*grid, *["block"] * bool(grid), "p", "sid", "n", "sig", *["ask"] * all_of).mapInArrow(lean(_partners(percent, all_of, bool(grid))), "y long, x long, far long, many long")
+    blocks = spark.sparkContext.broadcast(np.clip(-(-counts[order] // cell), 1, 1 << 12).astype(np.int64))
+    openers = sets.where("opens > 0").select("sid", "n", "opens", "sig", "prefix")
+    parts = max(PARTS, (openers.agg(F.sum("opens")).first()[0] or 0) // PART)
 
     def token_sets(ids: DataFrame) -> DataFrame:
         """sid and all tokens of the sets of ids(sid), read from the texts."""
@@ -346,36 +479,36 @@ def similar_lines(docs: DataFrame, percent: int = 80, cell: int = CELL) -> DataF
         both = both.withColumn("both", F.size(F.array_intersect("sy", "sx"))).where(f"both * 100 >= {percent} * (size(sy) + size(sx) - both)")
         return materialize(both.select("y").distinct(), "later")
 
-    def lists_of(asking: DataFrame, rows: DataFrame) -> DataFrame:
+    def lists_of(asking: DataFrame) -> DataFrame:
         """The rows of the lists that asking(y) opens, those of y marked."""
-        own = asking.join(sets.select(F.col("sid").alias("y"), "prefix"), "y").select(F.explode("prefix").alias("p"))
-        own = own.select(F.shiftrightunsigned("p", POSITIONS.bit_length() - 1).alias("token")).distinct()
-        return rows.join(own, "token", "left_semi").join(asking.select(F.col("y").alias("sid"), F.lit(True).alias("ask")), "sid", "left").fillna(False, ["ask"])
+        row = "token long, p long, sid long, n int, sig binary"
+        own = openers.join(asking.select(F.col("y").alias("sid")), "sid").mapInArrow(lean(_asked_rows(None)), row)
+        own = materialize(own.select("token").distinct(), "asked")
+        bits = int(np.clip(int(own.count()).bit_length() + 4, 16, 27))
+        bitmap = spark.sparkContext.broadcast(bit_filter(own.select(F.col("token").alias("h")), bits))
+        rows = openers.mapInArrow(lean(_asked_rows(bitmap)), row).join(own, "token", "left_semi")
+        return rows.join(asking.select(F.col("y").alias("sid"), F.lit(True).alias("ask")), "sid", "left").fillna(False, ["ask"])
 
     def confirmed_in(asking: DataFrame) -> DataFrame:
         """The y of asking that hold, verified within cells; the lists' lengths and tokens are counted, so a cell has room for its rows' tokens."""
-        rows = materialize(lists_of(asking, plain), "lists")
+        rows = materialize(lists_of(asking), "lists")
         load = rows.groupBy("token").agg(F.greatest(F.ceil(F.count(F.lit(1)) / cell), F.ceil(F.sum("n") / (cell * ROOM))).alias("g")).where("g > 1")
         rows = rows.join(load, "token", "left").join(token_sets(rows.select("sid")), "sid").withColumn("g", F.coalesce("g", F.lit(1)))
         rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         rows = rows.withColumns({"i": F.least("block", "o").cast("int"), "j": F.greatest("block", "o").cast("int")})
         key = ["token", "i", "j"]
-        rows = rows.select(*key, "block", "p", "sid", *PLACE, "n", "sig", "ask", "s").repartition(*key).sortWithinPartitions(*key, *PLACE)
+        rows = rows.select(*key, "block", "p", "sid", "n", "sig", "ask", "s").repartition(*key).sortWithinPartitions(*key, "sid")
         return materialize(rows.select("i", "j", "block", "p", "sid", "n", "sig", "ask", "s").mapInArrow(lean(_confirmed(percent)), "y long").distinct(), "confirmed")
 
-    # The nearest of all lists; many: partners of all lists, at least as many as there are. far is at most 64, and sid below 2**56: both in one number.
-    named = named_in(opened, False).withColumn("p", F.shiftleft("far", 56).bitwiseOR(F.col("x")))
-    named = named.groupBy("y").agg(F.min("p").alias("lo"), F.max("p").alias("hi"), F.sum("many").alias("many"), F.max("many").alias("most"))
-    named = materialize(named.select("y", F.col("lo").bitwiseAND(F.lit((1 << 56) - 1)).alias("x"), F.when((F.col("most") > 1) | (F.col("lo") != F.col("hi")), F.col("many")).otherwise(0).alias("many")), "named")
-    later = verified(named.select("y", "x"))
+    packed = openers.mapInArrow(lean(_packed(blocks, parts)), "part int, p binary, sid binary, n binary, i binary, j binary, block binary, sig binary")
+    named = packed.repartition("part").sortWithinPartitions("part").mapInArrow(lean(_partners(percent)), "y long, x long, far long, many long")
+    named = named.groupBy("y").agg(F.min(F.struct("far", "x")).alias("near"), F.collect_set("x").alias("xs"), F.sum("many").alias("many"), F.max("many").alias("most"))
+    whole = (F.col("most") <= PARTNERS) & (F.size("xs") <= PARTNERS)
+    named = materialize(named.select("y", F.when(whole, F.col("xs")).otherwise(F.array("near.x")).alias("xs"), F.when(whole, 0).otherwise(F.col("many")).alias("many")), "named")
+    later = verified(named.select("y", F.explode("xs").alias("x")))
     asking = materialize(named.where("many > 0").select("y", "many").join(later, "y", "left_anti"), "asking")
-    few, many = asking.where(F.col("many") <= PARTNERS).select("y"), asking.where(F.col("many") > PARTNERS).select("y")
-    if few.limit(1).count():
-        rest = materialize(named_in(lists_of(few, opened), True).select("y", "x").distinct(), "rest")
-        later = later.union(verified(rest))
-    if many.limit(1).count():
-        later = later.union(confirmed_in(many))
-    later = later.distinct()
+    if asking.limit(1).count():
+        later = later.union(confirmed_in(asking.select("y"))).distinct()
 
     flagged = sets.join(later.select(F.col("y").alias("sid"), F.lit(True).alias("near")), "sid", "left").where("c > 1 OR near")
     flagged = materialize(flagged.select("k", *[F.col(c).alias(f"first_{c}") for c in PLACE], F.coalesce("near", F.lit(False)).alias("near")), "flagged")

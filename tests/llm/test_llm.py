@@ -323,6 +323,20 @@ def test_lines_that_share_most_words(spark, monkeypatch, cell, room):
     assert asked > 300 and made["confirmed"] and all(x.count() <= 64 * len(lines) for x in made.get("rest", []))
 
 
+def test_long_lines_that_share_rare_words(spark, monkeypatch):
+    """Lines of 150 words that meet in many lists and are far from alike: the filters part them, so that none is asked again, and no match is lost."""
+    rng, made, real = np.random.default_rng(7), {}, linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, name: made.setdefault(name, []).append(real(df, name)) or made[name][-1])
+    words = [[f"w{x}" for x in rng.choice(3000, 150, replace=False)] for _ in range(300)]
+    near = [[*w[k:], *(f"n{i}x{j}" for j in range(k))] for i, w in enumerate(words[:40]) for k in (3, 14, 17, 25)]
+    lines = [" ".join(rng.permutation(w)) for w in [*words, *near]]
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    want = check_lines(spark.createDataFrame([(i, "\n".join(lines[i::20]), None, None, None) for i in range(20)], DOCS).repartition(4))
+    assert sum(map(len, want.values())) >= 80 and spark.conf.get(key, None) == before
+    assert sum(x.count() for x in made["asking"]) == 0 and sum(x.count() for x in made["named"]) < 250
+
+
 def test_lines_odd(spark, docs, none):
     check_lines(docs.withColumns({"removed": F.lit("clash"), "row": F.lit(1), "doc": F.lit(2)}))
     assert linededup.similar_lines(none).count() == 0
