@@ -38,10 +38,22 @@ def line_words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hash of each word, its line counted over all texts, lines of each text, first line of each text)."""
     low = tb.LOWER[data]
     starts, ends, _ = tb.words(low, at, tb.SPACE)
-    breaks = np.concatenate([[0], np.cumsum(low == 10)])
-    n = breaks[at[1:]] - breaks[at[:-1]] + 1
-    doc = np.searchsorted(at, starts, "right") - 1
-    return tb.word_hashes(low, starts, ends), breaks[starts] + doc, n, np.cumsum(n) - n
+    _, line_ends, n, first = line_bounds(low, at)
+    words = np.diff(np.searchsorted(starts, line_ends), prepend=0)
+    return tb.word_hashes(low, starts, ends), np.repeat(np.arange(len(words)), words), n, first
+
+
+def line_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends of all lines, lines of each text, first line of each text)."""
+    breaks = np.flatnonzero(data == 10)
+    n = np.diff(np.searchsorted(breaks, at)) + 1
+    first = np.cumsum(n) - n
+    opens, closes = np.zeros(n.sum(), bool), np.zeros(n.sum(), bool)
+    opens[first], closes[first + n - 1] = True, True
+    starts, ends = np.empty(len(opens), np.int64), np.empty(len(opens), np.int64)
+    starts[opens], ends[closes] = at[:-1], at[1:]
+    starts[~opens], ends[~closes] = breaks + 1, breaks
+    return starts, ends, n, first
 
 
 def line_sets(data: np.ndarray, at: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,12 +104,12 @@ class Signatures:
         self.at = np.concatenate([[0], np.cumsum(self.words)])
         self.one = np.bitwise_xor.reduceat(flat, self.at[:-1]) if len(n) else flat
 
-    def folded(self, x: np.ndarray, j: int, width: int) -> np.ndarray:
-        """Word j of the signatures of x, folded to width words."""
-        out = self.flat[self.at[x] + j]
+    def folded(self, x: np.ndarray, width: int) -> np.ndarray:
+        """The signatures of x, which have width words at least, folded to width words."""
+        out = self.flat[self.at[x][:, None] + np.arange(width)]
         for k in range(width, SIGN_WORDS, width):
             more = np.flatnonzero(self.words[x] > k)
-            out[more] ^= self.flat[self.at[x[more]] + j + k]
+            out[more] ^= self.flat[self.at[x[more]][:, None] + np.arange(k, k + width)]
         return out
 
     def differ(self, x: np.ndarray, y: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -106,7 +118,7 @@ class Signatures:
         width = np.where(out <= most, np.minimum(self.words[x], self.words[y]), 1)
         for w in np.unique(width[width > 1]):
             these = np.flatnonzero(width == w)
-            out[these] = sum(np.bitwise_count(self.folded(x[these], j, w) ^ self.folded(y[these], j, w)).astype(np.int64) for j in range(w))
+            out[these] = np.bitwise_count(self.folded(x[these], w) ^ self.folded(y[these], w)).sum(1, np.int64)
         return out
 
 
@@ -114,7 +126,9 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(1 << BUCKET_BITS, np.int64)
     for batch in batches:
         for _, _, data, at in tb.pieces(*tb.strings(batch.column("text"))):
-            total += np.bincount((line_words(data, at)[0] >> U(LOW)).astype(np.int64), minlength=len(total))
+            low = tb.LOWER[data]
+            starts, ends, _ = tb.words(low, at, tb.SPACE)
+            total += np.bincount((tb.word_hashes(low, starts, ends) >> U(LOW)).astype(np.int64), minlength=len(total))
     full = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(total[full])], ["bucket", "c"])
 
@@ -159,18 +173,11 @@ def _tokens_of(rank_shared, bitmap_shared):
         for batch in batches:
             row = batch.column("row").to_numpy()
             for i, j, data, at in tb.pieces(*tb.strings(batch.column("text"))):
-                breaks = np.flatnonzero(data == 10)
-                lines = np.diff(np.searchsorted(breaks, at)) + 1
-                first = np.cumsum(lines) - lines
-                number = np.arange(lines.sum()) - np.repeat(first, lines)
+                starts, ends, lines, first = line_bounds(data, at)
+                number = np.arange(len(starts)) - np.repeat(first, lines)
                 asked = np.flatnonzero(bit_hit(bitmap_shared.value, places(np.repeat(row[i:j], lines), number)))
                 if not len(asked):
                     continue
-                last = np.zeros(len(number), bool)
-                last[first + lines - 1] = True
-                starts, ends = np.empty(len(number), np.int64), np.empty(len(number), np.int64)
-                starts[first], ends[last] = at[:-1], at[1:]
-                starts[number > 0], ends[~last] = breaks + 1, breaks
                 size = (ends - starts)[asked]
                 own = np.concatenate([[0], np.cumsum(size)])
                 tokens, own, _, _, _ = line_sets(data[np.arange(own[-1]) + np.repeat(starts[asked] - own[:-1], size)], own, rank_shared.value[0])
@@ -183,25 +190,30 @@ def _tokens_of(rank_shared, bitmap_shared):
 PLACE = ["doc_id", "row", "line"]
 
 
-def list_pairs(key: np.ndarray, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """All pairs (x, y), x < y, of rows with equal keys, in runs; rows are sorted by key. Short lists are taken together, by distance; of
-    others, which the third value tells, a run has all pairs of its y."""
+def list_pairs(key: np.ndarray, n: np.ndarray, sid: np.ndarray, percent: int, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """All pairs (x, y) of rows with equal keys that pass the length filter, x the earlier by sid, in runs; rows are sorted by key and n, so
+    a row meets a window of its list. Short lists are taken together, by distance; of others, which the third value tells, a run has all pairs of its y."""
     cut = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
     size = np.diff(cut)
     end = np.repeat(cut[1:], size)
+    least, most = percent * n, 100 * n
     x = np.flatnonzero(np.repeat((size > 1) & (size <= small), size))
     d = 1
     while len(x):
         x = x[x + d < end[x]]
+        x = x[least[x + d] <= most[x]]
         if len(x):
-            yield x, x + d, False
+            y = x + d
+            swap = sid[x] > sid[y]
+            yield np.where(swap, y, x), np.where(swap, x, y), False
         d += 1
     for k in np.flatnonzero(size > small):
-        for a in range(cut[k], cut[k + 1], 256):
-            b = min(a + 256, cut[k + 1])
-            x, y = np.meshgrid(np.arange(cut[k], b), np.arange(a, b))
-            keep = x < y
-            yield x[keep], y[keep], True
+        lo, hi = cut[k], cut[k + 1]
+        for a in range(lo, hi, 256):
+            b = min(a + 256, hi)
+            i, j = lo + np.searchsorted(most[lo:hi], least[a]), lo + np.searchsorted(least[lo:hi], most[b - 1], "right")
+            y, x = np.nonzero((sid[i:j] < sid[a:b, None]) & (most[i:j] >= least[a:b, None]) & (least[i:j] <= most[a:b, None]))
+            yield x + i, y + a, True
 
 
 def list_key(p: np.ndarray, i: np.ndarray | int = 0, j: np.ndarray | int = 0) -> np.ndarray:
@@ -209,41 +221,49 @@ def list_key(p: np.ndarray, i: np.ndarray | int = 0, j: np.ndarray | int = 0) ->
     return tb.mix(tb.mix(p >> U(POSITIONS.bit_length() - 1)) + (np.asarray(i, U) << U(32)) + np.asarray(j, U))
 
 
-def filtered(x: np.ndarray, y: np.ndarray, percent: int, n: np.ndarray, pos: np.ndarray, sig: Signatures, off: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs (x, y) that pass the positional, length and bitmap filters, and in how many bits they differ; off the diagonal of a grid, blocks meet others."""
+def split_at(p: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of its set stand before each token, and how many from it on; all, if its position is not known."""
+    pos = (p & U(POSITIONS - 1)).astype(np.int64)
+    known = pos < POSITIONS - 1
+    return np.where(known, pos, n), np.where(known, n - pos, n)
+
+
+def placed(x: np.ndarray, y: np.ndarray, percent: int, n: np.ndarray, around: tuple[np.ndarray, np.ndarray], cells: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs (x, y) that pass the positional filter, and how many tokens of their own they may have; around: split_at; cells: of rows off the diagonal of a grid, blocks meet others."""
     both = n[x] + n[y]
     overlap = -(-percent * both // (100 + percent))  # least for the threshold
+    head, tail = around
     # Tokens in common are this one, at most the fewer before it and the fewer behind it.
-    most = np.where((pos[x] < 0) | (pos[y] < 0), overlap, np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y]))
-    keep = (most >= overlap) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])) & (~off[x] | (block[x] != block[y]))
-    x, y, slack = x[keep], y[keep], (both - 2 * overlap)[keep]
+    keep = np.minimum(head[x], head[y]) + np.minimum(tail[x], tail[y]) >= overlap
+    if cells is not None:
+        off, block = cells
+        keep &= ~off[x] | (block[x] != block[y])
+    return x[keep], y[keep], (both - 2 * overlap)[keep]
+
+
+def alike(x: np.ndarray, y: np.ndarray, slack: np.ndarray, sig: Signatures) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The pairs that pass the bitmap filter, and in how many bits they differ."""
     differ = sig.differ(x, y, slack)
     keep = differ <= slack
     return x[keep], y[keep], differ[keep]
 
 
-def positions(p: np.ndarray) -> np.ndarray:
-    """Where in its set each token stands; -1 if that is not known."""
-    pos = (p & U(POSITIONS - 1)).astype(np.int64)
-    return np.where(pos == POSITIONS - 1, -1, pos)
-
-
 def _confirmed(percent: int, pairs_room: int = 1 << 20):
     """Column y: the sets of a list that ``ask`` of which an earlier one holds, verified on the tokens s, each once a cell."""
 
     def match(t: pa.Table) -> pa.RecordBatch | None:
         p, n, sid = t["p"].to_numpy().view(U), t["n"].to_numpy().astype(np.int64), t["sid"].to_numpy()
-        key, pos, sig = _key(t), positions(p), Signatures(tb.strings(t["sig"])[0].copy().view(U), n)
-        off, block, open_ = t["i"].to_numpy() != t["j"].to_numpy(), t["block"].to_numpy(), t["ask"].to_numpy(zero_copy_only=False).copy()
+        key, around, sig = _key(t), split_at(p, n), Signatures(tb.strings(t["sig"])[0].copy().view(U), n)
+        cells, open_ = (t["i"].to_numpy() != t["j"].to_numpy(), t["block"].to_numpy()), t["ask"].to_numpy(zero_copy_only=False).copy()
         sets = t["s"].combine_chunks()
         own, tokens = sets.offsets.to_numpy().astype(np.int64), sets.values.to_numpy()
         own, tokens = own - own[0], tokens[own[0] : own[-1]]
         kinds, token = np.unique(tokens, return_inverse=True)
         held = np.sort(np.repeat(np.arange(len(n)), np.diff(own)) * len(kinds) + token)  # (row, token), in order
         found = np.zeros(len(n), bool)
-        for x, y, _ in list_pairs(key):
+        for x, y, _ in list_pairs(key, n, sid, percent):
             keep = open_[y] & (sid[x] != sid[y])
-            x, y, _ = filtered(x[keep], y[keep], percent, n, pos, sig, off, block)
+            x, y, _ = alike(*placed(x[keep], y[keep], percent, n, around, cells), sig)
             start = 0
             while start < len(x):
                 room = np.cumsum(n[y[start : start + pairs_room]])
@@ -331,8 +351,9 @@ def _partners(percent: int):
         p, sid, n, i, j, block, sig = (tb.strings(t[c])[0].copy().view(kind) for c, kind in zip(PACKED[1:], (U, np.int64, np.uint32, np.uint16, np.uint16, np.uint16, U), strict=True))
         sig = Signatures(sig, n := n.astype(np.int64))
         key = list_key(p, i, j)
-        order = np.lexsort((sid, key))
-        key, n, sid, pos, off, block = key[order], n[order], sid[order], positions(p)[order], (i != j)[order], block[order]
+        order = np.lexsort((n, key))
+        key, n, sid, p, off, block = key[order], n[order], sid[order], p[order], (i != j)[order], block[order]
+        around, cells = split_at(p, n), (off, block) if off.any() else None
         sig.words, sig.at, sig.one = sig.words[order], sig.at[:-1][order], sig.one[order]
         found = []
 
@@ -347,14 +368,14 @@ def _partners(percent: int):
             found.append((sid[y[keep]], sid[x[keep]], far[keep], many[keep]))
 
         short = []
-        for x, y, whole in list_pairs(key):
-            passed = filtered(x, y, percent, n, pos, sig, off, block)
-            apart = sid[passed[0]] != sid[passed[1]]
-            if apart.any():
-                passed = [v[apart] for v in passed]
-                keep_near(*passed) if whole else short.append(passed)
+        for x, y, whole in list_pairs(key, n, sid, percent):
+            x, y, slack = placed(x, y, percent, n, around, cells)
+            keep = (np.bitwise_count(sig.one[x] ^ sig.one[y]) <= slack) & (sid[x] != sid[y])
+            if keep.any():
+                some = x[keep], y[keep], slack[keep]
+                keep_near(*alike(*some, sig)) if whole else short.append(some)
         if short:
-            keep_near(*(np.concatenate(v) for v in zip(*short, strict=True)))
+            keep_near(*alike(*(np.concatenate(v) for v in zip(*short, strict=True)), sig))
         if not found:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*found, strict=True)], ["y", "x", "far", "many"])
@@ -497,7 +518,7 @@ def _similar_lines(docs: DataFrame, percent: int, cell: int) -> DataFrame:
         rows = rows.withColumn("block", F.pmod(F.xxhash64("sid"), F.col("g")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)))
         rows = rows.withColumns({"i": F.least("block", "o").cast("int"), "j": F.greatest("block", "o").cast("int")})
         key = ["token", "i", "j"]
-        rows = rows.select(*key, "block", "p", "sid", "n", "sig", "ask", "s").repartition(*key).sortWithinPartitions(*key, "sid")
+        rows = rows.select(*key, "block", "p", "sid", "n", "sig", "ask", "s").repartition(*key).sortWithinPartitions(*key, "n")
         return materialize(rows.select("i", "j", "block", "p", "sid", "n", "sig", "ask", "s").mapInArrow(lean(_confirmed(percent)), "y long").distinct(), "confirmed")
 
     packed = openers.mapInArrow(lean(_packed(blocks, parts)), "part int, p binary, sid binary, n binary, i binary, j binary, block binary, sig binary")
@@ -514,7 +535,7 @@ def _similar_lines(docs: DataFrame, percent: int, cell: int) -> DataFrame:
     flagged = materialize(flagged.select("k", *[F.col(c).alias(f"first_{c}") for c in PLACE], F.coalesce("near", F.lit(False)).alias("near")), "flagged")
     gone = lines.select("k", *PLACE).join(flagged, "k").where("near OR NOT (doc_id <=> first_doc_id AND row = first_row AND line = first_line)")
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     out = docs.select("doc_id", row_hash.alias("row"), n_lines.alias("n_lines")).alias("d").join(gone.alias("g"), F.expr("d.doc_id <=> g.doc_id AND d.row = g.row"), "left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select("d.doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"), "d.row")
