@@ -28,6 +28,8 @@ CELL = 4096
 PARTNERS = 64
 #: Tokens a row for which a cell of verification has room.
 ROOM = 64
+#: Sets of which the tokens are read that are few enough to send their documents' ids to all workers.
+FEW = 1 << 14
 #: Words of the widest signature.
 SIGN_WORDS = 8
 #: Rows of lists that are packed together before they go to their parts; rows of a part, and parts at least.
@@ -487,10 +489,14 @@ def _similar_lines(docs: DataFrame, percent: int, cell: int) -> DataFrame:
 
     def token_sets(ids: DataFrame) -> DataFrame:
         """sid and all tokens of the sets of ids(sid), read from the texts."""
-        asked = materialize(ids.distinct().join(sets.select("sid", "k", "place"), "sid"), "asked")
-        bits = int(np.clip(int(asked.count()).bit_length() + 4, 16, 27))
+        asked = materialize(ids.distinct().join(sets.select("sid", "k", "place", "doc_id"), "sid"), "asked")
+        n, texts = int(asked.count()), source
+        if n <= FEW:  # other documents don't go to the workers
+            there = asked.select(F.col("doc_id").alias("there")).distinct()
+            texts = source.join(F.broadcast(there), F.col("doc_id").eqNullSafe(F.col("there")), "left_semi")
+        bits = int(np.clip(n.bit_length() + 4, 16, 27))
         bitmap = spark.sparkContext.broadcast(bit_filter(asked.select(F.col("place").alias("h")), bits))
-        tokens = source.mapInArrow(lean(_tokens_of(shared, bitmap)), "k binary, s array<long>").join(asked.select("sid", "k"), "k").select("sid", "s").dropDuplicates(["sid"])
+        tokens = texts.mapInArrow(lean(_tokens_of(shared, bitmap)), "k binary, s array<long>").join(asked.select("sid", "k"), "k").select("sid", "s").dropDuplicates(["sid"])
         return materialize(tokens, "tokens")
 
     def verified(pairs: DataFrame) -> DataFrame:
