@@ -122,3 +122,32 @@ def test_abbreviations_keep_their_sentence(spark, model):
 def test_no_texts(spark):
     empty = sentences.fit(spark.createDataFrame([], "text string"))
     assert empty.split("One. Two.") == ["One.", "Two."] and empty.split("") == []
+
+
+def test_fit_reads_the_texts_once(spark, tmp_path):
+    folder = str(tmp_path)
+
+    @F.udf("string")
+    def seen(text):
+        with open(f"{folder}/log-{os.getpid()}", "a") as file:
+            file.write(f"{text[:2]}\n")
+        return text
+
+    texts = [f'{i:02} Dr. Smith saw "(them)," etc. and Dr. Jones. The\x1cend, he said!" The rest?' for i in range(40)]
+    model = sentences.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4).select(seen.asNondeterministic()("text").alias("text")))
+    assert {"dr", "etc"} <= model.abbreviations
+    log = Counter(x for f in os.listdir(folder) for x in open(f"{folder}/{f}").read().splitlines())
+    assert log == Counter(f"{i:02}" for i in range(40))
+
+
+def test_words_are_counted_apart_from_their_marks():
+    import pyarrow as pa
+
+    texts = ['He saw "Mr." Li, etc., and (Li). "Li!" he\x1csaid?" Why?. A', None, "", "! . x"]
+    got = Counter()
+    for batch in sentences._counted(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])):
+        for r in batch.to_pylist():
+            got[r["w"], r["dot"], r["u"], r["hard"]] += r["n"]
+    alone = {(w, dot): n for (w, dot, u, _), n in got.items() if u is None}
+    assert alone == {("He", False): 1, ("saw", False): 1, ("Mr", True): 1, ("Li", False): 2, ("Li)", True): 1, ("etc", True): 1, ("and", False): 1, ("he\x1csaid", False): 1, ("Why?", True): 1, ("A", False): 1, ("", False): 1, ("", True): 1, ("x", False): 1}
+    assert {k for k in got if k[2] is not None and (k[3] or k[1])} == {("Mr", True, "Li", False), ("etc", True, "and", False), ("Li)", True, "Li", False), ("", False, "he\x1csaid", True), ("", False, "Why?", True), ("Why?", True, "A", False), ("", True, "x", False)}
