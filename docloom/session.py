@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +41,24 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(rows: DataFrame, name: str) -> DataFrame:
-    """rows, written as Parquet to the shared folder and read back, so that they are computed once."""
+@contextmanager
+def configured(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """conf holds inside."""
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def written(rows: DataFrame, name: str, conf: dict[str, str] | None = None) -> DataFrame:
+    """rows, written as Parquet to the shared folder and read back, so that they are computed once. conf holds while they are written."""
     path = f"{new_folder(rows.sparkSession, name)}/rows"
-    rows.write.parquet(path)
+    with configured(rows.sparkSession, conf or {}):
+        rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 

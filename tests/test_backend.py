@@ -151,3 +151,24 @@ def test_words_are_counted_apart_from_their_marks():
     alone = {(w, dot): n for (w, dot, u, _), n in got.items() if u is None}
     assert alone == {("He", False): 1, ("saw", False): 1, ("Mr", True): 1, ("Li", False): 2, ("Li)", True): 1, ("etc", True): 1, ("and", False): 1, ("he\x1csaid", False): 1, ("Why?", True): 1, ("A", False): 1, ("", False): 1, ("", True): 1, ("x", False): 1}
     assert {k for k in got if k[2] is not None and (k[3] or k[1])} == {("Mr", True, "Li", False), ("etc", True, "and", False), ("Li)", True, "Li", False), ("", False, "he\x1csaid", True), ("", False, "Why?", True), ("Why?", True, "A", False), ("", True, "x", False)}
+
+
+def test_sentences_go_by_key_once(spark):
+    """Texts are shuffled once by key and once by request; a sentence that many ask for, failures and requests without one come out whole."""
+    texts = [f"Common one. {i} fails. Own {i} text! Common one." for i in range(300)] + ["", None, "  "]
+    split = lambda t: F.filter(F.split(t, r"(?<=[.!?])\s+"), lambda s: s != "")
+    entry = requests_of(spark, ["Own 7 text!", "Common one."]).select(memory.memory_key("lang_in", "lang_out", "service", "model", "source_text").alias("cache_key"), F.concat(F.lit("known "), "source_text").alias("translated_text"), (F.when(F.col("source_text").startswith("Own"), 500).otherwise(5)).cast("long").alias("expires_at"))
+    rows, new = memory.translate_sentences(requests_of(spark, texts), entry, 100, split, using="marked")
+    got = {r["request_id"]: tuple(r)[1:] for r in rows.collect()}
+    common = "[vi] Common one."
+    assert all(got[f"r{i}"] == ("\n".join([common, f"{i} fails.", "known Own 7 text!" if i == 7 else f"[vi] Own {i} text!", common]), 4, 1) for i in range(300))
+    assert got["r300"] == ("", 0, 0) and got["r301"] == (None, 0, 0) and got["r302"] == ("  ", 1, 0) and len(got) == 303
+    stored = {r["source_text"]: r for r in new.collect()}
+    assert set(stored) == {"Common one.", *(f"Own {i} text!" for i in range(300) if i != 7)}
+    assert stored["Common one."]["translated_text"] == common and len(stored["Common one."]["cache_key"]) == 64 and stored["Common one."]["service"] == "s"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows, _ = memory.translate_sentences(requests_of(spark, texts), entry, 100, split, using="marked")
+        assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3, "places and repeated sentences by key, texts by request"
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
