@@ -1,7 +1,8 @@
 """Structured Streaming over the event table: ticker, debounce, suppressed repeats, progress and terminal state.
 
-Windows (ticker, debounce) are closed by a watermark, so their state is bounded; rows later than it are dropped. ``jobs`` (progress and status), ``without_repeats``
-and ``reclaimed`` keep a small row for each session, which an event-time timer takes away once the session has been idle for long enough. ``status`` and
+Windows (ticker, debounce) are closed by a watermark, so their state is bounded; rows later than it are dropped. ``without_repeats`` and ``reclaimed`` keep a small
+row for each session, ``jobs`` (progress and status) a small item in the row of its bucket, which an event-time timer takes away once the session has been idle for
+long enough. ``status`` and
 ``progress`` are of whole sessions, whose end no event tells: their state lasts as long as the query.
 """
 
@@ -9,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from docloom.session import ship
 
@@ -157,30 +159,68 @@ class Reclaim(_Idle):
         return pd.DataFrame({"session_id": pd.Series([session] * len(ended), dtype=object), "ended_at": pd.Series(ended, dtype="int64")})
 
 
-class Jobs(_Idle):
-    """Progress and status of a session's job as its events come: those with no idle time above idle_ms between them."""
-
-    schema = "began long, last long, n_events long, done long, lo long, hi long, finished boolean, failed boolean, cancelled boolean, result double"
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        frame = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        jobs, job = [], list(self.state.get()) if self.state.exists() else None
-        for now, kind, value in zip(frame["ts_us"].tolist(), frame["kind"], frame["value"].tolist()):
-            if job is not None and self.late(job[1], now):
-                jobs.append(job)
-                job = None
-            job = job or [now, now, 0, 0, None, None, False, False, False, None]
-            job[1], job[2] = now, job[2] + 1
-            if kind == "chunk_ready":
-                job[3], job[4], job[5] = job[3] + 1, now if job[4] is None else job[4], now
-            job[6:9] = job[6] or kind == "finish", job[7] or kind == "error", job[8] or kind == "cancelled"
-            if kind == "finish":
-                job[9] = None if value is None or value != value else float(value)
-        self.keep(tuple(job), job[1])
-        columns = ["began", "last", "n_events", "done", "lo", "hi", "finished", "failed", "cancelled", "result"]
-        out = pd.DataFrame([*jobs, job], columns=columns).astype({"lo": "Int64", "hi": "Int64", "result": "Float64"})
-        out.insert(0, "session_id", pd.Series([key[0]] * len(out), dtype=object))
-        yield out
+#: What is known of a job; one with no idle time above idle_ms between its events.
+JOB = {
+    "session_id": "string", "began": "long", "last": "long", "n_events": "long", "done": "long", "lo": "long", "hi": "long", "finished": "boolean", "failed": "boolean", "cancelled": "boolean", "result": "double",
+}
+
+
+def _pieces(events: pd.DataFrame) -> pd.DataFrame:
+    """Each event as a job of its own."""
+    events = events.sort_values(["ts_us", "event_id"])
+    ts, kind = events["ts_us"], events["kind"]
+    chunk, finish = kind == "chunk_ready", kind == "finish"
+    mark = ts.astype("Int64").where(chunk)
+    return pd.DataFrame({
+        "session_id": events["session_id"], "began": ts, "last": ts, "n_events": 1, "done": chunk.astype("int64"), "lo": mark, "hi": mark, "finished": finish, "failed": kind == "error", "cancelled": kind == "cancelled",
+        "result": events["value"].astype("float64").where(finish),
+    })
+
+
+def _joined(open_jobs: pd.DataFrame, events: pd.DataFrame, idle_us: int) -> pd.DataFrame:
+    """Jobs of open ones and of later events, a session's one after the other, the newest last; as columns at once, whatever the number of sessions."""
+    rows = pd.concat([open_jobs, _pieces(events)], ignore_index=True) if len(open_jobs) else _pieces(events)
+    code = pd.factorize(rows["session_id"], use_na_sentinel=False)[0]
+    order = np.argsort(code, kind="stable")
+    rows, code = rows.iloc[order].reset_index(drop=True), code[order]
+    began, last, at = rows["began"].to_numpy("int64"), rows["last"].to_numpy("int64"), np.arange(len(rows))
+    start = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (began[1:] - last[:-1] > idle_us)])
+    end = np.r_[start[1:], len(rows)] - 1
+    first = lambda has: np.minimum.reduceat(np.where(has, at, len(rows) - 1), start)
+    newest = lambda has: np.maximum.reduceat(np.where(has, at, 0), start)
+    some, finished = rows["lo"].notna().to_numpy(), rows["finished"].to_numpy(bool)
+    any_of = lambda has: np.logical_or.reduceat(has, start)
+    take = lambda column, where, has: rows[column].take(where).reset_index(drop=True).where(has)
+    return pd.DataFrame({
+        "session_id": rows["session_id"].to_numpy(object)[start], "began": began[start], "last": last[end], "n_events": np.add.reduceat(rows["n_events"].to_numpy("int64"), start), "done": np.add.reduceat(rows["done"].to_numpy("int64"), start),
+        "lo": take("lo", first(some), any_of(some)), "hi": take("hi", newest(some), any_of(some)), "finished": any_of(finished), "failed": any_of(rows["failed"].to_numpy(bool)), "cancelled": any_of(rows["cancelled"].to_numpy(bool)),
+        "result": take("result", newest(finished), any_of(finished)),
+    })
+
+
+def _jobs_of(idle_ms: int):
+    """The function of a bucket of sessions: its state is the open job of each, as a list for each column."""
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        found = pd.DataFrame(dict(zip(JOB, state.get))).astype({"lo": "Int64", "hi": "Int64", "result": "float64"}) if state.exists else pd.DataFrame(columns=[*JOB])
+        now = state.getCurrentWatermarkMs()
+        if not state.hasTimedOut:
+            events = pd.concat(list(frames))
+            known = found["session_id"].isin(events["session_id"])
+            jobs = _joined(found[known], events, 1000 * idle_ms)
+            yield jobs.astype({"lo": "Int64", "hi": "Int64"})
+            newest = jobs[~jobs["session_id"].duplicated(keep="last")]
+            found = pd.concat([found[~known], newest], ignore_index=True) if not known.all() else newest
+        ends = found["last"].to_numpy("int64") // 1000 + idle_ms
+        found = found[ends > now]
+        if not len(found):
+            if state.exists:
+                state.remove()
+            return
+        state.update(tuple([None if pd.isna(x) else x for x in found[c].tolist()] if c in ("session_id", "lo", "hi", "result") else found[c].tolist() for c in JOB))
+        state.setTimeoutTimestamp(int(ends[ends > now].min()))
+
+    return run
 
 
 REPEATS = "session_id string, ts_us long, event_id long, page int"
@@ -201,9 +241,15 @@ def reclaimed(events: DataFrame, age_ms: int = 3_600_000, late: str = LATE) -> D
     return _timed(events.select("session_id", "ts", "ts_us", "event_id", "kind"), Reclaim(age_ms), "session_id string, ended_at long", "append", late)
 
 
-def jobs(events: DataFrame, total: int, idle_ms: int = IDLE_MS, late: str = LATE) -> DataFrame:
-    """session_id, began, n_events, done, percent, eta_s, status, result of each job so far, for the update mode, by (session_id, began). Needs ROCKSDB."""
-    rows = _timed(events.select("session_id", "ts", "ts_us", "event_id", "kind", "value"), Jobs(idle_ms), f"session_id string, {Jobs.schema}", "update", late)
+def jobs(events: DataFrame, total: int, idle_ms: int = IDLE_MS, late: str = LATE, buckets: int = 256) -> DataFrame:
+    """session_id, began, n_events, done, percent, eta_s, status, result of each job so far, for the update mode, by (session_id, began).
+
+    Sessions are dealt to buckets, whose open jobs are a row of state; a batch calls Python once for each bucket with events, not once for each session. A bucket's
+    open jobs and the events of a batch are in a worker's memory at a time. The number of buckets holds for as long as the query's state."""
+    ship(events.sparkSession)
+    dealt = events.withWatermark("ts", late).select(F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("_bucket"), "session_id", "ts", "ts_us", "event_id", "kind", "value")
+    schema, lists = (", ".join(f"{c} {t}" for c, t in x) for x in (JOB.items(), [(c, f"array<{t}>") for c, t in JOB.items()]))
+    rows = dealt.groupBy("_bucket").applyInPandasWithState(_jobs_of(idle_ms), schema, lists, "update", GroupStateTimeout.EventTimeTimeout)
     status = F.when(F.col("cancelled"), "cancelled").when(F.col("failed"), "error").when(F.col("finished"), "done").otherwise("error")
     rate = F.when((F.col("done") >= 2) & (F.col("hi") > F.col("lo")), F.col("done") / ((F.col("hi") - F.col("lo")) / 1e6))
     left = F.lit(total) - F.col("done")

@@ -1,5 +1,7 @@
 """Streams whose state goes by event-time timers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,27 @@ def test_replay_is_in_time_order_and_whole(spark, day, tmp_path):
 def test_no_events(spark, day, tmp_path):
     got = E.run_to_end(E.reclaimed(E.replay(day.where("false"), f"file://{tmp_path}/n")), f"file://{tmp_path}/n", conf=E.ROCKSDB)
     assert got.collect() == [] and got.columns == ["session_id", "ended_at"]
+
+
+def test_jobs_of_many_sessions(spark, tmp_path):
+    """Sessions share rows of state, and Python is called once a bucket; ties, null values and a null session come out as in one go."""
+    rng = random.Random(3)
+    kinds = ["log", "chunk_ready", "chunk_ready", "finish", "error", "cancelled"]
+    rows = [(i, rng.choice([None, *(f"s{k}" for k in range(150))]), BASE + rng.randrange(400) * HOUR // 10, rng.choice(kinds), rng.choice([None, float(i)]), 1) for i in range(3000)]
+    events = spark.createDataFrame(rows, EVENTS).withColumn("ts", F.timestamp_micros("ts_us"))
+    want = []
+    for s in {r[1] for r in rows}:
+        job = None
+        for i, _, ts, kind, value, _ in sorted((r for r in rows if r[1] == s), key=lambda r: (r[2], r[0])):
+            if job is None or ts - job["last"] > 2 * HOUR:
+                job = {"s": s, "began": ts, "n": 0, "done": 0, "kinds": set(), "result": None}
+                want.append(job)
+            job["last"], job["n"], job["done"] = ts, job["n"] + 1, job["done"] + (kind == "chunk_ready")
+            job["kinds"].add(kind)
+            job["result"] = value if kind == "finish" else job["result"]
+    told = lambda k: "cancelled" if "cancelled" in k else "error" if "error" in k or "finish" not in k else "done"
+    path = f"file://{tmp_path}/m"
+    got = E.run_to_end(E.jobs(E.replay(events, path, 5), 4, 2 * 3_600_000, buckets=3), path, "update", ["session_id", "began"]).collect()
+    assert sorted((str(r["session_id"]), r["began"], r["n_events"], r["done"], r["status"], str(r["result"])) for r in got) == sorted((str(j["s"]), j["began"], j["n"], j["done"], told(j["kinds"]), str(j["result"])) for j in want)
+    seen = watched(E.jobs(E.replay(events, f"file://{tmp_path}/w", 5), 4, 2 * 3_600_000, buckets=3), f"file://{tmp_path}/w", {}, "update")
+    assert max(seen) <= 3, "rows of state are of buckets"
